@@ -1,0 +1 @@
+"""codecorpus: source collections, call graphs, traces and run journals as Spark tables."""
