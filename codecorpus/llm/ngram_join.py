@@ -21,8 +21,8 @@ SHINGLE = 5
 SIMILAR = 80
 #: Lists up to this length are compared in full at once.
 SHORT = 8
-#: Orders in which a long list picks the set that the others are compared with.
-PIVOTS = 8
+#: Meetings in long lists that make a pair worth a first try; the others come in the second round.
+STAR = 3
 #: One document in so many shows which shingles are frequent; they go last in every set's order. This steers only how
 #: long the lists get: any order gives the same links. FREQUENT bounds how many shingles are sent to the tasks.
 SHOW, SEEN, FREQUENT = 16, 4, 1_000_000
@@ -35,7 +35,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.frombuffer(LOWER_TABLE, dtype=np.uint8)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = np.arange(1, PIVOTS + 1, dtype=np.uint64) * _P
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -89,9 +88,18 @@ def overlap_needed(n, m, similar: int = SIMILAR):
     return -(-similar * (n + m) // (100 + similar))
 
 
+#: A pair of similar sets must share one more of its first shingles for this many of the smaller set's.
+STEP = 40
+
+
+def matches_needed(n):
+    """First shingles that a set of n shares with any similar set of n or more, at least."""
+    return 1 + n // STEP
+
+
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    """Sets of n shingles that are similar to another share one of this many first ones."""
-    return n - -(-similar * n // 100) + 1
+    """First shingles of a set of n to look at, so that similar sets share matches_needed of them."""
+    return min(n, n - -(-similar * n // 100) + matches_needed(n))
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -121,33 +129,26 @@ def _prefixes(frequent, similar):
 
 
 def _candidates(similar):
-    """Rows (token, n, rep, pos) in order of token, n, rep -> pairs (a, b), and the rows of long lists (b null)."""
-
-    def possible(n, m, i, j):
-        """Sets of n <= m with one shingle at places i and j of their orders may be similar."""
-        most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-        return (100 * n >= similar * m) & (most >= overlap_needed(n, m, similar))
-
-    def of_list(token, n, rep, pos, out):
-        if len(n) <= SHORT:
-            x, y = np.triu_indices(len(n), 1)
-            ok = possible(n[x], n[y], pos[x], pos[y]) & (rep[x] != rep[y])
-            x, y = x[ok], y[ok]
-            out.append((rep[x], rep[y], np.zeros(len(x), np.int64), np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)))
+    """Rows (token, n, rep, pos) in order of token, n, rep -> rows of lists of two or more sets.
+
+    A short list gives its pairs (a, b, sizes, places; token null) that may be similar; a long one gives its rows (b null).
+    """
+    names = ["a", "b", "token", "n", "pos", "n_b", "pos_b"]
+
+    def of_list(token, n, rep, pos, pairs, rows):
+        if len(n) > SHORT:
+            rows.append((rep, np.full(len(n), token), n, pos))
             return
-        start = 0
-        salt = _SALTS[int(token) & (PIVOTS - 1)]
-        while start < len(n):
-            end = int(np.searchsorted(n, 100 * int(n[start]) // similar, "right"))
-            block = slice(start, end)
-            pick = start + int(np.argmin(_scramble(rep[block].view(np.uint64) + salt)))
-            x = np.concatenate([np.arange(start, pick), np.arange(pick + 1, end)])
-            out.append((np.full(len(x), rep[pick]), rep[x], np.zeros(len(x), np.int64), np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)))
-            start = end
-        out.append((rep, np.full(len(n), -1), np.full(len(n), token), n.astype(np.int32), pos.astype(np.int32)))
+        x, y = np.triu_indices(len(n), 1)
+        most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)
+        ok = (100 * n[x] >= similar * n[y]) & (most >= overlap_needed(n[x], n[y], similar)) & (rep[x] != rep[y])
+        x, y = x[ok], y[ok]
+        swap = rep[x] > rep[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        pairs.append((rep[x], rep[y], n[x], pos[x], n[y], pos[y]))
 
     def fn(batches):
-        held: list[tuple] = []
+        held: list = []
         for b in batches:
             cols = [b.column(k).to_numpy() for k in ("token", "n", "rep", "pos")]
             if held:
@@ -156,6 +157,8 @@ def _candidates(similar):
             if not len(tokens):
                 continue
             cut = int(np.searchsorted(tokens, tokens[-1], "left"))  # the last list may go on
+            if not cut and len(tokens) > 1 << 18:  # it is long: its rows go out as they come, but for a few that keep it long
+                cut = len(tokens) - 2 * SHORT
             yield from flush([c[:cut] for c in cols])
             held = [c[cut:] for c in cols]
         if held:
@@ -163,14 +166,22 @@ def _candidates(similar):
 
     def flush(cols):
         tokens, n, rep, pos = cols
-        first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] ^ 1)) if len(tokens) else np.zeros(0, int)
+        if not len(tokens):
+            return
+        first = np.concatenate(([0], np.flatnonzero(np.diff(tokens)) + 1))
         last = np.append(first[1:], len(tokens))
-        out: list[tuple] = []
+        pairs: list[tuple] = []
+        rows: list[tuple] = []
         for a, b in zip(first[last - first > 1], last[last - first > 1]):
-            of_list(tokens[a], n[a:b].astype(np.int64), rep[a:b], pos[a:b].astype(np.int64), out)
-        for k in range(0, len(out), 20_000):
-            part = [np.concatenate(c) for c in zip(*out[k : k + 20_000])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], mask=part[1] == -1), *map(pa.array, part[2:])], names=["a", "b", "token", "n", "pos"])
+            of_list(tokens[a], n[a:b].astype(np.int64), rep[a:b], pos[a:b].astype(np.int64), pairs, rows)
+        i32 = lambda v: pa.array(v.astype(np.int32))
+        for part in (pairs[k : k + 20_000] for k in range(0, len(pairs), 20_000)):
+            a, b, na, ia, nb, ib = map(np.concatenate, zip(*part))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), i32(na), i32(ia), i32(nb), i32(ib)], names=names)
+        for part in (rows[k : k + 5_000] for k in range(0, len(rows), 5_000)):
+            a, token, na, ia = map(np.concatenate, zip(*part))
+            none = pa.nulls(len(a), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(token), i32(na), i32(ia), none, none], names=names)
 
     return fn
 
@@ -184,9 +195,12 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) of similar sets; sets are made anew from the texts of the documents in pairs only."""
-    pairs = stored(pairs.distinct(), "pairs")
+def _compared(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
+    """``pairs`` (a, b, star) with similar, n_a, n_b, i (intersection); sets are made anew from the texts of the documents in pairs only.
+
+    Where b stands for a (star) and they share half of their union, ``rest`` has the shingles that only a has.
+    """
+    pairs = stored(pairs, "tries")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
@@ -203,29 +217,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     sets = docs.select("id", "text").mapInArrow(fn, "id long, tokens array<long>")
     half = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = half.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    sizes = both.select("a", "b", inter.alias("i"), F.size("ta").alias("x"), F.size("tb").alias("y"))
-    return stored(sizes.filter(100 * F.col("i") >= similar * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b").distinct(), "links")
+    made = both.select("a", "b", "star", F.size(F.array_intersect("ta", "tb")).alias("i"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"), "ta", "tb")
+    union = F.col("n_a") + F.col("n_b") - F.col("i")
+    rest = F.when(F.col("star") & (2 * F.col("i") >= union), F.array_except("ta", "tb"))
+    return stored(made.select("a", "b", "star", "i", "n_a", "n_b", (100 * F.col("i") >= similar * union).alias("similar"), rest.alias("rest")), "compared")
+
+
+def _fit(n, m, e, f, similar: int):
+    """Whether sets of n and m, of which only e and f shingles can be shared, may be similar."""
+    small, large = F.least(n, m).cast("long"), F.greatest(n, m).cast("long")
+    return (100 * small >= similar * large) & ((100 + similar) * F.least(e, f).cast("long") >= similar * (small + large))
+
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(a, b, n, k): how often each pair met; n is its smaller size."""
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").groupBy("a", "b", "n").agg(F.count("*").alias("k"))
 
-def _across(lists: DataFrame, comp: DataFrame, similar: int) -> DataFrame:
-    """Pairs of possible links in long lists between sets of different components.
+
+def _starred(lists: DataFrame, similar: int) -> DataFrame:
+    """Meetings (a, b, n) of each set of a long list with one set of about its size: the most central one.
+
+    Central is a set that meets most others, summed over its lists: the original of near copies, or the least
+    changed. It stands for its like: what it is similar to is answered by it and needn't meet the rest.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similar)))
+    rows = lists.withColumn("band", band)
+    lengths = rows.groupBy("token", "band").agg(F.count("*").alias("length"))
+    central = rows.select("token", "band", "rep").join(lengths, ["token", "band"]).groupBy("rep").agg(F.sum("length").alias("met"))
+    rows = stored(rows.join(central, "rep"), "central")
+    best = rows.groupBy("token", "band").agg(F.max(F.struct("met", F.xxhash64("rep").alias("h"), "rep", "n", "e")).alias("p"))
+    met = rows.join(best, ["token", "band"]).filter((F.col("rep") != F.col("p.rep")) & _fit(F.col("n"), F.col("p.n"), F.col("e"), F.col("p.e"), similar))
+    return met.select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), F.least("n", "p.n").alias("n"))
+
+
+def _met_across(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (columns x_.., y_..) of rows that agree ``by`` and are in different components (column comp).
 
     A list whose sets are all in one component is skipped. Else each set outside the list's largest component meets
     the others; the largest one's own sets never meet.
     """
-    rows = lists.join(comp, lists["a"] == comp["node"], "left").select("token", "n", "pos", F.col("a").alias("rep"), F.coalesce("component", "a").alias("comp"))
-    rows = stored(rows, "lists")
-    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "largest")
-    rows = rows.join(mixed, "token")
-    x = rows.filter("comp != largest").select("token", *[F.col(c).alias(f"x_{c}") for c in ("n", "pos", "rep", "comp")])
-    y = rows.select("token", "largest", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "rep", "comp")])
+    sizes = rows.groupBy(*by, "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy(*by).agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1").select(*by, "largest")
+    rows = rows.join(mixed, by)
+    own = [c for c in rows.columns if c not in (*by, "largest")]
+    x = rows.filter("comp != largest").select(*by, *[F.col(c).alias(f"x_{c}") for c in own])
+    y = rows.select(*by, "largest", *[F.col(c).alias(f"y_{c}") for c in own])
+    return x.join(y, by).filter((F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("largest")) | (F.col("x_rep") < F.col("y_rep"))))
+
+
+def _across(lists: DataFrame, comp: DataFrame, stars: DataFrame, similar: int) -> DataFrame:
+    """Meetings (a, b, n) in long lists of sets of different components; sizes and places that can't reach the similarity are skipped.
+
+    So are sets that one set stands for (``stars``: rep, hub, i): what they share of the hub is at most the smaller i.
+    If that doesn't do, they must share some of their rest, and _through_rests finds them.
+    """
+    rows = lists.join(comp, lists["rep"] == comp["node"], "left").select("token", "n", "pos", "e", "rep", F.coalesce("component", "rep").alias("comp"))
+    rows = stored(rows.join(stars.select("rep", "hub", "i"), "rep", "left"), "lists")
     c = F.col
-    small, large = F.least("x_n", "y_n").cast("long"), F.greatest("x_n", "y_n").cast("long")
+    need = (100 + similar) * F.least("x_i", "y_i").cast("long") >= similar * (c("x_n") + c("y_n")).cast("long")
     most = F.least("x_pos", "y_pos") + 1 + F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos")) - 1
-    met = x.join(y, "token").filter((c("x_comp") != c("y_comp")) & ((c("y_comp") == c("largest")) | (c("x_rep") < c("y_rep"))) & (100 * small >= similar * large) & ((100 + similar) * most >= similar * (small + large)))
-    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+    derived = F.coalesce((c("x_hub") == c("y_hub")) & ~need, F.lit(False))
+    met = _met_across(rows, ["token"]).filter(_fit(c("x_n"), c("y_n"), F.least("x_e", most), F.least("y_e", most), similar) & ~derived)
+    return met.select(c("x_rep").alias("a"), c("y_rep").alias("b"), F.least("x_n", "y_n").alias("n"))
+
+
+def _through_rests(stars: DataFrame, comp: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) that one set stands for, of different components, which may be similar by what they share of it and of their rests.
+
+    This derives a set's answers from those of the set that it is like: only the few shingles in which they differ are looked up.
+    """
+    rows = stars.select("rep", "hub", "i", "n", F.explode("rest").alias("token"))
+    rows = rows.join(comp, rows["rep"] == comp["node"], "left").select("hub", "token", "rep", "i", "n", F.coalesce("component", "rep").alias("comp"))
+    met = _met_across(stored(rows, "rests"), ["hub", "token"])
+    a, b = F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")
+    met = met.groupBy(a, b).agg(F.count("*").alias("k"), F.first(F.least("x_i", "y_i")).alias("i"), F.first(F.col("x_n") + F.col("y_n")).alias("sizes"))
+    return met.filter((100 + similar) * (F.col("i") + F.col("k")) >= similar * F.col("sizes")).select("a", "b")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -245,18 +311,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = stored(made.select("row.id", "out.*"), "prefixes")
     own = ["n", "d1", "d2"]
     reps = made.filter("n > 0 and id is not null").groupBy(*own).agg(F.min("id").alias("rep"))
-    lone = made.filter("n > 0 and id is not null").join(reps, own).filter("id = rep").select("rep", "n", "prefix")
-    rows = lone.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    sets_of = made.filter("n > 0 and id is not null")
+    # documents with the set of another are links at once, and only the first one goes on
+    same = stored(sets_of.select("id", *own).join(reps, own).filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
+    lone = sets_of.select("id", "n", "prefix").join(same.select(F.col("a").alias("id")), "id", "left_anti")
+    rows = lone.select(F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
     sorted_rows = rows.select("token", "n", "rep", "pos").repartition("token").sortWithinPartitions("token", "n", "rep")
-    found = stored(sorted_rows.mapInArrow(_candidates(similar), "a long, b long, token long, n int, pos int"), "candidates")
-    links = _verified(found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, similar)
-    lists = found.filter("b is null")
+    found = stored(sorted_rows.mapInArrow(_candidates(similar), "a long, b long, token long, n int, pos int, n_b int, pos_b int"), "candidates")
+    pairs = found.filter("b is not null").groupBy("a", "b", "n", "n_b").agg(F.count("*").alias("k"), F.min("pos").alias("pos"), F.min("pos_b").alias("pos_b"))
+    pairs = stored(pairs, "met")
+    # the shingles before the first one that a set shares with any other are its own: the rest, e, is all it can share
+    shared = pairs.select("a", "n", "pos").unionByName(pairs.select(F.col("b").alias("a"), F.col("n_b").alias("n"), F.col("pos_b").alias("pos"))).unionByName(found.filter("b is null").select("a", "n", "pos"))
+    able = shared.groupBy(F.col("a").alias("rep"), "n").agg((F.col("n") - F.min("pos")).alias("e")).filter(100 * F.col("e") >= similar * F.col("n"))
+    able = stored(able.select("rep", "e"), "able")
+    lists = found.filter("b is null").join(able, F.col("a") == F.col("rep")).select("token", "rep", "n", "pos", "e")
+    lists = stored(lists, "long-lists")
+    needed = 1 + F.floor(F.col("n") / STEP)
+    ends = pairs.join(able.select(F.col("rep").alias("a"), F.col("e").alias("e_a")), "a").join(able.select(F.col("rep").alias("b"), F.col("e").alias("e_b")), "b")
+    short = ends.filter(_fit(F.col("n"), F.col("n_b"), F.col("e_a"), F.col("e_b"), similar)).select("a", "b", F.least("n", "n_b").alias("n"), "k")
+    short = stored(short, "short")
+    star = _starred(lists, similar).groupBy("a", "b", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= F.least(F.lit(STAR), needed))
+    tries = short.filter(F.col("k") >= needed).select("a", "b", F.lit(False).alias("star")).unionByName(star.select("a", "b", F.lit(True).alias("star")))
+    compared = _compared(tries.groupBy("a", "b").agg(F.max("star").alias("star")), texts, similar)
+    tried = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = compared.filter("similar").select("a", "b")
     first = stored(connected_components(links), "components")
-    more = stored(_across(lists, first, similar), "across")
+    # the set that stands for each: the one it shares most with
+    stars = compared.filter("rest is not null").groupBy(F.col("a").alias("rep")).agg(F.max_by(F.struct(F.col("b").alias("hub"), "i", F.col("n_a").alias("n"), "rest"), F.struct("i", "b")).alias("s")).select("rep", "s.*")
+    hubs = stars.select(F.col("hub").alias("rep")).distinct().join(stars.select("rep"), "rep", "left_anti").join(lists.select("rep", "n").distinct(), "rep")
+    stars = stored(stars.unionByName(hubs.select("rep", F.col("rep").alias("hub"), F.col("n").alias("i"), "n", F.array().cast("array<bigint>").alias("rest"))), "stars")
+    # what is left: sets of different components that met in long lists, often enough with the short ones
+    more = _counted(_across(lists, first, stars, similar))
+    more = more.join(short.select("a", "b", F.col("k").alias("s")), ["a", "b"], "left").filter(F.col("k") + F.coalesce("s", F.lit(0)) >= needed)
+    more = more.select("a", "b").unionByName(_through_rests(stars, first, similar)).distinct()
+    more = stored(more.join(tried, ["a", "b"], "left_anti").withColumn("star", F.lit(False)), "more")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, similar))
-    # documents of one set, and rows that repeat an id, are links too
-    same = made.filter("n > 0 and id is not null").join(reps, own).filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(_compared(more, texts, similar).filter("similar").select("a", "b"))
     comp = connected_components(links.unionByName(same))
     out = made.select("id", "n").join(comp, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
