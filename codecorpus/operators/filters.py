@@ -16,9 +16,10 @@ BINARY = r"(?i)\.(png|jpe?g|gif|webp|ico|bmp|avif|mp[34]|wav|ogg|mov|avi|webm|pd
 
 def eligible_text(files: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
     """``files`` with ``skip_reason``: null for text that is read, else binary-extension, oversized, invalid-utf8 or nul-byte."""
+    size = F.coalesce(F.col("size"), F.octet_length("content")) if "size" in files.columns else F.octet_length("content")
     reason = (
         F.when(F.col("path").rlike(BINARY), "binary-extension")
-        .when(F.coalesce(F.col("size"), F.octet_length("content")) > limit, "oversized")
+        .when(size > limit, "oversized")
         .when(F.col("content").isNull(), "invalid-utf8")
         .when(F.col("content").contains("\0"), "nul-byte")
     )

@@ -266,7 +266,7 @@ def run_usage(events: DataFrame) -> DataFrame:
     paths = F.from_json(F.coalesce(g("$.paths"), g("$.changedPaths")), "array<string>")
     e = events.withColumns({"open": F.sum(delta).over(w), "paths": F.when(F.col("type").isin("file.changed", "checkpoint.created", "review.created"), paths)})
     return e.groupBy("run_id").agg(
-        (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("wall_time_ms"),
+        (F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))).alias("wall_time_ms"),
         F.count_if((F.col("type") == "state.changed") & (g("$.to") == "executing")).alias("provider_turns"),
         F.size(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("changed_files"),
         F.coalesce(F.max(F.when(F.col("type") == "checkpoint.created", g("$.totalBytes").cast("long"))), F.lit(0)).cast("long").alias("changed_bytes"),

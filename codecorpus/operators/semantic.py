@@ -45,8 +45,8 @@ def workflow_entries(symbols: DataFrame, max_support: int = 12, most: int = 100)
     """(entries, omitted counts): symbols with a step kind; production first, support paths at most ``max_support``, all at most ``most`` per repository."""
     kind = S.workflow_step_kind(*[F.col(c) for c in ("kind", "name", "qualified_name", "container_id", "exported", "is_async", "decorators")])
     c = symbols.withColumn("step_kind", kind).filter("step_kind is not null").withColumn("support", S.is_support_path(F.col("path")))
-    c = c.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "support").orderBy("path", "line", "symbol_id")))
-    kept = c.filter((~F.col("support")) | (F.col("k") <= max_support)).drop("k")
+    c = c.withColumn("_nth", F.row_number().over(W.partitionBy(*KEYS, "support").orderBy("path", "line", "symbol_id")))
+    kept = c.filter((~F.col("support")) | (F.col("_nth") <= max_support)).drop("_nth")
     ranked = kept.withColumn("place", F.row_number().over(W.partitionBy(*KEYS).orderBy("support", "path", "line", "symbol_id")))
     counts = c.groupBy(*KEYS).agg(F.greatest(F.count_if("support") - max_support, F.lit(0)).alias("support_omitted"), F.greatest(F.count_if(~F.col("support")) + F.least(F.count_if("support"), F.lit(max_support)) - most, F.lit(0)).alias("entries_omitted"))
     return ranked.filter(F.col("place") <= most), counts

@@ -25,11 +25,11 @@ def resolve_trace_symbols(markers: DataFrame, symbols: DataFrame) -> DataFrame:
     hit = names.join(s, ["repo", "_path", "_last"]).filter((F.col("label") == F.col("symbol")) | F.col("label").endswith(F.concat(F.lit("."), F.col("symbol"))) | F.col("label").endswith(F.concat(F.lit("::"), F.col("symbol"))))
     hit = hit.filter("line is null or line between s_line and s_end")
     one = hit.groupBy("repo", "_path", "_last", "symbol", "line").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id")).filter("n = 1").drop("n")
-    on = [asked[c].eqNullSafe(one[c]) for c in ("repo", "_path", "_last", "symbol", "line")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return asked.join(one, cond, "left").select(*[asked[c] for c in markers.columns], one["symbol_id"])
+    one = one.select(*[F.col(c).alias(f"_1_{c}") for c in ("repo", "_path", "_last", "symbol", "line")], "symbol_id")
+    cond = F.lit(True)
+    for c in ("repo", "_path", "_last", "symbol", "line"):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_1_{c}"))
+    return asked.join(one, cond, "left").select(*markers.columns, "symbol_id")
 
 
 def reduce_stack(stack: list[tuple[str, int]], events: list[tuple[int, int, str, str | None, str | None]], begun: int | None, sequence: int, warned: int) -> tuple[list[dict], list[tuple[str, int]], int | None, int, int]:

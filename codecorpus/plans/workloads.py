@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as S
 from codecorpus.operators import behavior, delta, extract_text, filters, graph, parse, project, resolve, semantic, traces
+from codecorpus.operators.storage import stored
 
 KEYS = ["repo", "revision"]
 
@@ -21,19 +22,25 @@ def module_dependencies(files: DataFrame, most: int | None = 600) -> DataFrame:
 
 
 def architecture(files: DataFrame) -> dict[str, DataFrame]:
-    """Files to nodes, edges, symbols, calls and type relations: the tables of a reading, lazily."""
+    """Files to nodes, edges, symbols, calls and type relations: the tables of a reading.
+
+    What is parsed from texts (imports, symbols, call sites) is written once in the shared folder, as many joins read
+    it; the rest is lazy.
+    """
     src = filters.source_files(filters.eligible_text(files).filter("skip_reason is null"))
-    imports = resolve.resolve_imports(extract_text.extract_imports(src), src)
+    imports = stored(resolve.resolve_imports(extract_text.extract_imports(src), src.select(*KEYS, "path")), "imports")
     nodes, edges, unresolved = resolve.build_edges(imports, src)
-    symbols, diagnostics = resolve.unique_symbol_ids(parse.extract_symbols(src))
-    sites = parse.extract_call_sites(src)
+    parsed, diagnostics = resolve.unique_symbol_ids(stored(parse.extract_symbols(src), "symbols"))
+    symbols = stored(parsed, "unique-symbols")
+    sites = stored(parse.extract_call_sites(src), "sites")
     bound = resolve.bind_imports(parse.import_names(imports), symbols)
     types = resolve.type_relations(symbols)
     found = [resolve.resolve_calls(sites, symbols, bound, lang) for lang in ("python", "rust", "script")]
     found.append(resolve.inheritance_dispatch(sites, symbols, types))
-    calls = resolve.merge_calls(resolve.union_facts(*found))
+    candidates = stored(resolve.union_facts(*found), "call-candidates")
+    calls = resolve.merge_calls(candidates)
     relations = resolve.union_facts(types, resolve.override_relations(symbols, types))
-    return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "symbols": symbols, "sites": sites, "calls": calls, "call_candidates": resolve.union_facts(*found), "relations": relations, "diagnostics": diagnostics}
+    return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "symbols": symbols, "sites": sites, "calls": calls, "call_candidates": candidates, "relations": relations, "diagnostics": diagnostics}
 
 
 def resolved_sites(tables: dict[str, DataFrame]) -> DataFrame:
