@@ -7,6 +7,7 @@ from collections import Counter
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ TRAIN_ROWS = 20_000
 MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6, 7)
 #: A term stands in this many different contexts of toxic documents at least, and this many times likelier there.
-MIN_SUPPORT = 4
-MIN_RATIO = 12.0
+MIN_SUPPORT = 5
+MIN_RATIO = 20.0
 #: A phrase with a term is an exception if it stands in this many clean documents and in no toxic one.
 MIN_EXCEPTION = 3
 
@@ -55,10 +56,14 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in PREFIXES if len(word) >= k]] if len(word) >= 3 else []
 
 
+#: The link without anything learned: a constant, and nothing for hits.
+NO_LINK = (-4.0, 1.0, 0.0, 0.0, 0.0)
+
+
 class Lexicon:
     """Weights of terms and exception phrases in one Aho-Corasick automaton, and the link from hits to a probability."""
 
-    def __init__(self, weights: dict[str, float], exceptions: list[str], coef=(-4.0, 1.0, 0.0)):
+    def __init__(self, weights: dict[str, float], exceptions: list[str], coef=NO_LINK):
         self.weights, self.exceptions, self.coef = weights, exceptions, tuple(coef)
         self.automaton = ahocorasick.Automaton()
         for term, w in weights.items():
@@ -71,11 +76,15 @@ class Lexicon:
     def __reduce__(self):
         return Lexicon, (self.weights, self.exceptions, self.coef)
 
-    def measure(self, text: bytes | None) -> tuple[int, float, int]:
-        """(words, weight of the hits, hits): each word counts with its heaviest term, none inside an exception phrase."""
+    def measure(self, text: bytes | None) -> tuple[int, float, int, float]:
+        """(words, weight of the hits, different words hit, greatest weight of one).
+
+        A word counts with its heaviest term, and not inside an exception phrase. A word that repeats adds the
+        logarithm of its count, so that a repeated line is no pile of evidence.
+        """
         words = words_of(text)
         if not words or not len(self.automaton):
-            return len(words), 0.0, 0
+            return len(words), 0.0, 0, 0.0
         line = " " + " ".join(words) + " "
         best: dict[int, float] = {}
         barred: list[tuple[int, int]] = []
@@ -87,10 +96,16 @@ class Lexicon:
                 barred.append((end - size, end))
         if barred:
             best = {p: w for p, w in best.items() if not any(a <= p < b for a, b in barred)}
-        return len(words), sum(best.values()), len(best)
+        counts: Counter = Counter()
+        weight: dict[str, float] = {}
+        for p, w in best.items():
+            word = line[p : line.index(" ", p)]
+            counts[word] += 1
+            weight[word] = w
+        return len(words), sum(w * (1 + float(np.log(counts[k]))) for k, w in weight.items()), len(weight), max(weight.values(), default=0.0)
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        return self.link(np.array([self.measure(t) for t in texts], dtype=float).reshape(-1, 3))
+        return self.link(np.array([self.measure(t) for t in texts], dtype=float).reshape(-1, 4))
 
     def link(self, m: np.ndarray) -> np.ndarray:
         """Probability from hits and their weight per hundred words."""
@@ -99,43 +114,36 @@ class Lexicon:
 
 
 def _inputs(m: np.ndarray) -> np.ndarray:
-    n, weight, hits = m[:, 0], m[:, 1], m[:, 2]
-    return np.stack([np.ones(len(m)), np.log1p(weight), np.log1p(100 * weight / np.maximum(n, 1))], axis=1)
+    n, weight, hits, top = m[:, 0], m[:, 1], m[:, 2], m[:, 3]
+    return np.stack([np.ones(len(m)), np.log1p(weight), np.log1p(100 * weight / np.maximum(n, 1)), np.log1p(np.maximum(hits - 1, 0)), top / 4], axis=1)
 
 
-def _fit_link(m: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _fit_link(m: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton steps; the effect of hits is not negative."""
-    x, c = _inputs(m), np.array([-4.0, 1.0, 0.0])
-    for _ in range(50):
+    x, c = _inputs(m), np.array(NO_LINK)
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        g = x.T @ (p - y) + 0.05 * np.array([0, c[1], c[2]])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.05, 0.05])
+        g = x.T @ (p - y) + 0.05 * np.array([0, *c[1:]])
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, *[0.05] * (len(c) - 1)])
         c = c - 0.7 * np.linalg.solve(h, g)
         c[1:] = np.maximum(c[1:], 0)
     return tuple(float(v) for v in c)
 
 
-def _counts(label_of):
-    """Document counts of terms, summed within a batch: rows (term, label, n) on the first text."""
-
-    def fn(batches):
-        import pyarrow as pa
-
-        sums: Counter = Counter()
-        for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                seen = set(words_of(text))
-                for t in {t for w in seen for t in terms_of(w)}:
-                    sums[t, y] += 1
-            if len(sums) > 400_000:
-                yield _as_batch(pa, sums)
-                sums = Counter()
-        yield _as_batch(pa, sums)
-
-    return fn
+def _term_counts(batches):
+    """Document counts of terms, summed within a task: rows (term, y, n)."""
+    sums: Counter = Counter()
+    for b in batches:
+        for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+            for t in {t for w in set(words_of(text)) for t in terms_of(w)}:
+                sums[t, y] += 1
+        if len(sums) > 400_000:
+            yield _as_batch(sums)
+            sums = Counter()
+    yield _as_batch(sums)
 
 
-def _as_batch(pa, sums):
+def _as_batch(sums):
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["term", "y", "n"])
 
 
@@ -153,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
-        return Lexicon({}, [], (-4.0, 1.0, 0.0))
-    by_term = sample.mapInArrow(_counts(None), "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+        return Lexicon({}, [])
+    by_term = sample.mapInArrow(_term_counts, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     ratio = ((F.col("a") + 0.5) / (pos + 1)) / ((F.col("b") + 0.5) / (neg + 1))
     likely = by_term.filter((F.col("a") >= MIN_SUPPORT) & (ratio >= MIN_RATIO)).orderBy(F.desc("a"), "term").limit(20 * MAX_TERMS)
     chosen = spark.sparkContext.broadcast(frozenset(r.term for r in likely.select("term").collect()))
@@ -204,7 +212,7 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
 
     def fn(texts):
-        m = np.array([model.value.measure(t) for t in texts], dtype=float).reshape(-1, 3)
+        m = np.array([model.value.measure(t) for t in texts], dtype=float).reshape(-1, 4)
         return {"score": model.value.link(m).tolist(), "n_hits": m[:, 2].astype(int).tolist()}
 
     scored = apply_texts(docs, text_col, fn, "score double, n_hits long", [id_col])
