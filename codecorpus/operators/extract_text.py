@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codecorpus.functions import scalars as S
+from codecorpus.operators.storage import stored
 
 KEYS = ["repo", "revision"]
 
@@ -135,13 +136,15 @@ def framework_candidates(files: DataFrame, symbols: DataFrame) -> tuple[DataFram
     lines = numbered_lines(files.join(seen.select(*KEYS, "path").distinct(), [*KEYS, "path"], "left_semi")).join(seen, [*KEYS, "path"])
     made = F.coalesce(*[F.when((F.col("framework") == fw) & F.col("text").rlike(rx), F.regexp_extract("text", rx, 1)) for fw, rx in INSTANCES.items()])
     instances = lines.withColumn("instance", made).filter("instance is not null").select(*KEYS, "path", "framework", "instance").distinct()
-    hits = None
-    for fw, rule, rx, (i, v, p, h), how in FRAMEWORK_RULES:
-        part = lambda g: F.regexp_extract("text", rx, g) if g else F.lit("")  # noqa: E731, B023
-        one = lines.filter((F.col("framework") == fw) & F.col("text").rlike(rx)).select(
-            *KEYS, "path", "framework", "line", "text", F.lit(rule).alias("rule_id"), F.lit(how).alias("how"), part(i).alias("instance"), part(v).alias("kind"), part(p).alias("value_label"), part(h).alias("handler")
+    part = lambda rx, g: F.regexp_extract("text", rx, g) if g else F.lit("")
+    rules = [
+        F.when(
+            (F.col("framework") == fw) & F.col("text").rlike(rx),
+            F.struct(F.lit(rule).alias("rule_id"), F.lit(how).alias("how"), part(rx, i).alias("instance"), part(rx, v).alias("kind"), part(rx, p).alias("value_label"), part(rx, h).alias("handler")),
         )
-        hits = one if hits is None else hits.unionByName(one)
+        for fw, rule, rx, (i, v, p, h), how in FRAMEWORK_RULES
+    ]
+    hits = stored(lines.select(*KEYS, "path", "framework", "line", "text", F.explode(F.array_compact(F.array(*rules))).alias("h")).select(*KEYS, "path", "framework", "line", "text", "h.*"), "framework-hits")
     bound = hits.filter("instance = ''").unionByName(hits.filter("instance != ''").join(instances, [*KEYS, "path", "framework", "instance"], "left_semi").select(hits.columns))
     prefix = lines.filter(F.col("framework") == "nestjs").select(*KEYS, "path", F.regexp_extract("text", r"""^\s*@Controller\(\s*["']([^"']*)["']""", 1).alias("prefix")).filter("prefix != ''").groupBy(*KEYS, "path").agg(F.min("prefix").alias("prefix"))
     bound = bound.join(prefix, [*KEYS, "path"], "left").withColumn("value_label", F.when((F.col("framework") == "nestjs") & F.col("prefix").isNotNull(), F.concat("prefix", F.lit("/"), "value_label")).otherwise(F.col("value_label"))).drop("prefix")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codecorpus.functions import scalars as S
+from codecorpus.operators.storage import stored
 
 KEYS = ["repo", "revision"]
 TS_SUFFIXES = ["ts", "tsx", "js", "jsx", "json", "css", "vue", "svelte"]
@@ -288,7 +289,7 @@ def propagate_callables(invocations: DataFrame, parameters: DataFrame, calls_thr
     args = args.filter((F.col("name").isNotNull() & (F.col("name") == F.col("p_name"))) | (F.col("name").isNull() & (F.col("position") == F.col("p_pos"))))
     direct = args.filter("symbol_id is not null").select(*KEYS, F.col("callee_id").alias("owner_id"), F.col("p_name").alias("param"), "symbol_id").distinct()
     flows = args.filter("symbol_id is null and param_owner is not null").select(*KEYS, F.col("param_owner").alias("owner_id"), F.col("param_name").alias("param"), F.col("callee_id").alias("to_owner"), F.col("p_name").alias("to_param")).distinct()
-    store = store or (lambda df: df.checkpoint())
+    store = store or (lambda df: stored(df, "bindings"))
 
     def capped(df):
         w = W.partitionBy(*KEYS, "owner_id", "param").orderBy("symbol_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codecorpus import bindings as B
 from codecorpus.functions import scalars as S
-from codecorpus.operators import delta, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, traces, validate
+from codecorpus.operators import behavior, delta, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, storage, traces, validate
 from codecorpus.operators.storage import stored
 from codecorpus.plans import workloads
 from codecorpus.sources import corpus
@@ -752,6 +754,216 @@ def _(d):
     return d.table("part").select(F.col("p_partkey").alias("k"), parameters_of(sig, F.lit("python")).alias("params"))
 
 
+# ---- further layers --------------------------------------------------------------------------------------------------
+
+_RUST = "SELECT 'corpus' AS repo, 'r1' AS revision, k, concat('src/r', CAST(k AS STRING), '.rs') AS path, concat('pub struct W', CAST(k AS STRING), ';', chr(10), 'impl Runner for W', CAST(k AS STRING), ' (', chr(10), '    pub fn run(&self) (', chr(10), '    )', chr(10), ')', chr(10)) AS raw FROM (SELECT p_partkey AS k FROM {part})"
+_TS = "SELECT 'corpus' AS repo, 'r1' AS revision, k, concat('src/t', CAST(k AS STRING), '.ts') AS path, concat('function g', CAST(k AS STRING), '(x) (', chr(10), '  return x', chr(10), ')', chr(10), 'export function h', CAST(k AS STRING), '(y) (', chr(10), '  const z = g', CAST(k AS STRING), '[y]', chr(10), '  return z', chr(10), ')', chr(10)) AS raw FROM (SELECT p_partkey AS k FROM {part})"
+
+
+def _rust(d):
+    return d.sql(_RUST).withColumn("content", F.regexp_replace(F.regexp_replace("raw", r" \(\n", " {\n"), r"(?m)^( *)\)$", "$1}"))
+
+
+def _ts(d):
+    c = F.regexp_replace(F.regexp_replace("raw", r" \(\n", " {\n"), r"(?m)^( *)\)$", "$1}")
+    return d.sql(_TS).withColumn("content", F.translate(c, "[]", "()"))
+
+
+@query("ext2_rust_symbols", "SELECT 'src/r' || CAST(p_partkey AS VARCHAR) || '.rs' AS path, x.name AS name, x.kind AS kind, x.line AS line, x.last AS end_line FROM (SELECT p_partkey, unnest([{{'name': 'W' || CAST(p_partkey AS VARCHAR), 'kind': 'struct', 'line': 1, 'last': 1}}, {{'name': 'impl Runner for W' || CAST(p_partkey AS VARCHAR), 'kind': 'implementation', 'line': 2, 'last': 5}}, {{'name': 'run', 'kind': 'method', 'line': 3, 'last': 4}}]) AS x FROM {part})".replace("{{", "{").replace("}}", "}"))
+def _(d):
+    return parse.extract_symbols(_rust(d)).select("path", "name", "kind", "line", "end_line")
+
+
+@query("ext3_script_symbols", "SELECT 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts' AS path, x.name AS name, x.kind AS kind, x.line AS line, x.last AS end_line, x.exported AS exported FROM (SELECT p_partkey, unnest([{{'name': 'g' || CAST(p_partkey AS VARCHAR), 'kind': 'function', 'line': 1, 'last': 3, 'exported': false}}, {{'name': 'h' || CAST(p_partkey AS VARCHAR), 'kind': 'function', 'line': 4, 'last': 7, 'exported': true}}]) AS x FROM {part})".replace("{{", "{").replace("}}", "}"))
+def _(d):
+    return parse.extract_symbols(_ts(d)).select("path", "name", "kind", "line", "end_line", "exported")
+
+
+@query("ext6_bindings", "SELECT 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts' AS path, 7 - 1 AS line, 'return' AS binding, 'z' AS right_name FROM {part} UNION ALL SELECT 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts', 2, 'return', 'x' FROM {part}")
+def _(d):
+    return parse.extract_bindings(_ts(d)).select("path", "line", "binding", "right_name")
+
+
+@query("jn5_6_17_script_calls_and_returns", "SELECT 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts#g' || CAST(p_partkey AS VARCHAR) || ':1' AS from_id, 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts#h' || CAST(p_partkey AS VARCHAR) || ':4' AS to_id, 'z' AS label FROM {part}")
+def _(d):
+    files = _ts(d)
+    t = workloads.architecture(files)
+    return behavior.behavior_returns(workloads.resolved_sites(t), t["symbols"], files).select("from_id", "to_id", "label")
+
+
+@query("jn7_inheritance_dispatch", "SELECT 'm' || CAST(k AS VARCHAR) AS owner_id, 'm' || CAST(CAST(floor(k / 3.0) AS BIGINT) AS VARCHAR) AS to_id, 0.92::DOUBLE AS confidence FROM (SELECT p_partkey AS k FROM {part}) WHERE k > 0")
+def _(d):
+    c = d.sql(_CLASSES)
+    m = c.select(*KEYS, "path", F.lit("run").alias("name"), F.lit("method").alias("kind"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("symbol_id"), F.lit("def run(self):").alias("signature"), F.col("symbol_id").alias("container_id"), "k")
+    every = c.unionByName(m)
+    sites = m.select(*KEYS, "path", F.col("symbol_id").alias("owner_id"), F.lit("super().run").alias("callee_text"), F.lit(2).alias("line"), F.lit(20_000).cast("long").alias("ordinal"))
+    return resolve.inheritance_dispatch(sites, every, resolve.type_relations(every)).select("owner_id", "to_id", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("jn10_state_access", f"SELECT symbol_id AS from_id, 'v' || CAST(k AS VARCHAR) AS to_id, unnest(CASE k % 3 WHEN 0 THEN ['reads'] WHEN 1 THEN ['writes'] ELSE ['reads', 'writes'] END) AS kind FROM ({B.SYMBOLS})")
+def _(d):
+    s = d.sql(B.SYMBOLS)
+    tokens = s.select(*KEYS, "path", "line", F.lit("state").alias("name"), F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "=").otherwise("+=").alias("operator"))
+    variables = s.select(*KEYS, "path", F.lit("state").alias("name"), F.concat(F.lit("v"), F.col("k").cast("string")).alias("symbol_id"))
+    return resolve.state_access(tokens, variables, s).select("from_id", "to_id", "kind")
+
+
+@query("jn12_lift_relations", f"SELECT 'depends-on' AS kind, count(*) AS n FROM ({_EDGES}) UNION ALL SELECT 'calls', count(*) FROM ({B.FILES}) WHERE k > 0")
+def _(d):
+    t = workloads.architecture(d.sql(B.FILES))
+    return semantic.lift_relations(t["edges"], t["calls"], t["relations"], t["symbols"])[1].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("jn16_behavior_passes", f"SELECT a.id AS from_id, b.id AS to_id, 'order -> order' AS label FROM (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) a JOIN (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) b ON b.k = CAST(floor(a.k / 2.0) AS BIGINT) AND a.k > 0")
+def _(d):
+    t = workloads.architecture(d.sql(B.FILES))
+    return behavior.behavior_passes(workloads.resolved_sites(t), t["symbols"]).select("from_id", "to_id", "label")
+
+
+@query("jn18_state_and_framework", f"SELECT kind, count(*) AS n FROM (SELECT CASE kind WHEN 'A' THEN 'reads-state' ELSE 'writes-state' END AS kind FROM (SELECT DISTINCT from_id, to_id, kind FROM ({B.EDGES}) WHERE kind IN ('A', 'R'))) GROUP BY kind UNION ALL SELECT 'registers', count(*) FROM {{nation}}".replace("{{", "{").replace("}}", "}"))
+def _(d):
+    e = d.sql(B.EDGES).filter("kind in ('A', 'R')").withColumn("kind", F.when(F.col("kind") == "A", "reads").otherwise("writes"))
+    n = d.table("nation").select(F.lit("corpus").alias("repo"), F.lit("r1").alias("revision"), F.col("n_name").alias("path"), F.col("n_name").alias("to_id"), F.lit("fastapi").alias("framework"), F.lit("x").alias("rule_id"))
+    return behavior.behavior_state_and_framework(e, n).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("jn24_validate_behavior", "SELECT code, count(*) AS n FROM (SELECT CASE WHEN p_size % 3 = 0 THEN 'SESSION_MISSING' END AS code FROM {part} UNION ALL SELECT CASE WHEN p_size % 5 = 0 THEN 'PROVENANCE_INCOMPLETE' END FROM {part} UNION ALL SELECT CASE WHEN p_size % 7 = 0 THEN 'VALUE_MISSING' END FROM {part}) WHERE code IS NOT NULL GROUP BY code")
+def _(d):
+    n = d.sql(_SEM).select(*KEYS, "node_id", "p_size")
+    r = n.select(*KEYS, F.concat(F.lit("rel:"), "node_id").alias("rel_id"), F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id"), F.when(F.col("p_size") % 7 == 0, "gone").otherwise("v").alias("value_id"), F.when(F.col("p_size") % 5 == 0, "").otherwise("r").alias("resolver"), F.when(F.col("p_size") % 3 == 0, "observed").otherwise("inferred").alias("trust"), F.lit("provisional").alias("status"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("session_id"))
+    values = n.select(*KEYS).distinct().withColumn("value_id", F.lit("v"))
+    return validate.validate_behavior(values, r, n).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("jn24_validate_framework", "SELECT 'RELATION_MISSING' AS code, count(*) AS n FROM {nation} WHERE n_nationkey % 4 = 0")
+def _(d):
+    c = d.table("nation").select(F.lit("corpus").alias("repo"), F.lit("r1").alias("revision"), F.col("n_name").alias("candidate_id"), F.lit("celery").alias("framework"), F.col("n_name").alias("to_id"), "n_nationkey")
+    return validate.validate_framework(c, c.filter("n_nationkey % 4 != 0")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("agg7_receipts", "SELECT 'corpus' AS repo, count(*) AS n, count(*) FILTER (p_size % 2 = 0) AS verified, count(*) FILTER (p_size % 3 <> 0) AS provisional, count(*) FILTER (p_size > 40) = 0 AS valid FROM {part}")
+def _(d):
+    n = d.sql(_SEM).withColumn("confidence", F.col("confidence").cast("double"))
+    diag = validate.validate_semantic(n, n.limit(0).select(*KEYS, F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id"), F.lit("calls").alias("kind"), "trust", "status", "confidence")).filter("code = 'CONFIDENCE_RANGE'")
+    return metrics.receipts("semantic", n, diag).select("repo", "n", "verified", "provisional", "valid")
+
+
+@query("agg15_behavior_workflows", f"WITH s AS (SELECT DISTINCT workflow_id, to_id FROM ({_SITES})), r AS (SELECT DISTINCT from_id, to_id, kind FROM ({B.EDGES}) WHERE l_quantity > 40), p AS (SELECT workflow_id, workflow_id AS node FROM s UNION SELECT workflow_id, to_id FROM s) SELECT workflow_id, count(DISTINCT rel) AS n FROM (SELECT workflow_id, r.from_id || r.to_id || r.kind AS rel FROM p JOIN r ON r.from_id = node UNION ALL SELECT workflow_id, r.from_id || r.to_id || r.kind FROM p JOIN r ON r.to_id = node) GROUP BY workflow_id")
+def _(d):
+    s = d.sql(_SITES)
+    r = d.sql(B.EDGES).filter("l_quantity > 40").select(*KEYS, "from_id", "to_id", "kind").distinct().withColumn("rel_id", F.concat("from_id", "to_id", "kind"))
+    return behavior.behavior_workflows(s, r).select("workflow_id", F.size("relation_ids").cast("long").alias("n"))
+
+
+@query("agg16_workflow_summaries", f"SELECT workflow_id, count(*) AS steps, count(DISTINCT branch_id) AS branches, count(DISTINCT retry_id) AS retries FROM ({_SITES1}) GROUP BY workflow_id")
+def _(d):
+    s = d.sql(_SITES1)
+    entries = s.select(*KEYS, F.col("workflow_id").alias("symbol_id")).distinct().withColumns({"step_kind": F.lit("trigger"), "support": F.lit(False)})
+    modules = s.select(*KEYS, "path").distinct().withColumn("module", F.lit("m"))
+    return semantic.workflow_summaries(s, entries, modules).select("workflow_id", "steps", "branches", "retries")
+
+
+@query("agg17_framework_coverage", "SELECT 'BUILDING' AS framework, count(*) FILTER (c_mktsegment = 'BUILDING') AS detected_files, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0) AS candidates FROM {customer} UNION ALL SELECT 'none', 0, 0")
+def _(d):
+    c = d.table("customer").withColumnRenamed("c_mktsegment", "framework")
+    return behavior.framework_coverage(c, c.filter("c_custkey % 2 = 0"), c.limit(0), ["BUILDING", "none"]).select("framework", "detected_files", "candidates")
+
+
+@query("agg20_layer_revision", f"SELECT 'corpus' AS repo, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint, count(*) AS n FROM (SELECT sha256('{{\"from_id\":\"' || from_id || '\",\"to_id\":\"' || to_id || '\"}}') AS h FROM (SELECT DISTINCT from_id, to_id FROM ({B.EDGES})))".replace("{{", "{").replace("}}", "}"))
+def _(d):
+    return metrics.layer_revision({"calls": d.sql(B.EDGES).select(*KEYS, "from_id", "to_id").distinct()}).select("repo", "fingerprint", "n")
+
+
+@query("fn12_ratio_f1", "SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE 3 / (p_size % 5)::DOUBLE END AS ratio, CASE WHEN p_size % 4 = 0 THEN 0.0 ELSE 2.0 * (p_size % 4) * (p_size % 4) / (2 * (p_size % 4)) END AS f1 FROM {part}")
+def _(d):
+    p = F.col("p_size")
+    return d.table("part").select(F.col("p_partkey").alias("k"), S.ratio(F.lit(3), p % 5).alias("ratio"), S.f1(p % 4, p % 4).cast("double").alias("f1"))
+
+
+@query("gr4_context_paths", f"SELECT DISTINCT 'component:' || {_PART('path')} AS seed, path FROM ({B.FILES}) WHERE k % 20 < 5")
+def _(d):
+    files = d.sql(B.FILES).select(*KEYS, "path", S.module_of(F.col("path")).alias("module"))
+    comp = files.select(*KEYS, "module").distinct().select(*KEYS, F.concat(F.lit("component:"), "module").alias("node_id"), F.lit("component").alias("kind"), F.col("module").alias("label"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("module"))
+    nodes = files.select(*KEYS, F.col("path").alias("node_id"), F.lit("file").alias("kind"), F.col("path").alias("label"), "path", "module").unionByName(comp)
+    seeds = comp.filter("label in ('src/m0', 'src/m1', 'src/m2', 'src/m3', 'src/m4')").select(*KEYS, F.col("node_id").alias("seed"))
+    rels = nodes.limit(0).select(*KEYS, F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id"), "kind")
+    return graph.context_paths(nodes, rels, seeds).select("seed", "path")
+
+
+@query("gr5_propagate_callables", f"WITH RECURSIVE e AS (SELECT a, b FROM ({B.CHAIN})), r(k) AS (SELECT a FROM e WHERE a % 100 = 7 UNION SELECT e.b FROM r JOIN e ON e.a = r.k) SELECT 'f' || CAST(k AS VARCHAR) AS from_id, 'cb' AS to_id FROM r")
+def _(d):
+    e = d.sql(B.CHAIN)
+    none = F.lit(None).cast("string")
+    direct = e.filter("a % 100 = 7").select(*KEYS, F.col("from_id").alias("callee_id"), F.lit(0).alias("position"), none.alias("name"), F.lit("cb").alias("symbol_id"), none.alias("param_owner"), none.alias("param_name"))
+    passed = e.filter("a != b").select(*KEYS, F.col("to_id").alias("callee_id"), F.lit(0).alias("position"), none.alias("name"), none.alias("symbol_id"), F.col("from_id").alias("param_owner"), F.lit("fn").alias("param_name"))
+    params = e.select(*KEYS, F.explode(F.array("from_id", "to_id")).alias("owner_id")).distinct().select(*KEYS, "owner_id", F.lit(0).alias("position"), F.lit("fn").alias("name"))
+    through = params.select(*KEYS, "owner_id", F.lit("fn").alias("param_name"))
+    return resolve.propagate_callables(direct.unionByName(passed), params, through)[1].select("from_id", "to_id")
+
+
+@query("gr6_collapse_branches", "SELECT 'g' || CAST(n_nationkey AS VARCHAR) AS from_id, 'j' || CAST(n_nationkey AS VARCHAR) AS to_id FROM {nation}")
+def _(d):
+    n = d.table("nation").withColumns({"repo": F.lit("corpus"), "revision": F.lit("r1"), "k": F.col("n_nationkey").cast("string")})
+    name = lambda p: F.concat(F.lit(p), "k")
+    edge = lambda a, b: n.select(*KEYS, name(a).alias("from_id"), name(b).alias("to_id"))
+    edges = edge("a", "x").unionByName(edge("x", "j")).unionByName(edge("b", "j")).unionByName(edge("j", "z"))
+    arms = n.select(*KEYS, name("g").alias("guard_id"), F.explode(F.array(F.struct(name("a").alias("arm_start"), F.lit("if").alias("arm")), F.struct(name("b").alias("arm_start"), F.lit("else").alias("arm")))).alias("s")).select(*KEYS, "guard_id", "s.*")
+    return graph.collapse_branches(arms, edges)[1].select("from_id", "to_id")
+
+
+@query("cmp1_compose_rules", f"WITH c AS (SELECT {_PART('path')} AS module, count(*) AS n FROM ({B.FILES}) GROUP BY 1) SELECT module, place FROM (SELECT module, row_number() OVER (ORDER BY round(10 * log2(n + 1) + least(n, 30), 9) DESC, module) AS place FROM c) WHERE place <= 8")
+def _(d):
+    files = d.sql(B.FILES)
+    nodes = files.select(*KEYS, F.col("path").alias("node_id"), F.lit("file").alias("kind"), "path", S.module_of(F.col("path")).alias("module"))
+    symbols = stored(parse.extract_symbols(files), "symbols")
+    cands = project.module_candidates(nodes, symbols).withColumn("score", F.round("score", 9))
+    comps, _, _ = project.compose_rules(cands, workloads.module_dependencies(files))
+    return comps.select("module", F.col("place").cast("long").alias("place"))
+
+
+@query("cmp2_ground_composition", "SELECT 'COMPONENT_WITHOUT_SOURCE' AS code, count(*) AS n FROM {nation} WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'RELATION_NOT_CITED', count(*) FROM {nation} WHERE n_nationkey % 5 = 0 OR n_nationkey % 3 = 0")
+def _(d):
+    n = d.table("nation").withColumns({"repo": F.lit("corpus"), "revision": F.lit("r1"), "k": F.col("n_nationkey").cast("string")})
+    cands = n.select(*KEYS, F.concat(F.lit("m"), "k").alias("candidate_id"))
+    comps = n.select(*KEYS, F.concat(F.lit("c"), "k").alias("component_id"), F.array(F.when(F.col("n_nationkey") % 5 == 0, "gone").otherwise(F.concat(F.lit("m"), "k"))).alias("candidate_ids"))
+    drafts = n.select(*KEYS, F.concat(F.lit("r"), "k").alias("relation_id"), F.concat(F.lit("c"), "k").alias("from_id"), F.concat(F.lit("c"), "k").alias("to_id"), F.array(F.when(F.col("n_nationkey") % 3 == 0, "gone").otherwise(F.concat(F.lit("x"), "k"))).alias("cited"))
+    real = n.select(*KEYS, F.concat(F.lit("x"), "k").alias("relation_id"), F.concat(F.lit("m"), "k").alias("from_candidate"), F.concat(F.lit("m"), "k").alias("to_candidate"))
+    return project.ground_composition(comps, drafts, cands, real)[2].groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("cmp4_composition_packet", f"SELECT from_candidate, to_candidate, weight FROM (SELECT 'candidate:module:' || from_module AS from_candidate, 'candidate:module:' || to_module AS to_candidate, count AS weight, row_number() OVER (ORDER BY count DESC, from_module, to_module) AS r FROM (SELECT {_PART('from_id')} AS from_module, {_PART('to_id')} AS to_module, CAST(sum(n) AS BIGINT) AS count FROM ({_EDGES}) WHERE NOT starts_with(to_id, 'external:') GROUP BY ALL) WHERE from_module <> to_module) WHERE r <= 20")
+def _(d):
+    files = d.sql(B.FILES)
+    nodes = files.select(*KEYS, F.col("path").alias("node_id"), F.lit("file").alias("kind"), "path", S.module_of(F.col("path")).alias("module"))
+    cands = project.module_candidates(nodes, stored(parse.extract_symbols(files), "symbols"))
+    none = nodes.limit(0).select(*KEYS, "node_id", F.lit(0.0).alias("score"))
+    rels = nodes.limit(0).select(*KEYS, F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id"), "kind")
+    return project.composition_packet(cands, none, workloads.module_dependencies(files, None), rels, 140, 20)[1].select("from_candidate", "to_candidate", "weight")
+
+
+@query("src5_snapshot", f"SELECT from_id, to_id, kind, count(*) AS n FROM ({B.EDGES}) GROUP BY ALL")
+def _(d):
+    path = f"{storage.shared_folder(d.spark)}/snapshot-{uuid.uuid4().hex}"
+    corpus.write_snapshot({"edges": d.sql(B.EDGES).groupBy(*KEYS, "from_id", "to_id", "kind").agg(F.count("*").alias("n"))}, path)
+    return corpus.read_snapshot(d.spark, path, "edges").select("from_id", "to_id", "kind", "n")
+
+
+@query("src7_index", "SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, n_chars AS size FROM {documents} WHERE doc_id % 3 <> 0")
+def _(d):
+    path = f"{storage.shared_folder(d.spark)}/index-{uuid.uuid4().hex}"
+    doc = d.table("documents").filter("doc_id % 3 != 0").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"))
+    corpus.write_index(doc, path, "v1")
+    return corpus.read_index(d.spark, path, "v1").select("repo", "path", "size")
+
+
+@query("st2_trace_sessions", "SELECT CAST(user_id AS VARCHAR) AS session_id, CASE arg_max(event_type, (ts, CASE event_type WHEN 'purchase' THEN 'end' WHEN 'error' THEN 'fail' ELSE 'interrupt' END)) FILTER (event_type <> 'view') WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'interrupted' END AS status FROM {events} GROUP BY user_id")
+def _(d):
+    from codecorpus.streaming import flows
+
+    e = d.table("events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("event_time"), F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "end").when(F.col("event_type") == "error", "fail").otherwise("interrupt").alias("mark"))
+    return flows.trace_sessions(e).select("session_id", "status")
+
+
 def queries():
     return dict(QUERIES)
 
