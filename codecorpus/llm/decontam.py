@@ -139,15 +139,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: s
         else:  # the next block reads the same rows and joins its ranges to theirs
             src = out.select("row", F.col("out").alias("done"), F.col(f"row.`{text_col}`").alias("text"))
             both = apply_texts(src, "text", _scan(tests), fields, ["row", "done"])
-            ranges = F.array_sort(F.concat(F.arrays_zip("row.done.first", "row.done.last"), F.arrays_zip("out.first", "out.last")))
+            pair = lambda at: F.zip_with(f"{at}.first", f"{at}.last", lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+            ranges = F.array_sort(F.concat(pair("row.done"), pair("out")))
             zero = F.array().cast("array<struct<first:int,last:int>>")
             joined = F.aggregate(
                 ranges,
                 zero,
                 lambda acc, r: F.when(
-                    (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= r[0]),
-                    F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], r[1]).alias("last")))),
-                ).otherwise(F.concat(acc, F.array(F.struct(r[0].alias("first"), r[1].alias("last"))))),
+                    (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= r["first"]),
+                    F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], r["last"]).alias("last")))),
+                ).otherwise(F.concat(acc, F.array(r))),
             )
             out = both.select(
                 F.col("row.row").alias("row"),

@@ -214,7 +214,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
                     part = b.take(pa.array(rows[k : k + 256]))
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shingle_sets(part.column("text").to_pylist()), pa.list_(pa.int64()))], names=["id", "tokens"])
 
-    sets = docs.select("id", "text").mapInArrow(fn, "id long, tokens array<long>")
+    sets = docs.filter("id is not null").select("id", "text").mapInArrow(fn, "id long, tokens array<long>")
     half = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = half.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     made = both.select("a", "b", "star", F.size(F.array_intersect("ta", "tb")).alias("i"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"), "ta", "tb")
