@@ -202,15 +202,16 @@ def test_streams_agree_with_batch(spark, tmp_path):
     whole = frame(spark, events)
     stream = flows.run_stream(spark.readStream.schema(EVENT_DDL).json(str(tmp_path / "runs")))
     q = stream.writeStream.outputMode("update").format("memory").queryName("run_rows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.awaitTermination()
+    assert q.awaitTermination(60)
     cols = ["run_id", "state", "event_count", "event_digest"]
     assert sorted(map(tuple, spark.table("run_rows").select(*cols).collect())) == sorted(map(tuple, runs.run_states(whole).select(*cols).collect()))
     rows = [("s", i, i * 5, p, s, None) for i, (p, s) in enumerate([("enter", "a"), ("enter", "b"), ("exit", "b"), ("error", "a")])]
     ddl = "session_id string, ordinal long, ms long, phase string, symbol_id string, outcome string"
     calls = spark.createDataFrame(rows, ddl)
     calls.coalesce(1).write.json(str(tmp_path / "calls"))
-    q = flows.trace_stream(spark.readStream.schema(ddl).json(str(tmp_path / "calls"))).writeStream.outputMode("append").format("memory").queryName("trace_rows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.awaitTermination()
+    writer = flows.trace_stream(spark.readStream.schema(ddl).json(str(tmp_path / "calls"))).writeStream.outputMode("append").format("memory").queryName("trace_rows")
+    q = writer.trigger(once=True).option("checkpointLocation", str(tmp_path / "c2")).start()  # its timeout would keep availableNow going
+    assert q.awaitTermination(60)
     key = lambda r: (r.sequence or 0, r.phase or "")
     assert sorted(map(tuple, sorted(spark.table("trace_rows").collect(), key=key)), key=str) == sorted(map(tuple, traces.trace_stacks(calls).collect()), key=str)
 
@@ -226,7 +227,7 @@ def test_file_changes_stream(spark, tmp_path):
         if number:
             spark.createDataFrame([("r", "a", 3, 3, "xyz", 3), ("r", "b", None, None, None, 3)], ddl).coalesce(1).write.mode("append").json(source)
         q = flows.apply_file_changes(spark.readStream.schema(ddl).json(source), str(tmp_path / "index"), parse_, str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination()
+        assert q.awaitTermination(60)
         got = {(r.path, r.size) for r in spark.read.parquet(str(tmp_path / "index") + f"/batch={number}").collect()}
         assert got == ({("a", 2), ("b", 1)}, {("a", 3)})[number]
 
