@@ -34,12 +34,12 @@ def architecture(files: DataFrame) -> dict[str, DataFrame]:
     symbols = stored(parsed, "unique-symbols")
     sites = stored(parse.extract_call_sites(src), "sites")
     bound = resolve.bind_imports(parse.import_names(imports), symbols)
-    types = resolve.type_relations(symbols)
+    types = stored(resolve.type_relations(symbols), "types")
     found = [resolve.resolve_calls(sites, symbols, bound, lang) for lang in ("python", "rust", "script")]
     found.append(resolve.inheritance_dispatch(sites, symbols, types))
     candidates = stored(resolve.union_facts(*found), "call-candidates")
-    calls = resolve.merge_calls(candidates)
-    relations = resolve.union_facts(types, resolve.override_relations(symbols, types))
+    calls = stored(resolve.merge_calls(candidates), "calls")
+    relations = stored(resolve.union_facts(types, resolve.override_relations(symbols, types)), "relations")
     return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "symbols": symbols, "sites": sites, "calls": calls, "call_candidates": candidates, "relations": relations, "diagnostics": diagnostics}
 
 
@@ -55,7 +55,8 @@ def semantic_layer(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     nodes, rels = semantic.contains_defines(tables["nodes"], tables["symbols"])
     outer, lifted = semantic.lift_relations(tables["edges"], tables["calls"], tables["relations"], tables["symbols"])
     entries, omitted = semantic.workflow_entries(tables["symbols"])
-    people = semantic.workflow_participants(entries, resolved_sites(tables))
+    entries = stored(entries, "entries")
+    people = stored(semantic.workflow_participants(entries, resolved_sites(tables)), "participants")
     guards, control = semantic.flow_controls(people)
     return {"nodes": nodes.unionByName(outer), "relations": rels.unionByName(lifted), "entries": entries, "omitted": omitted, "participants": people, "flow": semantic.flow_precedes(people), "guards": guards, "control": control}
 
