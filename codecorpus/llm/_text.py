@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text handed to a function at once; a longer text comes alone.
 CHUNK_BYTES = 4 << 20
+#: Rows of an Arrow batch: with texts of some kilobytes, a task's Python worker then holds a few megabytes at a time.
+BATCH_ROWS = 1_000
 
 #: Byte tables for bytes.translate: words between white space, and words of letters, digits and non-ASCII.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -50,6 +52,9 @@ def apply_texts(df: DataFrame, text: str, fn: Callable[[list[bytes | None]], dic
     ``fn`` takes a list of UTF-8 texts (None for null) and returns one list for each field of the DDL ``fields``.
     Columns travel inside a struct, so no extra column can clash with a result.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     src = df.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).cast("binary").alias("text"))
     out_type = T.StructType.fromDDL(fields)
     schema = T.StructType([src.schema["row"], T.StructField("out", out_type)])
