@@ -19,8 +19,8 @@ TRAIN_ROWS = 20_000
 MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6, 7)
 #: A term stands in this many different contexts of toxic documents at least, and this many times likelier there.
-MIN_SUPPORT = 5
-MIN_RATIO = 20.0
+MIN_SUPPORT = 4
+MIN_RATIO = 12.0
 #: A phrase with a term is an exception if it stands in this many clean documents and in no toxic one.
 MIN_EXCEPTION = 3
 
