@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codecorpus.llm import decontam, html_extract, langid, licenses, mix, ngram_join, quality, secrets, toxicity
+from codecorpus.llm import decontam, html_extract, langid, licenses, mix, ngram_join, quality, secrets, substrings, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -12,6 +12,7 @@ def _table(spark, sf_dir, name):
 def queries():
     return {
         "op1_mix_sources": lambda s, d: mix.mix(_table(s, d, "documents")).report(),
+        "op2_substring_dedup": lambda s, d: substrings.report(_table(s, d, "documents")),
         "op3_ngram_jaccard_join": lambda s, d: ngram_join.components(_table(s, d, "documents")),
         "op4_secret_scan": lambda s, d: secrets.report(_table(s, d, "documents")),
         "op5_toxicity": lambda s, d: toxicity.report(_table(s, d, "documents"), _table(s, d, "labels")),
