@@ -133,9 +133,16 @@ class Mix:
         return rows.withColumn("copies", F.col("base") + F.col("full") + F.col("ck").isNotNull().cast("int")).drop("ck", "cb", "ci", "cs")
 
     def report(self) -> DataFrame:
-        """Per document: size, source_size, target, taken, and copies."""
-        got = self._extra(self.sized).join(self.targets.select("key", "source_size", "target"), "key")
-        return got.select(F.col("id").alias(self.id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
+        """Per document: size, source_size, target, taken, copies, and shards, those of its copies in order: of what the tree has dealt."""
+        got = self._extra(self.sized).join(self.targets.select("key", "source_size", "target"), "key").join(self._dealt(), ["key", "block"], "left")
+        dealt = F.coalesce(F.slice("units", 1, F.col("copies")), F.array().cast("array<struct<copy:int,shard:int>>"))
+        shards = F.array_join(F.transform(dealt, lambda u: u["shard"].cast("string")), ",")
+        copies = F.size(dealt)
+        return got.select(F.col("id").alias(self.id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), shards.alias("shards"))
+
+    def _dealt(self) -> DataFrame:
+        """The units (copy, shard) of each block, in order. Copies 0.. base-1 take whole blocks; the last only the documents that are in it."""
+        return self.units.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("units"))
 
     def rows(self) -> DataFrame:
         """The mix: each taken document once for each copy, its columns as they were, with copy, shard and order_key.
@@ -146,9 +153,7 @@ class Mix:
         field = lambda c: F.col(f"row.`{c}`")
         rows = d.select("row", field(self.id_col).alias("id"), _source_key(field(self.source_col)).alias("key"), size_of(field(self.text_col)).alias("size"))
         rows = self._extra(rows.withColumn("block", _block("id", F.col("size"), self.seed)))
-        # copy 0.. base-1 take whole blocks; the last copy only the documents that are in it
-        units = self.units.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("units"))
-        taken = rows.filter("copies > 0").join(units, ["key", "block"])
+        taken = rows.filter("copies > 0").join(self._dealt(), ["key", "block"])
         out = taken.select("row", "id", F.explode(F.slice("units", 1, F.col("copies"))).alias("unit"))
         return out.select("row.*", F.col("unit.copy").alias("copy"), F.col("unit.shard").alias("shard"), F.xxhash64("id", "unit.copy", F.lit(self.seed + 3)).alias("order_key"))
 
