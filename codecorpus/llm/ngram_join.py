@@ -1,10 +1,10 @@
 """N-gram Jaccard join: exact set similarity by prefix lists, with set relations to skip work.
 
 Documents with one and the same shingle set are one set. Sets meet in the lists of their prefix shingles. A list is
-ordered by set size and read in blocks: sizes that can't reach the similarity are skipped, and so are places in the
-two sets that can't. In a long list, a set is first compared with one set of its block only; after those answers are
-joined to components, a list is read again only for sets of different components, so the members of a group of near
-copies take their answer from the set that they are like, and never meet in pairs.
+kept by blocks of set size: blocks that can't reach the similarity are never read together, and places in the two sets
+that can't are skipped. In a long list, a set is first compared with one set of its block only, its hub; after those
+answers are joined to components, a list is read again only for sets of different components and hubs. The answers of
+sets of one hub are derived from what each differs in from it, so a group of near copies never meets in pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from codecorpus.llm._text import LOWER_TABLE, apply_texts, connected_components, stored
 
@@ -21,7 +22,8 @@ SHINGLE = 5
 SIMILAR = 80
 #: Lists up to this length are compared in full at once.
 SHORT = 8
-#: Meetings in long lists that make a pair worth a first try; the others come in the second round.
+#: Meetings with a hub in long lists that make it worth a first try, besides the hub that a set meets most and the most
+#: central one that it meets; other pairs come in the second round.
 STAR = 3
 #: One document in so many shows which shingles are frequent; they go last in every set's order. This steers only how
 #: long the lists get: any order gives the same links. FREQUENT bounds how many shingles are sent to the tasks.
@@ -198,7 +200,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 def _compared(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     """``pairs`` (a, b, star) with similar, n_a, n_b, i (intersection); sets are made anew from the texts of the documents in pairs only.
 
-    Where b stands for a (star) and they share half of their union, ``rest`` has the shingles that only a has.
+    Where b stands for a (star) and they share a quarter of their union, ``more`` has the shingles that only a has, ``less`` those that only b has.
     """
     pairs = stored(pairs, "tries")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
@@ -219,8 +221,9 @@ def _compared(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     both = half.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     made = both.select("a", "b", "star", F.size(F.array_intersect("ta", "tb")).alias("i"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"), "ta", "tb")
     union = F.col("n_a") + F.col("n_b") - F.col("i")
-    rest = F.when(F.col("star") & (2 * F.col("i") >= union), F.array_except("ta", "tb"))
-    return stored(made.select("a", "b", "star", "i", "n_a", "n_b", (100 * F.col("i") >= similar * union).alias("similar"), rest.alias("rest")), "compared")
+    like = F.col("star") & (4 * F.col("i") >= union)
+    more, less = F.when(like, F.array_except("ta", "tb")), F.when(like, F.array_except("tb", "ta"))
+    return stored(made.select("a", "b", "star", "i", "n_a", "n_b", (100 * F.col("i") >= similar * union).alias("similar"), more.alias("more"), less.alias("less")), "compared")
 
 
 def _fit(n, m, e, f, similar: int):
@@ -235,63 +238,79 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _starred(lists: DataFrame, similar: int) -> DataFrame:
-    """Meetings (a, b, n) of each set of a long list with one set of about its size: the most central one.
+    """Meetings (a, b, n, fit, central) of each set of a long list with one set of about its size, the most central one, and whether they may be similar.
 
     Central is a set that meets most others, summed over its lists: the original of near copies, or the least
     changed. It stands for its like: what it is similar to is answered by it and needn't meet the rest.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similar)))
-    rows = lists.withColumn("band", band)
+    rows = lists.withColumn("band", _band("n", similar))
     lengths = rows.groupBy("token", "band").agg(F.count("*").alias("length"))
     central = rows.select("token", "band", "rep").join(lengths, ["token", "band"]).groupBy("rep").agg(F.sum("length").alias("met"))
     rows = stored(rows.join(central, "rep"), "central")
     best = rows.groupBy("token", "band").agg(F.max(F.struct("met", F.xxhash64("rep").alias("h"), "rep", "n", "e")).alias("p"))
-    met = rows.join(best, ["token", "band"]).filter((F.col("rep") != F.col("p.rep")) & _fit(F.col("n"), F.col("p.n"), F.col("e"), F.col("p.e"), similar))
-    return met.select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), F.least("n", "p.n").alias("n"))
+    met = rows.join(best, ["token", "band"]).filter(F.col("rep") != F.col("p.rep"))
+    return met.select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), F.least("n", "p.n").alias("n"), _fit(F.col("n"), F.col("p.n"), F.col("e"), F.col("p.e"), similar).alias("fit"), F.col("p.met").alias("central"))
 
 
-def _met_across(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs (columns x_.., y_..) of rows that agree ``by`` and are in different components (column comp).
-
-    A list whose sets are all in one component is skipped. Else each set outside the list's largest component meets
-    the others; the largest one's own sets never meet.
-    """
-    sizes = rows.groupBy(*by, "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy(*by).agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1").select(*by, "largest")
-    rows = rows.join(mixed, by)
-    own = [c for c in rows.columns if c not in (*by, "largest")]
-    x = rows.filter("comp != largest").select(*by, *[F.col(c).alias(f"x_{c}") for c in own])
-    y = rows.select(*by, "largest", *[F.col(c).alias(f"y_{c}") for c in own])
-    return x.join(y, by).filter((F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("largest")) | (F.col("x_rep") < F.col("y_rep"))))
+def _band(n, similar: int):
+    """Block of a size: similar sets are in the same block or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / similar))).cast("int")
 
 
 def _across(lists: DataFrame, comp: DataFrame, stars: DataFrame, similar: int) -> DataFrame:
-    """Meetings (a, b, n) in long lists of sets of different components; sizes and places that can't reach the similarity are skipped.
+    """Meetings (a, b, n) in long lists of sets of different components and hubs.
 
-    So are sets that one set stands for (``stars``: rep, hub, i): what they share of the hub is at most the smaller i.
-    If that doesn't do, they must share some of their rest, and _through_rests finds them.
+    A list is read by blocks of size: a row stands in its own block and in the next one, so rows of other sizes never
+    meet. A block whose sets all have one component, or one hub, is left out: _derived has all pairs of a hub. In the
+    others each set outside the block's largest such group meets the rest, where sizes and places let two be similar.
     """
     rows = lists.join(comp, lists["rep"] == comp["node"], "left").select("token", "n", "pos", "e", "rep", F.coalesce("component", "rep").alias("comp"))
-    rows = stored(rows.join(stars.select("rep", "hub", "i"), "rep", "left"), "lists")
-    c = F.col
-    need = (100 + similar) * F.least("x_i", "y_i").cast("long") >= similar * (c("x_n") + c("y_n")).cast("long")
+    rows = rows.join(stars.select("rep", "hub"), "rep", "left").withColumns({"band": _band("n", similar), "hub": F.coalesce("hub", "rep")})
+    rows = stored(rows.withColumn("block", F.explode(F.array(F.col("band"), F.col("band") + 1))), "lists")
+    by, c = ["token", "block"], F.col
+    groups = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c(k).alias("label")) for k in ("comp", "hub")])).alias("g"))
+    groups = groups.groupBy(*by, "g").agg(F.count("*").alias("k"))
+    mixed = groups.groupBy(*by).agg(F.max(F.struct("k", "g"))["g"].alias("top"), F.count_if(c("g.kind") == "comp").alias("comps"), F.count_if(c("g.kind") == "hub").alias("hubs")).filter("comps > 1 and hubs > 1")
+    rows = rows.join(mixed.select(*by, "top"), by).withColumn("in_top", F.when(c("top.kind") == "comp", c("comp")).otherwise(c("hub")) == c("top.label"))
+    own = ["n", "pos", "e", "rep", "comp", "hub", "band"]
+    x = rows.filter("not in_top").select(*by, *[c(k).alias(f"x_{k}") for k in own])
+    y = rows.select(*by, "in_top", *[c(k).alias(f"y_{k}") for k in own])
+    once = (c("x_comp") != c("y_comp")) & (c("x_hub") != c("y_hub")) & (c("in_top") | (c("x_rep") < c("y_rep"))) & (c("block") == F.greatest("x_band", "y_band"))
     most = F.least("x_pos", "y_pos") + 1 + F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos")) - 1
-    derived = F.coalesce((c("x_hub") == c("y_hub")) & ~need, F.lit(False))
-    met = _met_across(rows, ["token"]).filter(_fit(c("x_n"), c("y_n"), F.least("x_e", most), F.least("y_e", most), similar) & ~derived)
+    met = x.join(y, by).filter(once & _fit(c("x_n"), c("y_n"), F.least("x_e", most), F.least("y_e", most), similar))
     return met.select(c("x_rep").alias("a"), c("y_rep").alias("b"), F.least("x_n", "y_n").alias("n"))
 
 
-def _through_rests(stars: DataFrame, comp: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) that one set stands for, of different components, which may be similar by what they share of it and of their rests.
+def _derived(stars: DataFrame, comp: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) of sets of different components that one set, their hub, stands for, from their answers with it alone.
 
-    This derives a set's answers from those of the set that it is like: only the few shingles in which they differ are looked up.
+    With hub size h, a = hub - less + more, w = 100 |less| + similar |more|, and k shared differences (both lack it, or
+    both have it beside the hub), a and b are similar exactly where (100 + similar) k >= w_a + w_b - (100 - similar) h;
+    a is similar to the hub exactly where w_a <= (100 - similar) h. So a pair of different components has a set that
+    isn't, and must share differences: lists of these, rarest first, are read only as far as the rest of a set's own
+    could still do. What a whole group differs in from its hub comes last and is hardly ever read.
     """
-    rows = stars.select("rep", "hub", "i", "n", F.explode("rest").alias("token"))
-    rows = rows.join(comp, rows["rep"] == comp["node"], "left").select("hub", "token", "rep", "i", "n", F.coalesce("component", "rep").alias("comp"))
-    met = _met_across(stored(rows, "rests"), ["hub", "token"])
-    a, b = F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")
-    met = met.groupBy(a, b).agg(F.count("*").alias("k"), F.first(F.least("x_i", "y_i")).alias("i"), F.first(F.col("x_n") + F.col("y_n")).alias("sizes"))
-    return met.filter((100 + similar) * (F.col("i") + F.col("k")) >= similar * F.col("sizes")).select("a", "b")
+    c, full = F.col, 100 + similar
+    w = 100 * F.size("less") + similar * F.size("more")
+    s = stars.filter(F.size("less") + F.size("more") > 0).select("rep", "hub", "more", "less", w.cast("long").alias("w"), ((100 - similar) * c("n_hub")).cast("long").alias("room"))
+    s = stored(s.join(comp, s["rep"] == comp["node"], "left").select(*s.columns, F.coalesce("component", "rep").alias("comp")), "differences")
+    signed = F.concat(F.transform("less", lambda t: F.struct(F.lit(False).alias("has"), t.alias("token"))), F.transform("more", lambda t: F.struct(F.lit(True).alias("has"), t.alias("token"))))
+    rows = s.select("hub", "rep", "comp", "w", "room", F.explode(signed).alias("d")).select("hub", "d.has", "d.token", "rep", "comp", "w", "room")
+    by = ["hub", "has", "token"]
+    known = rows.groupBy(*by).agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select(*by, "k")
+    mine = W.partitionBy("rep").orderBy(F.desc("k"), "has", "token")  # from the last one on: how many are left to share
+    rows = rows.join(known, by).withColumn("left", F.row_number().over(mine))
+    out = c("w") > c("room")
+    rows = stored(rows.filter(full * c("left") >= F.when(out, c("w") - c("room")).otherwise(c("w") + 1)).withColumn("out", out), "difference-lists")
+    x = rows.filter("out").select(*by, "room", *[c(k).alias(f"x_{k}") for k in ("rep", "comp", "w", "left")])
+    y = rows.select(*by, *[c(k).alias(f"y_{k}") for k in ("rep", "comp", "w", "left", "out")])
+    enough = full * F.least("x_left", "y_left") >= c("x_w") + c("y_w") - c("room")
+    met = x.join(y, by).filter((c("x_comp") != c("y_comp")) & (~c("y_out") | (c("x_rep") < c("y_rep"))) & enough)
+    met = met.select(c("x_rep").alias("a"), c("y_rep").alias("b")).distinct()
+    end = lambda k: s.select(c("rep").alias(k), *[c(v).alias(f"{k}_{v}") for v in ("more", "less", "w")])
+    both = met.join(end("a"), "a").join(end("b").join(s.select(c("rep").alias("b"), "room"), "b"), "b")
+    shared = F.size(F.array_intersect("a_more", "b_more")) + F.size(F.array_intersect("a_less", "b_less"))
+    return both.filter(full * shared >= c("a_w") + c("b_w") - c("room")).select("a", "b")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -330,21 +349,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = pairs.join(able.select(F.col("rep").alias("a"), F.col("e").alias("e_a")), "a").join(able.select(F.col("rep").alias("b"), F.col("e").alias("e_b")), "b")
     short = ends.filter(_fit(F.col("n"), F.col("n_b"), F.col("e_a"), F.col("e_b"), similar)).select("a", "b", F.least("n", "n_b").alias("n"), "k")
     short = stored(short, "short")
-    star = _starred(lists, similar).groupBy("a", "b", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= F.least(F.lit(STAR), needed))
+    star = _starred(lists, similar).groupBy("a", "b", "n").agg(F.count_if("fit").alias("k"), F.count("*").alias("met"), F.max("central").alias("central"))
+    leads = lambda by: F.row_number().over(W.partitionBy("a").orderBy(F.desc(by), "b")) == 1
+    star = star.withColumn("first", leads("met") | leads("central")).filter(F.col("first") | (F.col("k") >= F.least(F.lit(STAR), needed)))
     tries = short.filter(F.col("k") >= needed).select("a", "b", F.lit(False).alias("star")).unionByName(star.select("a", "b", F.lit(True).alias("star")))
     compared = _compared(tries.groupBy("a", "b").agg(F.max("star").alias("star")), texts, similar)
     tried = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = compared.filter("similar").select("a", "b")
     first = stored(connected_components(links), "components")
-    # the set that stands for each: the one it shares most with
-    stars = compared.filter("rest is not null").groupBy(F.col("a").alias("rep")).agg(F.max_by(F.struct(F.col("b").alias("hub"), "i", F.col("n_a").alias("n"), "rest"), F.struct("i", "b")).alias("s")).select("rep", "s.*")
-    hubs = stars.select(F.col("hub").alias("rep")).distinct().join(stars.select("rep"), "rep", "left_anti").join(lists.select("rep", "n").distinct(), "rep")
-    stars = stored(stars.unionByName(hubs.select("rep", F.col("rep").alias("hub"), F.col("n").alias("i"), "n", F.array().cast("array<bigint>").alias("rest"))), "stars")
-    # what is left: sets of different components that met in long lists, often enough with the short ones
+    # the set that stands for each: the one that stands for most
+    stars = compared.filter("more is not null")
+    stars = stars.join(stars.groupBy("b").agg(F.count("*").alias("like")), "b").groupBy(F.col("a").alias("rep"))
+    stars = stars.agg(F.max_by(F.struct(F.col("b").alias("hub"), F.col("n_b").alias("n_hub"), "more", "less"), F.struct("like", "i", "b")).alias("s")).select("rep", "s.*")
+    none = F.array().cast("array<bigint>")
+    hubs = stars.select(F.col("hub").alias("rep"), "n_hub").distinct().join(stars.select("rep"), "rep", "left_anti")
+    stars = stored(stars.unionByName(hubs.select("rep", F.col("rep").alias("hub"), "n_hub", none.alias("more"), none.alias("less"))), "stars")
+    links = links.unionByName(stored(_derived(stars, first, similar), "derived"))
+    # what is left: sets of different components and hubs that met in long lists, often enough with the short ones
     more = _counted(_across(lists, first, stars, similar))
     more = more.join(short.select("a", "b", F.col("k").alias("s")), ["a", "b"], "left").filter(F.col("k") + F.coalesce("s", F.lit(0)) >= needed)
-    more = more.select("a", "b").unionByName(_through_rests(stars, first, similar)).distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti").withColumn("star", F.lit(False)), "more")
+    more = stored(more.select("a", "b").join(tried, ["a", "b"], "left_anti").withColumn("star", F.lit(False)), "more")
     if not more.isEmpty():
         links = links.unionByName(_compared(more, texts, similar).filter("similar").select("a", "b"))
     comp = connected_components(links.unionByName(same))
