@@ -14,7 +14,8 @@ from codecorpus.llm._text import stored
 WEIGHTS = (3, 1, 2)
 #: Size of the mix as a share of all words, and the most often that a source may be taken.
 SHARE, CAP = 1.5, 2.0
-#: Blocks of a source: its documents by a seeded hash. A source's cut runs through one block only.
+#: Blocks of a source: its documents by a seeded hash. A source's cut runs through one block only, and within that
+#: through one of as many parts.
 BLOCKS = 4096
 SHARDS = 16
 SEED = 20
@@ -34,6 +35,10 @@ def _block(id_col, size, seed: int):
     return F.pmod(F.xxhash64(id_col, size, F.lit(seed)), F.lit(BLOCKS)).cast("int")
 
 
+def _part(id_col, size, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed + 4), id_col, size), F.lit(BLOCKS)).cast("int")
+
+
 def targets(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row for each source key of ``sized(key, source, size)``: source_size and target.
 
@@ -56,7 +61,7 @@ def targets(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
 
 
 def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of the block that a source's cut runs through: in hash order, each that still fits."""
+    """Documents of the part of a block that a source's cut runs through: in hash order, each that still fits."""
     pdf = pdf.sort_values(["h", "size", "id"], na_position="last", kind="stable")
     left, take = float(pdf["rest"].iloc[0]), []
     for words in pdf["words"].to_numpy():
@@ -113,8 +118,13 @@ class Mix:
         state = blocks.withColumn("upto", upto).join(plan, "key")
         rest = F.col("extra") - (F.col("upto") - F.col("words"))
         state = state.select("key", "block", "base", F.when(F.col("upto") <= F.col("extra"), 1).otherwise(0).alias("full"), F.when((rest > 0) & (F.col("upto") > F.col("extra")), rest).alias("rest"))
-        self.blocks = stored(state, "mix-blocks")
-        edge = self.sized.join(self.blocks.filter("rest is not null").select("key", "block", "rest"), ["key", "block"])
+        blocks = stored(state, "mix-edges")
+        edge = self.sized.join(blocks.filter("rest is not null").select("key", "block", "rest"), ["key", "block"]).withColumn("part", _part("id", F.col("size"), seed))
+        parts = edge.groupBy("key", "block", "rest", "part").agg(F.sum("size").alias("words"))
+        parts = parts.withColumn("upto", F.sum("words").over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, 0))).filter("upto > rest")
+        cut = parts.groupBy("key", "block").agg(F.min(F.struct("part", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("cut"))
+        self.blocks = stored(blocks.join(cut.select("key", "block", F.col("cut.part").alias("cut_part"), F.col("cut.left").alias("left")), ["key", "block"], "left"), "mix-blocks")
+        edge = edge.drop("rest").join(self.blocks.select("key", "block", F.col("cut_part").alias("part"), F.col("left").alias("rest")), ["key", "block", "part"])
         edge = edge.groupBy("key", "block", "id", "size").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")).withColumn("h", F.xxhash64("id", F.lit(seed + 1)))
         self.cut = stored(edge.groupBy("key").applyInPandas(_cut, "key string, block int, id long, size long"), "mix-cut")
         # every taken copy of a block is a unit; the tree says how many of a source's units each shard gets
@@ -126,11 +136,13 @@ class Mix:
 
     def _extra(self, rows: DataFrame) -> DataFrame:
         """``rows(key, block, id, size, ..)`` with ``copies``, how often each is taken."""
-        rows = rows.join(self.blocks.select("key", "block", "base", "full", F.col("rest").isNotNull().alias("edge")), ["key", "block"], "left")
+        rows = rows.join(self.blocks.select("key", "block", "base", "full", "cut_part"), ["key", "block"], "left")
         cut = self.cut.select(F.col("key").alias("ck"), F.col("block").alias("cb"), F.col("id").alias("ci"), F.col("size").alias("cs"))
         on = (rows["key"] == cut["ck"]) & (rows["block"] == cut["cb"]) & rows["id"].eqNullSafe(cut["ci"]) & (rows["size"] == cut["cs"])
         rows = rows.join(cut, on, "left")
-        return rows.withColumn("copies", F.col("base") + F.col("full") + F.col("ck").isNotNull().cast("int")).drop("ck", "cb", "ci", "cs")
+        before = F.coalesce(_part("id", F.col("size"), self.seed) < F.col("cut_part"), F.lit(False))
+        copies = F.col("base") + F.col("full") + (before | F.col("ck").isNotNull()).cast("int")
+        return rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).drop("ck", "cb", "ci", "cs")
 
     def report(self) -> DataFrame:
         """Per document: size, source_size, target, taken, copies, and shards, those of its copies in order: of what the tree has dealt."""
@@ -161,7 +173,7 @@ class Mix:
 def mix(docs: DataFrame, **options) -> Mix:
     """Decide a mix of ``docs`` (see Mix).
 
-    Null texts have size 0 and are never taken; null sources are one source, last in order; rows that repeat an id
+    Null texts and texts without words have size 0 and are never taken; null sources are one source, last in order; rows that repeat an id
     and size are taken together or not at all; an empty table gives an empty mix. Reruns agree.
     """
     return Mix(docs, **options)
