@@ -17,7 +17,7 @@ BLOCK_BYTES = 2 << 20
 
 
 class TestSuffixes:
-    """The suffixes of one block of test items, cut to a window, sorted, with the items they come from.
+    """The suffixes of one block of test items, by the window that they begin with, sorted, with the places (item, word) they come from.
 
     Words are numbered from 1 by their order, 0 is no word of the block. A suffix is the big-endian
     numbers of its words, so byte order is the order of suffixes and a shorter item is a prefix.
@@ -25,18 +25,18 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         split = [(item, alnum_words(text)) for item, text in items]
         self.window = window
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in split for w in ws}))}
-        found: dict[bytes, set[str]] = {}
+        found: dict[bytes, set[tuple[str | None, int]]] = {}
         for item, ws in split:
             ids = np.array([self.vocab[w] for w in ws], dtype=">u4")
             size = min(window, len(ws))
             for i in range(len(ws) - size + 1 if ws else 0):
-                found.setdefault(ids[i : i + size].tobytes(), set()).add(item)
+                found.setdefault(ids[i : i + size].tobytes(), set()).add((item, i))
         self.keys = sorted(found)
-        self.items = [sorted(found[k]) for k in self.keys]
+        self.places = [sorted(found[k], key=lambda p: (p[0] is None, p[0] or "", p[1])) for k in self.keys]
         self.lengths = np.array([len(k) // 4 for k in self.keys], dtype=np.int64)
         self.shortest = int(self.lengths.min()) if self.keys else window
         self.low = np.array(self.keys, dtype=f"S{4 * window}")
@@ -86,17 +86,41 @@ def shard_matches(texts: list[bytes | None], tests: TestSuffixes) -> tuple[np.nd
     return counts, out
 
 
+def longest_matches(found: list[tuple[int, int, int]], tests: TestSuffixes) -> list[tuple[str | None, int, int, int]]:
+    """Longest verbatim matches (item, first word in the text, first word in the item, words) from one text's occurrences.
+
+    A suffix that begins with the window at a place matches on as long as the next suffixes of the same item do at the
+    next places.
+    """
+    runs: dict[tuple, list[tuple[int, int]]] = {}
+    for first, length, s in found:
+        for item, at in tests.places[s]:
+            runs.setdefault((item, first - at), []).append((first, first + length))
+    out = []
+    for (item, shift), spans in runs.items():
+        spans.sort()
+        start, end, before = *spans[0], spans[0][0]
+        for a, b in spans[1:]:
+            if a > before + 1:
+                out.append((item, start, start - shift, end - start))
+                start = a
+            before, end = a, b
+        out.append((item, start, start - shift, end - start))
+    return sorted(out, key=lambda m: (m[1], m[0] is None, m[0] or "", m[2]))
+
+
 def _scan(tests):
     def fn(texts):
         t = tests.value
         counts, found = shard_matches(texts, t)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str]] = [set() for _ in texts]
+        here: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for doc, first, length, s in found:
-            spans[doc].append((first, first + length))
-            items[doc].update(t.items[s])
-        merged = [_merge(x) for x in spans]
-        return {"n_words": counts.tolist(), "first": [[a for a, _ in m] for m in merged], "last": [[b for _, b in m] for m in merged], "items": [sorted(x) for x in items]}
+            here[doc].append((first, length, s))
+        merged = [_merge([(a, a + n) for a, n, _ in x]) for x in here]
+        longest = [longest_matches(x, t) if x else [] for x in here]
+        items = [sorted({m[0] for m in x if m[0] is not None}) + [None] * any(m[0] is None for m in x) for x in longest]
+        whole = [[dict(zip(("item", "first", "item_first", "words"), m)) for m in x] for x in longest]
+        return {"n_words": counts.tolist(), "first": [[a for a, _ in m] for m in merged], "last": [[b for _, b in m] for m in merged], "items": items, "matches": whole}
 
     return fn
 
@@ -113,7 +137,7 @@ def _merge(spans):
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
     """The benchmark in blocks of at most about BLOCK_BYTES; each is read for itself."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     return [rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)]
@@ -122,12 +146,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tup
 def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Verbatim matches of ``benchmark`` items in ``docs``: struct ``row`` of the carried columns and struct ``out``.
 
-    ``out`` has n_words, the disjoint hit ranges ``first``/``last`` (last exclusive, in words; a match longer than a
-    window is one range) and the sorted ids of the items that occur. Null or empty texts have no words and no match;
-    null items are left out; an empty benchmark matches nothing; repeated rows each get their result.
+    ``out`` has n_words, the disjoint hit ranges ``first``/``last`` (last exclusive, in words), the sorted ids of the
+    items that occur (null for an item without id, last), and ``matches``, the longest verbatim matches with the item,
+    the places in text and item, and the words. Null or empty texts have no words and no match; items without words
+    match nothing; an empty benchmark matches nothing; repeated rows each get their result.
     The benchmark is the stated query set: it goes to the tasks in blocks of bounded size, one pass after the other.
     """
-    fields = "n_words long, first array<int>, last array<int>, items array<string>"
+    fields = "n_words long, first array<int>, last array<int>, items array<string>, matches array<struct<item:string,first:int,item_first:int,words:int>>"
     spark = docs.sparkSession
     blocks = _blocks(benchmark, item_col, item_text)
     out = None
@@ -152,7 +177,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: s
             )
             out = both.select(
                 F.col("row.row").alias("row"),
-                F.struct(F.col("out.n_words").alias("n_words"), joined["first"].alias("first"), joined["last"].alias("last"), F.array_sort(F.array_union("row.done.items", "out.items")).alias("items")).alias("out"),
+                F.struct(F.col("out.n_words").alias("n_words"), joined["first"].alias("first"), joined["last"].alias("last"), F.array_sort(F.array_union("row.done.items", "out.items")).alias("items"), F.concat("row.done.matches", "out.matches").alias("matches")).alias("out"),
             )
     return out
 
@@ -163,9 +188,14 @@ def _verdict():
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and longest_match (words of the longest hit range, 0 if none)."""
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words of the longest verbatim match, 0
+    if none) and longest_item (its item; of several the first).
+
+    An item without an id counts in n_items and has no part in items_sha256.
+    """
     hit, bad = _verdict()
     m = matches(docs, benchmark, [id_col], text_col)
+    best = F.get(F.array_sort(F.transform("out.matches", lambda x: F.struct((-x["words"]).alias("less"), x["item"].alias("item"), x["words"].alias("words")))), F.lit(0))
     return m.select(
         F.col(f"row.`{id_col}`").alias(id_col),
         "out.n_words",
@@ -173,12 +203,16 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         F.size("out.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("out.items", ","), 256).alias("items_sha256"),
         bad.alias("contaminated"),
-        F.coalesce(F.array_max(F.zip_with("out.last", "out.first", lambda b, a: (b - a).cast("long"))), F.lit(0).cast("long")).alias("longest_match"),
+        F.coalesce(best["words"].cast("long"), F.lit(0).cast("long")).alias("longest_match"),
+        best["item"].alias("longest_item"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they were."""
+    """The rows of ``docs`` that are not contaminated, all columns as they were.
+
+    Rows with null or empty texts stay, as do repeated ones; columns of any name go through; an empty table stays empty.
+    """
     _, bad = _verdict()
     return matches(docs, benchmark, docs.columns, text_col).filter(~bad).select("row.*")
 
@@ -196,8 +230,8 @@ def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:
                 for i in range(len(words) - size + 1):
                     if words[i : i + size] == ws[j : j + size]:
                         hit.update(range(i, i + size))
-                        seen.add(str(item))
-        out[key] = (len(words), len(hit), sorted(seen))
+                        seen.add(item if item is None else str(item))
+        out[key] = (len(words), len(hit), sorted(seen, key=lambda x: (x is None, x or "")))
     return out
 
 

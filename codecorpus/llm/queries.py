@@ -18,7 +18,7 @@ def queries():
         "op5_toxicity": lambda s, d: toxicity.report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op6_language_id": lambda s, d: langid.report(_table(s, d, "documents")),
         "op7_html_extraction": lambda s, d: html_extract.report(_table(s, d, "pages")),
-        "op8_decontamination": lambda s, d: decontam.report(_table(s, d, "documents"), _table(s, d, "benchmark")).drop("longest_match"),
+        "op8_decontamination": lambda s, d: decontam.report(_table(s, d, "documents"), _table(s, d, "benchmark")).drop("longest_match", "longest_item"),
         "op9_quality_rules": lambda s, d: quality.report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op10_license_scan": lambda s, d: licenses.report(_table(s, d, "documents")),
     }

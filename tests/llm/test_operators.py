@@ -289,30 +289,33 @@ def test_html_articles(spark):
     assert html_extract.report(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).count() == 0
 
 
-def test_wrapper_inference():
-    folded, at = html_extract.fold(["n", "n", "h", "p", "p", "q", "p", "q", "f"])
-    assert folded == ["n", "h", "p", "q", "f"] and at == [0, 0, 1, 2, 2, 3, 2, 3, 4]
-    assert html_extract.align(["h", "p", "f"], ["h", "x", "p", "f"]) == ["h", "x", "p", "f"]
-    assert html_extract.content_names(["html/body/!nav", "html/body/article/p", "html/body/div"]) == {"html/body/article/p"}
-
-
 # ---- decontamination ---------------------------------------------------------------------------------------------------
 
 
 def test_decontamination_equals_brute_force(spark, make_docs, monkeypatch):
-    items = {1: prose(50, 30), 2: prose(51, 13), 3: "alpha beta", 4: None, 5: "!!", 6: prose(50, 14), 10: prose(52, 20)}
+    items = {1: prose(50, 30), 2: prose(51, 13), 3: "alpha beta", 4: None, 5: "!!", 6: prose(50, 14), 10: prose(52, 20), None: "gamma delta"}
     texts = {i: prose(60 + i, 60) for i in range(10)}
-    texts |= {20: prose(1, 40) + " " + prose(50, 30) + " " + prose(2, 40), 21: prose(51, 13).upper().replace(" ", ", "), 22: None, 23: "", 24: "Alpha-Beta", 25: prose(52, 12), 26: prose(50, 30) + prose(3, 700)}
+    texts |= {20: prose(1, 40) + " " + prose(50, 30) + " " + prose(2, 40), 21: prose(51, 13).upper().replace(" ", ", "), 22: None, 23: "", 24: "Alpha-Beta", 27: "only Gamma, delta here", 25: prose(52, 12), 26: prose(50, 30) + prose(3, 700)}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = decontam.brute_force(texts, items)
     for size in (decontam.BLOCK_BYTES, 200):  # one block, and several
         monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
         rows = decontam.report(make_docs(texts), bench).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in rows} == {k: (a, b, len(c)) for k, (a, b, c) in want.items()}
-        assert {r.doc_id: r.items_sha256 for r in rows} == {k: decontam.sha(v[2]) for k, v in want.items()}
+        assert {r.doc_id: r.items_sha256 for r in rows} == {k: decontam.sha(x for x in v[2] if x is not None) for k, v in want.items()}
         assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in rows)
 
 
+def test_longest_matches_have_their_item_place_and_length(spark, make_docs):
+    one, two = prose(70, 13), prose(71, 40)
+    bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    texts = {1: f"{one} {two} end", 2: "start " + " ".join(two.split()[5:35]) + " end"}
+    found = decontam.matches(make_docs(texts), bench, ["doc_id"]).select("row.doc_id", "out.matches").collect()
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in found}
+    assert got == {1: [("1", 0, 0, 13), ("2", 13, 0, 40)], 2: [("2", 1, 5, 30)]}
+    assert {r.doc_id: (r.longest_item, r.longest_match) for r in decontam.report(make_docs(texts), bench).collect()} == {1: ("2", 40), 2: ("2", 30)}
+
+
 def test_decontamination_edges(spark, edge_docs):
     bench = spark.createDataFrame([(1, prose(2, 20))], "item_id long, text string")
     assert {r.doc_id: r.contaminated for r in decontam.report(edge_docs, bench).collect()}[6]
