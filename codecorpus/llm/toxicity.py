@@ -15,8 +15,7 @@ from codecorpus.llm._text import apply_texts, fold_of, sample_ids
 
 #: Labelled documents that the lexicon and the weights are learned from, at most.
 TRAIN_ROWS = 20_000
-#: Terms of the lexicon, at most (those with the most support), and the lengths of word beginnings that may be terms.
-MAX_TERMS = 2_000
+#: Lengths of word beginnings that may be terms.
 PREFIXES = (4, 5, 6, 7)
 #: A term stands in this many different contexts of toxic documents at least, and this many times likelier there.
 MIN_SUPPORT = 4
@@ -151,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn terms, exceptions and the link from at most ``rows`` labelled documents outside crc32 fold 2.
 
     Support is the number of different contexts (neighbour words) of a term, so copies of one document count once.
-    Null labels are skipped; an id labelled twice takes its larger label; without toxic labels nothing is a term.
+    Null labels are skipped; an id labelled twice takes its larger label; without toxic labels nothing is a term. Every
+    term and every phrase that passes is kept; the bound on ``rows`` bounds them.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col) != 2))
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon({}, [])
     by_term = sample.mapInArrow(_term_counts, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     ratio = ((F.col("a") + 0.5) / (pos + 1)) / ((F.col("b") + 0.5) / (neg + 1))
-    likely = by_term.filter((F.col("a") >= MIN_SUPPORT) & (ratio >= MIN_RATIO)).orderBy(F.desc("a"), "term").limit(20 * MAX_TERMS)
+    likely = by_term.filter((F.col("a") >= MIN_SUPPORT) & (ratio >= MIN_RATIO))
     chosen = spark.sparkContext.broadcast(frozenset(r.term for r in likely.select("term").collect()))
 
     def contexts(texts):
@@ -184,8 +184,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.sum((F.col("y") == 0).cast("int")).alias("clean"), F.sum((F.col("y") == 1).cast("int")).alias("toxic"))
         .filter((F.col("clean") >= MIN_EXCEPTION) & (F.col("toxic") == 0) & F.col("phrase").contains(" "))
         .select("phrase")
-        .orderBy("phrase")
-        .limit(MAX_TERMS)
         .collect()
     )
     a = {r.term: (r.contexts, r.words) for r in support if r.y == 1}
@@ -193,12 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weights: dict[str, float] = {}
     for term, (n, forms) in sorted(a.items(), key=lambda kv: (-kv[1][0], kv[0])):
         weight = float(np.log((n + 0.5) / (pos + 1)) - np.log((b.get(term, 0) + 0.5) / (neg + 1)))
-        if n < MIN_SUPPORT or weight < np.log(MIN_RATIO) or len(weights) >= MAX_TERMS:
+        if n < MIN_SUPPORT or weight < np.log(MIN_RATIO):
             continue
         if term.endswith("*") and forms == 1:
             continue  # one word only: the word itself is the term
         weights[term] = weight
-    lexicon = Lexicon(weights, [r.phrase for r in phrases])
+    touching = sorted(r.phrase for r in phrases if any(t in weights for w in r.phrase.split() for t in terms_of(w)))
+    lexicon = Lexicon(weights, touching)
     model = spark.sparkContext.broadcast(lexicon)
     measured = apply_texts(sample, "text", lambda texts: {"m": [list(map(float, model.value.measure(t))) for t in texts]}, "m array<double>", ["id", "y"]).select("row.*", "out.m").toArrow().sort_by("id")
     return Lexicon(weights, lexicon.exceptions, _fit_link(np.array(measured["m"].to_pylist()), measured["y"].to_numpy().astype(float)))
@@ -207,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per document: held_out, score, predicted, and n_hits. Null and empty texts have no hits and the score of none.
 
-    A null id has a null held_out.
+    A null id has a null held_out. Repeated rows each get a row; an empty table gives no rows; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
 
