@@ -19,7 +19,6 @@ BUCKETS = 1 << 16
 STEPS = 12
 PENALTY = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -43,7 +42,7 @@ class LanguageModel:
 
     def infer(self, text: str) -> tuple[str, float, list[tuple[str, float]]]:
         """(language, its proportion, all chosen languages with their proportions); ``und`` without letters or without a model."""
-        if not self.names or not _LETTER.search(text):
+        if not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, []
         count = np.bincount(grams(text), minlength=BUCKETS)
         at = np.flatnonzero(count)
@@ -112,7 +111,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document: held_out, lang_pred, score (its proportion), and languages (all chosen, by proportion, as name:share).
 
-    Null texts and texts without a letter are ``und`` with score 0. A null id has a null held_out.
+    Null texts and texts without a letter are ``und`` with score 0. A null id has a null held_out. Repeated rows each get
+    a row; languages of equal likelihood go by name; an empty table gives no rows; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
 
