@@ -32,53 +32,100 @@ NOTICES = [
     ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc0", "cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["fitness for a particular purpose and noninfringement"]),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ["apache license", "version 2 0"]),
+    ("apache-2", "apache software license 2 0", ["apache software license", "2 0"]),
+    ("gpl-3", "gnu general public license v3 or later", ["gnu general public license", "v3"]),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright free software foundation", ["gnu general public license", "version 3"]),
+    ("gpl-2", "gnu general public license v2 or later", ["gnu general public license", "v2"]),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2"]),
+    ("mpl-2", "mozilla public license version 2 0", ["mozilla public license", "2 0"]),
+    ("epl-2", "eclipse public license version 2 0", ["eclipse public license"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived"]),
+    ("bsd", "bsd 3 clause license", ["bsd 3 clause"]),
+    ("bsd", "bsd 2 clause license", ["bsd 2 clause"]),
+    ("isc", "licensed under the isc license", ["isc license"]),
+    ("bsl-1", "boost software license version 1 0", ["boost software license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international", ["creative commons attribution noncommercial"]),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international", ["creative commons attribution sharealike"]),
+    ("cc-by", "creative commons attribution 4 0 international", ["creative commons attribution 4 0"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["free to copy modify publish use"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
-
-#: Words of a notice that the index keeps: its rarest.
+#: Labels and the words of their identifiers in SPDX lines; each makes a notice.
+SPDX = {
+    "mit": ["mit"], "apache-2": ["apache 2 0"], "gpl-3": ["gpl 3 0 only", "gpl 3 0 or later"], "gpl-2": ["gpl 2 0 only", "gpl 2 0 or later"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl-3": ["agpl 3 0"],
+    "mpl-2": ["mpl 2 0"], "epl-2": ["epl 2 0"], "bsd": ["bsd 3 clause", "bsd 2 clause"], "isc": ["isc"], "bsl-1": ["bsl 1 0"], "zlib": ["zlib"],
+    "cc-by-nc": ["cc by nc 4 0"], "cc-by-sa": ["cc by sa 4 0"], "cc-by": ["cc by 4 0"], "cc0": ["cc0 1 0"], "unlicense": ["unlicense"],
+}
+NOTICES += [(label, f"spdx license identifier {words}", [f"identifier {words}"]) for label, ids in SPDX.items() for words in ids]
+
+#: Words of a notice that its score is over: its rarest.
 INDEX_WORDS = 4
-#: Share of a notice's total weight that must stand at the right relative places.
+#: Share of these words' weight that must stand at the right relative places.
 LEAST_SHARE = 0.75
 #: Words that the places of two index words may be off by (added or left-out words).
 SLACK = 2
 
 
 class NoticeIndex:
-    """Posting lists word -> (notice, place) of each notice's rarest words by inverse document frequency."""
+    """Positional postings word -> (notice, place), all places, of each notice's rarest words by inverse document frequency."""
 
     def __init__(self, idf: dict[bytes, float], notices=NOTICES):
         self.notices = [(label, n.encode().split(), [p.encode().split() for p in phrases]) for label, n, phrases in notices]
         self.idf = idf
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.total = []
-        for t, (_, words, phrases) in enumerate(self.notices):
-            held = {w for p in phrases for w in p}
-            ranked = sorted(set(words), key=lambda w: (w not in held, -idf.get(w, 0.0), w))[: max(INDEX_WORDS, 1)]
-            for w in ranked:
-                self.postings[w].append((t, words.index(w)))
-            self.total.append(sum(idf.get(w, 1.0) for w in ranked))
-        self.rare = frozenset(self.postings)
+        for t, (_, words, _) in enumerate(self.notices):
+            rarest = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:INDEX_WORDS]
+            for at, w in enumerate(words):
+                if w in rarest:
+                    self.postings[w].append((t, at))
+            self.total.append(sum(idf.get(w, 1.0) for w in rarest))
+        #: The index's words in the order in which a file's are looked up: the rarest first.
+        self.rank = {w: k for k, w in enumerate(sorted(self.postings, key=lambda w: (-idf.get(w, 0.0), w)))}
 
     def find(self, words: list[bytes]) -> dict[str, float]:
-        """label -> score (0 to 1) of the notices in a word sequence."""
-        rare = self.rare
-        places = [i for i, w in enumerate(words) if w in rare]
-        votes: dict[tuple[int, int], dict[bytes, float]] = defaultdict(dict)
-        for i in places:
-            w = words[i]
-            for t, q in self.postings[w]:
-                votes[t, i - q][w] = self.idf.get(w, 1.0)
+        """label -> score (0 to 1) of the notices in a word sequence.
+
+        The file's licence words are looked up from the rarest on. A word opens places for the notices that it is in;
+        the words after it only add to places, unless what they and the commoner ones weigh could still do alone.
+        """
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in self.rank:
+                places[w].append(i)
+        votes: dict[int, dict[int, dict[bytes, float]]] = defaultdict(dict)
+        left = dict(enumerate(self.total))
+        for w in sorted(places, key=self.rank.__getitem__):
+            weight = self.idf.get(w, 1.0)
+            for t in {t for t, _ in self.postings[w]}:
+                opens, at = left[t] >= LEAST_SHARE * self.total[t], votes[t]
+                for q in (q for u, q in self.postings[w] if u == t):
+                    for i in places[w]:
+                        start = i - q
+                        if opens:
+                            at.setdefault(start, {})[w] = weight
+                        else:
+                            for near in range(start - SLACK, start + SLACK + 1):
+                                if near in at:
+                                    at.setdefault(start, {})[w] = weight
+                                    break
+                left[t] -= weight
         out: dict[str, float] = {}
-        for t, at in sorted(votes):
-            near: dict[bytes, float] = {}
-            for d in range(SLACK + 1):
-                near |= votes.get((t, at + d), {})
-            score = sum(near.values()) / self.total[t] if self.total[t] else 0.0
+        for t, at in votes.items():
             label, notice, phrases = self.notices[t]
-            if score >= LEAST_SHARE and score > out.get(label, 0.0):
-                window = words[max(0, at - SLACK) : at + len(notice) + 2 * SLACK]
-                if all(_places(window, p) for p in phrases):
-                    out[label] = min(1.0, score)
+            for start in at:
+                near: dict[bytes, float] = {}
+                for d in range(SLACK + 1):
+                    near |= at.get(start + d, {})
+                score = sum(near.values()) / self.total[t] if self.total[t] else 0.0
+                if score >= LEAST_SHARE and score > out.get(label, 0.0):
+                    window = words[max(0, start - SLACK) : max(0, start + len(notice) + 2 * SLACK)]
+                    if all(_places(window, p) for p in phrases):
+                        out[label] = min(1.0, score)
         return out
 
 
@@ -122,7 +169,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, no labels and score 0. score is the best notice's share of weight in place,
-    1 where a base phrase stands.
+    1 where a base phrase stands. Repeated rows, null and repeated ids included, each get a row; an empty table gives no
+    rows; other columns are not read.
     """
     index = docs.sparkSession.sparkContext.broadcast(NoticeIndex(document_frequencies(docs, text_col)))
 
