@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from datetime import datetime
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,129 +108,139 @@ def _identity(e: dict) -> str:
     return hashlib.sha256(canonical(json.dumps([e["event_id"], e["run_id"], e["sequence"], e["ts"], e["type"], e["payload_hash"]])).encode()).hexdigest()
 
 
+def _chained(before: str, identity: str) -> str:
+    return hashlib.sha256(f"{before}:{identity}".encode()).hexdigest()
+
+
 def _ms(a: str, b: str) -> int:
     return max(0, int((datetime.fromisoformat(b.replace("Z", "+00:00")) - datetime.fromisoformat(a.replace("Z", "+00:00"))).total_seconds() * 1000))
 
 
-class RunError(ValueError):
-    """An event that the run's state does not admit."""
-
-
-def start_run(e: dict, payload: dict) -> dict:
-    if e["type"] != "run.created":
-        raise RunError("the first event must be run.created")
-    if e["sequence"] != 1:
-        raise RunError("the first event must have sequence 1")
-    digest = hashlib.sha256(f":{_identity(e)}".encode()).hexdigest()
-    return {
-        "run_id": e["run_id"], "state": "created", "provider_id": payload.get("providerId"), "created": payload.get("createdAt", e["ts"]), "budget": payload.get("budget") or {},
-        "wall_time_ms": 0, "provider_turns": 0, "changed_files": 0, "changed_bytes": 0, "processes": 0, "repair_attempts": 0, "tool_requests": 0, "changed_paths": [], "checkpoint_ids": [],
-        "review_id": None, "event_count": 1, "last_sequence": 1, "event_digest": digest, "error": None, "tools": {}, "repairs": {}, "applied": {e["event_id"]: _identity(e)}, "digests": [digest],
-    }
-
-
-def _need(condition, message):
-    if not condition:
-        raise RunError(message)
-
-
-def _state_changed(s, p):
-    _need(p["from"] == s["state"], f"state mismatch: {p['from']} is not {s['state']}")
-    _need(p["to"] in TRANSITIONS.get(p["from"], []), f"invalid transition {p['from']} to {p['to']}")
-    s["state"] = p["to"]
-    s["provider_turns"] += p["to"] == "executing"
-
-
-def _tool(s, p, kind):
-    if kind == "tool.requested":
-        name = p["request"].get("id")
-        _need(name not in s["tools"], "tool request id is repeated")
-        s["tools"] = {**s["tools"], name: "requested"}
-        s["tool_requests"] += 1
-        return
-    was = s["tools"].get(p["requestId"])
-    if kind == "tool.started":
-        _need(was == "requested", "tool start without request")
-        s["tools"] = {**s["tools"], p["requestId"]: "running"}
-        s["processes"] += 1
-    else:
-        _need(was in ("requested", "running"), "tool completion without active tool")
-        s["tools"] = {**s["tools"], p["requestId"]: p["status"]}
-        s["processes"] = max(0, s["processes"] - (was == "running"))
-
-
-def _paths(s, paths):
-    s["changed_paths"] = sorted({*s["changed_paths"], *paths})
-    s["changed_files"] = len(s["changed_paths"])
-
-
-def _repair(s, p, kind):
-    r = p["receipt"]
-    key = str(r.get("attempt"))
-    if kind == "repair.started":
-        _need(s["state"] == "repairing", "repair outside the repairing state")
-        _need(key not in s["repairs"], "repair attempt is repeated")
-        s["repair_attempts"] += 1
-    else:
-        known = s["repairs"].get(key)
-        _need(known and known["status"] == "started" and known["fingerprint"] == r.get("fingerprint"), "repair completion without start")
-    s["repairs"] = {**s["repairs"], key: {"status": "started" if kind == "repair.started" else r.get("status", "completed"), "fingerprint": r.get("fingerprint")}}
-
-
-def apply_event(state: dict | None, e: dict) -> dict:
-    """The state after an event; RunError if it isn't admitted. A repeated id with the same content changes nothing."""
-    p = json.loads(e["payload"])
-    if state is None:
-        return start_run(e, p)
-    _need(e["run_id"] == state["run_id"], "event of another run")
-    identity = _identity(e)
-    if e["event_id"] in state["applied"]:
-        _need(state["applied"][e["event_id"]] == identity, "event id reused with other contents")
-        return state
-    _need(e["sequence"] == state["last_sequence"] + 1, f"sequence gap: expected {state['last_sequence'] + 1}, received {e['sequence']}")
-    kind = e["type"]
-    _need(kind != "run.created", "a run is created once")
-    s = dict(state)
-    s["event_digest"] = hashlib.sha256(f"{state['event_digest']}:{identity}".encode()).hexdigest()
-    s |= {"last_sequence": e["sequence"], "event_count": state["event_count"] + 1, "applied": {**state["applied"], e["event_id"]: identity}, "digests": [*state["digests"], s["event_digest"]]}
-    s["wall_time_ms"] = max(s["wall_time_ms"], _ms(s["created"], e["ts"]))
-    if kind == "state.changed":
-        _state_changed(s, p)
-    elif kind == "provider.session":
-        _need(p["session"].get("providerId") == s["provider_id"], "session of another provider")
-    elif kind.startswith("tool."):
-        _tool(s, p, kind)
-    elif kind == "file.changed":
-        _paths(s, p["paths"])
-    elif kind == "checkpoint.created":
-        s["checkpoint_ids"] = sorted({*s["checkpoint_ids"], p["checkpointId"]})
-        _paths(s, p["changedPaths"])
-        s["changed_bytes"] = max(s["changed_bytes"], p["totalBytes"])
-    elif kind in ("repair.started", "repair.completed"):
-        _repair(s, p, kind)
-    elif kind == "review.created":
-        _need(s["state"] == "review-ready", "review outside the review-ready state")
-        s["review_id"] = p["reviewId"]
-        _paths(s, p["changedPaths"])
-    elif kind in ("run.completed", "run.failed"):
-        _need(s["state"] == kind[4:], f"receipt {kind} in state {s['state']}")
-    for label, used, limit in BUDGETS:
-        most = s["budget"].get(limit)
-        _need(most is None or s[used] <= most, f"budget exceeded: {label} {s[used]}/{most}")
-    return s
-
-
-def reduce_run(state: dict | None, events: list[dict]) -> dict | None:
-    """Events in order of sequence on a state; the first that isn't admitted ends the run with ``error``, the last good state stays."""
+class Rule(NamedTuple):
+    """What an event type asks of the state, as (code, predicate of state and payload), and what it writes to it."""
+
+    asks: tuple = ()
+    gives: Callable[[dict, dict], dict] = lambda s, p: {}
+
+
+def _touching(paths: Callable[[dict], list], more: Callable[[dict, dict], dict] = lambda s, p: {}):
+    """An update that adds to the changed paths."""
+
+    def gives(s, p):
+        changed = sorted({*s["changed_paths"], *paths(p)})
+        return {"changed_paths": changed, "changed_files": len(changed), **more(s, p)}
+
+    return gives
+
+
+def _marked(table: str, key: Callable[[dict], str], value: Callable[[dict], object], more: Callable[[dict, dict], dict] = lambda s, p: {}):
+    """An update that writes one entry of a table of the state."""
+    return lambda s, p: {table: {**s[table], key(p): value(p)}, **more(s, p)}
+
+
+def _attempt(p):
+    return str(p["receipt"].get("attempt"))
+
+
+def _tool(s, p):
+    return s["tools"].get(p["requestId"])
+
+
+#: What each type of event does; types without a rule only count.
+RULES = {
+    "run.created": Rule((("CREATED_TWICE", lambda s, p: False),)),
+    "state.changed": Rule(
+        (("STATE_MISMATCH", lambda s, p: s["state"] == p["from"]), ("TRANSITION_NOT_ALLOWED", lambda s, p: p["to"] in TRANSITIONS.get(s["state"], ()))),
+        lambda s, p: {"state": p["to"], "provider_turns": s["provider_turns"] + (p["to"] == "executing")},
+    ),
+    "provider.session": Rule((("PROVIDER_MISMATCH", lambda s, p: s["provider_id"] == p["session"].get("providerId")),)),
+    "tool.requested": Rule(
+        (("TOOL_REPEATED", lambda s, p: p["request"].get("id") not in s["tools"]),),
+        _marked("tools", lambda p: p["request"].get("id"), lambda p: "requested", lambda s, p: {"tool_requests": s["tool_requests"] + 1}),
+    ),
+    "tool.started": Rule(
+        (("TOOL_NOT_REQUESTED", lambda s, p: _tool(s, p) == "requested"),),
+        _marked("tools", lambda p: p["requestId"], lambda p: "running", lambda s, p: {"processes": s["processes"] + 1}),
+    ),
+    "tool.completed": Rule(
+        (("TOOL_NOT_ACTIVE", lambda s, p: _tool(s, p) in ("requested", "running")),),
+        _marked("tools", lambda p: p["requestId"], lambda p: p["status"], lambda s, p: {"processes": max(0, s["processes"] - (_tool(s, p) == "running"))}),
+    ),
+    "file.changed": Rule(gives=_touching(lambda p: p["paths"])),
+    "checkpoint.created": Rule(
+        gives=_touching(lambda p: p["changedPaths"], lambda s, p: {"checkpoint_ids": sorted({*s["checkpoint_ids"], p["checkpointId"]}), "changed_bytes": max(s["changed_bytes"], p["totalBytes"])}),
+    ),
+    "repair.started": Rule(
+        (("REPAIR_OUT_OF_STATE", lambda s, p: s["state"] == "repairing"), ("REPAIR_REPEATED", lambda s, p: _attempt(p) not in s["repairs"])),
+        _marked("repairs", _attempt, lambda p: ["started", p["receipt"].get("fingerprint")], lambda s, p: {"repair_attempts": s["repair_attempts"] + 1}),
+    ),
+    "repair.completed": Rule(
+        (("REPAIR_NOT_STARTED", lambda s, p: s["repairs"].get(_attempt(p)) == ["started", p["receipt"].get("fingerprint")]),),
+        _marked("repairs", _attempt, lambda p: [p["receipt"].get("status", "completed"), p["receipt"].get("fingerprint")]),
+    ),
+    "review.created": Rule((("REVIEW_OUT_OF_STATE", lambda s, p: s["state"] == "review-ready"),), _touching(lambda p: p["changedPaths"], lambda s, p: {"review_id": p["reviewId"]})),
+    "run.completed": Rule((("RECEIPT_OUT_OF_STATE", lambda s, p: s["state"] == "completed"),)),
+    "run.failed": Rule((("RECEIPT_OUT_OF_STATE", lambda s, p: s["state"] == "failed"),)),
+}
+_EMPTY = {c: 0 for c in ("wall_time_ms", "provider_turns", "changed_files", "changed_bytes", "processes", "repair_attempts", "tool_requests", "event_count", "last_sequence")}
+_EMPTY |= {"state": "invalid", "event_digest": "", "error": None, "provider_id": None, "review_id": None}
+
+
+def _first(e: dict, payload: dict) -> tuple[str | None, dict]:
+    """(code, state) of the event that opens a run."""
+    code = "FIRST_NOT_CREATED" if e["type"] != "run.created" else "FIRST_SEQUENCE" if e["sequence"] != 1 else None
+    state = {**_EMPTY, "run_id": e["run_id"], "changed_paths": [], "checkpoint_ids": [], "tools": {}, "repairs": {}, "seen": {}}
+    if code is None:
+        state |= {"state": "created", "provider_id": payload.get("providerId"), "created": payload.get("createdAt", e["ts"]), "budget": payload.get("budget") or {}}
+    return code, state
+
+
+def _later(s: dict, e: dict, payload: dict) -> tuple[str | None, dict]:
+    """(code, what is new in the state) of a further event."""
+    expected = s["last_sequence"] + 1
+    if e["sequence"] != expected:
+        return f"SEQUENCE_GAP: {expected} expected, {e['sequence']} found", {}
+    rule = RULES.get(e["type"], Rule())
+    code = next((name for name, holds in rule.asks if not holds(s, payload)), None)
+    if code:
+        return f"{code}: {e['type']} at {e['sequence']} in state {s['state']}", {}
+    new = {"wall_time_ms": max(s["wall_time_ms"], _ms(s["created"], e["ts"])), **rule.gives(s, payload)}
+    over = next((label for label, used, limit in BUDGETS if s["budget"].get(limit) is not None and new.get(used, s[used]) > s["budget"][limit]), None)
+    return (f"BUDGET_EXCEEDED: {over}" if over else None), new
+
+
+def reduce_run(state: dict | None, events: list[dict], digests: list[str] | None = None) -> dict | None:
+    """Events in order of sequence on a state; the first that isn't admitted ends the run with ``error``, the last good state stays.
+
+    An event that came before changes nothing; its id with other contents is an error. ``digests`` collects the digest
+    after each event.
+    """
     for e in sorted(events, key=lambda x: (x["sequence"], x["event_id"])):
         if state is not None and state["error"]:
             break
         try:
-            state = apply_event(state, e)
-        except (RunError, KeyError, TypeError, ValueError) as problem:
-            if state is None:
-                state = {c: None for c in STATE_COLUMNS} | {"run_id": e["run_id"], "state": "invalid", "changed_paths": [], "checkpoint_ids": [], "digests": [], "event_count": 0, "last_sequence": 0, "applied": {}}
-            state = {**state, "error": str(problem)[:300]}
+            payload, identity = json.loads(e["payload"]), _identity(e)
+            known = state["seen"].get(e["event_id"]) if state else None
+            if known == identity[:32]:
+                continue
+            new = {}
+            if known:
+                code = "EVENT_ID_REUSED"
+            elif state is None:
+                code, state = _first(e, payload)
+            else:
+                code, new = _later(state, e, payload)
+        except (KeyError, TypeError, ValueError, AttributeError) as problem:
+            code, new = f"PAYLOAD: {problem!r}"[:300], {}
+            state = state or {**_EMPTY, "run_id": e["run_id"], "changed_paths": [], "checkpoint_ids": [], "seen": {}}
+        if code:
+            state["error"] = code
+            continue
+        state |= new
+        state |= {"last_sequence": e["sequence"], "event_count": state["event_count"] + 1, "event_digest": _chained(state["event_digest"], identity)}
+        state["seen"][e["event_id"]] = identity[:32]
+        if digests is not None:
+            digests.append(state["event_digest"])
     return state
 
 
@@ -237,11 +249,12 @@ def state_frame(states: list[dict]) -> pd.DataFrame:
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """``run_state``: one row per run, its events reduced in order. A run is a bounded journal; budgets end it."""
+    """``run_state``: one row per run, its events reduced in order, with the digest after each. A run is a bounded journal; budgets end it."""
     cols = ["event_id", "run_id", "sequence", "ts", "type", "payload", "payload_hash"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return state_frame([reduce_run(None, pdf[cols].to_dict("records"))])
+        digests: list[str] = []
+        return state_frame([{**reduce_run(None, pdf[cols].to_dict("records"), digests), "digests": digests}])
 
     return events.select(*cols).groupBy("run_id").applyInPandas(one, STATE_DDL)
 

@@ -30,9 +30,9 @@ def architecture(files: DataFrame) -> dict[str, DataFrame]:
     src = filters.source_files(filters.eligible_text(files).filter("skip_reason is null"))
     imports = stored(resolve.resolve_imports(extract_text.extract_imports(src), src.select(*KEYS, "path")), "imports")
     nodes, edges, unresolved = resolve.build_edges(imports, src)
-    parsed, diagnostics = resolve.unique_symbol_ids(stored(parse.extract_symbols(src), "symbols"))
-    symbols = stored(parsed, "unique-symbols")
-    sites = stored(parse.extract_call_sites(src), "sites")
+    read = stored(parse.parse_files(src), "parsed")
+    unique, diagnostics = resolve.unique_symbol_ids(parse.table_of(read, "symbols"))
+    symbols, sites = stored(unique, "unique-symbols"), stored(parse.table_of(read, "sites"), "sites")
     bound = resolve.bind_imports(parse.import_names(imports), symbols)
     types = stored(resolve.type_relations(symbols), "types")
     found = [resolve.resolve_calls(sites, symbols, bound, lang) for lang in ("python", "rust", "script")]

@@ -498,7 +498,7 @@ def _(d):
 @query("win11_readable_backbone")
 def _(d):
     e = d.sql(B.EDGES).groupBy(*KEYS, "from_id", "to_id").agg(F.sum("l_quantity").alias("weight")).withColumn("edge_id", F.concat_ws(":", "from_id", "to_id"))
-    return project.readable_backbone(e).select("edge_id", "from_id", "to_id", "weight")
+    return project.readable_backbone(e)[1].select("edge_id", "from_id", "to_id", "weight", "omitted_edges")
 
 
 @query("jn21_relations_behind_edge", f"SELECT from_id, to_id FROM ({_EDGES}) WHERE NOT starts_with(to_id, 'external:') AND {_PART('from_id')} = 'src/m2' AND {_PART('to_id')} = 'src/m1'")

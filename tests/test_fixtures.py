@@ -1,6 +1,7 @@
 """Small hand-made inputs with exact expected rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,14 +115,55 @@ def test_reach_and_route(spark):
     assert got == {"q": (["a", "b", "d"], ["e-a", "e-b"]), "same": (["a"], [])}
 
 
+def backbone_by_rule(edges, score, k=12, m=11, d=3):
+    """The rule in plain loops: edges (id, a, b, weight)."""
+    order = sorted(edges, key=lambda e: (-e[3], e[0]))
+    if len(score) <= k and len(edges) <= m:
+        return set(score), {e[0] for e in edges}
+    shown = set()
+    for _, a, b, _ in order:
+        if len(shown) + (a not in shown) + (b not in shown) <= k:
+            shown |= {a, b}
+    for n in sorted(score, key=lambda n: (-score[n], n)):
+        if len(shown) < k:
+            shown.add(n)
+    group, degree, pairs, kept = {n: {n} for n in shown}, dict.fromkeys(shown, 0), set(), set()
+    for i, a, b, _ in order:
+        if len(kept) < m and {a, b} <= shown and frozenset((a, b)) not in pairs and group[a] is not group[b] and degree[a] < d and degree[b] < d:
+            kept.add(i)
+            pairs.add(frozenset((a, b)))
+            degree[a] += 1
+            degree[b] += 1
+            both = group[a] | group[b]
+            for n in both:
+                group[n] = both
+    return shown, kept
+
+
 def test_backbone(spark):
+    r = random.Random(3)
     rows = [("r", "1", f"{a}>{b}", f"n{a}", f"n{b}", (100 if a < b else 50) - abs(a - b)) for a in range(20) for b in range(20) if a != b]
-    e = spark.createDataFrame(rows, "repo string, revision string, edge_id string, from_id string, to_id string, weight long")
-    got = project.readable_backbone(e).collect()
-    nodes = {n for r in got for n in (r.from_id, r.to_id)}
-    assert len(nodes) <= 12 and len(got) <= len(nodes) - 1
-    assert len({frozenset((r.from_id, r.to_id)) for r in got}) == len(got)
-    assert sorted(map(tuple, project.readable_backbone(e).collect())) == sorted(map(tuple, got))
+    rows += [("few", "1", f"e{i}", f"x{i}", f"x{i + 1}", 5) for i in range(4)] + [("loop", "1", "self", "a", "a", 9)]
+    star = [("star", "1", f"h{i:04d}", "hub", "hub2", 10_000) for i in range(3000)] + [("star", "1", f"p{i}", f"p{i}", f"q{i}", 900 - i) for i in range(400)]
+    star += [("star", "1", f"c{i}", f"p{i}", f"p{i + 1}", 3) for i in range(4)] + [("star", "1", "far", "hub", "z", 1)]
+    mixed = [("mixed", v, f"m{i}", f"n{r.randrange(30)}", f"n{r.randrange(30)}", r.randrange(1, 40)) for v in ("1", "2") for i in range(120)]
+    every = rows + star + mixed
+    e = spark.createDataFrame(every, "repo string, revision string, edge_id string, from_id string, to_id string, weight long")
+    for bounds in ((12, 11, 3), (5, 4, 2), (7, 3, 3)):
+        nodes, kept = (x.collect() for x in project.readable_backbone(e, None, *bounds))
+        for repo, revision in {(x[0], x[1]) for x in every}:
+            own = [x[2:] for x in every if x[:2] == (repo, revision)]
+            score: dict = {}
+            for _, a, b, w in own:
+                score[a], score[b] = score.get(a, 0) + 16 * w, score.get(b, 0) + (16 * w if a != b else 16 * w)
+            want_nodes, want_edges = backbone_by_rule(own, score, *bounds)
+            got_nodes = [x for x in nodes if (x.repo, x.revision) == (repo, revision)]
+            got_edges = [x for x in kept if (x.repo, x.revision) == (repo, revision)]
+            assert {x.node_id for x in got_nodes} == want_nodes and {x.edge_id for x in got_edges} == want_edges, (repo, bounds)
+            assert all(x.omitted_nodes == len(score) - len(want_nodes) for x in got_nodes) and all(x.omitted_edges == len(own) - len(want_edges) for x in got_edges)
+    given = spark.createDataFrame([("r", "1", f"n{i}", float(i)) for i in range(20)] + [("alone", "1", "n", 1.0)], "repo string, revision string, node_id string, score double")
+    nodes, kept = project.readable_backbone(e.filter("repo = 'r' and edge_id = '0>1'"), given, 6)
+    assert {x.node_id for x in nodes.filter("repo = 'r'").collect()} == {"n0", "n1", "n16", "n17", "n18", "n19"} and nodes.filter("repo = 'alone'").count() == 1
 
 
 def test_claims(spark):
@@ -184,8 +226,8 @@ def test_run_states(spark):
     got = {r.run_id: r for r in runs.run_states(df).collect()}
     r = got["run"]
     assert (r.state, r.event_count, r.changed_paths, r.provider_turns, r.wall_time_ms, r.error) == ("review-ready", 10, ["a", "b"], 1, 9000, None) and len(r.event_digest) == 64
-    assert "invalid transition" in got["bad"].error and got["bad"].last_sequence == 4
-    assert "gap" in got["gap"].error
+    assert got["bad"].error.startswith("TRANSITION_NOT_ALLOWED") and got["bad"].last_sequence == 4
+    assert got["gap"].error.startswith("SEQUENCE_GAP")
     assert runs.validate_run_events(frame(spark, events)).filter("problem is not null").count() == 0
     tampered = [{**events[1], "payload": '{"from":"created","to":"failed"}'}, {**events[2], "type": "odd"}]
     assert sorted(x.problem for x in runs.validate_run_events(frame(spark, tampered)).collect()) == ["PAYLOAD_HASH", "TYPE_UNKNOWN"]
@@ -193,6 +235,32 @@ def test_run_states(spark):
     assert [x.verdict for x in runs.journal_manifest_check(df, manifests).orderBy("event_digest").collect()].count("corrupt") == 1
 
 
+def test_run_rules(spark):
+    def ending(*steps, budget=None):
+        first = ("run.created", {"runId": "x", "createdAt": "2026-01-01T00:00:01Z", "budget": budget or {}, "providerId": "p"})
+        return runs.reduce_run(None, [_event(i, k, p, "x") for i, (k, p) in enumerate([first, *steps], 1)])
+
+    move = lambda *states: [("state.changed", {"from": a, "to": b}) for a, b in zip(states, states[1:])]
+    tool = [("tool.requested", {"request": {"id": "t"}}), ("tool.started", {"requestId": "t", "startedAt": ""}), ("tool.completed", {"requestId": "t", "status": "ok", "completedAt": ""})]
+    done = ending(*tool)
+    assert (done["tool_requests"], done["processes"], done["tools"], done["error"]) == (1, 0, {"t": "ok"}, None)
+    assert ending(tool[1])["error"].startswith("TOOL_NOT_REQUESTED") and ending(tool[0], tool[0])["error"].startswith("TOOL_REPEATED")
+    assert ending(*tool, tool[2])["error"].startswith("TOOL_NOT_ACTIVE")
+    to_repair = move("created", "context-planning", "executing", "verifying", "repairing")
+    start, good, other = (("repair." + k, {"receipt": {"attempt": 1, "fingerprint": f}}) for k, f in (("started", "f"), ("completed", "f"), ("completed", "g")))
+    assert ending(*to_repair, start, good)["repair_attempts"] == 1 and ending(*to_repair, start, good)["error"] is None
+    assert ending(*to_repair, start, other)["error"].startswith("REPAIR_NOT_STARTED") and ending(start)["error"].startswith("REPAIR_OUT_OF_STATE")
+    assert ending(("provider.session", {"session": {"providerId": "q"}}))["error"].startswith("PROVIDER_MISMATCH")
+    assert ending(("file.changed", {"paths": ["a", "b"]}), budget={"maxChangedFiles": 1})["error"] == "BUDGET_EXCEEDED: changed files"
+    failed = ending(*move("created", "failed"), ("run.failed", {"error": "e", "completedAt": ""}))
+    assert (failed["state"], failed["error"], failed["event_count"]) == ("failed", None, 3)
+    assert ending(("run.completed", {"response": "", "completedAt": ""}))["error"].startswith("RECEIPT_OUT_OF_STATE")
+    assert ending(("file.changed", {}))["error"].startswith("PAYLOAD") and ending()["state"] == "created"
+    again = [_event(1, "run.created", {"runId": "x", "createdAt": "2026-01-01T00:00:01Z", "budget": {}}, "x")]
+    assert runs.reduce_run(None, again * 2)["event_count"] == 1
+    assert runs.reduce_run(None, [*again, {**_event(2, "plan.created", {"plan": {}}, "x"), "event_id": "x-1"}])["error"] == "EVENT_ID_REUSED"
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     from codecorpus.streaming import flows
 
