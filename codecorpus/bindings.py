@@ -23,6 +23,8 @@ TREE = """
 SELECT source AS repo, 'r1' AS revision, doc_id, concat(lang, '/', CAST(doc_id AS STRING), CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.rs' WHEN 'de' THEN '.ts' ELSE '.md' END) AS path, text AS content
 FROM {documents}
 """
+#: The same in two revisions, each with a half of the files.
+TREE2 = TREE.replace("'r1' AS revision", "CASE WHEN doc_id % 2 = 0 THEN 'r1' ELSE 'r2' END AS revision")
 #: Edges from parts to suppliers.
 EDGES = """
 SELECT 'corpus' AS repo, 'r1' AS revision, concat('P', CAST(l_partkey AS STRING)) AS from_id, concat('S', CAST(l_suppkey AS STRING)) AS to_id, l_returnflag AS kind, CAST(l_linenumber AS INT) AS line, l_orderkey, l_quantity, l_shipdate

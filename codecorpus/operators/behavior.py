@@ -22,21 +22,26 @@ def behavior_passes(sites: DataFrame, symbols: DataFrame, per_call: int = 20, lo
     """passes relations: argument to parameter at resolved sites (keys, from_id, to_id, path, line, ordinal, args[]).
 
     Positions and keywords bind in Python, elsewhere the number of arguments must be that of the parameters. One
-    unsafe argument (spread, nested call, lambda, await, over ``longest``) refuses its site. At most ``per_call`` sites
+    unsafe argument (spread, nested call, lambda, await, over ``longest``), an unknown or repeated parameter, one position
+    too many or after a keyword refuses its site whole. At most ``per_call`` sites
     of a pair, in order.
     """
     lang = F.when(F.col("path").endswith(".py"), "python").when(F.col("path").endswith(".rs"), "rust").otherwise("script")
     sig = symbols.withColumn("language", lang).select(*KEYS, F.col("symbol_id").alias("to_id"), F.col("language").alias("to_language"), parameters_of("signature", "language").alias("params"))
     s = sites.withColumn("language", lang).join(sig, [*KEYS, "to_id"]).filter("language = to_language and params is not null")
     s = s.filter(~F.exists("args", lambda a: a.rlike(UNSAFE) | (F.length(a) > longest)))
-    s = s.filter((F.col("language") == "python") | (F.size("args") == F.size("params")))
+    # what each argument binds; a site is refused whole if one binds nothing or a parameter twice, or a position follows a keyword
+    key = lambda a: F.when((F.col("language") == "python") & a.rlike(r"^[A-Za-z_]\w*\s*=[^=]"), F.regexp_extract(a, r"^([A-Za-z_]\w*)\s*=", 1))
+    value = lambda a: F.trim(F.regexp_replace(a, r"^[A-Za-z_]\w*\s*=", ""))
+    bound = F.transform("args", lambda a, i: F.struct(F.coalesce(key(a), F.get("params", i)).alias("param"), F.when(key(a).isNotNull(), value(a)).otherwise(a).alias("value"), key(a).isNotNull().alias("named")))
+    s = s.withColumn("bound", bound).withColumn("names", F.transform("bound", lambda b: b["param"]))
+    first_named, n_args = F.array_position(F.transform("bound", lambda b: b["named"]), True), F.size("args")
+    late = (first_named > 0) & F.exists(F.transform("bound", lambda b, i: ~b["named"] & (i + 1 > first_named)), lambda x: x)
+    known = F.size(F.array_except("names", "params")) == 0
+    s = s.filter(((F.col("language") == "python") | (n_args == F.size("params"))) & known & ~F.exists("names", lambda n: n.isNull()) & (F.size(F.array_distinct("names")) == n_args) & ~late)
     s = s.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "from_id", "to_id").orderBy("path", "ordinal"))).filter(F.col("k") <= per_call)
-    a = s.select(*KEYS, "from_id", "to_id", "path", "line", "ordinal", "language", "params", F.posexplode("args").alias("pos", "arg"))
-    keyword = F.when((F.col("language") == "python") & F.col("arg").rlike(r"^[A-Za-z_]\w*\s*=[^=]"), F.regexp_extract("arg", r"^([A-Za-z_]\w*)\s*=", 1))
-    a = a.withColumn("keyword", keyword)
-    a = a.withColumn("param", F.when(F.col("keyword").isNotNull(), F.when(F.array_contains("params", F.col("keyword")), F.col("keyword"))).otherwise(F.when(F.col("pos") < F.size("params"), F.element_at("params", F.col("pos") + 1))))
-    a = a.withColumn("value", F.when(F.col("keyword").isNotNull(), F.trim(F.regexp_replace("arg", r"^[A-Za-z_]\w*\s*=", ""))).otherwise(F.col("arg")))
-    out = a.filter("param is not null").groupBy(*KEYS, "from_id", "to_id", "value", "param").agg(F.min("line").alias("line"), F.min("path").alias("path"))
+    a = s.select(*KEYS, "from_id", "to_id", "path", "line", F.explode("bound").alias("b")).select(*KEYS, "from_id", "to_id", "path", "line", "b.param", "b.value")
+    out = a.groupBy(*KEYS, "from_id", "to_id", "value", "param").agg(F.min("line").alias("line"), F.min("path").alias("path"))
     return out.select(_rel_id("repo", "revision", "from_id", "to_id", "value", "param").alias("rel_id"), *KEYS, "from_id", "to_id", F.lit("passes").alias("kind"), F.concat_ws(" -> ", "value", "param").alias("label"), "path", "line", F.lit("inferred").alias("trust"))
 
 

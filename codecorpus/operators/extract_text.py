@@ -1,10 +1,17 @@
-"""Rows from texts by built-in expressions: imports, frameworks, search, trace markers."""
+"""Rows from texts: imports, frameworks and trace markers by built-in expressions, search by one automaton of all queries."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codecorpus.functions import scalars as S
 from codecorpus.operators.storage import stored
@@ -166,24 +173,114 @@ def framework_candidates(files: DataFrame, symbols: DataFrame) -> tuple[DataFram
     return candidates, excluded.select(*KEYS, "framework", "path", "line", F.lit("dynamic-or-unresolved").alias("reason"), S.excerpt(F.col("text")).alias("excerpt"))
 
 
+#: Queries of one automaton; more are searched block by block, each reading the texts once.
+QUERY_BLOCK = 50_000
+
+
+def _simple_fold(c: str) -> str:
+    """A character's lower case as one character: what a letter and its other cases share."""
+    x = c.lower() if len(c.lower()) == 1 else c
+    return x.upper().lower() if len(x.upper()) == 1 and len(x.upper().lower()) == 1 else x
+
+
+_FOLDS: dict[int, str] = {}
+
+
+def folded(text: str) -> str:
+    """The text without differences of case, character by character: places stay what they were."""
+    if text.isascii():
+        return text.lower()
+    if not _FOLDS:
+        _FOLDS.update({i: f for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (f := _simple_fold(chr(i))) != chr(i)})
+    return text.translate(_FOLDS)
+
+
+class _Queries:
+    """An Aho-Corasick automaton of folded queries; made anew in each worker."""
+
+    def __init__(self, queries: list[str]):
+        self.queries, self.automaton = queries, None
+
+    def __reduce__(self):
+        return _Queries, (self.queries,)
+
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """(query, start, end) of the matches in a text, those of one query from left to right without overlap."""
+        if self.automaton is None:
+            same: dict[str, list[int]] = {}
+            for i, q in enumerate(self.queries):
+                same.setdefault(folded(q), []).append(i)
+            self.automaton = ahocorasick.Automaton()
+            for q, ids in same.items():
+                self.automaton.add_word(q, (len(q), ids))
+            self.automaton.make_automaton()
+        out, over = [], {}
+        for last, (size, ids) in self.automaton.iter(folded(text)):
+            start = last + 1 - size
+            if over.get(ids[0], 0) <= start:
+                over[ids[0]] = last + 1
+                out += [(i, start, last + 1) for i in ids]
+        return out
+
+
+def _with_matches(df: DataFrame, text_col: str, queries: DataFrame, fields: str, rows_of) -> DataFrame:
+    """``df``'s columns as struct ``row``, query_id, and the ``fields`` that ``rows_of(text, matches)`` gives with the query's number.
+
+    The queries are the stated set: they go to the tasks in blocks of bounded size.
+    """
+    asked = queries.filter("query != ''").select("query_id", "query")
+    n = -(-asked.count() // QUERY_BLOCK)
+    spark, out = df.sparkSession, None
+    src = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("row"), F.col(text_col).alias("text")).filter("text is not null")
+    schema = T.StructType([src.schema["row"], *T.StructType.fromDDL(f"q int, {fields}")])
+    arrow = to_arrow_schema(schema)
+    for k in range(max(1, n)):
+        block = [(r.query_id, r.query) for r in asked.filter(F.pmod(F.xxhash64("query"), F.lit(max(1, n))) == k).toLocalIterator()]
+        finder = spark.sparkContext.broadcast(_Queries([q for _, q in block]))
+
+        def run(batches, finder=finder):
+            for batch in batches:
+                at, rows = [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    found = rows_of(text, finder.value.find(text)) if finder.value.queries else []
+                    at += [i] * len(found)
+                    rows += found
+                columns = [pa.array([r[j] for r in rows], arrow.field(j + 1).type) for j in range(len(arrow) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), *columns], names=arrow.names)
+
+        ids = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(block)], T.StructType([T.StructField("q", T.IntegerType()), queries.schema["query_id"]]))
+        part = src.mapInArrow(run, schema).join(F.broadcast(ids), "q").drop("q")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _line_matches(text: str, matches: list[tuple[int, int, int]]) -> list[tuple]:
+    """(query, line, column, preview) of matches within a line."""
+    if not matches:
+        return []
+    lead = text.startswith("\ufeff")
+    starts = [lead, *(m.end() for m in re.finditer(r"\n", text))]
+    out = []
+    for q, a, b in matches:
+        k = bisect_right(starts, a) - 1
+        if k < 0:
+            continue
+        end = starts[k + 1] - 1 if k + 1 < len(starts) else len(text)
+        end -= k + 1 < len(starts) and text[end - 1 : end] == "\r" and end > starts[k]
+        if b <= end:
+            low, high = max(starts[k], a - 60), min(end, b + 220)
+            out.append((q, k + 1, a - starts[k] + 1, ("…" if low > starts[k] else "") + text[low:high] + ("…" if high < end else "")))
+    return out
+
+
 def search_text(files: DataFrame, queries: DataFrame, most: int | None = 150) -> DataFrame:
     """Literal, case-insensitive matches of ``queries(query_id, query)``: path, line, column (from 1), preview.
 
-    The whole text is tested before its lines are taken apart; the pieces around the matches give the columns, so a
-    letter whose lower case is longer moves nothing. ``most`` per query is the feature's report size (None: all).
+    All queries are looked for at once in each text, character by character without case, so a letter whose lower case
+    is longer moves nothing; nothing is joined but their ids. ``most`` per query is the feature's report size (None: all).
     """
-    rx = F.concat(F.lit("(?iu)\\Q"), F.regexp_replace("query", r"\\E", r"\\\\E"), F.lit("\\E"))
-    asked = queries.filter("query != ''").select("query_id", rx.alias("rx"))
-    hit = files.join(asked, F.expr("rlike(content, rx)"))
-    lines = hit.select(*KEYS, "path", "query_id", "rx", F.posexplode(F.split(F.regexp_replace("content", "^﻿", ""), r"\r?\n")).alias("at", "text")).filter("rlike(text, rx)")
-    found = lines.withColumn("pieces", F.split("text", F.col("rx"), -1)).withColumn("matched", F.regexp_extract_all("text", "rx", F.lit(0)))
-    spots = found.select(*KEYS, "path", "query_id", (F.col("at") + 1).alias("line"), "text", F.posexplode("matched").alias("k", "match"), "pieces", "matched")
-    before = F.aggregate(F.slice("pieces", 1, F.col("k") + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice("matched", 1, F.col("k")), F.lit(0), lambda a, p: a + F.length(p))
-    spots = spots.withColumn("column", before + 1)
-    start = F.greatest(F.lit(1), F.col("column") - 60)
-    end = F.least(F.length("text"), F.col("column") + F.length("match") - 1 + 220)
-    preview = F.concat(F.when(start > 1, "…").otherwise(""), F.substr("text", start, end - start + 1), F.when(end < F.length("text"), "…").otherwise(""))
-    out = spots.select(*KEYS, "query_id", "path", "line", "column", preview.alias("preview"))
+    found = _with_matches(files.select(*KEYS, "path", "content"), "content", queries, "line int, column int, preview string", _line_matches)
+    out = found.select("row.*", "query_id", "line", "column", "preview")
     if most is None:
         return out
     order = W.partitionBy("query_id").orderBy(*KEYS, "path", "line", "column")
@@ -192,8 +289,9 @@ def search_text(files: DataFrame, queries: DataFrame, most: int | None = 150) ->
 
 def search_symbols(symbols: DataFrame, queries: DataFrame, most: int | None = 150) -> DataFrame:
     """Declarations whose name contains a query, ignoring case: query_id, name, kind, path, line."""
-    asked = queries.filter("query != ''").select("query_id", F.lower("query").alias("q"))
-    out = symbols.join(asked, F.lower("name").contains(F.col("q"))).select(*KEYS, "query_id", "symbol_id", "name", "kind", "path", "line")
+    named = symbols.select(*KEYS, "symbol_id", "name", "kind", "path", "line", F.col("name").alias("_text"))
+    found = _with_matches(named, "_text", queries, "first int", lambda text, matches: [(q, a) for q, a, _ in {m[0]: m for m in reversed(matches)}.values()])
+    out = found.select("row.repo", "row.revision", "query_id", "row.symbol_id", "row.name", "row.kind", "row.path", "row.line")
     if most is None:
         return out
     order = W.partitionBy("query_id").orderBy(*KEYS, "path", "line", "name", "symbol_id")

@@ -32,13 +32,13 @@ def in_ignored_folder(path):
 
 
 def ignore_rules(ignore_files: DataFrame) -> DataFrame:
-    """Rows (repo, folder, rule_no, negate, pattern): the lines of ignore files as regular expressions on whole paths.
+    """Rows (repo, revision, folder, rule_no, negate, pattern): the lines of ignore files as regular expressions on whole paths.
 
-    ``ignore_files`` has repo, path and content. A rule with a slash is anchored at its folder, another matches at any
+    ``ignore_files`` has repo, revision, path and content. A rule with a slash is anchored at its folder, another matches at any
     depth below it; a rule ending in a slash matches folders only.
     """
     folder = F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "/$", "")
-    lines = ignore_files.select("repo", folder.alias("folder"), F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")).filter("line != '' and not startswith(line, '#')")
+    lines = ignore_files.select("repo", "revision", folder.alias("folder"), F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")).filter("line != '' and not startswith(line, '#')")
     rule = F.regexp_replace("line", "^!", "")
     plain = F.regexp_replace(rule, "^/|/$", "")
     anchored = F.regexp_replace(rule, "/$", "").contains("/")
@@ -50,6 +50,7 @@ def ignore_rules(ignore_files: DataFrame) -> DataFrame:
     depth = F.length("folder") - F.length(F.regexp_replace("folder", "/", "")) + (F.col("folder") != "").cast("int")
     return lines.select(
         "repo",
+        "revision",
         "folder",
         (depth * 1_000_000 + F.col("line_no")).alias("rule_no"),
         F.startswith("line", F.lit("!")).alias("negate"),
@@ -58,11 +59,16 @@ def ignore_rules(ignore_files: DataFrame) -> DataFrame:
 
 
 def apply_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``files`` (key repo, path) without ignored ones: ignored folders, then the last rule that matches decides."""
+    """``files`` (key repo, revision, path) without ignored ones: ignored folders, then the last rule that matches decides.
+
+    A file meets the rules of its own revision that stand in a folder above it, and no others.
+    """
     kept = files.filter(~in_ignored_folder(F.col("path")))
-    hit = kept.select("repo", "path").join(rules, "repo").filter("rlike(path, pattern)")
-    last = hit.groupBy("repo", "path").agg(F.max_by("negate", "rule_no").alias("negate")).filter("not negate").select("repo", "path")
-    return kept.join(last, ["repo", "path"], "left_anti")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hit = kept.select("repo", "revision", "path", F.explode(above).alias("folder")).join(rules, ["repo", "revision", "folder"]).filter("rlike(path, pattern)")
+    last = hit.groupBy("repo", "revision", "path").agg(F.max_by("negate", "rule_no").alias("negate")).filter("not negate").select("repo", "revision", "path")
+    return kept.join(last, ["repo", "revision", "path"], "left_anti")
 
 
 def source_files(files: DataFrame) -> DataFrame:

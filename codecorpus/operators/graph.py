@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from codecorpus.operators.storage import stored
 
 KEYS = ["repo", "revision"]
+#: Levels of a walk that are read as they were written, before they become one table.
+MERGE_LEVELS = 16
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, external: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +37,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", levels:
     """
     a, b = ("from_id", "to_id") if direction == "down" else ("to_id", "from_id")
     step = stored(edges.select(*KEYS, F.col(a).alias("at"), F.col(b).alias("node")).distinct())
-    seen = stored(starts.select(*KEYS, "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    seen, merged = stored(starts.select(*KEYS, "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()), 0
     front, depth = seen, 0
     while levels is None or depth < levels:
         depth += 1
@@ -43,7 +45,9 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", levels:
         front = stored(nxt.join(seen, [*KEYS, "start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = stored(seen.unionByName(front))
+        seen = seen.unionByName(front)  # levels stay as they were written, and become one table now and then
+        if depth - merged >= MERGE_LEVELS:
+            seen, merged = stored(seen), depth
     touched = edges.join(seen.select(*KEYS, "start", F.col("node").alias(a)), [*KEYS, a])
     return seen, touched
 

@@ -12,14 +12,14 @@ KEYS = ["repo", "revision"]
 
 
 def language_coverage(files: DataFrame) -> DataFrame:
-    """Per repository and language, and per repository in total (language ``total``): indexed, deep, file_only, skipped, oversized and mode.
+    """Per repository, revision and language, and in total (language ``total``): indexed, deep, file_only, skipped, oversized and mode.
 
-    ``files`` has path, skip_reason.
+    ``files`` has keys, path, skip_reason.
     """
     ext = S.extension(F.col("path"))
-    rows = files.select("repo", S.language_of(ext).alias("language"), ext.isin(S.DEEP_EXTENSIONS).alias("deep"), "skip_reason")
+    rows = files.select(*KEYS, S.language_of(ext).alias("language"), ext.isin(S.DEEP_EXTENSIONS).alias("deep"), "skip_reason")
     read = F.col("skip_reason").isNull()
-    out = rows.rollup("repo", "language").agg(
+    out = rows.rollup(*KEYS, "language").agg(
         F.count("*").alias("indexed"),
         F.count_if(read).alias("analyzed"),
         F.count_if(read & F.col("deep")).alias("deep"),
@@ -29,7 +29,7 @@ def language_coverage(files: DataFrame) -> DataFrame:
         F.grouping_id().alias("level"),
     )
     mode = F.when(F.col("deep") == 0, "file-only").when(F.col("deep") == F.col("indexed"), "deep").otherwise("partial")
-    return out.filter("level < 3").select("repo", F.when(F.col("level") == 1, "total").otherwise(F.col("language")).alias("language"), "indexed", "analyzed", "deep", "file_only", "skipped", "oversized", mode.alias("mode"))
+    return out.filter("level < 2").select(*KEYS, F.when(F.col("level") == 1, "total").otherwise(F.col("language")).alias("language"), "indexed", "analyzed", "deep", "file_only", "skipped", "oversized", mode.alias("mode"))
 
 
 def kind_counts(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,32 +39,39 @@ def kind_counts(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def source_revision(files: DataFrame, id_col: str = "path") -> DataFrame:
-    """Per repository: SHA-256 over its sorted ``id:hash`` lines. The list is one line of about 100 bytes for each file."""
+    """Per repository and revision: SHA-256 over its sorted ``id:hash`` lines. The list is one line of about 100 bytes for each file."""
     line = F.concat_ws(":", id_col, "hash")
-    return files.groupBy("repo").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("source_revision"), F.count("*").alias("n_files"))
+    return files.groupBy(*KEYS).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("source_revision"), F.count("*").alias("n_files"))
 
 
 def layer_revision(tables: dict[str, DataFrame]) -> DataFrame:
-    """One fingerprint per repository and layer, over the sorted hashes of its rows."""
+    """One fingerprint per repository, revision and layer, over the sorted hashes of its rows.
+
+    The rows of a layer are hashed in 256 parts by their own hash, and the parts in order, so that no list holds a layer.
+    """
     out = None
     for layer, df in tables.items():
         cols = sorted(c for c in df.columns if c not in KEYS)
-        one = df.groupBy("repo").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(S.row_hash(*cols))), "\n"), 256).alias("fingerprint"), F.count("*").alias("n")).select("repo", F.lit(layer).alias("layer"), "fingerprint", "n")
+        hashed = df.select(*KEYS, S.row_hash(*cols).alias("h"))
+        part = hashed.groupBy(*KEYS, F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256)
+        one = part.groupBy(*KEYS).agg(whole.alias("fingerprint"), F.sum("n").alias("n")).select(*KEYS, F.lit(layer).alias("layer"), "fingerprint", "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def receipts(layer: str, table: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Per repository: valid (no error), rows, source-backed, verified and provisional counts."""
-    t = table.groupBy("repo").agg(
+    """Per repository and revision: valid (no error), rows, pieces of evidence, source-backed, verified and provisional counts."""
+    t = table.groupBy(*KEYS).agg(
         F.count("*").alias("n"),
+        F.sum(F.greatest(F.size("evidence"), F.lit(0))).cast("long").alias("evidence_count") if "evidence" in table.columns else F.lit(0).cast("long").alias("evidence_count"),
         F.count_if(F.size("evidence") > 0).alias("source_backed") if "evidence" in table.columns else F.lit(0).cast("long").alias("source_backed"),
         F.count_if(F.col("trust") == "verified").alias("verified") if "trust" in table.columns else F.lit(0).cast("long").alias("verified"),
         F.count_if(F.col("status") == "provisional").alias("provisional") if "status" in table.columns else F.lit(0).cast("long").alias("provisional"),
     )
-    d = diagnostics.groupBy("repo").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    j = t.join(d, "repo", "left").fillna(0, ["errors", "warnings"])
-    return j.select("repo", F.lit(layer).alias("layer"), (F.col("errors") == 0).alias("valid"), "n", "source_backed", "verified", "provisional", "errors", "warnings")
+    d = diagnostics.groupBy(*KEYS).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    j = t.join(d, KEYS, "left").fillna(0, ["errors", "warnings"])
+    return j.select(*KEYS, F.lit(layer).alias("layer"), (F.col("errors") == 0).alias("valid"), "n", "evidence_count", "source_backed", "verified", "provisional", "errors", "warnings")
 
 
 def callgraph_score(predicted: DataFrame, oracle: DataFrame, declared: DataFrame, known: DataFrame) -> DataFrame:
@@ -110,22 +117,27 @@ def score_examples(predicted: DataFrame, oracle: DataFrame, most: int = 12) -> D
 def scope_metrics(outputs: DataFrame, cases: DataFrame) -> DataFrame:
     """Per case and provider: precision and recall of selected, planned and changed paths, and violations.
 
+    An empty answer to an empty expectation is right, to another one its precision is 0. Forbidden and required paths
+    are looked for among the selected ones, changed paths among the expected ones; commands are compared trimmed.
+
     ``cases``: selected_paths, changed_paths, required_paths, forbidden_paths, commands, expected_verification_passed;
     ``outputs``: selected_paths, planned_paths, changed_paths, commands, verification_passed, verification_runs.
     """
     none = F.array().cast("array<string>")
+    trimmed = lambda c: F.array_distinct(F.transform(F.coalesce(c, none), lambda x: F.trim(x)))
+    cases, outputs = cases.withColumn("commands", trimmed("commands")), outputs.withColumn("commands", trimmed("commands"))
     c = cases.select("case_id", *[F.array_distinct(F.coalesce(x, none)).alias(f"want_{x}") for x in ("selected_paths", "changed_paths", "required_paths", "forbidden_paths", "commands")], "expected_verification_passed")
     o = outputs.select("case_id", "provider_id", *[F.array_distinct(F.coalesce(x, none)).alias(x) for x in ("selected_paths", "planned_paths", "changed_paths", "commands")], "verification_passed", "verification_runs")
     j = o.join(c, "case_id")
     both = lambda a, b: F.size(F.array_intersect(a, b))
     out = {}
     for name, got, want in (("context", "selected_paths", "want_selected_paths"), ("plan", "planned_paths", "want_changed_paths"), ("changed", "changed_paths", "want_changed_paths")):
-        out[f"{name}_precision"] = S.ratio(both(got, want), F.size(got))
+        out[f"{name}_precision"] = F.when((F.size(got) == 0) & (F.size(want) > 0), 0.0).otherwise(S.ratio(both(got, want), F.size(got)))
         out[f"{name}_recall"] = S.ratio(both(got, want), F.size(want))
         out[f"{name}_f1"] = S.f1(out[f"{name}_precision"], out[f"{name}_recall"])
     out["out_of_scope"] = F.size(F.array_except("changed_paths", "want_changed_paths"))
-    out["forbidden"] = both("changed_paths", "want_forbidden_paths")
-    out["missing_required"] = F.size(F.array_except("want_required_paths", "changed_paths"))
+    out["forbidden"] = both("selected_paths", "want_forbidden_paths")
+    out["missing_required"] = F.size(F.array_except("want_required_paths", "selected_paths"))
     out["command_violations"] = F.size(F.array_except("commands", "want_commands"))
     out["verification_accurate"] = F.col("verification_passed").eqNullSafe(F.col("expected_verification_passed"))
     out["bounded_verification"] = F.coalesce("verification_runs", F.lit(0)) <= 3

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 KEYS = ["repo", "revision"]
 MAX_EVENTS, MAX_WARNINGS = 10_000, 100
-EVENT_DDL = "session_id string, sequence long, phase string, symbol_id string, parent_symbol_id string, offset_ms long, duration_ms long, outcome string, warning string"
+EVENT_DDL = "session_id string, sequence long, phase string, symbol_id string, parent_symbol_id string, offset_ms long, duration_ms long, outcome string, opened long, warning string"
 _EVENT_COLUMNS = [x.split()[0] for x in EVENT_DDL.split(", ")]
 
 
@@ -32,11 +32,12 @@ def resolve_trace_symbols(markers: DataFrame, symbols: DataFrame) -> DataFrame:
     return asked.join(one, cond, "left").select(*markers.columns, "symbol_id")
 
 
-def reduce_stack(stack: list[tuple[str, int]], events: list[tuple[int, int, str, str | None, str | None]], begun: int | None, sequence: int, warned: int) -> tuple[list[dict], list[tuple[str, int]], int | None, int, int]:
-    """One session's further events (order, ms, phase, symbol, outcome) against its open calls (symbol, ms entered).
+def reduce_stack(stack: list[tuple[str, int, int]], events: list[tuple[int, int, str, str | None, str | None]], begun: int | None, sequence: int, warned: int) -> tuple[list[dict], list[tuple[str, int, int]], int | None, int, int]:
+    """One session's further events (order, ms, phase, symbol, outcome) against its open calls (symbol, ms entered, sequence).
 
     Enter opens a call; exit and error close the nearest open call of the symbol and all above it. An event without
-    a symbol, or a close without an open call, gives a warning row. Returns rows, stack, start, sequence, warnings.
+    a symbol, or a close without an open call, gives a warning row. A close carries ``opened``, the sequence of the enter
+    row that it closes. Returns rows, stack, start, sequence, warnings.
     """
     rows = []
     for _, ms, phase, symbol, outcome in sorted(events, key=lambda e: e[0]):
@@ -52,9 +53,9 @@ def reduce_stack(stack: list[tuple[str, int]], events: list[tuple[int, int, str,
         row = {"sequence": sequence, "phase": phase, "symbol_id": symbol, "offset_ms": max(0, ms - begun)}
         if phase == "enter":
             row |= {"parent_symbol_id": stack[-1][0] if stack else None, "outcome": "unknown"}
-            stack.append((symbol, ms))
+            stack.append((symbol, ms, sequence))
         else:
-            row |= {"parent_symbol_id": stack[at - 1][0] if at else None, "duration_ms": max(0, ms - stack[at][1]), "outcome": "error" if phase == "error" or outcome == "error" else "ok"}
+            row |= {"parent_symbol_id": stack[at - 1][0] if at else None, "duration_ms": max(0, ms - stack[at][1]), "outcome": "error" if phase == "error" or outcome == "error" else "ok", "opened": stack[at][2]}
             del stack[at:]
         rows.append(row)
     return rows, stack, begun, sequence, warned
@@ -62,7 +63,7 @@ def reduce_stack(stack: list[tuple[str, int]], events: list[tuple[int, int, str,
 
 def event_frame(session: str, rows: list[dict]) -> pd.DataFrame:
     df = pd.DataFrame([{"session_id": session, **r} for r in rows], columns=_EVENT_COLUMNS)
-    return df.astype({"sequence": "Int64", "offset_ms": "Int64", "duration_ms": "Int64"}).astype(object).where(lambda d: d.notna(), None)
+    return df.astype({"sequence": "Int64", "offset_ms": "Int64", "duration_ms": "Int64", "opened": "Int64"}).astype(object).where(lambda d: d.notna(), None)
 
 
 def event_rows(pdf: pd.DataFrame) -> list[tuple]:
@@ -86,10 +87,10 @@ def trace_stacks(events: DataFrame) -> DataFrame:
 
 
 def with_durations(events: DataFrame) -> DataFrame:
-    """Enter rows take duration and outcome of the row that closes them: the first later close of the symbol in the session."""
+    """Enter rows take duration and outcome of the row that closes them; a call that an outer one closes has neither."""
     e = events.filter("warning is null")
-    w = W.partitionBy("session_id", "symbol_id").orderBy("sequence").rowsBetween(1, W.unboundedFollowing)
-    closing = F.first(F.when(F.col("phase") != "enter", F.struct("duration_ms", "outcome")), ignorenulls=True).over(w)
+    w = W.partitionBy("session_id", F.coalesce("opened", "sequence"))
+    closing = F.max(F.when(F.col("opened").isNotNull(), F.struct("duration_ms", "outcome"))).over(w)
     e = e.withColumn("_c", F.when(F.col("phase") == "enter", closing))
     return e.withColumns({"duration_ms": F.coalesce("duration_ms", F.col("_c.duration_ms")), "outcome": F.coalesce(F.col("_c.outcome"), F.col("outcome"))}).drop("_c")
 

@@ -1,4 +1,4 @@
-"""Checks of every layer: each gives diagnostics (repo, layer, code, severity, subject)."""
+"""Checks of every layer: each gives diagnostics (repo, revision, layer, code, severity, subject); those of traces, which have no revision, a null one."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ KEYS = ["repo", "revision"]
 
 def _diag(df: DataFrame, layer: str, code: str, subject: str | Column, severity: str = "error") -> DataFrame:
     subject = F.col(subject) if isinstance(subject, str) else subject
-    return df.select("repo", F.lit(layer).alias("layer"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
+    revision = F.col("revision") if "revision" in df.columns else F.lit(None).cast("string")
+    return df.select("repo", revision.alias("revision"), F.lit(layer).alias("layer"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

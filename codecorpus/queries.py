@@ -49,11 +49,13 @@ def _(d):
     return filters.eligible_text(d.sql(B.TREE).withColumn("size", F.octet_length("content")), 4000).select("repo", "path", "skip_reason")
 
 
-@query("flt2_apply_ignores", f"SELECT repo, path FROM ({B.TREE}) WHERE NOT (regexp_matches(path, '^en/1[^/]*$') AND NOT regexp_matches(path, '^(?:.*/)?[^/]*5\\.py$')) AND NOT starts_with(path, 'fr/')")
+@query("flt2_apply_ignores", f"SELECT repo, revision, path FROM ({B.TREE2}) WHERE CASE revision WHEN 'r1' THEN NOT (regexp_matches(path, '^en/1[^/]*$') AND NOT regexp_matches(path, '^(?:.*/)?[^/]*5\\.py$')) AND NOT starts_with(path, 'fr/') ELSE NOT regexp_matches(path, '^de/.*7\\.ts$') END")
 def _(d):
-    tree = d.sql(B.TREE)
-    rules = tree.select("repo").distinct().select("repo", F.lit(".gitignore").alias("path"), F.lit("# kept\nen/1*\n!*5.py\nfr/\n").alias("content"))
-    return filters.apply_ignores(tree, filters.ignore_rules(rules)).select("repo", "path")
+    tree = d.sql(B.TREE2)
+    keys = tree.select(*KEYS).distinct()
+    rules = keys.filter("revision = 'r1'").select(*KEYS, F.lit(".gitignore").alias("path"), F.lit("# kept\nen/1*\n!*5.py\nfr/\n").alias("content"))
+    rules = rules.unionByName(keys.filter("revision = 'r2'").select(*KEYS, F.lit("de/.gitignore").alias("path"), F.lit("*7.ts\n").alias("content")))
+    return filters.apply_ignores(tree, filters.ignore_rules(rules)).select(*KEYS, "path")
 
 
 @query("flt3_source_files", f"SELECT repo, path, ext AS extension, {_LANG_CASE} AS language, list_contains({_sql_list(S.DEEP_EXTENSIONS)}, ext) AS deep FROM (SELECT *, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM ({B.TREE})) WHERE list_contains({_sql_list(S.SOURCE_EXTENSIONS)}, ext)")
@@ -255,14 +257,14 @@ def _(d):
     return project.module_cards(nodes, parse.extract_symbols(files)).select("module", "n_files", "n_symbols", "subtitle")
 
 
-@query("jn2_owner_at_line", f"SELECT k, arg_min(symbol_id, (span, -s_line)) AS owner_id FROM (SELECT p.k, s.symbol_id, s.end_line - s.line AS span, s.line AS s_line FROM (SELECT k, 'src/m' || CAST(k % 20 AS VARCHAR) AS g, k % 30 + 1 AS at FROM ({B.SYMBOLS})) p JOIN (SELECT *, 'src/m' || CAST(k % 20 AS VARCHAR) AS g FROM ({B.SYMBOLS}) WHERE k < 200) s ON p.g = s.g AND p.at BETWEEN s.line AND s.end_line) GROUP BY k HAVING count(*) = 1")
+_NESTED = f"SELECT *, concat('src/g', CAST(CAST(floor(k / 40.0) AS BIGINT) AS STRING), '.py') AS file FROM ({B.SYMBOLS})"
+
+
+@query("jn2_owner_at_line", f"SELECT k, symbol_id AS owner_id FROM (SELECT p.k, s.symbol_id, row_number() OVER (PARTITION BY p.k ORDER BY s.end_line - s.line, s.line DESC, s.symbol_id) AS r FROM (SELECT k, file, k % 30 + 1 AS at FROM ({_NESTED})) p JOIN ({_NESTED}) s ON p.file = s.file AND p.at BETWEEN s.line AND s.end_line) WHERE r = 1".replace("AS STRING", "AS VARCHAR"))
 def _(d):
-    s = d.sql(B.SYMBOLS)
-    group = F.concat(F.lit("src/m"), (F.col("k") % 20).cast("string"))
-    points = s.select(*KEYS, group.alias("path"), (F.col("k") % 30 + 1).alias("line"), "k")
-    syms = s.filter("k < 200").withColumn("path", group)
-    alone = points.join(syms.select("path", F.col("line").alias("sl"), "end_line"), "path").filter("line between sl and end_line").groupBy("k").count().filter("count = 1")
-    return resolve.owner_at_line(points, syms).join(alone, "k", "left_semi").select("k", "owner_id")
+    s = d.sql(_NESTED).drop("path").withColumnRenamed("file", "path")
+    points = s.select(*KEYS, "path", (F.col("k") % 30 + 1).alias("line"), "k")
+    return resolve.owner_at_line(points, s).select("k", "owner_id")
 
 
 @query("jn3_4_python_calls", f"SELECT a.id AS from_id, b.id AS to_id, 0.92::DOUBLE AS confidence FROM (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) a JOIN (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) b ON b.k = CAST(floor(a.k / 2.0) AS BIGINT) AND a.k > 0")
@@ -305,13 +307,13 @@ def _(d):
 
 # ---- aggregation, windows and projections ----------------------------------------------------------------------------
 
-_COVER = f"SELECT repo, {_LANG_CASE} AS language, list_contains({_sql_list(S.DEEP_EXTENSIONS)}, ext) AS deep, CASE WHEN strlen(content) > 4000 THEN 'oversized' END AS skip_reason FROM (SELECT *, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM ({B.TREE}))"
+_COVER = f"SELECT repo, revision, {_LANG_CASE} AS language, list_contains({_sql_list(S.DEEP_EXTENSIONS)}, ext) AS deep, CASE WHEN strlen(content) > 4000 THEN 'oversized' END AS skip_reason FROM (SELECT *, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM ({B.TREE2}))"
 _COVER_AGG = "count(*) AS indexed, count(*) FILTER (skip_reason IS NULL) AS analyzed, count(*) FILTER (skip_reason IS NULL AND deep) AS deep, count(*) FILTER (skip_reason IS NULL AND NOT deep) AS file_only, count(*) FILTER (skip_reason IS NOT NULL) AS skipped, count(*) FILTER (skip_reason = 'oversized') AS oversized"
 
 
-@query("agg5_language_coverage", f"SELECT *, CASE WHEN deep = 0 THEN 'file-only' WHEN deep = indexed THEN 'deep' ELSE 'partial' END AS mode FROM (SELECT repo, language, {_COVER_AGG} FROM ({_COVER}) GROUP BY repo, language UNION ALL SELECT repo, 'total', {_COVER_AGG} FROM ({_COVER}) GROUP BY repo)")
+@query("agg5_language_coverage", f"SELECT *, CASE WHEN deep = 0 THEN 'file-only' WHEN deep = indexed THEN 'deep' ELSE 'partial' END AS mode FROM (SELECT repo, revision, language, {_COVER_AGG} FROM ({_COVER}) GROUP BY repo, revision, language UNION ALL SELECT repo, revision, 'total', {_COVER_AGG} FROM ({_COVER}) GROUP BY repo, revision)")
 def _(d):
-    return metrics.language_coverage(filters.eligible_text(d.sql(B.TREE).withColumn("size", F.octet_length("content")), 4000))
+    return metrics.language_coverage(filters.eligible_text(d.sql(B.TREE2).withColumn("size", F.octet_length("content")), 4000))
 
 
 @query("agg6_kind_counts", "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM {documents} GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM {documents} GROUP BY source")
@@ -319,9 +321,9 @@ def _(d):
     return metrics.kind_counts(d.table("documents"), ["lang", "source"])
 
 
-@query("agg8_source_revision", f"SELECT repo, sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path || ':' || sha256(content))) AS source_revision, count(*) AS n_files FROM ({B.TREE}) GROUP BY repo")
+@query("agg8_source_revision", f"SELECT repo, revision, sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path || ':' || sha256(content))) AS source_revision, count(*) AS n_files FROM ({B.TREE2}) GROUP BY repo, revision")
 def _(d):
-    return metrics.source_revision(d.sql(B.TREE).withColumn("hash", S.content_hash(F.col("content"))))
+    return metrics.source_revision(d.sql(B.TREE2).withColumn("hash", S.content_hash(F.col("content"))))
 
 
 _R = lambda a, b: f"CASE WHEN {b} = 0 THEN 1.0 ELSE {a} / ({b})::DOUBLE END"
@@ -341,27 +343,27 @@ def _(d):
     return metrics.callgraph_score(ours, gold, names, names).select("case_id", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
-_CASES = f"SELECT case_id, list(DISTINCT to_name) FILTER (quality = 1) AS want, list(DISTINCT to_name) FILTER (toxic = 1) AS bad FROM ({B.EVAL}) GROUP BY case_id"
+_CASES = f"SELECT case_id, list(DISTINCT to_name) FILTER (quality = 1) AS want, list(DISTINCT to_name) FILTER (toxic = 1) AS bad, list(DISTINCT to_name) FILTER (quality = 1 AND predicted = 1) AS must FROM ({B.EVAL}) GROUP BY case_id"
 _OUTS = f"SELECT case_id, provider_id, list(DISTINCT to_name) FILTER (predicted = 1) AS got FROM ({B.EVAL}) GROUP BY case_id, provider_id"
-_SCOPE = f"SELECT c.case_id, provider_id, coalesce(len(list_intersect(got, want)), 0) AS hit, coalesce(len(got), 0) AS g, coalesce(len(want), 0) AS w, coalesce(len(list_intersect(got, bad)), 0) AS forbidden FROM ({_OUTS}) o JOIN ({_CASES}) c ON o.case_id = c.case_id"
+_SCOPE = f"SELECT c.case_id, provider_id, coalesce(len(list_intersect(got, want)), 0) AS hit, coalesce(len(got), 0) AS g, coalesce(len(want), 0) AS w, coalesce(len(list_intersect(got, bad)), 0) AS forbidden, coalesce(len(must), 0) - coalesce(len(list_intersect(got, must)), 0) AS missing FROM ({_OUTS}) o JOIN ({_CASES}) c ON o.case_id = c.case_id"
 
 
 def _scope(d):
     e = d.sql(B.EVAL)
     none = F.array().cast("array<string>")
-    cases = e.groupBy("case_id").agg(F.collect_set(F.when(F.col("quality") == 1, F.col("to_name"))).alias("w"), F.collect_set(F.when(F.col("toxic") == 1, F.col("to_name"))).alias("forbidden_paths"))
-    cases = cases.select("case_id", F.col("w").alias("selected_paths"), F.col("w").alias("changed_paths"), none.alias("required_paths"), "forbidden_paths", none.alias("commands"), F.lit(True).alias("expected_verification_passed"))
+    cases = e.groupBy("case_id").agg(F.collect_set(F.when(F.col("quality") == 1, F.col("to_name"))).alias("w"), F.collect_set(F.when(F.col("toxic") == 1, F.col("to_name"))).alias("forbidden_paths"), F.collect_set(F.when((F.col("quality") == 1) & (F.col("predicted") == 1), F.col("to_name"))).alias("required_paths"))
+    cases = cases.select("case_id", F.col("w").alias("selected_paths"), F.col("w").alias("changed_paths"), "required_paths", "forbidden_paths", none.alias("commands"), F.lit(True).alias("expected_verification_passed"))
     outs = e.groupBy("case_id", "provider_id").agg(F.collect_set(F.when(F.col("predicted") == 1, F.col("to_name"))).alias("g"))
     outs = outs.select("case_id", "provider_id", F.col("g").alias("selected_paths"), F.col("g").alias("planned_paths"), F.col("g").alias("changed_paths"), none.alias("commands"), F.lit(True).alias("verification_passed"), F.lit(1).alias("verification_runs"))
     return metrics.scope_metrics(outs, cases)
 
 
-@query("agg10_scope_metrics", f"SELECT case_id, provider_id, {_R('hit', 'g')} AS context_precision, {_R('hit', 'w')} AS context_recall, CAST(g - hit AS INT) AS out_of_scope, CAST(forbidden AS INT) AS forbidden, g - hit + forbidden = 0 AS passed FROM ({_SCOPE})")
+@query("agg10_scope_metrics", f"SELECT case_id, provider_id, CASE WHEN g = 0 AND w > 0 THEN 0.0 ELSE {_R('hit', 'g')} END AS context_precision, {_R('hit', 'w')} AS context_recall, CAST(g - hit AS INT) AS out_of_scope, CAST(forbidden AS INT) AS forbidden, CAST(missing AS INT) AS missing_required, g - hit + forbidden + missing = 0 AS passed FROM ({_SCOPE})")
 def _(d):
-    return _scope(d).select("case_id", "provider_id", "context_precision", "context_recall", "out_of_scope", "forbidden", "passed")
+    return _scope(d).select("case_id", "provider_id", "context_precision", "context_recall", "out_of_scope", "forbidden", "missing_required", "passed")
 
 
-@query("agg11_provider_matrix", f"SELECT provider_id, count(*) AS cases, count(*) FILTER (g - hit + forbidden = 0) AS passed, CAST(sum(g - hit + forbidden) AS BIGINT) AS violations FROM ({_SCOPE}) GROUP BY provider_id")
+@query("agg11_provider_matrix", f"SELECT provider_id, count(*) AS cases, count(*) FILTER (g - hit + forbidden + missing = 0) AS passed, CAST(sum(g - hit + forbidden) AS BIGINT) AS violations FROM ({_SCOPE}) GROUP BY provider_id")
 def _(d):
     return metrics.provider_matrix(_scope(d)).select("provider_id", "cases", "passed", "violations")
 
@@ -517,11 +519,11 @@ def _(d):
     return shown.select(F.when(F.col("kind") == "reads", "A").otherwise("R").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("flt9_neighborhood", f"WITH e AS (SELECT * FROM ({B.CHAIN})), s AS (SELECT DISTINCT from_id AS seed FROM e WHERE a % 100 = 7) SELECT seed, node_id FROM (SELECT seed, to_id AS node_id FROM s JOIN e ON e.from_id = seed UNION SELECT seed, from_id FROM s JOIN e ON e.to_id = seed UNION SELECT seed, seed FROM s)")
+@query("flt9_neighborhood", f"WITH e AS (SELECT * FROM ({B.CHAIN})), s AS (SELECT DISTINCT from_id AS seed FROM e) SELECT seed, node_id FROM (SELECT seed, to_id AS node_id FROM s JOIN e ON e.from_id = seed UNION SELECT seed, from_id FROM s JOIN e ON e.to_id = seed UNION SELECT seed, seed FROM s)")
 def _(d):
     e = d.sql(B.CHAIN)
     nodes = e.select(*KEYS, F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().withColumn("kind", F.lit("file"))
-    found, _ = graph.neighborhood(nodes, e, e.filter("a % 100 = 7").select(*KEYS, F.col("from_id").alias("seed")))
+    found, _ = graph.neighborhood(nodes, e, e.select(*KEYS, F.col("from_id").alias("seed")))
     return found.select("seed", "node_id")
 
 
@@ -672,24 +674,24 @@ def _(d):
 # ---- graph walks -----------------------------------------------------------------------------------------------------
 
 
-@query("gr1_reach", f"WITH RECURSIVE e AS (SELECT from_id, to_id, a FROM ({B.CHAIN})), r(start, node) AS (SELECT from_id, from_id FROM e WHERE a % 50 = 1 UNION SELECT r.start, e.to_id FROM r JOIN e ON e.from_id = r.node) SELECT start, node FROM r")
+@query("gr1_reach", f"WITH RECURSIVE e AS (SELECT from_id, to_id, a FROM ({B.CHAIN})), r(start, node) AS (SELECT from_id, from_id FROM e UNION SELECT r.start, e.to_id FROM r JOIN e ON e.from_id = r.node) SELECT start, node FROM r")
 def _(d):
     e = d.sql(B.CHAIN)
-    nodes, _ = graph.reach(e, e.filter("a % 50 = 1").select(*KEYS, F.col("from_id").alias("start")))
+    nodes, _ = graph.reach(e, e.select(*KEYS, F.col("from_id").alias("start")))
     return nodes.select("start", "node")
 
 
-@query("gr2_route", f"WITH RECURSIVE e AS (SELECT from_id, to_id, a FROM ({B.CHAIN})), r(start, node, length) AS (SELECT from_id, from_id, 0 FROM e WHERE a % 50 = 1 UNION ALL SELECT r.start, e.to_id, r.length + 1 FROM r JOIN e ON e.from_id = r.node) SELECT start, min(length) AS length FROM r WHERE node = 'f0' GROUP BY start")
+@query("gr2_route", f"WITH RECURSIVE e AS (SELECT from_id, to_id, a FROM ({B.CHAIN})), r(start, node, length) AS (SELECT from_id, from_id, 0 FROM e UNION ALL SELECT r.start, e.to_id, r.length + 1 FROM r JOIN e ON e.from_id = r.node) SELECT start, min(length) AS length FROM r WHERE node = 'f0' GROUP BY start")
 def _(d):
     e = d.sql(B.CHAIN)
-    pairs = e.filter("a % 50 = 1").select(*KEYS, F.col("edge_id").alias("query_id"), F.col("from_id").alias("start"), F.lit("f0").alias("target"))
+    pairs = e.select(*KEYS, F.col("edge_id").alias("query_id"), F.col("from_id").alias("start"), F.lit("f0").alias("target"))
     return graph.route(e, pairs).select("start", "length")
 
 
-@query("gr3_dossier", f"WITH e AS (SELECT from_id AS x, to_id AS y FROM ({B.CHAIN}) UNION SELECT to_id, from_id FROM ({B.CHAIN})), s AS (SELECT DISTINCT from_id AS start FROM ({B.CHAIN}) WHERE a % 50 = 1), h AS (SELECT start, y AS node FROM s JOIN e ON x = start) SELECT start, node FROM (SELECT start, node FROM h UNION SELECT start, y FROM h JOIN e ON x = node UNION SELECT start, start FROM s)")
+@query("gr3_dossier", f"WITH e AS (SELECT from_id AS x, to_id AS y FROM ({B.CHAIN}) UNION SELECT to_id, from_id FROM ({B.CHAIN})), s AS (SELECT DISTINCT from_id AS start FROM ({B.CHAIN})), h AS (SELECT start, y AS node FROM s JOIN e ON x = start) SELECT start, node FROM (SELECT start, node FROM h UNION SELECT start, y FROM h JOIN e ON x = node UNION SELECT start, start FROM s)")
 def _(d):
     e = d.sql(B.CHAIN).withColumn("kind", F.lit("depends-on"))
-    near, _ = graph.dossier(e, e.filter("a % 50 = 1").select(*KEYS, F.col("from_id").alias("start")), 2, 1 << 30)
+    near, _ = graph.dossier(e, e.select(*KEYS, F.col("from_id").alias("start")), 2, 1 << 30)
     return near.select("start", "node")
 
 
@@ -835,10 +837,10 @@ def _(d):
     return validate.validate_behavior(values, r, n).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("jn24_validate_framework", "SELECT 'RELATION_MISSING' AS code, count(*) AS n FROM {nation} WHERE n_nationkey % 4 = 0")
+@query("jn24_validate_framework", "SELECT 'RELATION_MISSING' AS code, count(*) AS n FROM {customer} WHERE c_custkey % 4 = 0")
 def _(d):
-    c = d.table("nation").select(F.lit("corpus").alias("repo"), F.lit("r1").alias("revision"), F.col("n_name").alias("candidate_id"), F.lit("celery").alias("framework"), F.col("n_name").alias("to_id"), "n_nationkey")
-    return validate.validate_framework(c, c.filter("n_nationkey % 4 != 0")).groupBy("code").agg(F.count("*").alias("n"))
+    c = d.table("customer").select(F.lit("corpus").alias("repo"), F.lit("r1").alias("revision"), F.col("c_name").alias("candidate_id"), F.lit("celery").alias("framework"), F.col("c_name").alias("to_id"), "c_custkey")
+    return validate.validate_framework(c, c.filter("c_custkey % 4 != 0")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("agg7_receipts", "SELECT 'corpus' AS repo, count(*) AS n, count(*) FILTER (p_size % 2 = 0) AS verified, count(*) FILTER (p_size % 3 <> 0) AS provisional, count(*) FILTER (p_size > 40) = 0 AS valid FROM {part}")
@@ -869,9 +871,9 @@ def _(d):
     return behavior.framework_coverage(c, c.filter("c_custkey % 2 = 0"), c.limit(0), ["BUILDING", "none"]).select("framework", "detected_files", "candidates")
 
 
-@query("agg20_layer_revision", f"SELECT 'corpus' AS repo, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint, count(*) AS n FROM (SELECT sha256('{{\"from_id\":\"' || from_id || '\",\"to_id\":\"' || to_id || '\"}}') AS h FROM (SELECT DISTINCT from_id, to_id FROM ({B.EDGES})))".replace("{{", "{").replace("}}", "}"))
+@query("agg20_layer_revision", f"SELECT 'corpus' AS repo, revision, sha256(string_agg(p, chr(10) ORDER BY part)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM (SELECT revision, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS p, count(*) AS n FROM (SELECT revision, sha256('{{\"from_id\":\"' || from_id || '\",\"to_id\":\"' || to_id || '\"}}') AS h FROM (SELECT DISTINCT kind AS revision, from_id, to_id FROM ({B.EDGES}))) GROUP BY ALL) GROUP BY revision".replace("{{", "{").replace("}}", "}"))
 def _(d):
-    return metrics.layer_revision({"calls": d.sql(B.EDGES).select(*KEYS, "from_id", "to_id").distinct()}).select("repo", "fingerprint", "n")
+    return metrics.layer_revision({"calls": d.sql(B.EDGES).select("repo", F.col("kind").alias("revision"), "from_id", "to_id").distinct()}).select(*KEYS, "fingerprint", "n")
 
 
 @query("fn12_ratio_f1", "SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE 3 / (p_size % 5)::DOUBLE END AS ratio, CASE WHEN p_size % 4 = 0 THEN 0.0 ELSE 2.0 * (p_size % 4) * (p_size % 4) / (2 * (p_size % 4)) END AS f1 FROM {part}")
@@ -880,30 +882,30 @@ def _(d):
     return d.table("part").select(F.col("p_partkey").alias("k"), S.ratio(F.lit(3), p % 5).alias("ratio"), S.f1(p % 4, p % 4).cast("double").alias("f1"))
 
 
-@query("gr4_context_paths", f"SELECT DISTINCT 'component:' || {_PART('path')} AS seed, path FROM ({B.FILES}) WHERE k % 20 < 5")
+@query("gr4_context_paths", f"SELECT DISTINCT 'component:' || {_PART('path')} AS seed, path FROM ({B.FILES})")
 def _(d):
     files = d.sql(B.FILES).select(*KEYS, "path", S.module_of(F.col("path")).alias("module"))
     comp = files.select(*KEYS, "module").distinct().select(*KEYS, F.concat(F.lit("component:"), "module").alias("node_id"), F.lit("component").alias("kind"), F.col("module").alias("label"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("module"))
     nodes = files.select(*KEYS, F.col("path").alias("node_id"), F.lit("file").alias("kind"), F.col("path").alias("label"), "path", "module").unionByName(comp)
-    seeds = comp.filter("label in ('src/m0', 'src/m1', 'src/m2', 'src/m3', 'src/m4')").select(*KEYS, F.col("node_id").alias("seed"))
+    seeds = comp.select(*KEYS, F.col("node_id").alias("seed"))
     rels = nodes.limit(0).select(*KEYS, F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id"), "kind")
     return graph.context_paths(nodes, rels, seeds).select("seed", "path")
 
 
-@query("gr5_propagate_callables", f"WITH RECURSIVE e AS (SELECT a, b FROM ({B.CHAIN})), r(k) AS (SELECT a FROM e WHERE a % 100 = 7 UNION SELECT e.b FROM r JOIN e ON e.a = r.k) SELECT 'f' || CAST(k AS VARCHAR) AS from_id, 'cb' AS to_id FROM r")
+@query("gr5_propagate_callables", f"WITH RECURSIVE e AS (SELECT a, b FROM ({B.CHAIN})), r(k, c) AS (SELECT a, a % 7 FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.k) SELECT 'f' || CAST(k AS VARCHAR) AS from_id, 'cb' || CAST(c AS VARCHAR) AS to_id FROM r")
 def _(d):
     e = d.sql(B.CHAIN)
     none = F.lit(None).cast("string")
-    direct = e.filter("a % 100 = 7").select(*KEYS, F.col("from_id").alias("callee_id"), F.lit(0).alias("position"), none.alias("name"), F.lit("cb").alias("symbol_id"), none.alias("param_owner"), none.alias("param_name"))
+    direct = e.select(*KEYS, F.col("from_id").alias("callee_id"), F.lit(0).alias("position"), none.alias("name"), F.concat(F.lit("cb"), (F.col("a") % 7).cast("string")).alias("symbol_id"), none.alias("param_owner"), none.alias("param_name"))
     passed = e.filter("a != b").select(*KEYS, F.col("to_id").alias("callee_id"), F.lit(0).alias("position"), none.alias("name"), none.alias("symbol_id"), F.col("from_id").alias("param_owner"), F.lit("fn").alias("param_name"))
     params = e.select(*KEYS, F.explode(F.array("from_id", "to_id")).alias("owner_id")).distinct().select(*KEYS, "owner_id", F.lit(0).alias("position"), F.lit("fn").alias("name"))
     through = params.select(*KEYS, "owner_id", F.lit("fn").alias("param_name"))
     return resolve.propagate_callables(direct.unionByName(passed), params, through)[1].select("from_id", "to_id")
 
 
-@query("gr6_collapse_branches", "SELECT 'g' || CAST(n_nationkey AS VARCHAR) AS from_id, 'j' || CAST(n_nationkey AS VARCHAR) AS to_id FROM {nation}")
+@query("gr6_collapse_branches", "SELECT 'g' || CAST(p_partkey AS VARCHAR) AS from_id, 'j' || CAST(p_partkey AS VARCHAR) AS to_id FROM {part}")
 def _(d):
-    n = d.table("nation").withColumns({"repo": F.lit("corpus"), "revision": F.lit("r1"), "k": F.col("n_nationkey").cast("string")})
+    n = d.table("part").withColumns({"repo": F.lit("corpus"), "revision": F.lit("r1"), "k": F.col("p_partkey").cast("string")})
     name = lambda p: F.concat(F.lit(p), "k")
     edge = lambda a, b: n.select(*KEYS, name(a).alias("from_id"), name(b).alias("to_id"))
     edges = edge("a", "x").unionByName(edge("x", "j")).unionByName(edge("b", "j")).unionByName(edge("j", "z"))
@@ -921,12 +923,12 @@ def _(d):
     return comps.select("module", F.col("place").cast("long").alias("place"))
 
 
-@query("cmp2_ground_composition", "SELECT 'COMPONENT_WITHOUT_SOURCE' AS code, count(*) AS n FROM {nation} WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'RELATION_NOT_CITED', count(*) FROM {nation} WHERE n_nationkey % 5 = 0 OR n_nationkey % 3 = 0")
+@query("cmp2_ground_composition", "SELECT 'COMPONENT_WITHOUT_SOURCE' AS code, count(*) AS n FROM {customer} WHERE c_custkey % 5 = 0 UNION ALL SELECT 'RELATION_NOT_CITED', count(*) FROM {customer} WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0")
 def _(d):
-    n = d.table("nation").withColumns({"repo": F.lit("corpus"), "revision": F.lit("r1"), "k": F.col("n_nationkey").cast("string")})
+    n = d.table("customer").withColumns({"repo": F.lit("corpus"), "revision": F.lit("r1"), "k": F.col("c_custkey").cast("string")})
     cands = n.select(*KEYS, F.concat(F.lit("m"), "k").alias("candidate_id"))
-    comps = n.select(*KEYS, F.concat(F.lit("c"), "k").alias("component_id"), F.array(F.when(F.col("n_nationkey") % 5 == 0, "gone").otherwise(F.concat(F.lit("m"), "k"))).alias("candidate_ids"))
-    drafts = n.select(*KEYS, F.concat(F.lit("r"), "k").alias("relation_id"), F.concat(F.lit("c"), "k").alias("from_id"), F.concat(F.lit("c"), "k").alias("to_id"), F.array(F.when(F.col("n_nationkey") % 3 == 0, "gone").otherwise(F.concat(F.lit("x"), "k"))).alias("cited"))
+    comps = n.select(*KEYS, F.concat(F.lit("c"), "k").alias("component_id"), F.array(F.when(F.col("c_custkey") % 5 == 0, "gone").otherwise(F.concat(F.lit("m"), "k"))).alias("candidate_ids"))
+    drafts = n.select(*KEYS, F.concat(F.lit("r"), "k").alias("relation_id"), F.concat(F.lit("c"), "k").alias("from_id"), F.concat(F.lit("c"), "k").alias("to_id"), F.array(F.when(F.col("c_custkey") % 3 == 0, "gone").otherwise(F.concat(F.lit("x"), "k"))).alias("cited"))
     real = n.select(*KEYS, F.concat(F.lit("x"), "k").alias("relation_id"), F.concat(F.lit("m"), "k").alias("from_candidate"), F.concat(F.lit("m"), "k").alias("to_candidate"))
     return project.ground_composition(comps, drafts, cands, real)[2].groupBy("code").agg(F.count("*").alias("n"))
 
@@ -948,10 +950,10 @@ def _(d):
     return corpus.read_snapshot(d.spark, path, "edges").select("from_id", "to_id", "kind", "n")
 
 
-@query("src7_index", "SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, n_chars AS size FROM {documents} WHERE doc_id % 3 <> 0")
+@query("src7_index", "SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, n_chars AS size FROM {documents}")
 def _(d):
     path = f"{storage.shared_folder(d.spark)}/index-{uuid.uuid4().hex}"
-    doc = d.table("documents").filter("doc_id % 3 != 0").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"))
+    doc = d.table("documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"))
     corpus.write_index(doc, path, "v1")
     return corpus.read_index(d.spark, path, "v1").select("repo", "path", "size")
 

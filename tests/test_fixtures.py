@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codecorpus.operators import behavior, extract_text, filters, graph, parse, project, resolve, runs, semantic, traces
+from codecorpus.operators import behavior, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, traces
 from codecorpus.plans import workloads
 from codecorpus.sources import corpus
 
@@ -193,6 +193,13 @@ def test_traces(spark):
     assert [(r.from_id, r.to_id, r["count"], r.duration_ms) for r in seen] == [("id-outer", "id-inner", 1, 10)]
 
 
+def test_durations_of_recursive_calls(spark):
+    rows = [("s", i, ms, phase, symbol, None) for i, (ms, phase, symbol) in enumerate([(0, "enter", "A"), (10, "enter", "A"), (15, "exit", "A"), (20, "enter", "B"), (100, "exit", "A"), (110, "enter", "B"), (140, "error", "B")])]
+    events = traces.trace_stacks(spark.createDataFrame(rows, "session_id string, ordinal long, ms long, phase string, symbol_id string, outcome string"))
+    got = {r.sequence: (r.symbol_id, r.duration_ms, r.outcome) for r in traces.with_durations(events).filter("phase = 'enter'").collect()}
+    assert got == {1: ("A", 100, "ok"), 2: ("A", 5, "ok"), 4: ("B", None, "unknown"), 6: ("B", 30, "error")}
+
+
 def _event(n, kind, payload, run="run"):
     text = runs.canonical(json.dumps(payload))
     import hashlib
@@ -300,11 +307,19 @@ def test_file_changes_stream(spark, tmp_path):
         assert got == ({("a", 2), ("b", 1)}, {("a", 3)})[number]
 
 
-def test_search(spark):
-    f = spark.createDataFrame([("r", "1", "notes.txt", "﻿İ [LITERAL] and [literal]\r\nno")], FILES)
-    q = spark.createDataFrame([("q", "[literal]")], "query_id string, query string")
-    got = extract_text.search_text(f, q).collect()
-    assert [(r.line, r.column) for r in sorted(got, key=lambda r: r.column)] == [(1, 3), (1, 17)]
+def test_search(spark, monkeypatch):
+    long = "x" * 100 + " needle " + "y" * 300
+    f = spark.createDataFrame([("r", "1", "notes.txt", "\ufeffİ [LITERAL] and [literal]\r\nno"), ("r", "1", "b.txt", f"aaa\n{long}\r\nΣΟΦΟΣ straſse"), ("r", "1", "none.txt", None), ("r", "1", "empty.txt", "")], FILES)
+    queries = [("q", "[literal]"), ("a", "aa"), ("n", "NEEDLE"), ("g", "σοφος"), ("s", "STRASSE"), ("two", "no\nno"), ("same", "needle"), ("empty", "")]
+    q = spark.createDataFrame(queries, "query_id string, query string")
+    want = {("q", 1, 3), ("q", 1, 17), ("a", 1, 1), ("n", 2, 102), ("same", 2, 102), ("g", 3, 1), ("s", 3, 7)}
+    for block in (50_000, 2):
+        monkeypatch.setattr(extract_text, "QUERY_BLOCK", block)
+        got = extract_text.search_text(f, q).collect()
+        assert {(r.query_id, r.line, r.column) for r in got} == want and len(got) == len(want)
+        assert next(r.preview for r in got if r.query_id == "n") == "…" + long[41:327] + "…"
+    s = spark.createDataFrame([("r", "1", "i1", "runAllRun", "function", "a.py", 1), ("r", "1", "i2", "other", "function", "a.py", 2)], "repo string, revision string, symbol_id string, name string, kind string, path string, line int")
+    assert [(r.query_id, r.symbol_id) for r in extract_text.search_symbols(s, spark.createDataFrame([("x", "RUN"), ("y", "zz")], "query_id string, query string")).collect()] == [("x", "i1")]
 
 
 def test_frameworks(files):
@@ -333,10 +348,30 @@ def test_behavior(files):
     assert back == [("normalize", "execute")]
 
 
+def test_bad_sites_are_refused_whole(files):
+    tree = {"a.py": "def f(x, y):\n    return x\n\ndef run(v):\n    f(v, z=1)\n    f(v, x=2)\n    f(x=v, y)\n    f(v, 1, 2)\n    f(y=v)\n"}
+    t = workloads.architecture(files(tree))
+    assert {r.label for r in behavior.behavior_passes(workloads.resolved_sites(t), t["symbols"]).collect()} == {"v -> y"}
+
+
+def test_scope_metrics(spark):
+    ddl = "case_id string, selected_paths array<string>, changed_paths array<string>, required_paths array<string>, forbidden_paths array<string>, commands array<string>, expected_verification_passed boolean"
+    cases = spark.createDataFrame([("a", ["x"], ["x"], ["x", "q"], ["bad"], ["make "], True), ("b", [], [], [], [], [], True)], ddl)
+    out = "case_id string, provider_id string, selected_paths array<string>, planned_paths array<string>, changed_paths array<string>, commands array<string>, verification_passed boolean, verification_runs int"
+    outputs = spark.createDataFrame([("a", "p", ["x", "bad"], [], ["bad"], [" make"], True, 3), ("b", "p", [], [], [], [], True, 1), ("a", "q", [], None, ["x"], ["rm"], False, 4)], out)
+    got = {(r.case_id, r.provider_id): r for r in metrics.scope_metrics(outputs, cases).collect()}
+    r = got["a", "p"]
+    assert (r.context_precision, r.context_recall, r.plan_precision, r.changed_precision) == (0.5, 1.0, 0.0, 0.0)
+    assert (r.forbidden, r.missing_required, r.out_of_scope, r.command_violations, r.bounded_verification, r.passed) == (1, 1, 1, 0, True, False)
+    assert (got["b", "p"].context_precision, got["b", "p"].plan_precision, got["b", "p"].passed) == (1.0, 1.0, True)
+    r = got["a", "q"]
+    assert (r.context_precision, r.missing_required, r.command_violations, r.verification_accurate, r.bounded_verification) == (0.0, 2, 1, False, False)
+
+
 def test_ignores_and_eligibility(spark):
     rows = [("r", "1", p, "x") for p in ("a.log", "keep.log", "src/a.log", "src/b.tmp", "node_modules/x.js", "src/out.txt", "build.txt")] + [("r", "1", "bin.png", "x"), ("r", "1", "nul.txt", "a\0b"), ("r", "1", "none.txt", None)]
     f = spark.createDataFrame(rows, FILES)
-    rules = filters.ignore_rules(spark.createDataFrame([("r", ".gitignore", "*.log\n!keep.log\n"), ("r", "src/.gitignore", "/b.*\n")], "repo string, path string, content string"))
+    rules = filters.ignore_rules(spark.createDataFrame([("r", "1", ".gitignore", "*.log\n!keep.log\n"), ("r", "1", "src/.gitignore", "/b.*\n"), ("r", "2", ".gitignore", "*.txt\n")], FILES))
     assert {r.path for r in filters.apply_ignores(f, rules).collect()} == {"keep.log", "src/out.txt", "build.txt", "bin.png", "nul.txt", "none.txt"}
     why = {r.path: r.skip_reason for r in filters.eligible_text(f.withColumn("size", F.lit(1))).collect()}
     assert (why["bin.png"], why["nul.txt"], why["none.txt"], why["a.log"]) == ("binary-extension", "nul-byte", "invalid-utf8", None)
