@@ -137,9 +137,48 @@ def _unique(symbols: DataFrame, *by: str) -> DataFrame:
 CALL_COLUMNS = ["path", "owner_id", "callee_text", "line", "ordinal"]
 
 
-def resolve_calls(sites: DataFrame, symbols: DataFrame, bindings: DataFrame, language: str) -> DataFrame:
+def known_heads(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What the first name of a Python call stands for: (scope, head, line, stands_for, instance).
+
+    ``bindings`` are those of parse.parse_files. A scope is a callable for its aliases, instances (``x = C()``) and
+    annotated parameters, a class for the fields (``self.x = ..``) that its methods set, a path for names of the file.
+    """
+    own = bindings.filter(F.col("binding").isin("alias", "receiver", "self") & F.col("path").endswith(".py"))
+    own = own.select(*KEYS, "path", "owner_id", F.col("left_name").alias("head"), "line", F.when(F.col("binding") == "self", "self").otherwise(F.col("right_name")).alias("stands_for"), (F.col("binding") == "receiver").alias("instance"))
+    field = F.col("head").startswith("self.")
+    holder = symbols.select(*KEYS, F.col("symbol_id").alias("owner_id"), "container_id")
+    fields = own.filter(field).join(holder, [*KEYS, "owner_id"]).filter("container_id is not null").select(*KEYS, F.col("container_id").alias("scope"), "head", F.lit(0).alias("line"), "stands_for", "instance")
+    names = own.filter(~field).select(*KEYS, F.coalesce("owner_id", "path").alias("scope"), "head", F.when(F.col("owner_id").isNull(), 0).otherwise(F.col("line")).alias("line"), "stands_for", "instance")
+    typed = symbols.filter(F.col("kind").isin(S.CALLABLE_KINDS) & F.col("path").endswith(".py"))
+    typed = typed.select(*KEYS, F.col("symbol_id").alias("scope"), F.explode(F.regexp_extract_all("signature", F.lit(r"[A-Za-z_]\w*\s*:\s*[\"']?[A-Z][\w.]*"), F.lit(0))).alias("p"))
+    typed = typed.select(*KEYS, "scope", F.regexp_extract("p", r"^(\w+)", 1).alias("head"), F.lit(0).alias("line"), F.regexp_extract("p", r":\s*[\"']?([\w.]+)$", 1).alias("stands_for"), F.lit(True).alias("instance"))
+    return fields.unionByName(names).unionByName(typed)
+
+
+def with_targets(sites: DataFrame, symbols: DataFrame, heads: DataFrame) -> DataFrame:
+    """Python ``sites`` with ``target_text``: the call with its first name put as what it stands for there, else as it is.
+
+    The last binding above the call in its own callable counts, then one of its class or file. An instance only stands
+    for calls of its methods.
+    """
+    s = sites.join(symbols.select(*KEYS, F.col("symbol_id").alias("owner_id"), "container_id"), [*KEYS, "owner_id"], "left")
+    first, second = F.regexp_extract("callee_text", r"^(\w+)", 1), F.regexp_extract("callee_text", r"^(self\.\w+)\.", 1)
+    asked = s.withColumn("head", F.when(second != "", second).otherwise(first))
+    scopes = F.array(*[F.struct(F.col(c).alias("scope"), F.lit(r).alias("near")) for r, c in enumerate(("owner_id", "container_id", "path"))])
+    asked = asked.select(*KEYS, *CALL_COLUMNS, "head", F.explode(scopes).alias("x")).select(*KEYS, *CALL_COLUMNS, "head", "x.scope", "x.near").filter("scope is not null and head not in ('self', '')")
+    hit = asked.join(heads.withColumnRenamed("line", "bound_at"), [*KEYS, "scope", "head"]).filter((F.col("bound_at") < F.col("line")) & (F.col("stands_for") != F.col("head")))
+    rest = F.substr("callee_text", F.length("head") + 1)
+    hit = hit.filter(~F.col("instance") | rest.startswith("."))
+    best = hit.groupBy(*KEYS, *CALL_COLUMNS).agg(F.min_by(F.concat("stands_for", rest), F.struct("near", (-F.col("bound_at")).alias("up"), "stands_for")).alias("target_text"))
+    return sites.join(best, [*KEYS, *CALL_COLUMNS], "left").withColumn("target_text", F.coalesce("target_text", "callee_text"))
+
+
+def resolve_calls(sites: DataFrame, symbols: DataFrame, bindings: DataFrame, language: str, decorated: bool = False) -> DataFrame:
     """``call_candidates`` of call sites: one row for each resolved site, with target, confidence and resolver.
 
+    Where sites have ``target_text`` (with_targets), that is what is looked up. Calls of decorated Python functions are
+    left to callables.callable_calls, which knows what the decorators return.
+
     Each rule is an equi join on repository, file (or container) and name; uniqueness is counted before the join,
     and the lowest rank that answers a site wins. Rules: imported name, alias of a module, unique function of the
     file, method of the own container, method of a named class, and for Rust the methods of the type's blocks.
@@ -147,7 +186,8 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, bindings: DataFrame, lan
     sep = "::" if language == "rust" else "."
     own = ["self", "Self"] if language == "rust" else ["self", "this"]
     exts = {"python": ["py"], "rust": ["rs"]}.get(language, ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"])
-    dotted = F.regexp_replace("callee_text", r"\.", sep) if language == "rust" else F.col("callee_text")
+    asked = F.col("target_text") if "target_text" in sites.columns else F.col("callee_text")
+    dotted = F.regexp_replace(asked, r"\.", sep) if language == "rust" else asked
     s = sites.filter("owner_id is not null").filter(S.extension(F.col("path")).isin(exts)).withColumn("parts", F.split(dotted, sep.replace(".", r"\.")))
     s = s.withColumn("head", F.col("parts")[0]).withColumn("last", F.element_at("parts", -1)).withColumn("depth", F.size("parts"))
     fns = symbols.filter(F.col("kind").isin(S.CALLABLE_KINDS))
@@ -185,7 +225,8 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, bindings: DataFrame, lan
     for a in answers[1:]:
         every = every.unionByName(a)
     best = every.groupBy(*keep).agg(F.min_by(F.struct("to_id", "confidence"), F.struct("rank", "to_id")).alias("b"))
-    plain = symbols.filter(F.size(F.coalesce("decorators", F.array().cast("array<string>"))) == 0) if language == "python" else symbols
+    has_notes = F.size(F.coalesce("decorators", F.array().cast("array<string>"))) > 0
+    plain = symbols.filter(has_notes == decorated) if language == "python" else symbols
     out = best.select(*keep, "b.to_id", "b.confidence", F.lit(f"{language}-static").alias("resolver"))
     return out.filter("to_id != owner_id").join(plain.select(*KEYS, F.col("symbol_id").alias("to_id")), [*KEYS, "to_id"], "left_semi")
 
@@ -208,22 +249,22 @@ def merge_calls(candidates: DataFrame, max_evidence: int = 20, max_sites: int =
 
 
 def type_relations(symbols: DataFrame) -> DataFrame:
-    """extends and implements between types: Python bases 0.90, Rust ``impl T for X`` 0.93, TypeScript heritage 0.90; only names that are unique in the repository."""
+    """extends and implements between types: Python bases 0.90, Rust ``impl T for X`` 0.93, TypeScript heritage 0.90; only names that are unique in the repository. ``position`` is the base's place in the list."""
     bases = F.regexp_extract("signature", r"^class\s+\w+\s*\((.*)\)\s*:", 1)
-    py = symbols.filter((F.col("kind") == "class") & F.col("path").endswith(".py")).select(*KEYS, F.col("symbol_id").alias("from_id"), F.explode(F.split(F.regexp_replace(bases, r"\[[^\]]*\]", ""), ",")).alias("base"))
-    py = py.select(*KEYS, "from_id", F.element_at(F.split(F.trim("base"), r"\."), -1).alias("name"), F.lit("extends").alias("kind"), F.lit(0.90).alias("confidence"))
+    py = symbols.filter((F.col("kind") == "class") & F.col("path").endswith(".py")).select(*KEYS, F.col("symbol_id").alias("from_id"), F.posexplode(F.split(F.regexp_replace(bases, r"\[[^\]]*\]", ""), ",")).alias("position", "base"))
+    py = py.select(*KEYS, "from_id", "position", F.element_at(F.split(F.trim("base"), r"\."), -1).alias("name"), F.lit("extends").alias("kind"), F.lit(0.90).alias("confidence"))
     ts = symbols.filter(F.col("kind").isin("class", "interface") & ~F.col("path").rlike(r"\.(py|rs)$"))
     up = F.regexp_extract("signature", r"\bextends\s+([\w$.,\s]+?)(?:\s+implements\b|\s*\{|$)", 1)
     im = F.regexp_extract("signature", r"\bimplements\s+([\w$.,\s]+?)(?:\s*\{|$)", 1)
     both = F.concat(F.transform(F.split(up, ","), lambda n: F.struct(F.trim(n).alias("name"), F.lit("extends").alias("kind"))), F.transform(F.split(im, ","), lambda n: F.struct(F.trim(n).alias("name"), F.lit("implements").alias("kind"))))
-    ts = ts.select(*KEYS, F.col("symbol_id").alias("from_id"), F.explode(both).alias("x")).select(*KEYS, "from_id", "x.name", "x.kind", F.lit(0.90).alias("confidence"))
+    ts = ts.select(*KEYS, F.col("symbol_id").alias("from_id"), F.posexplode(both).alias("position", "x")).select(*KEYS, "from_id", "position", "x.name", "x.kind", F.lit(0.90).alias("confidence"))
     rx = r"^impl\s+(?:.*::)?([A-Za-z_]\w*)(?:<[^>]*>)?\s+for\s+(?:.*::)?([A-Za-z_]\w*)"
     rs = symbols.filter("kind = 'implementation'").select(*KEYS, F.regexp_extract("name", rx, 2).alias("type_name"), F.regexp_extract("name", rx, 1).alias("name")).filter("name != ''")
     holders = _unique(symbols.filter(F.col("kind").isin("struct", "enum", "type")), "name").select(*KEYS, F.col("name").alias("type_name"), F.col("symbol_id").alias("from_id"))
-    rs = rs.join(holders, [*KEYS, "type_name"]).select(*KEYS, "from_id", "name", F.lit("implements").alias("kind"), F.lit(0.93).alias("confidence"))
+    rs = rs.join(holders, [*KEYS, "type_name"]).select(*KEYS, "from_id", F.lit(0).alias("position"), "name", F.lit("implements").alias("kind"), F.lit(0.93).alias("confidence"))
     targets = _unique(symbols.filter(F.col("kind").isin("class", "interface", "trait")), "name").select(*KEYS, "name", F.col("symbol_id").alias("to_id"))
     out = py.unionByName(ts).unionByName(rs).filter("name != ''").join(targets, [*KEYS, "name"]).filter("from_id != to_id")
-    return out.select(*KEYS, "from_id", "to_id", "kind", F.lit("inferred").alias("trust"), "confidence").distinct()
+    return out.groupBy(*KEYS, "from_id", "to_id", "kind", F.lit("inferred").alias("trust"), "confidence").agg(F.min("position").alias("position"))
 
 
 def override_relations(symbols: DataFrame, relations: DataFrame) -> DataFrame:
@@ -236,24 +277,41 @@ def override_relations(symbols: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def inheritance_dispatch(sites: DataFrame, symbols: DataFrame, relations: DataFrame, most: int = 8) -> DataFrame:
-    """``super().m`` calls of the first base's method (0.92), and ``self.m`` calls without an own method as calls of at most ``most`` direct or deeper descendants' methods (0.64)."""
+    """``super().m`` calls of the method of the nearest base that has it, the first in order of bases (0.92), and ``self.m`` calls without an own method as calls of at most ``most`` descendants' methods, nearest first (0.64).
+
+    Both walk the classes level by level to the end; each level is stored.
+    """
     owners = symbols.filter("container_id is not null").select(*KEYS, F.col("symbol_id").alias("owner_id"), F.col("container_id").alias("klass"))
     methods = _unique(symbols.filter("kind = 'method' and container_id is not null"), "container_id", "name").select(*KEYS, F.col("container_id").alias("klass"), F.col("name").alias("last"), F.col("symbol_id").alias("to_id"))
-    up = relations.filter("kind = 'extends'").select(*KEYS, F.col("from_id").alias("klass"), F.col("to_id").alias("parent"))
+    methods = stored(methods, "methods")
+    bases = relations.filter("kind = 'extends'").select(*KEYS, F.col("from_id").alias("klass"), F.col("to_id").alias("parent"), "position")
+    bases = stored(bases, "bases")
     s = sites.join(owners, [*KEYS, "owner_id"]).withColumn("last", F.element_at(F.split("callee_text", r"\."), -1))
     keep = [*KEYS, *CALL_COLUMNS]
-    supers = s.filter(F.col("callee_text").startswith("super().")).join(up, [*KEYS, "klass"]).join(methods.withColumnRenamed("klass", "parent"), [*KEYS, "parent", "last"])
-    supers = supers.groupBy(*keep).agg(F.min("to_id").alias("to_id")).withColumn("confidence", F.lit(0.92))
-    unmet = s.filter(F.col("callee_text").rlike(r"^self\.\w+$")).join(methods.select(*KEYS, "klass", "last"), [*KEYS, "klass", "last"], "left_anti")
-    down = up.select(*KEYS, F.col("parent").alias("klass"), F.col("klass").alias("child"))
-    level = down
-    reach = down.withColumn("level", F.lit(1))
-    for depth in (2, 3):
-        level = level.join(down.select(*KEYS, F.col("klass").alias("child"), F.col("child").alias("next")), [*KEYS, "child"]).select(*KEYS, "klass", F.col("next").alias("child"))
-        reach = reach.unionByName(level.withColumn("level", F.lit(depth)))
-    kids = unmet.join(reach, [*KEYS, "klass"]).join(methods.select(*KEYS, F.col("klass").alias("child"), "last", "to_id"), [*KEYS, "child", "last"])
+    calls = s.filter(F.col("callee_text").startswith("super()."))
+    at = stored(calls.select(*keep, "last", "klass", F.array().cast("array<int>").alias("way")), "supers")
+    found, seen = None, at.select(*keep, "klass")
+    while not at.isEmpty():
+        up = at.join(bases, [*KEYS, "klass"]).select(*keep, "last", F.col("parent").alias("klass"), F.concat("way", F.array("position")).alias("way"))
+        up = stored(up.join(seen, [*keep, "klass"], "left_anti"), "supers")
+        hit = stored(up.join(methods, [*KEYS, "klass", "last"]).groupBy(*keep).agg(F.min_by("to_id", F.struct("way", "to_id")).alias("to_id")), "super-calls")
+        found = hit if found is None else found.unionByName(hit)
+        at = stored(up.join(hit.select(*keep), keep, "left_anti"), "supers")
+        seen = seen.unionByName(up.select(*keep, "klass"))
+    found = calls.limit(0).select(*keep, F.lit("").alias("to_id")) if found is None else found
+    unmet = s.filter(F.col("callee_text").rlike(r"^self\.\w+$")).join(methods.select(*KEYS, "klass", "last"), [*KEYS, "klass", "last"], "left_anti").select(*keep, "last", "klass")
+    unmet = stored(unmet, "unmet")
+    level, depth = stored(unmet.select(*KEYS, "klass", F.col("klass").alias("child"), F.lit(0).alias("level")).distinct(), "descendants"), 0
+    reach = level
+    while not level.isEmpty():
+        depth += 1
+        down = level.select(*KEYS, "klass", F.col("child").alias("parent")).join(bases.select(*KEYS, "parent", F.col("klass").alias("child")), [*KEYS, "parent"]).select(*KEYS, "klass", "child", F.lit(depth).alias("level")).distinct()
+        level = stored(down.join(reach, [*KEYS, "klass", "child"], "left_anti"), "descendants")
+        reach = reach.unionByName(level)
+    kids = unmet.join(reach.filter("level > 0"), [*KEYS, "klass"]).join(methods.select(*KEYS, F.col("klass").alias("child"), "last", "to_id"), [*KEYS, "child", "last"])
     kids = kids.groupBy(*keep, "to_id").agg(F.min("level").alias("level")).withColumn("k", F.row_number().over(W.partitionBy(*keep).orderBy("level", "to_id"))).filter(F.col("k") <= most)
-    return supers.unionByName(kids.select(*keep, "to_id", F.lit(0.64).alias("confidence"))).withColumn("resolver", F.lit("python-static"))
+    found = found.withColumn("confidence", F.lit(0.92))
+    return found.unionByName(kids.select(*keep, "to_id", F.lit(0.64).alias("confidence"))).withColumn("resolver", F.lit("python-static"))
 
 
 def state_access(tokens: DataFrame, variables: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as S
-from codecorpus.operators import behavior, delta, extract_text, filters, graph, parse, project, resolve, semantic, traces
+from codecorpus.operators import behavior, callables, delta, extract_text, filters, graph, parse, project, resolve, semantic, traces
 from codecorpus.operators.storage import stored
 
 KEYS = ["repo", "revision"]
@@ -33,10 +33,18 @@ def architecture(files: DataFrame) -> dict[str, DataFrame]:
     read = stored(parse.parse_files(src), "parsed")
     unique, diagnostics = resolve.unique_symbol_ids(parse.table_of(read, "symbols"))
     symbols, sites = stored(unique, "unique-symbols"), stored(parse.table_of(read, "sites"), "sites")
-    bound = resolve.bind_imports(parse.import_names(imports), symbols)
+    bindings = parse.table_of(read, "bindings")
+    bound = stored(resolve.bind_imports(parse.import_names(imports), symbols), "imported")
     types = stored(resolve.type_relations(symbols), "types")
-    found = [resolve.resolve_calls(sites, symbols, bound, lang) for lang in ("python", "rust", "script")]
-    found.append(resolve.inheritance_dispatch(sites, symbols, types))
+    found = []
+    if not sites.filter("path like '%.py'").isEmpty():
+        python = stored(resolve.with_targets(sites.filter("path like '%.py'"), symbols, resolve.known_heads(bindings, symbols)), "python-sites")
+        direct = stored(resolve.resolve_calls(python, symbols, bound, "python"), "direct-calls")
+        noted = stored(resolve.resolve_calls(python, symbols, bound, "python", decorated=True), "decorated-calls")
+        found += [direct, callables.callable_calls(sites, symbols, bound, bindings, direct, noted), resolve.inheritance_dispatch(sites, symbols, types)]
+    for lang, pattern in (("rust", r"\.rs$"), ("script", r"\.([mc]?ts|tsx|[mc]?js|jsx)$")):
+        if not found or not sites.filter(F.col("path").rlike(pattern)).isEmpty():
+            found.append(resolve.resolve_calls(sites, symbols, bound, lang))
     candidates = stored(resolve.union_facts(*found), "call-candidates")
     calls = stored(resolve.merge_calls(candidates), "calls")
     relations = stored(resolve.union_facts(types, resolve.override_relations(symbols, types)), "relations")

@@ -101,6 +101,118 @@ def test_callables_passed_on(spark):
     assert {(r.from_id, r.to_id) for r in calls.collect()} == {("invoke", "callback"), ("invoke", "other")}
 
 
+FLOW = """import functools
+
+def leaf():
+    return True
+
+def factory():
+    return leaf
+
+def invoke():
+    selected = factory()
+    selected()
+    factory()()
+
+def d1(fn):
+    def wrapper1():
+        return fn()
+    return wrapper1
+
+def d2(fn):
+    def wrapper2():
+        return fn()
+    return wrapper2
+
+@d1
+@d2
+def decorated():
+    return leaf()
+
+def run_decorated():
+    decorated()
+
+@functools.cache
+def cached():
+    return leaf()
+
+def use_cached():
+    cached()
+
+class A:
+    def run(self):
+        return 1
+
+class B:
+    def other(self):
+        return 2
+
+class C(B, A):
+    def go(self):
+        super().run()
+
+class Base:
+    def execute(self):
+        self.hook()
+
+class D1(Base):
+    pass
+
+class D2(D1):
+    pass
+
+class D3(D2):
+    pass
+
+class D4(D3):
+    def hook(self):
+        return True
+
+    def relay(self):
+        super().execute()
+
+class Holder:
+    def __init__(self):
+        self.tool = A()
+
+    def work(self, given: B):
+        self.tool.run()
+        given.other()
+        mine = A()
+        mine.run()
+        short = leaf
+        short()
+        me = self
+        me.extra()
+
+    def extra(self):
+        return 0
+
+def apply(action):
+    action()
+
+def start():
+    apply(leaf)
+    apply(action=factory)
+"""
+
+
+def test_calls_through_values(files):
+    t = workloads.architecture(files({"main.py": FLOW}))
+    short = {r.symbol_id: r.qualified_name for r in t["symbols"].collect()}
+    calls = {(short[r.from_id], short[r.to_id]): ([e.line for e in r.evidence], r.confidence) for r in t["calls"].collect()}
+    assert calls["invoke", "leaf"] == ([11, 12], 0.70) and calls["invoke", "factory"][0] == [10, 12]
+    assert calls["run_decorated", "d1.wrapper1"][1] == 0.72 and ("run_decorated", "decorated") not in calls
+    assert calls["d1.wrapper1", "d2.wrapper2"][1] == 0.76 and calls["d2.wrapper2", "decorated"][1] == 0.76
+    assert calls["use_cached", "cached"] == ([FLOW.splitlines().index("    cached()") + 1], 0.72)
+    assert calls["C.go", "A.run"][1] == 0.92 and calls["D4.relay", "Base.execute"][1] == 0.92 and calls["Base.execute", "D4.hook"][1] == 0.64
+    lines = FLOW.splitlines()
+    at = lambda text: lines.index("        " + text) + 1
+    assert calls["Holder.work", "A.run"] == ([at("self.tool.run()"), at("mine.run()")], 0.90) and calls["Holder.work", "B.other"][0] == [at("given.other()")]
+    assert calls["Holder.work", "leaf"][0] == [at("short()")] and calls["Holder.work", "Holder.extra"][0] == [at("me.extra()")]
+    assert calls["apply", "leaf"][1] == 0.76 and calls["apply", "factory"][1] == 0.76
+
+
 EDGES = [("e-z", "a", "c"), ("e-a", "a", "b"), ("e-b", "b", "d"), ("e-c", "c", "d"), ("e-loop", "d", "a")]
 
 
