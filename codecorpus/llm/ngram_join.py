@@ -351,7 +351,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = stored(short, "short")
     star = _starred(lists, similar).groupBy("a", "b", "n").agg(F.count_if("fit").alias("k"), F.count("*").alias("met"), F.max("central").alias("central"))
     leads = lambda by: F.row_number().over(W.partitionBy("a").orderBy(F.desc(by), "b")) == 1
-    star = star.withColumn("first", leads("met") | leads("central")).filter(F.col("first") | (F.col("k") >= F.least(F.lit(STAR), needed)))
+    star = star.withColumn("first", leads("met") | leads("central")).filter((F.col("first") & (F.col("met") >= STAR)) | (F.col("k") >= F.least(F.lit(STAR), needed)))
     tries = short.filter(F.col("k") >= needed).select("a", "b", F.lit(False).alias("star")).unionByName(star.select("a", "b", F.lit(True).alias("star")))
     compared = _compared(tries.groupBy("a", "b").agg(F.max("star").alias("star")), texts, similar)
     tried = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
