@@ -141,5 +141,12 @@ def mask_script(text: str) -> str:
     return re.sub(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*(?:\"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)", _blank, text, flags=re.S)
 
 
+@F.pandas_udf(T.StringType())
+def masked(text: pd.Series, language: pd.Series) -> pd.Series:
+    """Source texts with strings and comments blanked; language python, rust, or else script. Null stays null."""
+    mask = {"python": mask_python, "rust": mask_rust}
+    return pd.Series([None if t is None else mask.get(g, mask_script)(t) for t, g in zip(text, language)])
+
+
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])

@@ -115,6 +115,7 @@ def callable_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame, bi
         keyword = F.regexp_extract("arg", r"^([A-Za-z_]\w*)\s*=[^=]", 1)
         args = args.withColumn("keyword", F.when(keyword != "", keyword)).withColumn("name", F.trim(F.when(keyword != "", F.regexp_replace("arg", r"^[A-Za-z_]\w*\s*=", "")).otherwise(F.col("arg")))).filter(simple)
         args = mean(args.select(*KEYS, "path", "owner_id", "name", "callee_id", "position", "keyword"))
+        args = args.join(outputs.select(*KEYS, "symbol_id", "value_id"), [*KEYS, "symbol_id"], "left").withColumn("symbol_id", F.coalesce("value_id", "symbol_id"))
         args = args.select(*KEYS, "callee_id", "position", F.col("keyword").alias("name"), "symbol_id", "param_owner", "param_name")
         none = F.lit(None).cast("string")
         given = passed.select(*KEYS, "callee_id", F.lit(0).alias("position"), none.alias("name"), "symbol_id", none.alias("param_owner"), none.alias("param_name"))

@@ -734,10 +734,68 @@ def _(d):
     return runs.validate_run_events(e).select("event_id", "problem")
 
 
-@query("st1_trace_stacks")
+_STACK = f"""WITH RECURSIVE t AS (SELECT session_id, sequence AS n, sequence * 10 AS ms, phase, symbol_id FROM ({B.TRACE})),
+    r(session_id, n, k, names, times, phase, symbol_id, parent, duration) AS (
+      SELECT DISTINCT session_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM t
+      UNION ALL
+      SELECT session_id, n, CASE WHEN phase = 'enter' OR place > 0 THEN k + 1 ELSE k END, CASE WHEN phase = 'enter' THEN list_append(names, symbol_id) WHEN place > 0 THEN names[1:place - 1] ELSE names END,
+        CASE WHEN phase = 'enter' THEN list_append(times, ms) WHEN place > 0 THEN times[1:place - 1] ELSE times END, CASE WHEN phase = 'enter' OR place > 0 THEN phase END, symbol_id,
+        CASE WHEN phase = 'enter' THEN names[len(names)] WHEN place > 1 THEN names[place - 1] END, CASE WHEN phase <> 'enter' AND place > 0 THEN ms - times[place] END
+      FROM (SELECT t.*, r.k, r.names, r.times, CASE WHEN list_contains(r.names, t.symbol_id) THEN len(r.names) + 1 - list_position(list_reverse(r.names), t.symbol_id) ELSE 0 END AS place FROM r JOIN t ON t.session_id = r.session_id AND t.n = r.n + 1))
+    SELECT session_id, k AS sequence, phase, symbol_id, parent AS parent_symbol_id, duration AS duration_ms FROM r WHERE phase IS NOT NULL"""
+
+
+@query("st1_trace_stacks", _STACK)
 def _(d):
     t = d.sql(B.TRACE).select("session_id", F.col("sequence").alias("ordinal"), (F.col("sequence") * 10).alias("ms"), "phase", "symbol_id", F.lit(None).cast("string").alias("outcome"))
-    return traces.trace_stacks(t)
+    return traces.trace_stacks(t).filter("warning is null").select("session_id", "sequence", "phase", "symbol_id", "parent_symbol_id", "duration_ms")
+
+
+@query("st7_manifest_check", f"SELECT run_id, CASE CAST(run_id AS BIGINT) % 3 WHEN 0 THEN 'current' WHEN 1 THEN CASE WHEN count(*) = 1 THEN 'current' ELSE 'prefix' END ELSE 'corrupt' END AS verdict FROM ({_RUN_EVENTS}) GROUP BY run_id")
+def _(d):
+    e = _run_events(d)
+    kind = F.col("run_id").cast("long") % 3
+    count = F.when(kind == 1, F.greatest(F.size("digests") - 1, F.lit(1))).otherwise(F.size("digests"))
+    m = runs.run_states(e).select("run_id", count.cast("long").alias("event_count"), F.when(kind == 2, "x").otherwise(F.element_at("digests", count)).alias("event_digest"))
+    return runs.journal_manifest_check(e, m).select("run_id", "verdict")
+
+
+@query("src2_call_oracle", f"SELECT 'case_id=' || case_id AS case_id, from_name, to_name FROM (SELECT DISTINCT case_id, from_name, to_name FROM ({B.EVAL}))")
+def _(d):
+    path = f"{storage.shared_folder(d.spark)}/oracles-{uuid.uuid4().hex}"
+    e = d.sql(B.EVAL).groupBy("case_id", "from_name").agg(F.collect_set("to_name").alias("callees"))
+    whole = e.groupBy("case_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("from_name", "callees")))).alias("value"))
+    whole.write.partitionBy("case_id").text(path)
+    return corpus.read_call_oracle(d.spark, f"{path}/*/*.txt")[0].select("case_id", "from_name", "to_name")
+
+
+@query("src3_run_journal", f"SELECT event_id, run_id, CAST(sequence AS BIGINT) AS sequence FROM ({_RUN_EVENTS})")
+def _(d):
+    path = f"{storage.shared_folder(d.spark)}/journal-{uuid.uuid4().hex}"
+    _run_events(d).select("event_id", "run_id", "sequence", "ts", "type", "payload", "payload_hash").write.json(path)
+    return corpus.read_run_journal(d.spark, path).filter("_corrupt_record is null").select("event_id", "run_id", F.col("sequence").cast("long").alias("sequence"))
+
+
+@query("src4_trace_log", "SELECT line, count(*) AS n FROM (SELECT 'out @trace ' || event_type || ' ' || CAST(user_id AS VARCHAR) AS line FROM {events}) GROUP BY line")
+def _(d):
+    path = f"{storage.shared_folder(d.spark)}/logs-{uuid.uuid4().hex}"
+    d.table("events").select(F.concat(F.lit("out @trace "), "event_type", F.lit(" "), F.col("user_id").cast("string")).alias("value")).write.text(path)
+    return corpus.read_trace_log(d.spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("set6_union_facts", f"SELECT from_id, to_id, count(*) AS n FROM ({B.EDGES}) WHERE kind IN ('A', 'R') GROUP BY from_id, to_id")
+def _(d):
+    e = d.sql(B.EDGES)
+    return resolve.union_facts(e.filter("kind = 'A'").withColumn("resolver", F.lit("a")), e.filter("kind = 'R'")).groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
+
+
+@query("fn13_masks", "SELECT p_partkey AS k, 'run_' || CAST(p_partkey AS VARCHAR) || '(' || repeat(' ', length(p_name) + 2) || ')  ' || repeat(' ', length(p_brand)) AS python, 'run(' || repeat(' ', length(p_name) + 2) || '); ' || repeat(' ', length(p_brand) + 4) || ' end' AS rust FROM {part}")
+def _(d):
+    from codecorpus.functions.texts import masked
+
+    py = F.concat(F.lit("run_"), F.col("p_partkey").cast("string"), F.lit("('"), "p_name", F.lit("') #"), "p_brand")
+    rs = F.concat(F.lit('run("'), "p_name", F.lit('"); /*'), "p_brand", F.lit("*/ end"))
+    return d.table("part").select(F.col("p_partkey").alias("k"), masked(py, F.lit("python")).alias("python"), masked(rs, F.lit("rust")).alias("rust"))
 
 
 @query("fn11_canonical_json", "SELECT event_id, '{{\"a\":' || CAST(user_id AS VARCHAR) || ',\"b\":\"' || event_type || '\"}}' AS canonical FROM {events}".replace("{{", "{").replace("}}", "}"))
@@ -786,6 +844,25 @@ def _(d):
     return parse.extract_bindings(_ts(d)).select("path", "line", "binding", "right_name")
 
 
+#: A Rust file for each part: a function, a type with two methods, and their calls.
+_RUST_CALLS = "SELECT 'corpus' AS repo, 'r1' AS revision, p_partkey AS k, concat('src/c', CAST(p_partkey AS STRING), '.rs') AS path, concat('pub fn leaf', CAST(p_partkey AS STRING), '() <}}', chr(10), 'pub struct W;', chr(10), 'impl W <', chr(10), '    pub fn go(&self) <', chr(10), '        self.step();', chr(10), '        leaf', CAST(p_partkey AS STRING), '();', chr(10), '    }}', chr(10), '    fn step(&self) <}}', chr(10), '}}', chr(10)) AS raw FROM {part}".replace("}}", ">")
+
+
+@query("jn5_rust_calls", "SELECT 'src/c' || k || '.rs#go:4' AS from_id, unnest(['src/c' || k || '.rs#step:8', 'src/c' || k || '.rs#leaf' || k || ':1']) AS to_id, unnest([0.85, 0.92])::DOUBLE AS confidence FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM {part})")
+def _(d):
+    files = d.sql(_RUST_CALLS).withColumn("content", F.translate("raw", "<>", "{}"))
+    return workloads.architecture(files)["calls"].select("from_id", "to_id", "confidence")
+
+
+#: A Python file for each part: an instance's method, a decorated function, a callable passed on.
+_VALUES = "SELECT 'corpus' AS repo, 'r1' AS revision, concat('src/v', k, '.py') AS path, concat('class Tool:', n, '    def run(self):', n, '        return 1', n, 'def deco(fn):', n, '    def inner():', n, '        return fn()', n, '    return inner', n, '@deco', n, 'def made', k, '():', n, '    return 1', n, 'def use():', n, '    mine = Tool()', n, '    mine.run()', n, '    made', k, '()', n, '    apply(made', k, ')', n, 'def apply(action):', n, '    action()', n) AS content FROM (SELECT CAST(p_partkey AS STRING) AS k, chr(10) AS n FROM {part})"
+
+
+@query("jn4_calls_through_values", "SELECT 'src/v' || k || '.py#' || a AS from_id, 'src/v' || k || '.py#' || CASE b WHEN 'made' THEN 'made' || k || ':9' ELSE b END AS to_id, c::DOUBLE AS confidence FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM {part}), (VALUES ('use:11', 'run:2', 0.90), ('use:11', 'inner:5', 0.72), ('inner:5', 'made', 0.76), ('use:11', 'apply:16', 0.90), ('apply:16', 'inner:5', 0.76)) AS x(a, b, c)")
+def _(d):
+    return workloads.architecture(d.sql(_VALUES))["calls"].select("from_id", "to_id", "confidence")
+
+
 @query("jn5_6_17_script_calls_and_returns", "SELECT 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts#g' || CAST(p_partkey AS VARCHAR) || ':1' AS from_id, 'src/t' || CAST(p_partkey AS VARCHAR) || '.ts#h' || CAST(p_partkey AS VARCHAR) || ':4' AS to_id, 'z' AS label FROM {part}")
 def _(d):
     files = _ts(d)

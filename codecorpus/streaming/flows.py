@@ -6,7 +6,8 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -74,26 +75,41 @@ def run_stream(events: DataFrame) -> DataFrame:
     return events.select(*cols).groupBy("run_id").applyInPandasWithState(step, runs.STATE_DDL, "projection string", "update", GroupStateTimeout.NoTimeout)
 
 
+def latest_index(spark: SparkSession, index_path: str, before: int | None = None) -> DataFrame | None:
+    """The index that apply_file_changes keeps: of each repository the rows of its last batch (before the given one); None without any."""
+    try:
+        touched = spark.read.parquet(f"{index_path}/touched")
+        rows = spark.read.option("mergeSchema", True).parquet(f"{index_path}/rows")
+    except AnalysisException:
+        return None
+    if before is not None:
+        touched = touched.filter(F.col("batch") < before)
+    last = touched.groupBy("repo").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["repo", "batch"], "left_semi").drop("batch")
+
+
 def apply_file_changes(changes: DataFrame, index_path: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Query that folds bursts of changed files (repo, path, size, mtime, content, changed_at) into the index at ``index_path``.
 
-    Of a burst only the last change of a path counts; changed files are parsed, others reused; the index of a batch is
-    written beside the last one and named by batch, so a batch that runs again writes the same.
+    Of a burst only the last change of a path counts; changed files are parsed, others reused. A batch writes the
+    repositories that it touches, whole, under its number, so one that runs again writes the same, and nothing is
+    rewritten of the others; read it with latest_index.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.withColumn("k", F.row_number().over(W.partitionBy("repo", "path").orderBy(F.desc("changed_at")))).filter("k = 1").drop("k", "changed_at")
-        old = None
-        if number:
-            old = spark.read.parquet(f"{index_path}/batch={number - 1}")
+        repos = last.select("repo").distinct()
+        old = latest_index(spark, index_path, number)
         gone = last.filter("content is null").select("repo", "path")
         fresh = parse(last.filter("content is not null"))
         if old is not None:
+            old = old.join(repos, "repo", "left_semi")
             plan = incremental_plan(last.filter("content is not null"), old, None).filter("action != 'reuse'").select("repo", "path")
             touched = last.select("repo", "path").join(plan, ["repo", "path"], "left_semi").unionByName(gone).distinct()
             keep = old.join(touched, ["repo", "path"], "left_anti")
             fresh = keep.unionByName(fresh.join(touched, ["repo", "path"], "left_semi"), allowMissingColumns=True)
-        fresh.write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{index_path}/rows/batch={number}")
+        repos.write.mode("overwrite").parquet(f"{index_path}/touched/batch={number}")
 
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)

@@ -409,14 +409,15 @@ def test_file_changes_stream(spark, tmp_path):
     ddl = "repo string, path string, size long, mtime long, content string, changed_at long"
     parse_ = lambda df: df.select("repo", "path", "size", "mtime", F.sha2("content", 256).alias("hash"))
     source = str(tmp_path / "changes")
-    spark.createDataFrame([("r", "a", 1, 1, "x", 1), ("r", "a", 2, 2, "xy", 2), ("r", "b", 1, 1, "b", 1)], ddl).coalesce(1).write.mode("append").json(source)
+    spark.createDataFrame([("r", "a", 1, 1, "x", 1), ("r", "a", 2, 2, "xy", 2), ("r", "b", 1, 1, "b", 1), ("q", "c", 1, 1, "c", 1)], ddl).coalesce(1).write.mode("append").json(source)
     for number in (0, 1):
         if number:
             spark.createDataFrame([("r", "a", 3, 3, "xyz", 3), ("r", "b", None, None, None, 3)], ddl).coalesce(1).write.mode("append").json(source)
         q = flows.apply_file_changes(spark.readStream.schema(ddl).json(source), str(tmp_path / "index"), parse_, str(tmp_path / "cp")).trigger(availableNow=True).start()
         assert q.awaitTermination(60)
-        got = {(r.path, r.size) for r in spark.read.parquet(str(tmp_path / "index") + f"/batch={number}").collect()}
-        assert got == ({("a", 2), ("b", 1)}, {("a", 3)})[number]
+        got = {(r.repo, r.path, r.size) for r in flows.latest_index(spark, str(tmp_path / "index")).collect()}
+        assert got == ({("r", "a", 2), ("r", "b", 1), ("q", "c", 1)}, {("r", "a", 3), ("q", "c", 1)})[number]
+    assert {r.repo for r in spark.read.parquet(str(tmp_path / "index" / "rows" / "batch=1")).collect()} == {"r"}
 
 
 def test_search(spark, monkeypatch):
