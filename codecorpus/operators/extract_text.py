@@ -33,34 +33,35 @@ TS_CALL = r"""(?:\brequire|\bimport)\s*\(\s*["']([^"'\n]+)["']\s*\)"""
 def extract_imports(files: DataFrame) -> DataFrame:
     """``imports``: path, specifier, line, kind (imports or exports), excerpt; from Python, Rust and TypeScript or JavaScript text.
 
-    Files are filtered by a pattern on the whole text before their lines are taken apart.
+    One scan: files are filtered by a pattern on the whole text, then lines by the same pattern, before anything is
+    taken apart. A line in a comment is none.
     """
-    ext = S.extension(F.col("path"))
-    py = numbered_lines(files.filter((ext == "py") & F.col("content").rlike(r"(?m)^\s*(from|import)\s")))
-    py = py.filter(F.col("text").rlike(r"^\s*(from|import)\s"))
-    names = F.when(F.col("text").rlike(PY_FROM), F.array(F.regexp_extract("text", PY_FROM, 1))).when(F.col("text").rlike(PY_IMPORT), F.transform(F.split(F.regexp_extract("text", PY_IMPORT, 1), ","), F.trim))
-    py = py.select(*KEYS, "path", "line", F.lit("imports").alias("kind"), S.excerpt(F.col("text")).alias("excerpt"), F.explode(names).alias("specifier"))
-    rs = numbered_lines(files.filter((ext == "rs") & F.col("content").rlike(r"\b(use|mod)\s")))
+    family = F.when(F.col("ext") == "py", "py").when(F.col("ext") == "rs", "rs").when(F.col("ext").isin("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"), "ts")
+    known = files.withColumn("ext", S.extension(F.col("path"))).withColumn("family", family).filter("family is not null")
+    some = F.when(F.col("family") == "py", F.col("content").rlike(r"(?m)^\s*(from|import)\s")).when(F.col("family") == "rs", F.col("content").rlike(r"\b(use|mod)\s")).otherwise(F.col("content").rlike(r"\b(import|export|require)\b"))
+    lines = numbered_lines(known.filter(some), "family")
+    text, is_py, is_rs = F.col("text"), F.col("family") == "py", F.col("family") == "rs"
+    worth = F.when(is_py, text.rlike(r"^\s*(from|import)\s")).when(is_rs, text.rlike(r"\b(use|mod)\s")).otherwise(text.rlike(r"\b(import|export|require|from)\b") & ~text.rlike(r"^\s*(//|\*|/\*)"))
+    lines = lines.filter(worth)
+    item = lambda specifier, kind: F.struct(specifier.alias("specifier"), kind.alias("kind"))
+    imports, exports = F.lit("imports"), F.lit("exports")
+    names = F.when(text.rlike(PY_FROM), F.array(F.regexp_extract("text", PY_FROM, 1))).when(text.rlike(PY_IMPORT), F.transform(F.split(F.regexp_extract("text", PY_IMPORT, 1), ","), F.trim))
+    python = F.transform(names, lambda n: item(n, imports))
     used = F.regexp_extract("text", RS_USE, 2)
     used = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(used, "^::", ""), r"\{.*$", ""), "::$", ""))
-    made = F.array_compact(
+    rust = F.array_compact(
         F.array(
-            F.when(F.col("text").rlike(RS_USE) & (used != ""), F.struct(used.alias("specifier"), F.when(F.regexp_extract("text", RS_USE, 1) != "", "exports").otherwise("imports").alias("kind"))),
-            F.when(F.col("text").rlike(RS_MOD), F.struct(F.concat(F.lit("self::"), F.regexp_extract("text", RS_MOD, 1)).alias("specifier"), F.lit("imports").alias("kind"))),
+            F.when(text.rlike(RS_USE) & (used != ""), item(used, F.when(F.regexp_extract("text", RS_USE, 1) != "", exports).otherwise(imports))),
+            F.when(text.rlike(RS_MOD), item(F.concat(F.lit("self::"), F.regexp_extract("text", RS_MOD, 1)), imports)),
         )
     )
-    rs = rs.select(*KEYS, "path", "line", S.excerpt(F.col("text")).alias("excerpt"), F.explode(made).alias("m")).select(*KEYS, "path", "line", "m.kind", "excerpt", "m.specifier")
-    ts = numbered_lines(files.filter(ext.isin("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs") & F.col("content").rlike(r"\b(import|export|require)\b")))
-    ts = ts.filter(F.col("text").rlike(r"\b(import|export|require|from)\b") & ~F.col("text").rlike(r"^\s*(//|\*|/\*)"))
     late = r"""^[\w*{}\s,$]*\}?\s*from\s+["']([^"'\n]+)["']"""
     head = F.regexp_extract("text", TS_FROM, 2)
     tail = F.when(head == "", F.regexp_extract("text", late, 1)).otherwise("")
-    calls = F.regexp_extract_all("text", F.lit(TS_CALL), 1)
-    specs = F.filter(F.concat(F.array(head, tail), calls), lambda s: s != "")
-    is_export = F.col("text").rlike(r"^\s*export\b")
-    ts = ts.select(*KEYS, "path", "line", F.when(is_export, "exports").otherwise("imports").alias("kind"), S.excerpt(F.col("text")).alias("excerpt"), F.explode(specs).alias("specifier"))
-    cols = [*KEYS, "path", "specifier", "line", "kind", "excerpt"]
-    return py.select(cols).unionByName(rs.select(cols)).unionByName(ts.select(cols))
+    specs = F.filter(F.concat(F.array(head, tail), F.regexp_extract_all("text", F.lit(TS_CALL), 1)), lambda s: s != "")
+    script = F.transform(specs, lambda s: item(s, F.when(text.rlike(r"^\s*export\b"), exports).otherwise(imports)))
+    made = lines.select(*KEYS, "path", "line", S.excerpt(text).alias("excerpt"), F.explode(F.when(is_py, python).when(is_rs, rust).otherwise(script)).alias("m"))
+    return made.select(*KEYS, "path", "m.specifier", "line", "m.kind", "excerpt")
 
 
 # The line that shows a framework, for each language family.
