@@ -159,7 +159,8 @@ class Mix:
     def rows(self) -> DataFrame:
         """The mix: each taken document once for each copy, its columns as they were, with copy, shard and order_key.
 
-        A shard's rows are in random order when sorted by order_key (a seeded hash), within the shard only.
+        A shard's rows are in random order when sorted by order_key (a seeded hash), within the shard only. Where the
+        documents have a column of such a name, theirs keeps it and the mix's is called mix_copy and so on.
         """
         d = self.docs.select(F.struct(*[F.col(c) for c in self.docs.columns]).alias("row"))
         field = lambda c: F.col(f"row.`{c}`")
@@ -167,7 +168,8 @@ class Mix:
         rows = self._extra(rows.withColumn("block", _block("id", F.col("size"), self.seed)))
         taken = rows.filter("copies > 0").join(self._dealt(), ["key", "block"])
         out = taken.select("row", "id", F.explode(F.slice("units", 1, F.col("copies"))).alias("unit"))
-        return out.select("row.*", F.col("unit.copy").alias("copy"), F.col("unit.shard").alias("shard"), F.xxhash64("id", "unit.copy", F.lit(self.seed + 3)).alias("order_key"))
+        own = lambda c: f"mix_{c}" if c in self.docs.columns else c
+        return out.select("row.*", F.col("unit.copy").alias(own("copy")), F.col("unit.shard").alias(own("shard")), F.xxhash64("id", "unit.copy", F.lit(self.seed + 3)).alias(own("order_key")))
 
 
 def mix(docs: DataFrame, **options) -> Mix:

@@ -20,6 +20,6 @@ def make_docs(spark):
 def with_clashes():
     def add(df):
         """Extra columns named like the operators' own."""
-        return df.withColumns({c: F.lit("mine") for c in ("row", "out", "id", "key", "size", "block", "n", "n_words", "score", "kept", "spans", "token", "component", "rep", "copies", "h")})
+        return df.withColumns({c: F.lit("mine") for c in ("row", "out", "id", "key", "size", "block", "n", "n_words", "score", "kept", "spans", "token", "component", "rep", "copies", "h", "copy", "shard", "order_key", "kept_id", "page", "uid", "stream", "matches")})
 
     return add

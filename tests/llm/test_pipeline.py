@@ -1,5 +1,7 @@
 """The pipeline's stages keep the columns, act on what they decide, and follow one another."""
 
+import random
+
 import corpus_pipeline
 from codecorpus.llm import decontam, ngram_join, quality, secrets
 from codecorpus.llm._text import stored
@@ -38,3 +40,32 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def long_text(seed, n=80):
+    r = random.Random(seed)
+    return " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()) + str(r.randrange(50)) for _ in range(n))
+
+
+def test_stages_on_odd_rows(spark, sf_dir, make_docs, with_clashes):
+    """Null, empty and very long texts, repeated and null ids, null sources, clashing columns, and no rows at all."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 100").first().text
+    texts = [(1, None), (2, ""), (3, "  \n "), (4, long_text(4, 30_000)), (5, long_text(5)), (5, long_text(5)), (None, long_text(6)), (None, None), (7, long_text(5)), (8, item + " " + long_text(8, 30)), (9, long_text(9) + " token = abcdef0123456789abcdef")]
+    docs = with_clashes(make_docs(texts, source={1: None, 5: "a", 7: "b"}))
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+    every = [(r[0] is None, r[0] or 0) for r in texts]
+    run = dict(corpus_pipeline.STAGES)
+    good = run["quality rules"](spark, docs, sf_dir)
+    rated = {(r.doc_id, r.n_words): r.kept for r in quality.report(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    assert ids(good) == sorted((i is None, i or 0) for i, t in texts if rated[i, len((t or "").split())])
+    assert ids(run["n-gram Jaccard join"](spark, docs, sf_dir)) == sorted(set(every) - {(False, 7)} | {(True, 0)}) + [(True, 0)]
+    assert ids(run["benchmark decontamination"](spark, docs, sf_dir)) == sorted(x for x in every if x != (False, 8))
+    clean = run["secret scans"](spark, docs, sf_dir)
+    assert ids(clean) == sorted(every) and not any("abcdef0123456789" in (r.text or "") for r in clean.collect())
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in clean.collect())
+    mixed = run["mixing sources"](spark, docs, sf_dir)
+    assert set(ids(mixed)) <= set(every) - {(False, 1), (False, 2), (False, 3)} and all(r.text and r.text.split() for r in mixed.collect())
+    assert mixed.columns == docs.columns + ["mix_copy", "mix_shard", "mix_order_key"]
+    for name, stage in corpus_pipeline.STAGES:
+        none = stored(stage(spark, docs.limit(0), sf_dir), "none")
+        assert none.count() == 0 and none.columns[: len(docs.columns)] == docs.columns, name
