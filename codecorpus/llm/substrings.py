@@ -152,7 +152,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
         digest_bytes = 2 * width
     here = stored(real.join(again, "digest"), "chunk-places")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "start")
-    first = here.groupBy("digest").agg(F.min(place).alias("first"))
+    first = stored(here.groupBy("digest").agg(F.min(place).alias("first")), "chunk-firsts")  # so a very common chunk's places can be split in the join
     later = (F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start"))
     return found, here.join(first, "digest").select("uid", "id", "start", "end", later.alias("later"))
 
