@@ -272,10 +272,10 @@ def _(d):
     return workloads.architecture(d.sql(B.FILES))["calls"].select("from_id", "to_id", "confidence")
 
 
-@query("jn11_contains_defines", f"SELECT kind, count(*) AS n FROM (SELECT 'contains' AS kind FROM (SELECT DISTINCT {_PART('path')} FROM ({B.FILES})) UNION ALL SELECT 'contains' FROM ({B.FILES}) UNION ALL SELECT 'defines' FROM ({B.FILES})) GROUP BY kind")
+@query("jn11_contains_defines", f"SELECT DISTINCT 'semantic:system:corpus' AS from_id, 'semantic:component:' || {_PART('path')} AS to_id, 'contains' AS kind, 'inferred' AS trust, 0.72::DOUBLE AS confidence FROM ({B.FILES}) UNION ALL SELECT 'semantic:component:' || {_PART('path')}, 'semantic:file:' || path, 'contains', 'verified', 1.0 FROM ({B.FILES}) UNION ALL SELECT 'semantic:file:' || path, 'semantic:symbol:' || {_SYMBOL_ID}, 'defines', 'verified', 1.0 FROM ({B.FILES})")
 def _(d):
     t = workloads.architecture(d.sql(B.FILES))
-    return semantic.contains_defines(t["nodes"], t["symbols"])[1].groupBy("kind").agg(F.count("*").alias("n"))
+    return semantic.contains_defines(t["nodes"], t["symbols"])[1].select("from_id", "to_id", "kind", "trust", "confidence")
 
 
 _CLASSES = "SELECT 'corpus' AS repo, 'r1' AS revision, concat('a/c', CAST(k AS STRING), '.py') AS path, concat('C', CAST(k AS STRING)) AS name, 'class' AS kind, concat('id', CAST(k AS STRING)) AS symbol_id, concat('class C', CAST(k AS STRING), '(C', CAST(CAST(floor(k / 3.0) AS BIGINT) AS STRING), CASE WHEN k % 4 = 0 THEN ', Generic[T]' ELSE '' END, '):') AS signature, CAST(NULL AS STRING) AS container_id, k FROM (SELECT p_partkey AS k FROM {part})"
@@ -681,11 +681,11 @@ def _(d):
     return nodes.select("start", "node")
 
 
-@query("gr2_route", f"WITH RECURSIVE e AS (SELECT from_id, to_id, a FROM ({B.CHAIN})), r(start, node, length) AS (SELECT from_id, from_id, 0 FROM e UNION ALL SELECT r.start, e.to_id, r.length + 1 FROM r JOIN e ON e.from_id = r.node) SELECT start, min(length) AS length FROM r WHERE node = 'f0' GROUP BY start")
+@query("gr2_route", f"WITH RECURSIVE e AS (SELECT from_id, to_id, edge_id FROM ({B.CHAIN})), r(start, node, length, nodes, edges) AS (SELECT from_id, from_id, 0, from_id, '' FROM e UNION ALL SELECT r.start, e.to_id, r.length + 1, r.nodes || '>' || e.to_id, r.edges || '>' || e.edge_id FROM r JOIN e ON e.from_id = r.node) SELECT start, length, nodes, edges FROM r WHERE node = 'f0'")
 def _(d):
     e = d.sql(B.CHAIN)
     pairs = e.select(*KEYS, F.col("edge_id").alias("query_id"), F.col("from_id").alias("start"), F.lit("f0").alias("target"))
-    return graph.route(e, pairs).select("start", "length")
+    return graph.route(e, pairs).select("start", "length", F.array_join("nodes", ">").alias("nodes"), F.concat(F.lit(">"), F.array_join("edge_ids", ">")).alias("edges"))
 
 
 @query("gr3_dossier", f"WITH e AS (SELECT from_id AS x, to_id AS y FROM ({B.CHAIN}) UNION SELECT to_id, from_id FROM ({B.CHAIN})), s AS (SELECT DISTINCT from_id AS start FROM ({B.CHAIN})), h AS (SELECT start, y AS node FROM s JOIN e ON x = start) SELECT start, node FROM (SELECT start, node FROM h UNION SELECT start, y FROM h JOIN e ON x = node UNION SELECT start, start FROM s)")
@@ -887,10 +887,10 @@ def _(d):
     return resolve.state_access(tokens, variables, s).select("from_id", "to_id", "kind")
 
 
-@query("jn12_lift_relations", f"SELECT 'depends-on' AS kind, count(*) AS n FROM ({_EDGES}) UNION ALL SELECT 'calls', count(*) FROM ({B.FILES}) WHERE k > 0")
+@query("jn12_lift_relations", f"SELECT 'semantic:file:' || from_id AS from_id, CASE WHEN starts_with(to_id, 'external:') THEN 'semantic:external-system:' || substr(to_id, 10) ELSE 'semantic:file:' || to_id END AS to_id, 'depends-on' AS kind FROM ({_EDGES}) UNION ALL SELECT 'semantic:symbol:' || a.id, 'semantic:symbol:' || b.id, 'calls' FROM (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) a JOIN (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) b ON b.k = CAST(floor(a.k / 2.0) AS BIGINT) AND a.k > 0")
 def _(d):
     t = workloads.architecture(d.sql(B.FILES))
-    return semantic.lift_relations(t["edges"], t["calls"], t["relations"], t["symbols"])[1].groupBy("kind").agg(F.count("*").alias("n"))
+    return semantic.lift_relations(t["edges"], t["calls"], t["relations"], t["symbols"])[1].select("from_id", "to_id", "kind")
 
 
 @query("jn16_behavior_passes", f"SELECT a.id AS from_id, b.id AS to_id, 'order -> order' AS label FROM (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) a JOIN (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) b ON b.k = CAST(floor(a.k / 2.0) AS BIGINT) AND a.k > 0")
