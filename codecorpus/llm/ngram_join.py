@@ -329,9 +329,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = apply_texts(texts, "text", _prefixes(frequent, similar), "n int, d1 long, d2 long, prefix array<long>", ["id"])
     made = stored(made.select("row.id", "out.*"), "prefixes")
     own = ["n", "d1", "d2"]
-    reps = made.filter("n > 0 and id is not null").groupBy(*own).agg(F.min("id").alias("rep"))
     sets_of = made.filter("n > 0 and id is not null")
-    # documents with the set of another are links at once, and only the first one goes on
+    # documents with the set of another are links at once, and only the first one goes on; what is stored here lets the
+    # join be dealt by itself, so that a large group of copies can be split
+    reps = stored(sets_of.groupBy(*own).agg(F.min("id").alias("rep"), F.count("*").alias("k")).filter("k > 1").select(*own, "rep"), "copied-sets")
     same = stored(sets_of.select("id", *own).join(reps, own).filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
     lone = sets_of.select("id", "n", "prefix").join(same.select(F.col("a").alias("id")), "id", "left_anti")
     rows = lone.select(F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
