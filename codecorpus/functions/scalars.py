@@ -36,10 +36,10 @@ RESPONSIBILITIES = [
 # Words that make a symbol a workflow step.
 CALLABLE_KINDS = ["function", "method", "component"]
 REGISTERED = "tokio::main|__main__|route|router|endpoint|command|scheduler|cron|task|listener|subscriber|consumer|event|webhook"
-ORCHESTRATION = "agent workflow pipeline orchestrator orchestration handler listener consumer server cli command job task trade trading order risk strategy rebalance portfolio broker market".split()
-ENTRY_NAMES = "main __main__ bootstrap startup entrypoint run start".split()
-ACTIONS = "start bootstrap run execute handle process consume listen serve submit dispatch orchestrate".split()
-UTILITIES = "get set is has ensure find load save store persist write publish emit send receive".split()
+ORCHESTRATION = ["agent", "workflow", "pipeline", "orchestrator", "orchestration", "handler", "listener", "consumer", "server", "cli", "command", "job", "task", "trade", "trading", "order", "risk", "strategy", "rebalance", "portfolio", "broker", "market"]
+ENTRY_NAMES = ["main", "__main__", "bootstrap", "startup", "entrypoint", "run", "start"]
+ACTIONS = ["start", "bootstrap", "run", "execute", "handle", "process", "consume", "listen", "serve", "submit", "dispatch", "orchestrate"]
+UTILITIES = ["get", "set", "is", "has", "ensure", "find", "load", "save", "store", "persist", "write", "publish", "emit", "send", "receive"]
 STEP_WORDS = [
     ("ingest", "ingest consume receive fetch load"),
     ("validate", "validate check verify"),

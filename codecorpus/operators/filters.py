@@ -10,7 +10,7 @@ from codecorpus.functions import scalars as S
 
 TEXT_LIMIT = 1_500_000
 # Folders that are never read, and extensions of binary files.
-IGNORED_FOLDERS = ".git node_modules dist out build release .next .nuxt .venv venv __pycache__ coverage test-results playwright-report .idea".split()
+IGNORED_FOLDERS = [".git", "node_modules", "dist", "out", "build", "release", ".next", ".nuxt", ".venv", "venv", "__pycache__", "coverage", "test-results", "playwright-report", ".idea"]
 BINARY = r"(?i)\.(png|jpe?g|gif|webp|ico|bmp|avif|mp[34]|wav|ogg|mov|avi|webm|pdf|zip|gz|tgz|7z|rar|jar|exe|dll|so|dylib|bin|wasm|woff2?|ttf|otf|eot|class|pyc|db|sqlite3?)$"
 
 
