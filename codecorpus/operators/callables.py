@@ -56,6 +56,23 @@ def meanings(uses: DataFrame, symbols: DataFrame, imported: DataFrame, params: D
     return found.withColumn("param_name", F.when(F.col("param_owner").isNotNull(), F.col("name")))
 
 
+def returned_values(direct: DataFrame, links: DataFrame) -> DataFrame:
+    """``direct`` (owner_id, symbol_id, param_owner, param_name) with what callables give that return another one's result.
+
+    ``links`` (owner_id, via): ``owner_id`` returns what ``via`` returns. Followed to the end: a round joins the links
+    with what the last round found only, and stores that; circles end as nothing new comes.
+    """
+    value = ["symbol_id", "param_owner", "param_name"]
+    known = lambda df: df.withColumn("_v", F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in value]))
+    fresh = stored(known(direct.select(*KEYS, "owner_id", *value).distinct()), "returned")
+    found, links = fresh, stored(links.select(*KEYS, "owner_id", "via").filter("owner_id != via").distinct(), "return-links")
+    while not links.isEmpty() and not fresh.isEmpty():
+        step = links.join(fresh.withColumnRenamed("owner_id", "via"), [*KEYS, "via"]).select(*KEYS, "owner_id", *value, "_v").distinct()
+        fresh = stored(step.join(found.select(*KEYS, "owner_id", "_v"), [*KEYS, "owner_id", "_v"], "left_anti"), "returned")
+        found = found.unionByName(fresh)
+    return found.drop("_v")
+
+
 def decorated_values(symbols: DataFrame, notes: DataFrame, returned: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outputs, passed): the symbols (symbol_id, value_id) that a decorated name stands for, and what each decorator is given (callee_id, symbol_id).
 
@@ -79,7 +96,7 @@ def decorated_values(symbols: DataFrame, notes: DataFrame, returned: DataFrame,
 
 
 def callable_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame, bindings: DataFrame, direct: DataFrame, decorated: DataFrame) -> DataFrame:
-    """``call_candidates`` that go through values: calls of decorated functions 0.72, of returned callables 0.72 (``x = f(); x()``) or 0.70 (``f()()``), through parameters 0.76, and of decorators by the callable around the decorated one 0.90.
+    """``call_candidates`` that go through values: calls of decorated functions 0.72, of returned callables 0.72 (``x = f(); x()``) or 0.70 (``f()()``), also where ``f`` returns what others return, through parameters 0.76, and of decorators by the callable around the decorated one 0.90.
 
     ``direct`` are resolved calls, ``decorated`` those whose target has decorators. A decorated name stands for what its
     decorators return, bottom-up, or for itself where they return nothing known.
@@ -89,7 +106,10 @@ def callable_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame, bi
     mean = lambda uses: meanings(uses, symbols, imported, params, scopes)
     py = bindings.filter(F.col("path").endswith(".py"))
     simple = F.col("name").rlike(r"^[A-Za-z_]\w*$")
-    returned = stored(mean(py.filter("binding = 'return'").select(*KEYS, "path", "owner_id", F.col("right_name").alias("name")).filter(simple)).select(*KEYS, "owner_id", "symbol_id", "param_owner", "param_name").distinct(), "returned")
+    said_back = lambda kind: mean(py.filter(F.col("binding") == kind).select(*KEYS, "path", "owner_id", F.col("right_name").alias("name")).filter(simple)).select(*KEYS, "owner_id", "symbol_id", "param_owner", "param_name").distinct()
+    relayed = stored(said_back("return-call"), "relayed")
+    links = relayed.filter("symbol_id is not null").select(*KEYS, "owner_id", F.col("symbol_id").alias("via"))
+    returned = returned_values(said_back("return"), links)
     outer = symbols.select(*KEYS, "symbol_id", "container_id", F.size(F.coalesce("decorators", F.array().cast("array<string>"))).alias("n"), F.col("decorators").alias("all"))
     heads = outer.filter("n > 0").select(*KEYS, "symbol_id", "container_id", F.posexplode("all").alias("at", "text"), "n").withColumn("name", F.regexp_extract("text", r"^([A-Za-z_]\w*)$", 1)).filter("name != ''")
     heads = heads.join(symbols.select(*KEYS, "symbol_id", "path"), [*KEYS, "symbol_id"])
@@ -100,16 +120,11 @@ def callable_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame, bi
     through = lambda calls: calls.join(outputs.select(*KEYS, F.col("symbol_id").alias("to_id"), "value_id"), [*KEYS, "to_id"], "left").withColumn("to_id", F.coalesce("value_id", "to_id")).drop("value_id")
     said = [through(decorated.select(*keep, "to_id")).withColumn("confidence", F.lit(0.72))]
     s = sites.filter("owner_id is not null and path like '%.py'")
-    # x = f() .. x(), and f()()
-    made = py.filter("binding = 'call-result' and left_name not like 'self.%'").select(*KEYS, "path", "owner_id", F.col("left_name").alias("callee_text"), F.col("line").alias("bound_at"), F.col("right_name").alias("name"))
-    late = s.select(*keep).join(made, [*KEYS, "path", "owner_id", "callee_text"]).filter("bound_at < line").withColumn("k", F.row_number().over(W.partitionBy(*keep).orderBy(F.desc("bound_at")))).filter("k = 1").drop("k", "bound_at").withColumn("confidence", F.lit(0.72))
-    twice = s.filter(F.col("callee_text").rlike(r"^[A-Za-z_]\w*\(\)$")).select(*keep, F.regexp_extract("callee_text", r"^(\w+)", 1).alias("name"), F.lit(0.70).alias("confidence"))
-    makers = mean(late.unionByName(twice)).filter("symbol_id is not null").select(*keep, "confidence", F.col("symbol_id").alias("maker"))
-    gives = returned.filter("symbol_id is not null").select(*KEYS, F.col("owner_id").alias("maker"), F.col("symbol_id").alias("to_id"))
-    said.append(through(makers.join(gives, [*KEYS, "maker"]).select(*keep, "to_id", "confidence")))
     asks = mean(s.filter(F.col("callee_text").rlike(r"^[A-Za-z_]\w*$")).select(*keep, F.col("callee_text").alias("name"))).filter("param_owner is not null")
     asks = stored(asks.select(*keep, "param_owner", "param_name"), "calls-through")
-    if not asks.isEmpty():  # which callables or parameters are passed to which callee
+    bound = None
+    through_parameters = returned.filter("param_owner is not null").select("repo").unionByName(relayed.filter("param_owner is not null").select("repo"))
+    if not asks.isEmpty() or not through_parameters.isEmpty():  # which callables or parameters are passed to which callee
         calls = direct.select(*keep, F.col("to_id").alias("callee_id")).unionByName(said[0].select(*keep, F.col("to_id").alias("callee_id")))
         args = s.select(*keep, F.posexplode("args").alias("position", "arg")).join(calls, keep)
         keyword = F.regexp_extract("arg", r"^([A-Za-z_]\w*)\s*=[^=]", 1)
@@ -122,6 +137,19 @@ def callable_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame, bi
         invoked = stored(args.unionByName(given).distinct(), "invocations")
         bound, _ = propagate_callables(invoked, params, asks.select(*KEYS, F.col("param_owner").alias("owner_id"), "param_name"))
         said.append(asks.join(bound.select(*KEYS, F.col("owner_id").alias("param_owner"), F.col("param").alias("param_name"), F.col("symbol_id").alias("to_id")), [*KEYS, "param_owner", "param_name"]).select(*keep, "to_id", F.lit(0.76).alias("confidence")))
+    # x = f() .. x(), and f()()
+    made = py.filter("binding = 'call-result' and left_name not like 'self.%'").select(*KEYS, "path", "owner_id", F.col("left_name").alias("callee_text"), F.col("line").alias("bound_at"), F.col("right_name").alias("name"))
+    late = s.select(*keep).join(made, [*KEYS, "path", "owner_id", "callee_text"]).filter("bound_at < line").withColumn("k", F.row_number().over(W.partitionBy(*keep).orderBy(F.desc("bound_at")))).filter("k = 1").drop("k", "bound_at").withColumn("confidence", F.lit(0.72))
+    twice = s.filter(F.col("callee_text").rlike(r"^[A-Za-z_]\w*\(\)$")).select(*keep, F.regexp_extract("callee_text", r"^(\w+)", 1).alias("name"), F.lit(0.70).alias("confidence"))
+    makers = mean(late.unionByName(twice)).filter("symbol_id is not null").select(*keep, "confidence", F.col("symbol_id").alias("maker"))
+    if bound is not None:  # what returns a parameter, or its result, gives what is passed
+        passed_on = bound.select(*KEYS, F.col("owner_id").alias("param_owner"), F.col("param").alias("param_name"), F.col("symbol_id").alias("given"))
+        later = relayed.filter("param_owner is not null").join(passed_on, [*KEYS, "param_owner", "param_name"]).select(*KEYS, "owner_id", F.col("given").alias("via"))
+        returned = returned_values(returned, links.unionByName(later))
+        held = returned.filter("param_owner is not null").join(passed_on, [*KEYS, "param_owner", "param_name"]).select(*KEYS, "owner_id", F.col("given").alias("symbol_id"))
+        returned = returned.select(*KEYS, "owner_id", "symbol_id").unionByName(held).distinct()
+    gives = returned.filter("symbol_id is not null").select(*KEYS, F.col("owner_id").alias("maker"), F.col("symbol_id").alias("to_id"))
+    said.append(through(makers.join(gives, [*KEYS, "maker"]).select(*keep, "to_id", "confidence")))
     applied = notes.filter("owner_id is not null").join(symbols.select(*KEYS, "symbol_id", F.col("line").alias("line")), [*KEYS, "symbol_id"])
     said.append(applied.select(*KEYS, "path", "owner_id", F.lit("@").alias("callee_text"), F.col("line"), (F.col("line") * 10_000).cast("long").alias("ordinal"), F.col("decorator_id").alias("to_id"), F.lit(0.90).alias("confidence")))
     out = said[0]

@@ -77,18 +77,60 @@ def route(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return done.select(*q, F.col("nodes")[0].alias("start"), "target", "nodes", "edge_ids", F.size("edge_ids").alias("length"))
 
 
-def dossier(relations: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int = 100, max_relations: int = 160, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, relations) within ``hops`` undirected steps of each seed, the nearest ``max_nodes`` and the first ``max_relations`` between them."""
+def dossier(relations: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int | None = 100, max_relations: int = 160, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relations) within ``hops`` undirected steps of each seed, the nearest ``max_nodes`` (None: all) and the first ``max_relations`` between them."""
     used = relations if kinds is None else relations.filter(F.col("kind").isin(kinds))
     both = used.select(*KEYS, "from_id", "to_id").unionByName(used.select(*KEYS, F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
     found, _ = reach(both, seeds.withColumnRenamed("seed", "start") if "seed" in seeds.columns else seeds, "down", hops)
-    near = found.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy("depth", "node"))).filter(F.col("k") <= max_nodes).drop("k")
+    near = found if max_nodes is None else found.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy("depth", "node"))).filter(F.col("k") <= max_nodes).drop("k")
     ends = near.select(*KEYS, "start", "node")
     inner = used.join(ends.withColumnRenamed("node", "from_id"), [*KEYS, "from_id"]).join(ends.withColumnRenamed("node", "to_id"), [*KEYS, "start", "to_id"])
     kept = inner.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy("from_id", "to_id", "kind"))).filter(F.col("k") <= max_relations).drop("k")
     return near, kept
 
 
+#: Items of each layer of a dossier, and pieces of evidence of each item.
+DOSSIER = {"nodes": (100, 4), "relations": (160, 3), "behavior": (120, 3), "frameworks": (80, 3), "claims": (60, 3), "questions": (30, 3)}
+
+
+def dossier_layers(seeds: DataFrame, nodes: DataFrame, relations: DataFrame, behavior: DataFrame, candidates: DataFrame, claims: DataFrame, questions: DataFrame, hops: int = 2, most: dict = DOSSIER) -> DataFrame:
+    """One row for each item that a seed's dossier shows: (start, layer, place, item_id, kind, from_id, to_id, evidence).
+
+    ``nodes`` are those within ``hops`` undirected steps, nearest first; ``relations`` and ``behavior`` join two of them;
+    ``frameworks`` candidates touch one; ``claims`` and open ``questions`` are about the seed itself. All tables have item_id, kind
+    and evidence[]; links have from_id and to_id, nodes node_id, claims and questions subject_id, questions status. Each
+    layer keeps its first items by its own budget, and each item its first pieces of evidence.
+    """
+    seeds = seeds.withColumnRenamed("seed", "start") if "seed" in seeds.columns else seeds
+    near, _ = dossier(relations, seeds, hops, most["nodes"][0], 0)
+    near = stored(near.select(*KEYS, "start", "node", "depth"), "dossier-nodes")
+    ends = near.select(*KEYS, "start", "node")
+    end = lambda c: ends.withColumnRenamed("node", c)
+    none = F.lit(None).cast("string")
+
+    def layer(df, name, *order):
+        n, pieces = most[name]
+        # the first rows of a partition are cut where they lie, before they are shuffled
+        df = df.withColumn("place", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy(*order))).filter(F.col("place") <= n)
+        return df.select(*KEYS, "start", F.lit(name).alias("layer"), "place", "item_id", "kind", *[F.col(c) if c in df.columns else none.alias(c) for c in ("from_id", "to_id")], F.slice("evidence", 1, pieces).alias("evidence"))
+
+    both = lambda df: df.join(end("from_id"), [*KEYS, "from_id"]).join(end("to_id"), [*KEYS, "start", "to_id"])
+    touched = candidates.join(end("from_id"), [*KEYS, "from_id"]).unionByName(candidates.join(end("to_id"), [*KEYS, "to_id"])).dropDuplicates([*KEYS, "start", "item_id"])
+    about = lambda df: df.withColumnRenamed("subject_id", "start").join(seeds.select(*KEYS, "start").distinct(), [*KEYS, "start"], "left_semi")
+    parts = [
+        layer(nodes.join(near.withColumnRenamed("node", "node_id"), [*KEYS, "node_id"]), "nodes", "depth", "node_id"),
+        layer(both(relations), "relations", "from_id", "to_id", "kind", "item_id"),
+        layer(both(behavior), "behavior", "from_id", "to_id", "kind", "item_id"),
+        layer(touched, "frameworks", "item_id"),
+        layer(about(claims), "claims", "item_id"),
+        layer(about(questions.filter("status = 'open'")), "questions", "item_id"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def context_paths(nodes: DataFrame, relations: DataFrame, seeds: DataFrame) -> DataFrame:
     """Paths behind a semantic node (keys, seed): of a system all, of a component its module's, else those within 3 steps over contains, executes and defines."""
     s = seeds.join(nodes.select(*KEYS, F.col("node_id").alias("seed"), F.col("kind").alias("seed_kind"), F.col("label").alias("seed_label")), [*KEYS, "seed"])
@@ -96,7 +138,7 @@ def context_paths(nodes: DataFrame, relations: DataFrame, seeds: DataFrame) -> D
     every = s.filter("seed_kind = 'system'").join(files, KEYS).select(*KEYS, "seed", "path")
     part = s.filter("seed_kind = 'component'").join(files, (s["repo"] == files["repo"]) & (s["revision"] == files["revision"]) & (s["seed_label"] == files["module"])).select(s["repo"], s["revision"], "seed", "path")
     rest = s.filter("seed_kind not in ('system', 'component')")
-    near, _ = dossier(relations, rest.select(*KEYS, "seed"), 3, 1_000_000, 1, ["contains", "executes", "defines"])
+    near, _ = dossier(relations, rest.select(*KEYS, "seed"), 3, None, 1, ["contains", "executes", "defines"])
     walked = near.join(nodes.select(*KEYS, F.col("node_id").alias("node"), "path").filter("path is not null"), [*KEYS, "node"]).select(*KEYS, F.col("start").alias("seed"), "path")
     return every.unionByName(part).unionByName(walked).distinct()
 

@@ -277,28 +277,19 @@ def override_relations(symbols: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def inheritance_dispatch(sites: DataFrame, symbols: DataFrame, relations: DataFrame, most: int = 8) -> DataFrame:
-    """``super().m`` calls of the method of the nearest base that has it, the first in order of bases (0.92), and ``self.m`` calls without an own method as calls of at most ``most`` descendants' methods, nearest first (0.64).
+    """``super().m`` calls of the method of the first known base, if it has the method itself (0.92), and ``self.m`` calls without an own method as calls of at most ``most`` descendants' methods, nearest first (0.64).
 
-    Both walk the classes level by level to the end; each level is stored.
+    The descendants are walked level by level to the end; each level is stored.
     """
     owners = symbols.filter("container_id is not null").select(*KEYS, F.col("symbol_id").alias("owner_id"), F.col("container_id").alias("klass"))
     methods = _unique(symbols.filter("kind = 'method' and container_id is not null"), "container_id", "name").select(*KEYS, F.col("container_id").alias("klass"), F.col("name").alias("last"), F.col("symbol_id").alias("to_id"))
     methods = stored(methods, "methods")
-    bases = relations.filter("kind = 'extends'").select(*KEYS, F.col("from_id").alias("klass"), F.col("to_id").alias("parent"), "position")
-    bases = stored(bases, "bases")
+    bases = stored(relations.filter("kind = 'extends'").select(*KEYS, F.col("from_id").alias("klass"), F.col("to_id").alias("parent"), "position"), "bases")
     s = sites.join(owners, [*KEYS, "owner_id"]).withColumn("last", F.element_at(F.split("callee_text", r"\."), -1))
     keep = [*KEYS, *CALL_COLUMNS]
-    calls = s.filter(F.col("callee_text").startswith("super()."))
-    at = stored(calls.select(*keep, "last", "klass", F.array().cast("array<int>").alias("way")), "supers")
-    found, seen = None, at.select(*keep, "klass")
-    while not at.isEmpty():
-        up = at.join(bases, [*KEYS, "klass"]).select(*keep, "last", F.col("parent").alias("klass"), F.concat("way", F.array("position")).alias("way"))
-        up = stored(up.join(seen, [*keep, "klass"], "left_anti"), "supers")
-        hit = stored(up.join(methods, [*KEYS, "klass", "last"]).groupBy(*keep).agg(F.min_by("to_id", F.struct("way", "to_id")).alias("to_id")), "super-calls")
-        found = hit if found is None else found.unionByName(hit)
-        at = stored(up.join(hit.select(*keep), keep, "left_anti"), "supers")
-        seen = seen.unionByName(up.select(*keep, "klass"))
-    found = calls.limit(0).select(*keep, F.lit("").alias("to_id")) if found is None else found
+    first = bases.groupBy(*KEYS, "klass").agg(F.min_by("parent", F.struct("position", "parent")).alias("parent"))
+    found = s.filter(F.col("callee_text").startswith("super().")).join(first, [*KEYS, "klass"]).select(*keep, "last", F.col("parent").alias("klass"))
+    found = found.join(methods, [*KEYS, "klass", "last"]).select(*keep, "to_id")
     unmet = s.filter(F.col("callee_text").rlike(r"^self\.\w+$")).join(methods.select(*KEYS, "klass", "last"), [*KEYS, "klass", "last"], "left_anti").select(*keep, "last", "klass")
     unmet = stored(unmet, "unmet")
     level, depth = stored(unmet.select(*KEYS, "klass", F.col("klass").alias("child"), F.lit(0).alias("level")).distinct(), "descendants"), 0
@@ -315,7 +306,7 @@ def inheritance_dispatch(sites: DataFrame, symbols: DataFrame, relations: DataFr
 
 
 def state_access(tokens: DataFrame, variables: DataFrame, symbols: DataFrame) -> DataFrame:
-    """reads and writes of module variables inside callables. ``tokens`` has path, line, name and operator ('' for a read).
+    """reads and writes of module variables inside callables. ``tokens`` has path, line, name and operator ('' for a read), as state.state_tokens gives them; ``variables`` path, name and symbol_id, as state.module_variables.
 
     ``=`` writes; compound operators and ``++``/``--`` read and write; the variable is the file's own or an imported one.
     """

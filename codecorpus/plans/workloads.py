@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as S
-from codecorpus.operators import behavior, callables, delta, extract_text, filters, graph, parse, project, resolve, semantic, traces
+from codecorpus.operators import behavior, callables, delta, extract_text, filters, graph, parse, project, resolve, semantic, state, traces
 from codecorpus.operators.storage import stored
 
 KEYS = ["repo", "revision"]
@@ -47,7 +47,9 @@ def architecture(files: DataFrame) -> dict[str, DataFrame]:
             found.append(resolve.resolve_calls(sites, symbols, bound, lang))
     candidates = stored(resolve.union_facts(*found), "call-candidates")
     calls = stored(resolve.merge_calls(candidates), "calls")
-    relations = stored(resolve.union_facts(types, resolve.override_relations(symbols, types)), "relations")
+    variables = stored(state.module_variables(symbols, imports, bound), "module-variables")
+    touched = [] if variables.isEmpty() else [stored(resolve.state_access(state.state_tokens(src, variables), variables, symbols), "state")]
+    relations = stored(resolve.union_facts(types, resolve.override_relations(symbols, types), *touched), "relations")
     return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "symbols": symbols, "sites": sites, "calls": calls, "call_candidates": candidates, "relations": relations, "diagnostics": diagnostics}
 
 
@@ -70,12 +72,13 @@ def semantic_layer(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def behavior_layer(files: DataFrame, tables: dict[str, DataFrame], people: DataFrame) -> dict[str, DataFrame]:
-    """Frameworks, passed arguments, returns, and what each workflow takes and gives."""
+    """Frameworks, passed arguments, returns, state read and written, and what each workflow takes and gives."""
     sites = resolved_sites(tables)
     candidates, exclusions = extract_text.framework_candidates(files, tables["symbols"])
     passes = behavior.behavior_passes(sites, tables["symbols"])
     returns = behavior.behavior_returns(sites, tables["symbols"], files)
-    rels = passes.unionByName(returns)
+    held = behavior.behavior_state_and_framework(tables["relations"], candidates)
+    rels = passes.unionByName(returns).unionByName(held, allowMissingColumns=True)
     return {"detections": extract_text.detect_frameworks(files), "candidates": candidates, "exclusions": exclusions, "relations": rels, "workflows": behavior.behavior_workflows(people, rels)}
 
 

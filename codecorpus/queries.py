@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codecorpus import bindings as B
 from codecorpus.functions import scalars as S
-from codecorpus.operators import behavior, delta, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, storage, traces, validate
+from codecorpus.operators import behavior, compose, delta, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, state, storage, traces, validate
 from codecorpus.operators.storage import stored
 from codecorpus.plans import workloads
 from codecorpus.sources import corpus
@@ -688,6 +688,35 @@ def _(d):
     return graph.route(e, pairs).select("start", "length", F.array_join("nodes", ">").alias("nodes"), F.concat(F.lit(">"), F.array_join("edge_ids", ">")).alias("edges"))
 
 
+#: Order lines as links between parts and suppliers, as claims and questions about suppliers, each with five pieces of evidence.
+_LINES = "SELECT 'corpus' AS repo, 'r1' AS revision, concat('P', CAST(l_partkey AS STRING)) AS p, concat('S', CAST(l_suppkey AS STRING)) AS s, concat(lpad(CAST(l_orderkey AS STRING), 9, '0'), '-', CAST(l_linenumber AS STRING)) AS id, l_returnflag AS flag, l_linestatus AS st, l_linenumber AS n FROM {lineitem}"
+_TOP = "row_number() OVER (PARTITION BY start ORDER BY"
+
+
+@query(
+    "gr3_six_layers",
+    f"""WITH l AS ({_LINES.replace("AS STRING", "AS VARCHAR")}), e AS (SELECT p, s, flag, min(id) AS id FROM l GROUP BY ALL), h0 AS (SELECT DISTINCT s AS start FROM l), h1 AS (SELECT DISTINCT start, p AS node FROM h0 JOIN e ON s = start),
+    h2 AS (SELECT DISTINCT start, s AS node FROM h1 JOIN e ON p = node WHERE s <> start), near AS (SELECT start, start AS node, 0 AS depth FROM h0 UNION ALL SELECT start, node, 1 FROM h1 UNION ALL SELECT start, node, 2 FROM h2),
+    v AS (SELECT * FROM (SELECT *, {_TOP} depth, node) AS place FROM near) WHERE place <= 100),
+    rel AS (SELECT a.start, e.id, {_TOP.replace("start", "a.start")} e.p, e.s, flag, e.id) AS place FROM e JOIN v a ON a.node = e.p JOIN v b ON b.node = e.s AND a.start = b.start),
+    b AS (SELECT p, s, n, min(id) AS id FROM l GROUP BY ALL), beh AS (SELECT x.start, b.id, {_TOP.replace("start", "x.start")} b.p, b.s, CAST(n AS VARCHAR), b.id) AS place FROM b JOIN v x ON x.node = b.p JOIN v y ON y.node = b.s AND x.start = y.start),
+    f AS (SELECT start, id, {_TOP} id) AS place FROM (SELECT DISTINCT start, id FROM l JOIN v ON node = p OR node = s WHERE n <= 2)),
+    c AS (SELECT s AS start, id, {_TOP.replace("start", "s")} id) AS place FROM l WHERE flag <> 'N'), q AS (SELECT s AS start, id, {_TOP.replace("start", "s")} id) AS place FROM l WHERE st = 'O')
+    SELECT start, 'nodes' AS layer, node AS item_id, place, 4 AS pieces FROM v UNION ALL SELECT start, 'relations', id, place, 3 FROM rel WHERE place <= 160 UNION ALL SELECT start, 'behavior', id, place, 3 FROM beh WHERE place <= 120
+    UNION ALL SELECT start, 'frameworks', id, place, 3 FROM f WHERE place <= 80 UNION ALL SELECT start, 'claims', id, place, 3 FROM c WHERE place <= 60 UNION ALL SELECT start, 'questions', id, place, 3 FROM q WHERE place <= 30""",
+)
+def _(d):
+    lines = d.sql(_LINES)
+    five = F.array(*[F.concat("item_id", F.lit(f":{i}")) for i in range(5)])
+    link = lambda kind, df: df.groupBy(*KEYS, F.col("p").alias("from_id"), F.col("s").alias("to_id"), F.col(kind).cast("string").alias("kind")).agg(F.min("id").alias("item_id")).withColumn("evidence", five)
+    nodes = lines.select(*KEYS, F.explode(F.array("p", "s")).alias("node_id")).distinct().select(*KEYS, "node_id", F.col("node_id").alias("item_id"), F.lit("symbol").alias("kind")).withColumn("evidence", five)
+    about = lines.select(*KEYS, F.col("s").alias("subject_id"), F.col("id").alias("item_id"), F.lit("note").alias("kind"), F.when(F.col("st") == "O", "open").otherwise("closed").alias("status"), "flag").withColumn("evidence", five)
+    found = lines.filter("n <= 2").select(*KEYS, F.col("p").alias("from_id"), F.col("s").alias("to_id"), F.lit("route").alias("kind"), F.col("id").alias("item_id")).withColumn("evidence", five)
+    seeds = lines.select(*KEYS, F.col("s").alias("start")).distinct()
+    out = graph.dossier_layers(seeds, nodes, link("flag", lines), link("n", lines), found, about.filter("flag != 'N'"), about)
+    return out.select("start", "layer", "item_id", "place", F.size("evidence").alias("pieces"))
+
+
 @query("gr3_dossier", f"WITH e AS (SELECT from_id AS x, to_id AS y FROM ({B.CHAIN}) UNION SELECT to_id, from_id FROM ({B.CHAIN})), s AS (SELECT DISTINCT from_id AS start FROM ({B.CHAIN})), h AS (SELECT start, y AS node FROM s JOIN e ON x = start) SELECT start, node FROM (SELECT start, node FROM h UNION SELECT start, y FROM h JOIN e ON x = node UNION SELECT start, start FROM s)")
 def _(d):
     e = d.sql(B.CHAIN).withColumn("kind", F.lit("depends-on"))
@@ -879,6 +908,24 @@ def _(d):
     return resolve.inheritance_dispatch(sites, every, resolve.type_relations(every)).select("owner_id", "to_id", F.col("confidence").cast("double").alias("confidence"))
 
 
+#: A Python file for each part: what returns what others return, in a chain, in a circle and through a parameter; classes with two bases.
+_RETURNS = """SELECT 'corpus' AS repo, 'r1' AS revision, concat('src/w', CAST(p_partkey AS STRING), '.py') AS path, concat('def target():', n, '    return 1', n, 'def give():', n, '    return target', n, 'def chain():', n, '    return give()', n, 'def longer():', n, '    return chain()', n,
+  'def use():', n, '    x = longer()', n, '    x()', n, '    chain()()', n, 'def left():', n, '    return right()', n, 'def right():', n, '    return left()', n, 'def lost():', n, '    y = left()', n, '    y()', n,
+  'def relay(make):', n, '    return make()', n, 'def hand():', n, '    relay(give)', n, 'def last():', n, '    z = relay()', n, '    z()', n) AS content FROM {part}, (SELECT chr(10) AS n)"""
+_BASES = """SELECT 'corpus' AS repo, 'r1' AS revision, concat('src/x', k, '.py') AS path, concat('class Base', k, ':', n, '    def run(self):', n, '        return 1', n, 'class Other', k, ':', n, '    def run(self):', n, '        return 2', n, 'class Mid', k, '(Base', k, '):', n, '    pass', n,
+  'class Kid', k, '(Mid', k, ', Other', k, '):', n, '    def run(self):', n, '        super().run()', n, 'class Near', k, '(Other', k, ', Base', k, '):', n, '    def run(self):', n, '        super().run()', n, 'class Odd', k, '(Unknown, Base', k, '):', n, '    def run(self):', n, '        super().run()', n) AS content FROM (SELECT CAST(p_partkey AS STRING) AS k, chr(10) AS n FROM {part})"""
+
+
+@query("gr5_jn4_chains_of_returns", "SELECT 'src/w' || CAST(p_partkey AS VARCHAR) || '.py#' || a AS from_id, 'src/w' || CAST(p_partkey AS VARCHAR) || '.py#' || b AS to_id, c::DOUBLE AS confidence FROM {part}, (VALUES ('use:9', 'target:1', 0.70), ('use:9', 'longer:7', 0.90), ('use:9', 'chain:5', 0.90), ('chain:5', 'give:3', 0.90), ('longer:7', 'chain:5', 0.90), ('left:13', 'right:15', 0.90), ('right:15', 'left:13', 0.90), ('lost:17', 'left:13', 0.90), ('relay:20', 'give:3', 0.76), ('hand:22', 'relay:20', 0.90), ('last:24', 'relay:20', 0.90), ('last:24', 'target:1', 0.72)) AS x(a, b, c)")
+def _(d):
+    return workloads.architecture(d.sql(_RETURNS))["calls"].select("from_id", "to_id", "confidence")
+
+
+@query("jn7_first_of_two_bases", "SELECT 'src/x' || k || '.py#run:' || a AS from_id, 'src/x' || k || '.py#run:' || b AS to_id, 0.92::DOUBLE AS confidence FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM {part}), (VALUES ('13', '5'), ('16', '2')) AS x(a, b)")
+def _(d):
+    return workloads.architecture(d.sql(_BASES))["calls"].select("from_id", "to_id", "confidence")
+
+
 @query("jn10_state_access", f"SELECT symbol_id AS from_id, 'v' || CAST(k AS VARCHAR) AS to_id, unnest(CASE k % 3 WHEN 0 THEN ['reads'] WHEN 1 THEN ['writes'] ELSE ['reads', 'writes'] END) AS kind FROM ({B.SYMBOLS})")
 def _(d):
     s = d.sql(B.SYMBOLS)
@@ -887,6 +934,41 @@ def _(d):
     return resolve.state_access(tokens, variables, s).select("from_id", "to_id", "kind")
 
 
+#: Two TypeScript files for each part: one with state and names that hide it, one that imports it; < and > stand for braces.
+_STATE = r"""
+SELECT 'corpus' AS repo, 'r1' AS revision, p_partkey AS k, concat('src/s', CAST(p_partkey AS STRING), '.ts') AS path, concat('export let total = 0', n, 'let limit = 5', n, 'export function add(x) <', n, '  total += x', n, '  if (x === limit) <',
+  n, '    total = limit', n, '  >', n, '  return total', n, '>', n, 'function own(limit) <', n, '  return limit', n, '>', n, 'function local() <', n, '  const total = 1', n, '  return total', n, '>', n,
+  CASE WHEN p_size % 2 = 0 THEN concat('function step() <', n, '  for (const limit of [1]) < total++ >', n, '  return [1].map((total) => total + 1)', n, '>', n) ELSE '' END) AS raw FROM {part}, (SELECT chr(10) AS n)
+UNION ALL
+SELECT 'corpus', 'r1', p_partkey, concat('src/u', CAST(p_partkey AS STRING), '.ts'), concat('import < total as sum > from "./s', CAST(p_partkey AS STRING), '"', n, 'import * as st from "./s', CAST(p_partkey AS STRING), '"', n, 'export function show() <', n,
+  '  const items = [1].map((sum) => sum + 1)', n, '  return sum', n, '>', n, 'export function reset(st2) <', n, '  st.total = 0', n, '  st2.total = 1', n, '>', n) FROM {part}, (SELECT chr(10) AS n)
+"""
+
+
+def _stateful(d):
+    braces = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", "=>", "\u0001"), "<", "{"), ">", "}")
+    return d.sql(_STATE).withColumn("content", F.regexp_replace(braces, "\u0001", "=>"))
+
+
+#: The rows that _STATE must give: (file, function, variable, kind, only even sizes).
+_STATE_ROWS = """SELECT p_partkey AS k, p_size, x.* FROM {part}, (VALUES ('s', 'add:3', 'total:1', 'reads', 0), ('s', 'add:3', 'total:1', 'writes', 0), ('s', 'add:3', 'limit:2', 'reads', 0), ('s', 'step:17', 'total:1', 'reads', 1), ('s', 'step:17', 'total:1', 'writes', 1),
+('u', 'show:3', 'total:1', 'reads', 0), ('u', 'reset:7', 'total:1', 'writes', 0)) AS x(f, fn, var, kind, even) WHERE even = 0 OR p_size % 2 = 0"""
+_STATE_IDS = "'src/' || f || k || '.ts#' || fn AS from_id, 'src/s' || k || '.ts#' || var AS to_id"
+
+
+@query("jn10_state_of_sources", f"SELECT {_STATE_IDS}, kind FROM ({_STATE_ROWS})")
+def _(d):
+    return workloads.architecture(_stateful(d))["relations"].filter("kind in ('reads', 'writes')").select("from_id", "to_id", "kind")
+
+
+@query("jn18_state_in_behavior_layer", f"SELECT {_STATE_IDS}, kind || '-state' AS kind FROM ({_STATE_ROWS})")
+def _(d):
+    files = _stateful(d)
+    t = workloads.architecture(files)
+    people = t["symbols"].select(*KEYS, F.col("symbol_id").alias("workflow_id"), F.col("symbol_id").alias("to_id"))
+    return workloads.behavior_layer(files, t, people)["relations"].filter("kind like '%-state'").select("from_id", "to_id", "kind")
+
+
 @query("jn12_lift_relations", f"SELECT 'semantic:file:' || from_id AS from_id, CASE WHEN starts_with(to_id, 'external:') THEN 'semantic:external-system:' || substr(to_id, 10) ELSE 'semantic:file:' || to_id END AS to_id, 'depends-on' AS kind FROM ({_EDGES}) UNION ALL SELECT 'semantic:symbol:' || a.id, 'semantic:symbol:' || b.id, 'calls' FROM (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) a JOIN (SELECT k, {_SYMBOL_ID} AS id FROM ({B.FILES})) b ON b.k = CAST(floor(a.k / 2.0) AS BIGINT) AND a.k > 0")
 def _(d):
     t = workloads.architecture(d.sql(B.FILES))
@@ -1010,6 +1092,77 @@ def _(d):
     return project.ground_composition(comps, drafts, cands, real)[2].groupBy("code").agg(F.count("*").alias("n"))
 
 
+#: Workflows: one for each customer, of its nation's repository; evidence: its orders, in modules of which three aren't known.
+_FLOWS = "SELECT concat('n', CAST(c_nationkey AS STRING)) AS repo, 'r1' AS revision, concat('w', lpad(CAST(c_custkey AS STRING), 8, '0')) AS workflow_id, c_name AS label, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS description, c_custkey FROM {customer}"
+_FLOW_EVIDENCE = f"SELECT f.repo, f.revision, f.workflow_id, o.o_orderkey AS place, concat('src/m', CAST(o.o_orderkey % 23 AS STRING), '/f.py') AS path, o.o_orderkey % 23 AS m FROM ({_FLOWS}) f JOIN {{orders}} o ON o.o_custkey = f.c_custkey"
+#: The packet's workflows with their modules in order, as SQL.
+_PACKET = f"SELECT w.*, coalesce(l.ms, []) AS ms FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY workflow_id) AS place FROM ({_FLOWS})) WHERE place <= 30) w LEFT JOIN (SELECT repo, workflow_id, list(m ORDER BY p) AS ms FROM (SELECT repo, workflow_id, m, min(place) AS p FROM ({_FLOW_EVIDENCE}) WHERE m < 20 GROUP BY ALL) GROUP BY ALL) l ON l.repo = w.repo AND l.workflow_id = w.workflow_id"
+
+
+def _packet(d):
+    flows = d.sql(_FLOWS)
+    # 20 modules for each repository
+    files = flows.select(*KEYS).distinct().withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("module", F.concat(F.lit("src/m"), F.col("id").cast("string")))
+    files = files.withColumns({"path": F.concat("module", F.lit("/f.py")), "candidate_id": F.concat(F.lit("candidate:module:"), "module")})
+    return compose.packet_workflows(flows, d.sql(_FLOW_EVIDENCE.replace("{{orders}}", "{orders}")), files), files
+
+
+@query("cmp4_packet_workflows", f"SELECT repo, workflow_id, place, list_transform(ms, lambda m: 'candidate:module:src/m' || m) AS candidate_ids FROM ({_PACKET})")
+def _(d):
+    return _packet(d)[0].select("repo", "workflow_id", "place", "candidate_ids")
+
+
+@query(
+    "cmp1_rule_workflows",
+    f"""WITH q AS (SELECT repo, workflow_id, place, coalesce(description, 'Source-inferred workflow candidate.') AS description, len(ms) AS n, list_filter(ms, lambda m: m % 4 <> 1) AS kept FROM ({_PACKET})),
+    a AS (SELECT repo, workflow_id, description, kept, 'some' AS rule, row_number() OVER (PARTITION BY repo ORDER BY place) AS r FROM q WHERE len(kept) > 0 UNION ALL SELECT repo, workflow_id, description, kept, 'whole', row_number() OVER (PARTITION BY repo ORDER BY place) FROM q WHERE len(kept) > 0 AND len(kept) = n)
+    SELECT repo, rule, workflow_id, description, list_transform(kept, lambda m: 'src-m' || m) AS component_ids FROM a WHERE r <= 6""",
+)
+def _(d):
+    packet, files = _packet(d)
+    chosen = files.filter("id % 4 != 1")
+    some = compose.rule_workflows(packet, chosen, 6).withColumn("rule", F.lit("some"))
+    return some.unionByName(compose.rule_workflows(packet, chosen, 6, whole=True).withColumn("rule", F.lit("whole"))).select("repo", "rule", "workflow_id", "description", "component_ids")
+
+
+@query(
+    "cmp2_ground_workflows",
+    f"""WITH q AS (SELECT repo, workflow_id, c_custkey, list_filter(ms, lambda m: m % 4 <> 1) AS kept FROM ({_PACKET})),
+    ok AS (SELECT * FROM q WHERE len(kept) > 0 AND c_custkey % 5 <> 0),
+    s AS (SELECT repo, 'compose:workflow:' || workflow_id AS flow, unnest(kept) AS m, unnest(range(1, len(kept) + 1)) AS n FROM ok)
+    SELECT repo, 'compose:system:workspace' AS a, 'compose:workflow:' || workflow_id AS b, 'contains' AS kind FROM ok
+    UNION ALL SELECT repo, flow, flow || ':step:' || n, 'contains' FROM s UNION ALL SELECT repo, flow || ':step:' || n, 'compose:component:src-m' || m, 'executes' FROM s UNION ALL SELECT repo, flow || ':step:' || (n - 1), flow || ':step:' || n, 'precedes' FROM s WHERE n > 1
+    UNION ALL SELECT repo, workflow_id, 'COMPOSITION_WORKFLOW_UNGROUNDED', 'rejected' FROM q WHERE len(kept) = 0 OR c_custkey % 5 = 0""",
+)
+def _(d):
+    packet, files = _packet(d)
+    parts = files.filter("id % 4 != 1").select(*KEYS, F.regexp_replace("module", "/", "-").alias("component_id"), F.col("module").alias("label"), F.lit("").alias("responsibility"), F.lit(0.7).alias("confidence"))
+    ids = F.transform("candidate_ids", lambda c: F.regexp_replace(F.regexp_replace(c, "^candidate:module:", ""), "/", "-"))
+    source = F.when(F.substr("workflow_id", F.lit(2)).cast("int") % 5 == 0, F.array(F.lit("gone"))).otherwise(F.array("workflow_id"))
+    draft = packet.select(*KEYS, "workflow_id", "label", ids.alias("component_ids"), source.alias("source_ids"), F.lit(0.6).alias("confidence"))
+    _, relations, bad = compose.ground_workflows(draft, parts, packet)
+    return relations.select("repo", F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind").unionByName(bad.select("repo", F.col("subject").alias("a"), F.col("code").alias("b"), F.lit("rejected").alias("kind")))
+
+
+#: Suppliers as components of their nation's repository, each grouping two nodes; authored claims on those nodes by some suppliers.
+_OWNED = "SELECT concat('n', CAST(s_nationkey AS STRING)) AS repo, 'r1' AS revision, s_suppkey AS k, concat('c', CAST(s_suppkey AS STRING)) AS component_id, concat('Owns ', s_name, '.') AS responsibility FROM {supplier}"
+_SAID = f"SELECT repo, revision, concat('claim', lpad(CAST(k AS STRING), 8, '0'), x.n) AS claim_id, concat('node', CAST(k AS STRING), x.node) AS subject_id, x.key AS key, CASE x.how WHEN 0 THEN upper(responsibility) WHEN 1 THEN 'Something else' ELSE 'team' END AS value, x.trust AS trust, 'accepted' AS status, k, x.n AS n FROM ({_OWNED}), (SELECT 'a' AS n, 'x' AS node, 'responsibility' AS key, 1 AS how, 'authored' AS trust, 2 AS every UNION ALL SELECT 'b', 'y', 'responsibility', 0, 'authored', 3 UNION ALL SELECT 'c', 'x', 'owner', 2, 'authored', 5 UNION ALL SELECT 'd', 'x', 'responsibility', 1, 'inferred', 1) x WHERE k % x.every = 0"
+
+
+@query(
+    "cmp2_ground_claims",
+    f"""WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY claim_id) AS place FROM ({_SAID}) WHERE trust = 'authored') WHERE place <= 40),
+    a AS (SELECT c.*, row_number() OVER (PARTITION BY repo, k ORDER BY place) AS i, CASE WHEN key <> 'responsibility' THEN status WHEN n = 'b' THEN 'corroborated' ELSE 'conflicting' END AS now FROM c)
+    SELECT o.repo, 'compose:claim:' || component_id || ':responsibility' AS id, coalesce(s.now, 'provisional') AS status, responsibility AS value FROM ({_OWNED}) o LEFT JOIN (SELECT repo, k, arg_max(now, place) AS now FROM a WHERE key = 'responsibility' GROUP BY repo, k) s ON s.repo = o.repo AND s.k = o.k
+    UNION ALL SELECT repo, 'compose:claim:c' || k || ':authored:' || i, now, value FROM a UNION ALL SELECT repo, 'compose:question:c' || k || ':authored-' || i, 'open', '' FROM a WHERE now = 'conflicting'""".replace("AS STRING", "AS VARCHAR"),
+)
+def _(d):
+    owned = d.sql(_OWNED).select(*KEYS, "component_id", "responsibility", F.lit(0.7).alias("confidence"), F.array(*[F.concat(F.lit("candidate:semantic:node"), F.col("k").cast("string"), F.lit(x)) for x in "xy"]).alias("candidate_ids"))
+    claims, questions = compose.ground_claims(owned, compose.packet_claims(d.sql(_SAID)))
+    return claims.select("repo", F.col("claim_id").alias("id"), "status", "value").unionByName(questions.select("repo", F.col("question_id").alias("id"), F.lit("open").alias("status"), F.lit("").alias("value")))
+
+
+
 @query("cmp4_composition_packet", f"SELECT from_candidate, to_candidate, weight FROM (SELECT 'candidate:module:' || from_module AS from_candidate, 'candidate:module:' || to_module AS to_candidate, count AS weight, row_number() OVER (ORDER BY count DESC, from_module, to_module) AS r FROM (SELECT {_PART('from_id')} AS from_module, {_PART('to_id')} AS to_module, CAST(sum(n) AS BIGINT) AS count FROM ({_EDGES}) WHERE NOT starts_with(to_id, 'external:') GROUP BY ALL) WHERE from_module <> to_module) WHERE r <= 20")
 def _(d):
     files = d.sql(B.FILES)

@@ -147,7 +147,11 @@ class B:
     def other(self):
         return 2
 
-class C(B, A):
+class C(A, B):
+    def go(self):
+        super().run()
+
+class E(B, A):
     def go(self):
         super().run()
 
@@ -171,6 +175,10 @@ class D4(D3):
     def relay(self):
         super().execute()
 
+class Near(Base):
+    def relay(self):
+        super().execute()
+
 class Holder:
     def __init__(self):
         self.tool = A()
@@ -205,7 +213,8 @@ def test_calls_through_values(files):
     assert calls["run_decorated", "d1.wrapper1"][1] == 0.72 and ("run_decorated", "decorated") not in calls
     assert calls["d1.wrapper1", "d2.wrapper2"][1] == 0.76 and calls["d2.wrapper2", "decorated"][1] == 0.76
     assert calls["use_cached", "cached"] == ([FLOW.splitlines().index("    cached()") + 1], 0.72)
-    assert calls["C.go", "A.run"][1] == 0.92 and calls["D4.relay", "Base.execute"][1] == 0.92 and calls["Base.execute", "D4.hook"][1] == 0.64
+    assert calls["C.go", "A.run"][1] == 0.92 and calls["Near.relay", "Base.execute"][1] == 0.92 and calls["Base.execute", "D4.hook"][1] == 0.64
+    assert ("E.go", "A.run") not in calls and ("D4.relay", "Base.execute") not in calls  # only the first base is asked
     lines = FLOW.splitlines()
     at = lambda text: lines.index("        " + text) + 1
     assert calls["Holder.work", "A.run"] == ([at("self.tool.run()"), at("mine.run()")], 0.90) and calls["Holder.work", "B.other"][0] == [at("given.other()")]
