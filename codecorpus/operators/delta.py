@@ -43,6 +43,33 @@ def graph_delta(base_nodes: DataFrame, base_edges: DataFrame, head_nodes: DataFr
     return n, e
 
 
+def delta_gate(pairs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """``pairs`` (repo, base_revision, head_revision) with ``code``: null where the two readings may be compared.
+
+    ``receipts`` (repo, revision, root, valid): a reading is valid if it has receipts and all of them are. DELTA_READING_INVALID comes
+    before DELTA_WORKSPACE_DIFFERS (roots that differ, or aren't known).
+    """
+    state = receipts.groupBy("repo", "revision").agg(F.bool_and(F.coalesce("valid", F.lit(False))).alias("valid"), F.min("root").alias("root"), F.max("root").alias("last_root"))
+    side = lambda name: state.select("repo", F.col("revision").alias(f"{name}_revision"), F.col("valid").alias(f"{name}_valid"), *[F.col(c).alias(f"{name}_{c}") for c in ("root", "last_root")])
+    both = pairs.select("repo", "base_revision", "head_revision").distinct().join(side("base"), ["repo", "base_revision"], "left").join(side("head"), ["repo", "head_revision"], "left")
+    valid = F.coalesce(F.col("base_valid") & F.col("head_valid"), F.lit(False))
+    one_root = F.coalesce((F.col("base_root") == F.col("head_root")) & (F.col("base_root") == F.col("base_last_root")) & (F.col("head_root") == F.col("head_last_root")), F.lit(False))
+    return both.select("repo", "base_revision", "head_revision", F.when(~valid, "DELTA_READING_INVALID").when(~one_root, "DELTA_WORKSPACE_DIFFERS").alias("code"))
+
+
+def checked_graph_delta(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, receipts: DataFrame, preview: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node delta, edge delta, diagnostics) of the pairs of readings that delta_gate lets through; a pair that it refuses has a diagnostic and no delta.
+
+    The gate is a part of the plan: nothing is asked for on the driver. One pair for each repository.
+    """
+    gate = delta_gate(pairs, receipts)
+    passed = gate.filter("code is null")
+    of = lambda df, side: df.join(passed.select("repo", F.col(f"{side}_revision").alias("revision")), ["repo", "revision"], "left_semi")
+    n, e = graph_delta(of(nodes, "base"), of(edges, "base"), of(nodes, "head"), of(edges, "head"), preview)
+    refused = gate.filter("code is not null").select("repo", F.lit("delta").alias("layer"), "code", F.lit("error").alias("severity"), F.concat_ws("..", "base_revision", "head_revision").alias("subject"))
+    return n, e, refused
+
+
 def semantic_delta(prev: dict[str, DataFrame], nxt: dict[str, DataFrame], ids: dict[str, str]) -> DataFrame:
     """(layer, id, status) of nodes, relations, claims and questions by row fingerprint."""
     out = None

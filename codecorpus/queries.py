@@ -615,6 +615,48 @@ _BASE = f"SELECT from_id || ':' || to_id AS edge_id, count(*) AS n, sum(line) AS
 _HEAD = f"SELECT from_id || ':' || to_id AS edge_id, count(*) AS n, sum(line) AS s FROM ({B.EDGES}) WHERE l_orderkey % 13 <> 0 GROUP BY ALL"
 
 
+#: Workflows with two components each, some of which a composition names in capitals.
+_CATALOG = "SELECT 'corpus' AS repo, 'r1' AS revision, p_partkey AS k, concat('semantic:workflow:', CAST(p_partkey AS STRING)) AS node_id, concat('Run ', CAST(p_partkey % 4 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN ' Workflow' ELSE '' END) AS label, concat(CASE p_partkey % 5 WHEN 0 THEN 'tests/a/f.py' WHEN 1 THEN 'src/pay/lib/main.py' WHEN 2 THEN 'src/index.ts' WHEN 3 THEN 'apps/shop/cart.ts' ELSE 'tool.py' END) AS path, CAST(p_size AS DOUBLE) AS confidence FROM {part}"
+_CATALOG_LINKS = f"SELECT repo, revision, node_id, concat(CASE WHEN k % 2 = 0 THEN 'semantic:component:' ELSE 'compose:component:' END, CAST(k % 5 AS STRING)) AS component_id FROM ({_CATALOG}) UNION ALL SELECT repo, revision, node_id, concat('compose:component:', CAST(5 + k % 3 AS STRING)) FROM ({_CATALOG}) WHERE k % 7 <> 0"
+
+
+@query(
+    "win9_catalog_groups",
+    f"""WITH w AS ({_CATALOG.replace("AS STRING", "AS VARCHAR")}), o AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(label), '\\s+workflow$', '')), path ORDER BY confidence DESC, node_id) AS r FROM w),
+    g AS (SELECT *, 'comp' || (k % 5) AS component, starts_with(path, 'tests/') AS support FROM o WHERE r = 1), q AS (SELECT *, row_number() OVER (ORDER BY support, component, confidence DESC, label, node_id) AS place FROM g),
+    v AS (SELECT *, count(*) OVER (PARTITION BY lower(label)) AS same FROM q WHERE place <= 14)
+    SELECT node_id, CAST(place AS BIGINT) AS place, component AS "group", CASE WHEN same = 1 THEN label ELSE CASE k % 5 WHEN 0 THEN 'a/f · ' WHEN 1 THEN 'pay · ' WHEN 2 THEN '' WHEN 3 THEN 'shop/cart · ' ELSE 'tool · ' END || label END AS shown_label FROM v""",
+)
+def _(d):
+    links = d.sql(_CATALOG_LINKS)
+    number = F.regexp_extract("component_id", "([0-9]+)$", 1)
+    parts = links.select(*KEYS, "component_id").distinct().withColumns({"label": F.concat(F.when(F.col("component_id").startswith("semantic"), "comp").otherwise("COMP"), number), "confidence": F.lit(0.5)})
+    return project.workflow_catalog(d.sql(_CATALOG), 14, links, parts).select("node_id", F.col("place").cast("long").alias("place"), "group", "shown_label")
+
+
+#: Customers as files of two revisions of their nation's repository; some readings are invalid, unchecked or of another folder.
+_READINGS = "SELECT concat('n', CAST(c_nationkey AS STRING)) AS repo, x.r AS revision, concat('f', CAST(c_custkey AS STRING)) AS node_id, CASE WHEN c_custkey % 7 = 0 THEN x.r ELSE c_mktsegment END AS label, c_nationkey AS nation, c_custkey AS k FROM {customer}, (SELECT 'r1' AS r, 0 AS lost UNION ALL SELECT 'r2', 1) x WHERE c_custkey % 10 <> x.lost"
+
+
+@query(
+    "set1_checked_delta",
+    """WITH c AS (SELECT 'n' || c_nationkey AS repo, c_nationkey AS nation, c_custkey AS k FROM {customer}), code AS (SELECT DISTINCT repo, CASE WHEN nation % 5 = 1 OR nation % 5 = 2 THEN 'DELTA_READING_INVALID' WHEN nation % 5 = 3 THEN 'DELTA_WORKSPACE_DIFFERS' END AS code FROM c)
+    SELECT c.repo, x.layer || k AS id, CASE k % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'changed' END AS status, CASE WHEN k % 10 < 2 THEN [] WHEN x.layer = 'f' THEN ['label'] ELSE ['kind'] END AS changed
+    FROM c JOIN code USING (repo), (VALUES ('f'), ('e')) AS x(layer) WHERE code IS NULL AND (k % 10 < 2 OR k % 7 = 0) UNION ALL SELECT repo, 'r1..r2', code, [] FROM code WHERE code IS NOT NULL""",
+)
+def _(d):
+    rows = d.sql(_READINGS)
+    same = F.lit("x")
+    nodes = rows.select(*KEYS, "node_id", "label", same.alias("kind"), same.alias("module"), same.alias("language"), F.lit(1).cast("long").alias("count"), same.alias("hash"))
+    edges = rows.select(*KEYS, F.regexp_replace("node_id", "^f", "e").alias("edge_id"), F.col("node_id").alias("from_id"), same.alias("to_id"), F.when(F.col("k") % 7 == 0, F.col("revision")).otherwise("x").alias("kind"), F.lit(1).cast("long").alias("count"), F.array(same).alias("evidence"))
+    case = F.col("nation") % 5
+    receipts = rows.select(*KEYS, "nation").distinct().filter((case != 2) | (F.col("revision") == "r1")).select(*KEYS, F.when((case == 3) & (F.col("revision") == "r2"), "/other").otherwise("/root").alias("root"), F.explode(F.array(F.lit(True), (case != 1) | (F.col("revision") == "r1"))).alias("valid"))
+    pairs = rows.select("repo").distinct().select("repo", F.lit("r1").alias("base_revision"), F.lit("r2").alias("head_revision"))
+    n, e, refused = delta.checked_graph_delta(pairs, nodes, edges, receipts, 5000)
+    out = n.withColumnRenamed("node_id", "id").unionByName(e.withColumnRenamed("edge_id", "id"))
+    return out.select("repo", "id", "status", "changed").unionByName(refused.select("repo", F.col("subject").alias("id"), F.col("code").alias("status"), F.array().cast("array<string>").alias("changed")))
+
+
 @query("set1_graph_delta", f"SELECT coalesce(b.edge_id, h.edge_id) AS edge_id, CASE WHEN b.edge_id IS NULL THEN 'added' WHEN h.edge_id IS NULL THEN 'removed' ELSE 'changed' END AS status, CASE WHEN b.edge_id IS NULL OR h.edge_id IS NULL THEN [] ELSE list_filter([CASE WHEN b.n <> h.n THEN 'n' END, CASE WHEN b.s <> h.s THEN 's' END], lambda x: x IS NOT NULL) END AS changed FROM ({_BASE}) b FULL OUTER JOIN ({_HEAD}) h ON b.edge_id = h.edge_id WHERE b.edge_id IS NULL OR h.edge_id IS NULL OR b.n <> h.n OR b.s <> h.s")
 def _(d):
     e = d.sql(B.EDGES).withColumn("edge_id", F.concat_ws(":", "from_id", "to_id"))
