@@ -1230,6 +1230,37 @@ def _(d):
     return corpus.read_index(d.spark, path, "v1").select("repo", "path", "size")
 
 
+#: Documents as files in three batches: all, then changed and deleted ones, then some of those again.
+_BATCHES = "SELECT source AS repo, CAST(doc_id AS STRING) AS path, concat('/w/', source) AS root, x.b AS batch, CASE WHEN (x.b = 1 AND doc_id % 11 = 0) OR (x.b = 2 AND doc_id % 22 = 0) THEN NULL ELSE concat(substr(text, 1, 20), CAST(x.b AS STRING)) END AS content, CAST(CASE WHEN x.b = 1 AND doc_id % 5 = 0 THEN 0 ELSE x.b END AS BIGINT) AS mtime, CAST(1 AS BIGINT) AS size, x.b AS changed_at, doc_id AS id FROM {documents}, (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE text IS NOT NULL AND (x.b = 0 OR (x.b = 1 AND (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0)) OR (x.b = 2 AND (doc_id % 22 = 0 OR doc_id % 21 = 0)))"
+
+
+@query(
+    "src7_st6_index_of_batches",
+    f"""WITH c AS ({_BATCHES.replace("AS STRING", "AS VARCHAR")}), known AS (SELECT repo, path, min(batch) AS b, any_value(id) AS id FROM c GROUP BY ALL),
+    counted AS (SELECT c.* FROM c WHERE NOT (batch = 1 AND content IS NOT NULL AND mtime = 0)),
+    last AS (SELECT repo, path, arg_max(batch, batch) AS batch FROM counted GROUP BY ALL)
+    SELECT c.repo, c.path, c.batch, 'now' AS state FROM counted c JOIN last USING (repo, path, batch) WHERE content IS NOT NULL AND repo <> 'src1'
+    UNION ALL SELECT c.repo, c.path, c.batch, 'before' FROM counted c JOIN (SELECT repo, path, max(batch) AS batch FROM counted WHERE batch < 2 GROUP BY ALL) USING (repo, path, batch) WHERE content IS NOT NULL
+    UNION ALL SELECT 'written', CAST(batch AS VARCHAR), count(*), 'rows' FROM counted WHERE content IS NOT NULL GROUP BY batch""",
+)
+def _(d):
+    from codecorpus.sources.index import FileIndex
+    from codecorpus.streaming import flows
+
+    path = f"{storage.shared_folder(d.spark)}/index-{uuid.uuid4().hex}"
+    changes = d.sql(_BATCHES)
+    for number in range(3):
+        flows.fold_file_changes(changes.filter(F.col("batch") == number).drop("batch", "id"), number, path, lambda files: files.select("repo", "path", "size", "mtime", F.substring("content", -1, 1).cast("long").alias("batch")), "v1")
+    # what a crash leaves before its manifest, and what another version would read
+    d.spark.range(1).select(F.lit("src2").alias("repo"), F.lit("1").alias("path")).write.parquet(f"{path}/segments/3/keys")
+    assert corpus.read_index(d.spark, path, "v2") is None
+    moved = changes.select("repo", F.when(F.col("repo") == "src1", "/elsewhere").otherwise(F.col("root")).alias("root")).distinct()
+    now = corpus.read_index(d.spark, path, "v1", moved).withColumn("state", F.lit("now"))
+    out = now.unionByName(FileIndex(d.spark, path, "v1").rows(2).withColumn("state", F.lit("before"))).select("repo", "path", "batch", "state")
+    written = [d.spark.read.parquet(f"{path}/segments/{n}/rows").select(F.lit("written").alias("repo"), F.lit(str(n)).alias("path")) for n in range(3)]
+    return out.unionByName(written[0].unionByName(written[1]).unionByName(written[2]).groupBy("repo", "path").agg(F.count("*").alias("batch")).withColumn("state", F.lit("rows")))
+
+
 @query("st2_trace_sessions", "SELECT CAST(user_id AS VARCHAR) AS session_id, CASE arg_max(event_type, (ts, CASE event_type WHEN 'purchase' THEN 'end' WHEN 'error' THEN 'fail' ELSE 'interrupt' END)) FILTER (event_type <> 'view') WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'interrupted' END AS status FROM {events} GROUP BY user_id")
 def _(d):
     from codecorpus.streaming import flows

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as S
+from codecorpus.sources.index import FileIndex
 
 KEYS = ["repo", "revision"]
 
@@ -106,13 +107,17 @@ def read_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_index(files: DataFrame, path: str, analyzer_version: str) -> None:
-    """Durable parsed index keyed by (repo, path), bucket-free Parquet with the analyzer's version."""
-    files.withColumn("analyzer_version", F.lit(analyzer_version)).write.mode("overwrite").partitionBy("repo").parquet(path)
+    """Durable parsed index of ``files`` (repo, path, ..), in place of what is there; see index.FileIndex for batches of changes.
+
+    A column ``root`` says where a repository was read from.
+    """
+    index = FileIndex(files.sparkSession, path, analyzer_version)
+    index.commit((index.manifest() or {"number": -1})["number"] + 1, files, files, replace=True)
 
 
-def read_index(spark: SparkSession, path: str, analyzer_version: str) -> DataFrame:
-    """The index rows of this analyzer version; others are ignored."""
-    return spark.read.parquet(path).filter(F.col("analyzer_version") == analyzer_version)
+def read_index(spark: SparkSession, path: str, analyzer_version: str, roots: DataFrame | None = None) -> DataFrame | None:
+    """The index rows of this analyzer version and, with ``roots`` (repo, root), of these roots; others are ignored. None without an index."""
+    return FileIndex(spark, path, analyzer_version).rows(roots=roots)
 
 
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +14,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from codecorpus.operators import runs, traces
 from codecorpus.operators.delta import incremental_plan
 from codecorpus.operators.extract_text import parse_trace_markers
+from codecorpus.operators.storage import stored
+from codecorpus.sources.index import FileIndex
 
 
 def marker_stream(lines: DataFrame, symbols: DataFrame, prefix: str = "@trace ") -> tuple[DataFrame, DataFrame]:
@@ -75,41 +76,32 @@ def run_stream(events: DataFrame) -> DataFrame:
     return events.select(*cols).groupBy("run_id").applyInPandasWithState(step, runs.STATE_DDL, "projection string", "update", GroupStateTimeout.NoTimeout)
 
 
-def latest_index(spark: SparkSession, index_path: str, before: int | None = None) -> DataFrame | None:
-    """The index that apply_file_changes keeps: of each repository the rows of its last batch (before the given one); None without any."""
-    try:
-        touched = spark.read.parquet(f"{index_path}/touched")
-        rows = spark.read.option("mergeSchema", True).parquet(f"{index_path}/rows")
-    except AnalysisException:
-        return None
-    if before is not None:
-        touched = touched.filter(F.col("batch") < before)
-    last = touched.groupBy("repo").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["repo", "batch"], "left_semi").drop("batch")
+def latest_index(spark: SparkSession, index_path: str, before: int | None = None, analyzer_version: str = "1") -> DataFrame | None:
+    """The index that apply_file_changes keeps, as of its last batch (before the given one); None without any."""
+    return FileIndex(spark, index_path, analyzer_version).rows(before)
 
 
-def apply_file_changes(changes: DataFrame, index_path: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Query that folds bursts of changed files (repo, path, size, mtime, content, changed_at) into the index at ``index_path``.
+def fold_file_changes(batch: DataFrame, number: int, index_path: str, parse: Callable[[DataFrame], DataFrame], analyzer_version: str = "1") -> None:
+    """Batch ``number`` of changed files (repo, path, size, mtime, content, changed_at) into the index: one segment with the rows of what has changed.
 
-    Of a burst only the last change of a path counts; changed files are parsed, others reused. A batch writes the
-    repositories that it touches, whole, under its number, so one that runs again writes the same, and nothing is
-    rewritten of the others; read it with latest_index.
+    Of a burst only the last change of a path counts, of equal times the larger one; a null content is a file that is gone; a file of
+    known size and mtime is left alone. Where the batch has a ``root``, so have the rows.
     """
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = batch.withColumn("k", F.row_number().over(W.partitionBy("repo", "path").orderBy(F.desc("changed_at")))).filter("k = 1").drop("k", "changed_at")
-        repos = last.select("repo").distinct()
-        old = latest_index(spark, index_path, number)
-        gone = last.filter("content is null").select("repo", "path")
-        fresh = parse(last.filter("content is not null"))
-        if old is not None:
-            old = old.join(repos, "repo", "left_semi")
-            plan = incremental_plan(last.filter("content is not null"), old, None).filter("action != 'reuse'").select("repo", "path")
-            touched = last.select("repo", "path").join(plan, ["repo", "path"], "left_semi").unionByName(gone).distinct()
-            keep = old.join(touched, ["repo", "path"], "left_anti")
-            fresh = keep.unionByName(fresh.join(touched, ["repo", "path"], "left_semi"), allowMissingColumns=True)
-        fresh.write.mode("overwrite").parquet(f"{index_path}/rows/batch={number}")
-        repos.write.mode("overwrite").parquet(f"{index_path}/touched/batch={number}")
-
-    return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    index = FileIndex(batch.sparkSession, index_path, analyzer_version)
+    last = batch.groupBy("repo", "path").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("repo", "path", "changed_at")]), F.struct("changed_at", F.col("content").isNotNull(), "size", "mtime")).alias("x")).select("repo", "path", "x.*")
+    last = stored(last, "changed-files")
+    there = last.filter("content is not null")
+    old = index.rows(number)
+    if old is not None:
+        known = old.select("repo", "path", "size", "mtime").distinct().join(last.select("repo", "path"), ["repo", "path"], "left_semi")
+        same = incremental_plan(there, known).filter("action = 'reuse'").select("repo", "path")
+        last, there = last.join(same, ["repo", "path"], "left_anti"), there.join(same, ["repo", "path"], "left_anti")
+    rows = parse(there)
+    if "root" in last.columns and "root" not in rows.columns:
+        rows = rows.join(there.select("repo", "path", "root"), ["repo", "path"])
+    index.commit(number, rows, last)
+
+
+def apply_file_changes(changes: DataFrame, index_path: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str, analyzer_version: str = "1"):
+    """Query that folds bursts of changed files into the index at ``index_path``, a segment for each batch (fold_file_changes); read it with latest_index."""
+    return changes.writeStream.foreachBatch(lambda batch, number: fold_file_changes(batch, number, index_path, parse, analyzer_version)).option("checkpointLocation", checkpoint)

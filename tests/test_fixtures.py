@@ -426,7 +426,35 @@ def test_file_changes_stream(spark, tmp_path):
         assert q.awaitTermination(60)
         got = {(r.repo, r.path, r.size) for r in flows.latest_index(spark, str(tmp_path / "index")).collect()}
         assert got == ({("r", "a", 2), ("r", "b", 1), ("q", "c", 1)}, {("r", "a", 3), ("q", "c", 1)})[number]
-    assert {r.repo for r in spark.read.parquet(str(tmp_path / "index" / "rows" / "batch=1")).collect()} == {"r"}
+    assert [(r.repo, r.path) for r in spark.read.parquet(str(tmp_path / "index" / "segments" / "1" / "rows")).collect()] == [("r", "a")]
+
+
+def test_index_survives_a_crash_and_is_compacted(spark, tmp_path, monkeypatch):
+    from codecorpus.sources import index as I
+    from codecorpus.streaming import flows
+
+    monkeypatch.setattr(I, "COMPACT", 3)
+    monkeypatch.setattr(I, "KEEP", 1)
+    ddl = "repo string, path string, root string, size long, mtime long, content string, changed_at long"
+    path, state = str(tmp_path / "index"), {}
+    found = lambda: {r.path: r.size for r in flows.latest_index(spark, path).collect()}
+    for number in range(5):
+        rows = [("r", "same", "/r", 1, 1, "x", number), ("r", f"f{number % 3}", "/r", number, number, "y", number)] + ([("r", "f0", "/r", None, None, None, number)] if number == 4 else [])
+        batch = spark.createDataFrame(rows, ddl)
+        parse_ = lambda df: df.select("repo", "path", "size", "mtime")
+        if number == 4:  # the rows are written, the manifest isn't
+            with monkeypatch.context() as m:
+                m.setattr(I.FileIndex, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError):
+                    flows.fold_file_changes(batch, number, path, parse_)
+            assert found() == state
+        for _ in range(2):  # a batch that runs again changes nothing
+            flows.fold_file_changes(batch, number, path, parse_)
+            state = {k: v for k, v in (state | {"same": 1, f"f{number % 3}": number}).items() if not (number == 4 and k == "f0")}
+            assert found() == state
+    assert {r.root for r in flows.latest_index(spark, path).collect()} == {"/r"}
+    assert flows.latest_index(spark, path, analyzer_version="2") is None
+    assert len(list((tmp_path / "index" / "segments").iterdir())) <= 5
 
 
 def test_search(spark, monkeypatch):
