@@ -1,4 +1,8 @@
-"""Graph walks as joins level by level; each level is stored, and a walk ends when a level is empty."""
+"""Graph walks as joins level by level; each level is stored, and a walk ends when a level is empty.
+
+Where nodes have one way on only, walks jump: tables of jumps of 1 to 7 times 8^k steps lead over a chain of n nodes in
+about log8(n) rounds.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codecorpus.operators.storage import stored
+from codecorpus.operators.storage import Levels, stored
 
 KEYS = ["repo", "revision"]
 #: Levels of a walk that are read as they were written, before they become one table.
@@ -52,29 +56,117 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", levels:
     return seen, touched
 
 
+#: A jump table has jumps of 1 to RADIX - 1 times RADIX^level steps.
+RADIX = 8
+FREE = 99
+
+
+def chain_jumps(steps: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(jumps, endless) of ``steps`` (by, at, node), one way on for each node: jumps (by, at, node, hops, level), and the nodes (by, at) whose way never ends, which have none.
+
+    Each level is made of the one before by RADIX - 1 joins and stored: about log8 of the number of steps rounds.
+    """
+    one = stored(steps.select(*by, "at", "node"), "steps")
+    total, reach_, level, parts = one.count(), 1, 0, []
+    way = one
+    while reach_ <= total and not way.isEmpty():
+        wide = way.withColumnRenamed("node", "n1")
+        for i in range(2, RADIX + 1):
+            wide = wide.join(way.select(*by, F.col("at").alias(f"n{i - 1}"), F.col("node").alias(f"n{i}")), [*by, f"n{i - 1}"], "left")
+        wide = stored(wide, "jumps")
+        jumps = wide.select(*by, "at", F.posexplode(F.array(*[f"n{i}" for i in range(1, RADIX)])).alias("i", "node")).filter("node is not null")
+        parts.append(jumps.select(*by, "at", "node", ((F.col("i") + 1) * reach_).cast("long").alias("hops"), F.lit(level).alias("level")))
+        way = wide.filter(f"n{RADIX} is not null").select(*by, "at", F.col(f"n{RADIX}").alias("node"))
+        reach_, level = reach_ * RADIX, level + 1
+    endless = way.select(*by, "at") if reach_ > total else way.limit(0).select(*by, "at")
+    out = one.select(*by, "at", "node", F.lit(1).cast("long").alias("hops"), F.lit(0).alias("level")).limit(0)
+    for part in parts:
+        out = out.unionByName(part)
+    return stored(out.join(endless, [*by, "at"], "left_anti"), "jumps"), endless
+
+
+def chain_walk(jumps: DataFrame, starts: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
+    """``(by, ids, node, dist)``: all nodes on the way on from each of ``starts`` (by, ids, node), with their distance.
+
+    Longer jumps come before shorter ones, so every node is met once.
+    """
+    front = starts.select(*by, *ids, "node", F.lit(0).cast("long").alias("dist"), F.lit(FREE).alias("cap"))
+    found = Levels(front, "walk")
+    while not found.last.isEmpty():
+        at = found.last.withColumnRenamed("node", "at").join(jumps, [*by, "at"]).filter("level < cap")
+        found.append(at.select(*by, *ids, "node", (F.col("dist") + F.col("hops")).alias("dist"), F.col("level").alias("cap")))
+    return found.table().drop("cap")
+
+
+def _ways(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chain, jumps) of edges ``step`` (keys, at, node): the nodes with one way on that comes to an end, and their jumps."""
+    single = step.groupBy(*KEYS, "at").agg(F.count_distinct("node").alias("n"), F.min("node").alias("node")).filter("n = 1 and at != node").select(*KEYS, "at", "node")
+    single = stored(single, "single-ways")
+    jumps, endless = chain_jumps(single, KEYS)
+    return single.join(endless, [*KEYS, "at"], "left_anti"), jumps
+
+
+def reach_all(edges: DataFrame, starts: DataFrame, direction: str = "down") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) reached from each start, to the end: nodes (start, node), and every edge that leaves (enters) a reached node.
+
+    As reach without depths, in fewer rounds: where there is one way on only, a round takes all jumps of a length below that of the
+    last jump; elsewhere it takes every edge.
+    """
+    a, b = ("from_id", "to_id") if direction == "down" else ("to_id", "from_id")
+    step = stored(edges.select(*KEYS, F.col(a).alias("at"), F.col(b).alias("node")).distinct(), "step")
+    chain, jumps = _ways(step)
+    forks = stored(step.join(chain.select(*KEYS, "at"), [*KEYS, "at"], "left_anti"), "forks")
+    found = Levels(starts.select(*KEYS, "start", F.col("start").alias("node"), F.lit(FREE).alias("cap")).distinct(), "reach")
+    while not found.last.isEmpty():
+        front = found.last.withColumnRenamed("node", "at")
+        on = front.join(jumps, [*KEYS, "at"]).filter("level < cap").select(*KEYS, "start", "node", F.col("level").alias("cap"))
+        nxt = on.unionByName(front.join(forks, [*KEYS, "at"]).select(*KEYS, "start", "node", F.lit(FREE).alias("cap"))).groupBy(*KEYS, "start", "node").agg(F.max("cap").alias("cap"))
+        found.append(nxt.join(found.table().select(*KEYS, "start", "node"), [*KEYS, "start", "node"], "left_anti"))
+    seen = found.table().drop("cap")
+    return seen, edges.join(seen.select(*KEYS, "start", F.col("node").alias(a)), [*KEYS, a])
+
+
 def route(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """One shortest directed path per pair (query_id, start, target): struct arrays ``nodes`` and ``edge_ids``; no path, no row.
 
     A node is found by its first parent in order of discovery, then by the smallest edge id; start = target is the
-    path without edges.
+    path without edges. While there is one way on only, a walk jumps along it; from the first fork it goes level by level
+    and keeps each node's parent, and paths are put together in the end, jumping back over the parents. Levels are
+    written once.
     """
-    step = stored(edges.select(*KEYS, "edge_id", F.col("from_id").alias("at"), F.col("to_id").alias("node")))
     q = [*KEYS, "query_id"]
-    begin = pairs.select(*q, F.col("start").alias("node"), "target").distinct()
-    seen = stored(begin.select(*q, "node", "target", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.lit(1).cast("long").alias("rank")))
-    done = seen.filter("node = target")
-    front = stored(seen.filter("node != target"))
-    while not front.isEmpty():
-        hop = front.select(*q, "target", "nodes", "edge_ids", "rank", F.col("node").alias("at")).join(step, [*KEYS, "at"])
-        hop = hop.join(seen.select(*q, "node"), [*q, "node"], "left_anti")
-        first = hop.withColumn("k", F.row_number().over(W.partitionBy(*q, "node").orderBy("rank", "edge_id"))).filter("k = 1")
-        first = first.withColumn("rank", F.row_number().over(W.partitionBy(*q).orderBy("rank", "edge_id")).cast("long"))
-        level = stored(first.select(*q, "node", "target", F.concat("nodes", F.array("node")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), "rank"))
-        hit = level.filter("node = target")
-        done = done.unionByName(hit)
-        seen = stored(seen.unionByName(level))
-        front = stored(level.join(hit.select(*q).distinct(), q, "left_anti"))
-    return done.select(*q, F.col("nodes")[0].alias("start"), "target", "nodes", "edge_ids", F.size("edge_ids").alias("length"))
+    every = edges.select(*KEYS, "edge_id", F.col("from_id").alias("at"), F.col("to_id").alias("node"))
+    step = stored(every.groupBy(*KEYS, "at", "node").agg(F.min("edge_id").alias("edge_id")), "step")
+    chain, jumps = _ways(step)
+    asked = stored(pairs.select(*q, "start", "target").distinct(), "pairs")
+    way = stored(chain_walk(jumps, asked.select(*KEYS, "query_id", "target", "start", F.col("start").alias("node")), KEYS, ["query_id", "start", "target"]), "ways")
+    met = way.filter("node = target").select(*q, F.col("dist").alias("end"))
+    last = way.join(met, q, "left_anti").groupBy(*q, "target").agg(F.max_by("node", "dist").alias("node"), F.max("dist").alias("end"))
+    # the tree from the first fork on: each node's parent, found in order
+    none = F.lit(None).cast("string")
+    roots = last.select(*q, "target", "node", none.alias("parent"), none.alias("edge_id"), F.lit(1).cast("long").alias("rank"))
+    tree = Levels(roots, "tree")
+    open_ = tree.last
+    while not open_.isEmpty():
+        hop = open_.select(*q, "target", "rank", F.col("node").alias("at")).join(step, [*KEYS, "at"])
+        hop = hop.join(tree.table().select(*q, "node"), [*q, "node"], "left_anti")
+        first = hop.groupBy(*q, "target", "node").agg(F.min_by(F.struct("at", "edge_id", "rank"), F.struct("rank", "edge_id")).alias("x"))
+        first = first.select(*q, "target", "node", F.col("x.at").alias("parent"), F.col("x.edge_id").alias("edge_id"), F.row_number().over(W.partitionBy(*q).orderBy("x.rank", "x.edge_id")).cast("long").alias("rank"))
+        level = tree.append(first)
+        open_ = level.join(level.filter("node = target").select(*q), q, "left_anti")
+    up = tree.table()
+    back, _ = chain_jumps(up.filter("parent is not null").join(up.filter("node = target").select(*q), q, "left_semi").select(*q, F.col("node").alias("at"), F.col("parent").alias("node")), q)
+    steps_back = chain_walk(back, up.filter("node = target").select(*q, "node"), q, [])
+    ends = last.select(*q, "end").join(up.filter("node = target").select(*q), q, "left_semi")
+    depth = steps_back.groupBy(*q).agg(F.max("dist").alias("depth"))
+    later = steps_back.join(depth, q).join(ends, q).select(*q, "node", (F.col("end") + F.col("depth") - F.col("dist")).alias("place"))
+    early = way.join(met.unionByName(ends), q).filter("dist <= end").select(*q, "node", F.col("dist").alias("place"))
+    path = early.unionByName(later).distinct()
+    links = path.join(path.select(*q, F.col("node").alias("after"), (F.col("place") - 1).alias("place")), [*q, "place"], "left")
+    links = links.join(step.select(*KEYS, F.col("at").alias("node"), F.col("node").alias("after"), "edge_id"), [*KEYS, "node", "after"], "left")
+    listed = links.groupBy(*q).agg(F.array_sort(F.collect_list(F.struct("place", "node", "edge_id"))).alias("p"))
+    out = listed.select(*q, F.transform("p", lambda x: x["node"]).alias("nodes"), F.array_compact(F.transform("p", lambda x: x["edge_id"])).alias("edge_ids"))
+    return out.join(asked, q).select(*q, "start", "target", "nodes", "edge_ids", F.size("edge_ids").alias("length"))
 
 
 def dossier(relations: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int | None = 100, max_relations: int = 160, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

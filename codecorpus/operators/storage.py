@@ -25,3 +25,24 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Levels:
+    """A table that grows by levels: each is written once, into a folder of its own, and all are read as one table."""
+
+    def __init__(self, first: DataFrame, name: str = "levels"):
+        self.spark, self.schema, self.n = first.sparkSession, first.schema, 0
+        self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.last = self.append(first)
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write the next level; returns it as read back."""
+        where = f"{self.path}/level={self.n}"
+        df.select(*self.schema.names).write.parquet(where)
+        self.n += 1
+        self.last = self.spark.read.schema(self.schema).parquet(where)
+        return self.last
+
+    def table(self) -> DataFrame:
+        """Everything so far."""
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(f"{self.path}/level=*")

@@ -87,7 +87,7 @@ def revision_impact(base: tuple[DataFrame, DataFrame], head: tuple[DataFrame, Da
     nodes, _ = delta.graph_delta(*base, *head)
     changed = nodes.filter("status != 'removed'").select("repo", F.col("node_id").alias("start"))
     starts = changed.join(head[0].select(*KEYS, F.col("node_id").alias("start")), ["repo", "start"]).select(*KEYS, "start")
-    reached, _ = graph.reach(head[1], starts, "up")
+    reached, _ = graph.reach_all(head[1], starts, "up")
     return nodes, reached
 
 

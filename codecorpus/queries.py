@@ -719,7 +719,7 @@ def _(d):
 @query("gr1_reach", f"WITH RECURSIVE e AS (SELECT from_id, to_id, a FROM ({B.CHAIN})), r(start, node) AS (SELECT from_id, from_id FROM e UNION SELECT r.start, e.to_id FROM r JOIN e ON e.from_id = r.node) SELECT start, node FROM r")
 def _(d):
     e = d.sql(B.CHAIN)
-    nodes, _ = graph.reach(e, e.select(*KEYS, F.col("from_id").alias("start")))
+    nodes, _ = graph.reach_all(e, e.select(*KEYS, F.col("from_id").alias("start")))
     return nodes.select("start", "node")
 
 
