@@ -97,11 +97,31 @@ def build_edges(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
     return nodes.unionByName(outer), edges, resolved.filter("target is null").drop("target")
 
 
+#: Widths of the grids of lines, and the span from which a symbol is in the next coarser one: 64 times the width.
+GRID = (16, 1 << 10, 1 << 16, 1 << 31)
+
+
+def _around(spots: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spots`` (path, line) with each of the ``spans`` (path, o_line, o_end, ..) around it.
+
+    They meet in cells of lines: a span is in at most 65 cells of the grid for its length, a spot in one of each grid. So a spot
+    meets what is around it and the few short spans of its cell, however many the file has.
+    """
+    size = F.col("o_end") - F.col("o_line")
+    grid = F.lit(len(GRID) - 1)
+    for i in range(len(GRID) - 2, -1, -1):
+        grid = F.when(size < 64 * GRID[i], i).otherwise(grid)
+    width = F.element_at(F.array(*[F.lit(w) for w in GRID]), F.col("grid") + 1)
+    cells = spans.filter("o_end >= o_line").withColumn("grid", grid)
+    cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("o_line") / width), F.floor(F.col("o_end") / width))))
+    at = spots.withColumn("g", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.floor(F.col("line") / w).alias("cell")) for i, w in enumerate(GRID)])))
+    return at.select("*", "g.grid", "g.cell").drop("g").join(cells, [*KEYS, "path", "grid", "cell"]).filter("line between o_line and o_end").drop("grid", "cell")
+
+
 def owner_at_line(points: DataFrame, symbols: DataFrame, keep_without: bool = False) -> DataFrame:
     """``points`` (path, line) with ``owner_id``: the innermost callable around the line - the smallest span, then the latest start."""
     sym = symbols.filter(F.col("kind").isin(S.CALLABLE_KINDS)).select(*KEYS, "path", F.col("symbol_id").alias("owner_id"), F.col("line").alias("o_line"), F.col("end_line").alias("o_end"))
-    spots = points.select(*KEYS, "path", "line").distinct()
-    inner = spots.join(sym, [*KEYS, "path"]).filter("line between o_line and o_end")
+    inner = _around(points.select(*KEYS, "path", "line").distinct(), sym)
     inner = inner.groupBy(*KEYS, "path", "line").agg(F.min_by("owner_id", F.struct(F.col("o_end") - F.col("o_line"), -F.col("o_line"), "owner_id")).alias("owner_id"))
     return points.join(inner, [*KEYS, "path", "line"], "left" if keep_without else "inner")
 

@@ -2,7 +2,9 @@
 
 import random
 
-from codecorpus.operators import graph, storage
+from pyspark.sql import functions as F
+
+from codecorpus.operators import graph, resolve, storage
 
 EDGE = "repo string, revision string, edge_id string, from_id string, to_id string"
 
@@ -85,3 +87,31 @@ def test_a_chain_of_5000_takes_few_rounds(spark, monkeypatch):
     pair = spark.createDataFrame([("r", "1", "q", "f4999", "f0")], "repo string, revision string, query_id string, start string, target string")
     found = graph.route(e, pair).collect()
     assert found[0].length == 4_999 and found[0].nodes[1234] == f"f{4999 - 1234}"
+
+
+def test_owners_in_large_files(spark):
+    """50,000 short functions and as many points in one file, within long ones: a point meets what is around it and its cell's."""
+    n = 50_000
+    short = spark.range(n).selectExpr("concat('s', id) AS symbol_id", "CAST(id * 3 + 1 AS INT) AS line", "CAST(id * 3 + 2 AS INT) AS end_line")
+    long = spark.range(12).selectExpr("concat('l', id) AS symbol_id", "CAST(1 AS INT) AS line", "CAST(CASE WHEN id = 11 THEN 2147483647 ELSE pow(4, id) END AS INT) AS end_line")
+    key = {"repo": F.lit("r"), "revision": F.lit("1"), "path": F.lit("a.py"), "kind": F.lit("function")}
+    symbols = short.unionByName(long).withColumns(key)
+    points = spark.range(n).selectExpr("CAST(id * 3 + id % 3 + 1 AS INT) AS line", "id").withColumns({k: v for k, v in key.items() if k != "kind"})
+    met = resolve._around(points, symbols.withColumnsRenamed({"line": "o_line", "end_line": "o_end"}))
+    assert met.count() < 14 * n
+    got = {r.id: r.owner_id for r in resolve.owner_at_line(points, symbols).collect()}
+    ends = [(4**i, f"l{i}") for i in range(11)] + [(2**31 - 1, "l11")]
+    for i in range(0, n, 97):
+        line = i * 3 + i % 3 + 1
+        assert got[i] == (f"s{i}" if i % 3 < 2 and not (i == 0 and line == 1) else next(o for e, o in ends if e >= line))
+
+
+def test_owners_of_spans_that_cross(spark):
+    r = random.Random(5)
+    spans = [("r", "1", "a.py", f"s{i}", "function", a := r.randrange(1, 300), a + r.choice([-1, 0, 2, 9, 70, 200])) for i in range(200)]
+    symbols = spark.createDataFrame(spans, "repo string, revision string, path string, symbol_id string, kind string, line int, end_line int")
+    points = spark.createDataFrame([("r", "1", "a.py", i) for i in range(520)], "repo string, revision string, path string, line int")
+    got = {x.line: x.owner_id for x in resolve.owner_at_line(points, symbols, keep_without=True).collect()}
+    for i in range(520):
+        around = [(e - a, -a, s) for _, _, _, s, _, a, e in spans if a <= i <= e]
+        assert got[i] == (min(around)[2] if around else None)
