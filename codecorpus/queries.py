@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codecorpus import bindings as B
 from codecorpus.functions import scalars as S
-from codecorpus.operators import behavior, compose, delta, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, state, storage, traces, validate
+from codecorpus.operators import behavior, compose, delta, evaluation, extract_text, filters, graph, metrics, parse, project, resolve, runs, semantic, state, storage, traces, validate
 from codecorpus.operators.storage import stored
 from codecorpus.plans import workloads
 from codecorpus.sources import corpus
@@ -1222,6 +1222,71 @@ def _(d):
     return corpus.read_snapshot(d.spark, path, "edges").select("from_id", "to_id", "kind", "n")
 
 
+@query("src1_read_corpus", "SELECT 'source=' || source AS repo, CAST(sum(strlen(text) + 1) AS BIGINT) AS size, bool_and(true) AS whole FROM {documents} WHERE text IS NOT NULL AND source NOT IN ('src1', 'src2') GROUP BY source")
+def _(d):
+    path = f"{storage.shared_folder(d.spark)}/trees-{uuid.uuid4().hex}"
+    d.table("documents").filter("text is not null and source is not null").select("source", "text").write.partitionBy("source").text(path)
+    files = corpus.read_corpus(d.spark, path, skip_folders=["source=src1", "source=src2"], skip_names="_SUCCESS$")
+    return files.groupBy("repo").agg(F.sum("size").alias("size"), F.bool_and(F.octet_length("content") == F.col("size")).alias("whole"))
+
+
+#: Calls between documents' modules as a dynamic trace names them: with a project's prefix, a source root and package files.
+_DYNAMIC = "SELECT lang AS case_id, concat('.DyPyBench.temp.project7.', CASE doc_id % 3 WHEN 0 THEN 'src.' ELSE '' END, 'm', CAST(doc_id % 40 AS STRING), CASE doc_id % 4 WHEN 0 THEN '.__init__' ELSE '' END, '.f') AS from_name, concat('.DyPyBench.temp.project7.src.m', CAST(doc_id % 45 AS STRING), '.f') AS to_name FROM {documents}"
+#: Declared: no module of a number divisible by 5 without its source root, no other one with it.
+_DYNAMIC_DECLARED = "SELECT lang AS case_id, concat(CASE doc_id % 5 WHEN 0 THEN 'src.' ELSE '' END, 'm', CAST(doc_id % 40 AS STRING), '.f') AS name FROM {documents}"
+
+
+@query(
+    "src2_declared_oracle_names",
+    f"""WITH p AS (SELECT case_id, replace(replace(from_name, '.DyPyBench.temp.project7.', ''), '.__init__', '') AS a, replace(from_name, '.DyPyBench.temp.project7.', '') AS a0, replace(to_name, '.DyPyBench.temp.project7.', '') AS b FROM ({_DYNAMIC})),
+    d AS (SELECT DISTINCT case_id, name FROM ({_DYNAMIC_DECLARED})),
+    n AS (SELECT DISTINCT case_id, raw, cands FROM (SELECT case_id, a0 AS raw, [a0, CASE WHEN starts_with(a0, 'src.') THEN substr(a0, 5) END, a, CASE WHEN starts_with(a, 'src.') THEN substr(a, 5) END] AS cands FROM p UNION ALL SELECT case_id, b, [b, substr(b, 5), b, substr(b, 5)] FROM p)),
+    r AS (SELECT case_id, raw, name, i FROM (SELECT case_id, raw, unnest(cands) AS name, unnest(range(1, 5)) AS i FROM n) WHERE name IS NOT NULL),
+    k AS (SELECT r.case_id, raw, arg_min(r.name, i) AS name FROM r JOIN d ON d.case_id = r.case_id AND d.name = r.name GROUP BY r.case_id, raw),
+    f AS (SELECT n.case_id, n.raw, coalesce(k.name, n.raw) AS name FROM n LEFT JOIN k ON k.case_id = n.case_id AND k.raw = n.raw),
+    e AS (SELECT DISTINCT p.case_id, x.name AS from_name, y.name AS to_name FROM p JOIN f x ON x.case_id = p.case_id AND x.raw = p.a0 JOIN f y ON y.case_id = p.case_id AND y.raw = p.b)
+    SELECT case_id, from_name, to_name FROM e WHERE EXISTS (SELECT 1 FROM e AS o WHERE o.case_id = e.case_id AND o.from_name = e.to_name)""".replace("AS STRING", "AS VARCHAR"),
+)
+def _(d):
+    pairs = d.sql(_DYNAMIC)
+    return evaluation.oracle_edges(pairs.select("case_id", "from_name"), pairs, d.sql(_DYNAMIC_DECLARED), True, ["src"])[0]
+
+
+#: Documents as evaluation cases, some of which break a rule.
+_CASES = "SELECT CAST(doc_id AS STRING) AS case_id, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE lang END AS goal, CASE WHEN doc_id % 17 = 0 THEN 'guess' WHEN doc_id % 2 = 0 THEN 'ask' ELSE 'change' END AS mode, CASE WHEN doc_id % 11 = 0 THEN '../up.py' WHEN doc_id % 7 = 0 THEN 'gone.py' WHEN doc_id % 3 = 0 THEN './a.py' ELSE concat('src', chr(92), 'b.py') END AS selected, doc_id FROM {documents}"
+
+
+@query(
+    "src8_evaluation_cases",
+    "SELECT CAST(doc_id AS VARCHAR) AS case_id, unnest(CASE WHEN len(codes) = 0 THEN ['accepted'] ELSE codes END) AS code FROM (SELECT doc_id, list_filter([CASE WHEN doc_id % 13 = 0 THEN 'EVALUATION_GOAL_MISSING' END, CASE WHEN doc_id % 17 = 0 THEN 'EVALUATION_MODE_UNKNOWN' END, CASE WHEN doc_id % 11 = 0 THEN 'EVALUATION_PATH_UNSAFE' END, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 = 0 THEN 'EVALUATION_PATH_NOT_IN_INVENTORY' END, CASE WHEN doc_id % 19 = 0 THEN 'EVALUATION_COMMANDS_INVALID' END], lambda x: x IS NOT NULL) AS codes FROM {documents})",
+)
+def _(d):
+    raw = d.sql(_CASES)
+    none = F.array().cast("array<string>")
+    cases = raw.select("case_id", "goal", "mode", F.array("selected").alias("selected_paths"), none.alias("changed_paths"), F.array(F.lit("a.py")).alias("required_paths"), F.lit(None).cast("array<string>").alias("forbidden_paths"), F.when(F.col("doc_id") % 19 == 0, F.array(F.lit("make"), F.lit(" "))).otherwise(F.array(F.lit("make"))).alias("commands"))
+    inventory = raw.select("case_id", F.explode(F.array(F.lit("a.py"), F.lit("src/b.py"))).alias("path"))
+    good, refused = evaluation.check_cases(cases, inventory)
+    return good.select("case_id", F.lit("accepted").alias("code")).unionByName(refused.select("case_id", "code"))
+
+
+@query(
+    "set8_evaluation_receipts",
+    "SELECT CAST(doc_id AS VARCHAR) AS receipt_id, x.place AS place, CASE WHEN x.place = '' THEN doc_id % 11 <> 0 ELSE true END AS well_formed, CASE x.place WHEN '' THEN doc_id % 7 <> 0 WHEN '/0' THEN true WHEN '/0/0' THEN doc_id % 5 <> 0 ELSE doc_id % 3 <> 0 END AS hash_matches, CASE x.place WHEN '' THEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 WHEN '/0' THEN doc_id % 5 <> 0 ELSE true END AS inner_sound FROM {documents}, (VALUES (''), ('/0'), ('/0/0'), ('/1')) AS x(place)",
+)
+def _(d):
+    docs = d.table("documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("receipt_id"))
+    seal = lambda body: F.concat(body, F.lit(',"receiptHash":"'), F.sha2(F.concat(body, F.lit("}")), 256), F.lit('"}'))
+    head = F.lit('{"schemaVersion":1,"contract":"eval/v1",')
+    leaf = lambda name: seal(F.concat(head, F.lit(f'"case":"{name}-'), "receipt_id", F.lit('"')))
+    broken = lambda text, name, when: F.when(when, F.regexp_replace(text, f'"case":"{name}-', f'"case":"{name}+')).otherwise(text)
+    k = F.col("doc_id")
+    docs = docs.withColumn("a", broken(leaf("a"), "a", k % 5 == 0)).withColumn("b", broken(leaf("b"), "b", k % 3 == 0))
+    docs = docs.withColumn("mid", seal(F.concat(head, F.lit('"results":['), "a", F.lit("]"))))
+    outer = seal(F.concat(F.when(k % 11 == 0, F.lit('{"schemaVersion":1,"contract":"other",')).otherwise(head), F.lit('"results":['), "mid", F.lit(","), "b", F.lit('],"note":"x"')))
+    texts = docs.withColumn("text", F.when(k % 7 == 0, F.regexp_replace(outer, '"note":"x"', '"note":"y"')).otherwise(outer))
+    return evaluation.verify_evaluations(texts.select("receipt_id", "text"), "eval/v1").withColumnRenamed("at", "place")
+
+
 @query("src7_index", "SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, n_chars AS size FROM {documents}")
 def _(d):
     path = f"{storage.shared_folder(d.spark)}/index-{uuid.uuid4().hex}"

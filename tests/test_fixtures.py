@@ -547,3 +547,35 @@ def test_sources_round_trip(spark, tmp_path):
     (case / "callgraph.json").write_text('{"a":["b","c"],"b":[]}')
     edges, declared = corpus.read_call_oracle(spark, str(tmp_path / "cases" / "*" / "callgraph.json"))
     assert {(r.case_id, r.from_name, r.to_name) for r in edges.collect()} == {("c1", "a", "b"), ("c1", "a", "c")} and declared.count() == 2
+
+
+def test_reading_leaves_out_what_is_not_wanted(spark, tmp_path):
+    from codecorpus.operators.filters import BINARY, IGNORED_FOLDERS
+
+    root = tmp_path / "trees"
+    for name, size in {"a/src/x.py": 10, "a/src/build.py": 20, "a/node_modules/m/y.js": 40_000, "a/build/z.py": 50_000, "b/big.py": 3_000, "b/logo.PNG": 60_000, "b/q r.py": 5}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x" * size)
+    df = corpus.read_corpus(spark, str(root), skip_folders=IGNORED_FOLDERS, max_bytes=2_000, skip_names=BINARY)
+    assert {(r.repo, r.path, r.size) for r in df.collect()} == {("a", "src/x.py", 10), ("a", "src/build.py", 20), ("b", "q r.py", 5)}
+    # the files in folders and with names that aren't wanted are no part of the scan
+    df.select("hash").collect()
+    plan = df.select("hash")._jdf.queryExecution()
+    plan.executedPlan().executeCollect()
+    scan = plan.executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 4 and scan.metrics().apply("filesSize").value() == 10 + 20 + 3_000 + 5
+
+
+def test_evaluation_folders(spark, tmp_path):
+    from codecorpus.operators import evaluation
+
+    for case, wanted in (("ok", "src/a b.py"), ("lost", "src/none.py")):
+        folder = tmp_path / "cases" / case
+        (folder / "project" / "src").mkdir(parents=True)
+        (folder / "project" / "src" / "a b.py").write_text("x = 1")
+        for name, value in {"request": {"goal": "g", "mode": "ask"}, "expected-scope": {"selectedPaths": [wanted], "changedPaths": []}, "assertions": {"requiredPaths": [], "forbiddenPaths": [], "verificationPassed": True}, "allowed-commands": {"commands": ["make"]}}.items():
+            (folder / f"{name}.json").write_text(json.dumps(value, indent=1))
+    cases, inventory = corpus.read_eval_folders(spark, str(tmp_path / "cases"))
+    good, refused = evaluation.check_cases(cases, inventory)
+    assert [(r.case_id, r.selected_paths, r.expected_verification_passed) for r in good.collect()] == [("ok", ["src/a b.py"], True)]
+    assert [tuple(r) for r in refused.collect()] == [("lost", "EVALUATION_PATH_NOT_IN_INVENTORY", "src/none.py")]
