@@ -14,30 +14,30 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codecorpus.llm._text import chunks, stored
 
-#: Bytes that a gear hash of 32 bits depends on.
-GEAR_WINDOW = 32
+#: Bits of a gear hash, and so the bytes that it depends on: two places of a passage are cut alike from there on.
+GEAR_WINDOW = 16
 #: A chunk ends where the top bits of the hash are 0, after LEAST bytes and before MOST; the rest of a text shorter than LEAST stays with the chunk before it.
-TOP_BITS, LEAST, MOST = 6, 32, 1024
+TOP_BITS, LEAST, MOST = 4, 16, 256
 
 #: Bits of a digest that the filter goes by which says whose texts are compared.
 SLOT_BITS = 26
 
 _R = random.Random(2)
 #: One number for each byte; 0 for NUL, so that what stands before a text doesn't count.
-GEAR = np.array([0, *[_R.getrandbits(32) for _ in range(255)]], dtype=np.uint32)
+GEAR = np.array([0, *[_R.getrandbits(GEAR_WINDOW) for _ in range(255)]], dtype=np.uint16)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = 2 h + GEAR[byte] modulo 2^32 after each byte, by doubling the window that it covers."""
+    """The gear hash h = 2 h + GEAR[byte] modulo 2^16 after each byte, by doubling the window that it covers."""
     h = GEAR[data]
     width = 1
     while width < GEAR_WINDOW:
-        h[width:] += h[:-width] << np.uint32(width)
+        h[width:] += h[:-width] << np.uint16(width)
         width *= 2
     return h
 
 
-def cut(texts: list[bytes | None], digest_bytes: int = 16) -> dict[str, list]:
+def cut(texts: list[bytes | None], digest_bytes: int = 12) -> dict[str, list]:
     """The chunks of whole texts, one after the other: text (its place), k, start, end (code points), size, n, digest and body.
 
     The first chunk of a text has size, its code points, and n, its number of chunks; a text without any has one row
@@ -47,7 +47,7 @@ def cut(texts: list[bytes | None], digest_bytes: int = 16) -> dict[str, list]:
     out: dict[str, list] = {c: [] for c in ("text", "k", "start", "end", "size", "n", "digest", "body")}
     gap = b"\0" * GEAR_WINDOW
     data = np.frombuffer(gap.join([b"", *[t or b"" for t in texts], b""]), dtype=np.uint8)
-    ends = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - TOP_BITS) == 0) + 1
+    ends = np.flatnonzero(gear_hashes(data) >> np.uint16(GEAR_WINDOW - TOP_BITS) == 0) + 1
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))
     base = 0
     for i, t in enumerate(texts):
@@ -132,7 +132,7 @@ def _clashes(docs: DataFrame, again: DataFrame, id_col: str, text_col: str, dige
     return not texts.groupBy("digest").count().filter("count > 1").isEmpty()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 12) -> tuple[DataFrame, DataFrame]:
     """The stored chunks, and the occurrences (uid, id, start, end, later) of those that stand in more than one place.
 
     Digests are counted before anything is joined, and the texts of those that repeat are compared: if one digest has
@@ -164,7 +164,7 @@ def _ranges(parts):
     return F.array_join(F.zip_with(begin, close, lambda a, b: F.concat_ws(":", a["start"].cast("string"), b["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 12) -> DataFrame:
     """Per document: n_chars, n_chunks, n_repeated (code points in chunks that stand elsewhere too), n_later (those that an
     earlier place has), and spans, the ranges of the latter (end exclusive, code points), which a de-duplicated text leaves out.
 
@@ -194,8 +194,8 @@ def brute_force(texts: dict) -> dict:
                 if i - bounds[-1] >= LEAST:
                     bounds.append(i)
                 due = False
-            h = (2 * h + int(GEAR[byte])) % 2**32
-            due = due or h < 2 ** (32 - TOP_BITS)
+            h = (2 * h + int(GEAR[byte])) % 2**GEAR_WINDOW
+            due = due or h < 2 ** (GEAR_WINDOW - TOP_BITS)
         if data:
             if len(data) - bounds[-1] >= LEAST or len(bounds) == 1:
                 bounds.append(len(data))

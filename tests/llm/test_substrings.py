@@ -1,5 +1,7 @@
 """Substring de-duplication against plain loops, and on nulls, long texts, repeats and equal digests of different texts."""
 
+import random
+
 import pytest
 
 from codecorpus.llm import queries, substrings
@@ -18,7 +20,7 @@ def texts():
     return got
 
 
-@pytest.mark.parametrize("digest_bytes", [16, 1])
+@pytest.mark.parametrize("digest_bytes", [12, 1])
 def test_repeats_equal_brute_force(make_docs, digest_bytes):
     want = substrings.brute_force(texts())
     rows = {r.doc_id: r for r in substrings.report(make_docs(texts()).repartition(5), digest_bytes=digest_bytes).collect()}
@@ -45,3 +47,21 @@ def test_repeats_edges(edge_docs):  # noqa: F811
     sixes = [r for r in rows if r.doc_id == 6]
     assert sorted(r.n_later for r in sixes) == [0, sixes[0].n_chars] and all(r.n_repeated == r.n_chars for r in sixes)
     assert substrings.report(edge_docs.limit(0)).count() == 0
+
+
+def test_recall_of_planted_passages(make_docs):
+    """100 passages of each length, each in two documents among other text: the share of their characters that is found repeated."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(5_000)]
+    fill = lambda n: " ".join(r.choice(words) for _ in range(n))
+    got, sizes = {}, {}
+    for length in (200, 350, 700):
+        for i in range(100):
+            passage = fill(length)[:length]
+            for _ in range(2):
+                got[len(got)] = f"{fill(60)} {passage} {fill(60)}"
+                sizes[len(got) - 1] = length
+    rows = {x.doc_id: x.n_repeated for x in substrings.report(make_docs(got)).collect()}
+    for length, least in ((200, 0.65), (350, 0.80), (700, 0.88)):
+        mine = [rows[i] for i, n in sizes.items() if n == length]
+        assert sum(mine) >= least * 200 * length and sum(x > 0 for x in mine) >= 198, (length, sum(mine) / 200 / length)
