@@ -26,17 +26,18 @@ class TestSuffixes:
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        split = [(item, alnum_words(text)) for item, text in items]
+        # an item without an id is known by its number, so that each is one of its own
+        split = [(n if item is None else item, alnum_words(text)) for n, (item, text) in enumerate(items)]
         self.window = window
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in split for w in ws}))}
-        found: dict[bytes, set[tuple[str | None, int]]] = {}
+        found: dict[bytes, set[tuple[str | int, int]]] = {}
         for item, ws in split:
             ids = np.array([self.vocab[w] for w in ws], dtype=">u4")
             size = min(window, len(ws))
             for i in range(len(ws) - size + 1 if ws else 0):
                 found.setdefault(ids[i : i + size].tobytes(), set()).add((item, i))
         self.keys = sorted(found)
-        self.places = [sorted(found[k], key=lambda p: (p[0] is None, p[0] or "", p[1])) for k in self.keys]
+        self.places = [sorted(found[k], key=lambda p: (isinstance(p[0], int), *p)) for k in self.keys]
         self.lengths = np.array([len(k) // 4 for k in self.keys], dtype=np.int64)
         self.shortest = int(self.lengths.min()) if self.keys else window
         self.low = np.array(self.keys, dtype=f"S{4 * window}")
@@ -106,7 +107,7 @@ def longest_matches(found: list[tuple[int, int, int]], tests: TestSuffixes) -> l
                 start = a
             before, end = a, b
         out.append((item, start, start - shift, end - start))
-    return sorted(out, key=lambda m: (m[1], m[0] is None, m[0] or "", m[2]))
+    return sorted(out, key=lambda m: (m[1], isinstance(m[0], int), m[0], m[2]))
 
 
 def _scan(tests):
@@ -118,8 +119,8 @@ def _scan(tests):
             here[doc].append((first, length, s))
         merged = [_merge([(a, a + n) for a, n, _ in x]) for x in here]
         longest = [longest_matches(x, t) if x else [] for x in here]
-        items = [sorted({m[0] for m in x if m[0] is not None}) + [None] * any(m[0] is None for m in x) for x in longest]
-        whole = [[dict(zip(("item", "first", "item_first", "words"), m)) for m in x] for x in longest]
+        items = [[None if isinstance(i, int) else i for i in sorted({m[0] for m in x}, key=lambda i: (isinstance(i, int), i))] for x in longest]
+        whole = [[{"item": None if isinstance(i, int) else i, "first": a, "item_first": b, "words": n} for i, a, b, n in x] for x in longest]
         return {"n_words": counts.tolist(), "first": [[a for a, _ in m] for m in merged], "last": [[b for _, b in m] for m in merged], "items": items, "matches": whole}
 
     return fn
@@ -140,14 +141,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tup
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    return [rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)]
+    return [rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Verbatim matches of ``benchmark`` items in ``docs``: struct ``row`` of the carried columns and struct ``out``.
 
     ``out`` has n_words, the disjoint hit ranges ``first``/``last`` (last exclusive, in words), the sorted ids of the
-    items that occur (null for an item without id, last), and ``matches``, the longest verbatim matches with the item,
+    items that occur (a null for each item without id, last), and ``matches``, the longest verbatim matches with the item,
     the places in text and item, and the words. Null or empty texts have no words and no match; items without words
     match nothing; an empty benchmark matches nothing; repeated rows each get their result.
     The benchmark is the stated query set: it goes to the tasks in blocks of bounded size, one pass after the other.
@@ -175,9 +176,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: s
                     F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], r["last"]).alias("last")))),
                 ).otherwise(F.concat(acc, F.array(r))),
             )
+            named, nameless = lambda c: F.array_compact(c), lambda c: F.filter(c, lambda i: i.isNull())
+            items = F.concat(F.array_sort(F.array_union(named("row.done.items"), named("out.items"))), nameless("row.done.items"), nameless("out.items"))
             out = both.select(
                 F.col("row.row").alias("row"),
-                F.struct(F.col("out.n_words").alias("n_words"), joined["first"].alias("first"), joined["last"].alias("last"), F.array_sort(F.array_union("row.done.items", "out.items")).alias("items"), F.concat("row.done.matches", "out.matches").alias("matches")).alias("out"),
+                F.struct(F.col("out.n_words").alias("n_words"), joined["first"].alias("first"), joined["last"].alias("last"), items.alias("items"), F.concat("row.done.matches", "out.matches").alias("matches")).alias("out"),
             )
     return out
 
@@ -217,21 +220,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     return matches(docs, benchmark, docs.columns, text_col).filter(~bad).select("row.*")
 
 
-def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:
-    """The same verdicts by plain loops, for small tests: id -> (n_words, n_hit, item ids)."""
+def brute_force(texts: dict, items: dict | list[tuple], window: int = WINDOW) -> dict:
+    """The same verdicts by plain loops, for small tests: id -> (n_words, n_hit, item ids, a None for each item without one)."""
+    pairs = list(items.items() if isinstance(items, dict) else items)
     out = {}
     for key, text in texts.items():
         words = alnum_words(text.encode()) if text else []
         hit, seen = set(), set()
-        for item, t in items.items():
+        for at, (item, t) in enumerate(pairs):
             ws = alnum_words(t.encode()) if t else []
             size = min(window, len(ws))
             for j in range(len(ws) - size + 1 if ws else 0):
                 for i in range(len(words) - size + 1):
                     if words[i : i + size] == ws[j : j + size]:
                         hit.update(range(i, i + size))
-                        seen.add(item if item is None else str(item))
-        out[key] = (len(words), len(hit), sorted(seen, key=lambda x: (x is None, x or "")))
+                        seen.add((True, "", at) if item is None else (False, str(item), 0))
+        out[key] = (len(words), len(hit), [None if none else i for none, i, _ in sorted(seen)])
     return out
 
 

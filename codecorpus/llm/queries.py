@@ -36,15 +36,15 @@ _WORDS_SPACE = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLM
 
 _OP8 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS_ALNUM} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS_ALNUM} AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, list_slice(w, i, i + least(13, len(w)) - 1) AS x
-        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT item_id, CASE WHEN item_id IS NULL THEN row_number() OVER () END AS nameless, {_WORDS_ALNUM} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, nameless, least(13, len(w)) AS size, list_slice(w, i, i + least(13, len(w)) - 1) AS x
+        FROM (SELECT item_id, nameless, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT size FROM win),
 places AS (SELECT r, size, i, list_slice(w, i, i + size - 1) AS x
        FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
-hits AS (SELECT p.r, p.i, p.size, win.item_id FROM places p JOIN win ON p.size = win.size AND p.x = win.x),
+hits AS (SELECT p.r, p.i, p.size, win.item_id, win.nameless FROM places p JOIN win ON p.size = win.size AND p.x = win.x),
 words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM (SELECT DISTINCT r, i, size FROM hits)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item, nameless FROM hits) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -39,7 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def fold(text: str) -> str:
     """Lower case, homoglyphs and digits as Latin letters, signs inside a word too, invisible characters gone."""
     text = text.lower()
-    if not text.isascii() or any(d in text for d in "013457 8"):
+    if not text.isascii() or any(d in text for d in "0134578"):
         text = text.translate(_TABLE)
     if "$" in text or "@" in text or "!" in text or "|" in text:
         text = _SIGNS.sub(lambda m: _SIGN[m[0]], text)
@@ -93,8 +95,10 @@ class Lexicon:
                 best[first] = max(w, best.get(first, 0.0))
             else:
                 barred.append((end - size, end))
-        if barred:
-            best = {p: w for p, w in best.items() if not any(a <= p < b for a, b in barred)}
+        if barred:  # ranges by their start, each with the furthest end so far
+            barred.sort()
+            begins, ends = [a for a, _ in barred], list(accumulate((b for _, b in barred), max))
+            best = {p: w for p, w in best.items() if not ((i := bisect_right(begins, p)) and p < ends[i - 1])}
         counts: Counter = Counter()
         weight: dict[str, float] = {}
         for p, w in best.items():

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -293,10 +294,10 @@ def test_html_articles(spark):
 
 
 def test_decontamination_equals_brute_force(spark, make_docs, monkeypatch):
-    items = {1: prose(50, 30), 2: prose(51, 13), 3: "alpha beta", 4: None, 5: "!!", 6: prose(50, 14), 10: prose(52, 20), None: "gamma delta"}
+    items = [(1, prose(50, 30)), (2, prose(51, 13)), (3, "alpha beta"), (4, None), (5, "!!"), (6, prose(50, 14)), (10, prose(52, 20)), (None, "gamma delta"), (None, "here gamma"), (None, "delta here"), (None, "delta here"), (3, "only gamma")]
     texts = {i: prose(60 + i, 60) for i in range(10)}
     texts |= {20: prose(1, 40) + " " + prose(50, 30) + " " + prose(2, 40), 21: prose(51, 13).upper().replace(" ", ", "), 22: None, 23: "", 24: "Alpha-Beta", 27: "only Gamma, delta here", 25: prose(52, 12), 26: prose(50, 30) + prose(3, 700)}
-    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
     want = decontam.brute_force(texts, items)
     for size in (decontam.BLOCK_BYTES, 200):  # one block, and several
         monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
@@ -306,6 +307,9 @@ def test_decontamination_equals_brute_force(spark, make_docs, monkeypatch):
         assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in rows)
 
 
+    assert want[27] == (4, 4, ["3", None, None, None])
+
+
 def test_longest_matches_have_their_item_place_and_length(spark, make_docs):
     one, two = prose(70, 13), prose(71, 40)
     bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
@@ -407,3 +411,17 @@ def test_license_places_and_labels(make_docs):
 def test_license_edges(edge_docs):
     assert licenses.report(edge_docs).count() == 10
     assert licenses.report(edge_docs.limit(0)).count() == 0
+
+
+# ---- very long texts full of findings ----------------------------------------------------------------------------------
+
+
+def test_a_million_words_take_seconds():
+    began = time.monotonic()
+    lexicon = toxicity.Lexicon({"darn": 3.0, "heck*": 2.0}, ["what the heck"])
+    n, weight, hits, top = lexicon.measure(("darn what the heck heckish fine " * 170_000).encode())
+    assert (n, hits, top) == (1_020_000, 2, 3.0)
+    text = "password = abcdef123 x1y2z3a4b5c6d7e8 " * 100_000
+    taken = secrets.base_spans(text)
+    assert len(taken) == 100_000 and len(secrets.candidates(text, taken)) == 100_000
+    assert time.monotonic() - began < 60
