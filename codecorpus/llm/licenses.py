@@ -53,14 +53,35 @@ NOTICES = [
     ("cc-by", "creative commons attribution 4 0 international", ["creative commons attribution 4 0"]),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["free to copy modify publish use"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
-]
-#: Labels and the words of their identifiers in SPDX lines; each makes a notice.
+    # short forms, which must stand as they are
+    *[(label, words, [words]) for label, words in [
+        ("mit", "mit license copyright"), ("mit", "the mit license mit"), ("mit", "license mit"),
+        ("apache-2", "license apache 2 0"), ("apache-2", "apache 2 0 license"), ("apache-2", "apache license 2 0"),
+        ("gpl-3", "gplv3"), ("gpl-3", "gpl v3"), ("gpl-3", "gpl version 3"), ("gpl-3", "license gpl 3 0"),
+        ("gpl-2", "gplv2"), ("gpl-2", "gpl v2"), ("gpl-2", "gpl version 2"), ("gpl-2", "license gpl 2 0"),
+        ("lgpl", "lgplv2"), ("lgpl", "lgplv3"), ("lgpl", "lgpl v2"), ("lgpl", "lgpl v3"), ("agpl-3", "agplv3"), ("agpl-3", "agpl v3"),
+        ("mpl-2", "license mpl 2 0"), ("bsd", "under the bsd license"), ("bsd", "bsd 4 clause license"), ("bsd", "license bsd"), ("isc", "license isc"),
+        ("cc0", "creative commons zero v1 0 universal"), ("cc0", "under cc0"), ("artistic-2", "artistic license 2 0"), ("unlicense", "under the unlicense"),
+    ]],
+    # what stands within whole licence texts
+    ("apache-2", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce", ["each contributor hereby grants to you a perpetual"]),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works", ["free copyleft license for software and other kinds of works"]),
+    ("gpl-2", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license", ["by contrast the gnu general public license"]),
+    ("lgpl", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3", ["gnu lesser general public license incorporates"]),
+    ("mpl-2", "each contributor hereby grants you a world wide royalty free non exclusive license under intellectual property rights", ["hereby grants you a world wide royalty free"]),
+    ("epl-2", "the accompanying program is provided under the terms of this eclipse public license", ["this eclipse public license"]),
+]
+#: Labels and the words of their identifiers in SPDX lines.
 SPDX = {
-    "mit": ["mit"], "apache-2": ["apache 2 0"], "gpl-3": ["gpl 3 0 only", "gpl 3 0 or later"], "gpl-2": ["gpl 2 0 only", "gpl 2 0 or later"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl-3": ["agpl 3 0"],
-    "mpl-2": ["mpl 2 0"], "epl-2": ["epl 2 0"], "bsd": ["bsd 3 clause", "bsd 2 clause"], "isc": ["isc"], "bsl-1": ["bsl 1 0"], "zlib": ["zlib"],
+    "mit": ["mit"], "apache-2": ["apache 2 0"], "gpl-3": ["gpl 3 0"], "gpl-2": ["gpl 2 0"], "lgpl": ["lgpl 2 0", "lgpl 2 1", "lgpl 3 0"], "agpl-3": ["agpl 3 0"],
+    "mpl-2": ["mpl 2 0"], "epl-2": ["epl 2 0"], "bsd": ["bsd 4 clause", "bsd 3 clause", "bsd 2 clause", "0bsd"], "isc": ["isc"], "bsl-1": ["bsl 1 0"], "zlib": ["zlib"], "artistic-2": ["artistic 2 0"],
     "cc-by-nc": ["cc by nc 4 0"], "cc-by-sa": ["cc by sa 4 0"], "cc-by": ["cc by 4 0"], "cc0": ["cc0 1 0"], "unlicense": ["unlicense"],
 }
-NOTICES += [(label, f"spdx license identifier {words}", [f"identifier {words}"]) for label, ids in SPDX.items() for words in ids]
+SPDX_HEAD = "spdx license identifier"
+#: Words that an SPDX expression may have besides its identifiers.
+SPDX_LINKS = ["or", "and", "with", "only", "later", "exception", "classpath", "llvm"]
+_SPDX_WORDS = frozenset(w.encode() for words in [*SPDX_LINKS, *(i for ids in SPDX.values() for i in ids)] for w in words.split())
+NOTICES.append(("spdx", SPDX_HEAD, [SPDX_HEAD]))
 
 #: Words of a notice that its score is over: its rarest.
 INDEX_WORDS = 4
@@ -122,13 +143,25 @@ class NoticeIndex:
                 for d in range(SLACK + 1):
                     near |= at.get(start + d, {})
                 score = sum(near.values()) / self.total[t] if self.total[t] else 0.0
-                if score >= LEAST_SHARE and score > out.get(label, 0.0):
+                if score >= LEAST_SHARE and (label == "spdx" or score > out.get(label, 0.0)):
                     window = words[max(0, start - SLACK) : max(0, start + len(notice) + 2 * SLACK)]
-                    if all(_places(window, p) for p in phrases):
-                        out[label] = min(1.0, score)
+                    if not all(_places(window, p) for p in phrases):
+                        continue
+                    for named in spdx_labels(words, max(0, start - SLACK)) if label == "spdx" else [label]:
+                        out[named] = max(out.get(named, 0.0), min(1.0, score))
         return out
 
 
+def spdx_labels(words: list[bytes], near: int) -> list[str]:
+    """Labels of the identifiers in the SPDX expression that follows the first head from ``near`` on: the words up to the first that none has."""
+    head = SPDX_HEAD.encode().split()
+    start = near + next(iter(_places(words[near : near + 2 * SLACK + 2 * len(head)], head)), 0) + len(head)
+    end = start
+    while end < len(words) and words[end] in _SPDX_WORDS:
+        end += 1
+    return [label for label, ids in SPDX.items() if any(_places(words[start:end], i.encode().split()) for i in ids)]
+
+
 def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     n = len(phrase)
     return [i for i, w in enumerate(words) if w == phrase[0] and words[i : i + n] == phrase]

@@ -408,6 +408,20 @@ def test_license_places_and_labels(make_docs):
     assert rows[8].labels == rows[9].labels == rows[10].labels == ""
 
 
+SHORT_LICENSES = {
+    "MIT License Copyright (c) 2020 X": "mit", "SPDX-License-Identifier: GPL-3.0": "gpl-3", "SPDX-License-Identifier: GPL-3.0+": "gpl-3", "GPLv3": "gpl-3", "GNU GPL v2": "gpl-2", "licensed under the BSD license": "bsd",
+    "License: Apache 2.0": "apache-2", "Creative Commons Zero v1.0 Universal": "cc0", "SPDX-License-Identifier: BSD-4-Clause": "bsd", "Artistic License 2.0": "artistic-2", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
+    "SPDX-License-Identifier: LGPL-2.1-or-later\nint mit = 1;": "lgpl", "The MIT License (MIT)": "mit", "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc", "SPDX License Identifiers are short": "",
+    "The GNU General Public License is a free, copyleft license for software and other kinds of works.": "gpl-3", "he licensed the song to a label in 2020, and the artist was free to leave": "",
+}
+
+
+def test_short_forms_of_licenses(make_docs):
+    texts = {i: prose(i, 30) + ". " + t + ". " + prose(100 + i, 30) for i, t in enumerate(SHORT_LICENSES)}
+    rows = {r.doc_id: r.labels for r in licenses.report(make_docs(texts)).collect()}
+    assert {t: rows[i] for i, t in enumerate(SHORT_LICENSES)} == SHORT_LICENSES
+
+
 def test_license_edges(edge_docs):
     assert licenses.report(edge_docs).count() == 10
     assert licenses.report(edge_docs.limit(0)).count() == 0
