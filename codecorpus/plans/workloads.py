@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codecorpus.functions import scalars as S
 from codecorpus.operators import behavior, callables, delta, extract_text, filters, graph, parse, project, resolve, semantic, state, traces
 from codecorpus.operators.storage import stored
+from codecorpus.sources.index import FileIndex
 
 KEYS = ["repo", "revision"]
 
@@ -21,16 +22,40 @@ def module_dependencies(files: DataFrame, most: int | None = 600) -> DataFrame:
     return project.module_edges(pairs, nodes, most)
 
 
-def architecture(files: DataFrame) -> dict[str, DataFrame]:
+def indexed_parse(src: DataFrame, index: FileIndex) -> DataFrame:
+    """``parse.parse_files`` of ``src``, reading what ``index`` has: only files that are new or changed are parsed, and the index takes them and forgets those that are gone.
+
+    A file is known by its size and ``mtime``, or by its content's hash where ``src`` has no mtime.
+    """
+    stamp = F.col("mtime").cast("string") if "mtime" in src.columns else F.sha2("content", 256)
+    now = src.withColumns({"size": F.octet_length("content").cast("long"), "mtime": stamp})
+    known, manifest = index.rows(), index.manifest()
+    if known is None:
+        changed, touched = now, now
+    else:
+        plan = stored(delta.incremental_plan(now, known).filter("action != 'reuse'"), "index-plan")
+        if plan.isEmpty():
+            return _of_revision(known, now)
+        changed, touched = now.join(plan.filter("action = 'parse'").select("repo", "path"), ["repo", "path"], "left_semi"), plan
+    rows = parse.parse_files(changed).join(changed.select("repo", "path", "size", "mtime"), ["repo", "path"])
+    index.commit(manifest["number"] + 1 if manifest else 0, rows, touched)
+    return _of_revision(index.rows(), now)
+
+
+def _of_revision(rows: DataFrame, src: DataFrame) -> DataFrame:
+    return rows.drop("revision", "size", "mtime").join(src.select(*KEYS, "path"), ["repo", "path"])
+
+
+def architecture(files: DataFrame, index: FileIndex | None = None) -> dict[str, DataFrame]:
     """Files to nodes, edges, symbols, calls and type relations: the tables of a reading.
 
     What is parsed from texts (imports, symbols, call sites) is written once in the shared folder, as many joins read
-    it; the rest is lazy.
+    it; the rest is lazy. With an ``index`` only files that have changed are parsed (indexed_parse).
     """
     src = filters.source_files(filters.eligible_text(files).filter("skip_reason is null"))
     imports = stored(resolve.resolve_imports(extract_text.extract_imports(src), src.select(*KEYS, "path")), "imports")
     nodes, edges, unresolved = resolve.build_edges(imports, src)
-    read = stored(parse.parse_files(src), "parsed")
+    read = stored(parse.parse_files(src), "parsed") if index is None else indexed_parse(src, index)
     unique, diagnostics = resolve.unique_symbol_ids(parse.table_of(read, "symbols"))
     symbols, sites = stored(unique, "unique-symbols"), stored(parse.table_of(read, "sites"), "sites")
     bindings = parse.table_of(read, "bindings")

@@ -579,3 +579,20 @@ def test_evaluation_folders(spark, tmp_path):
     good, refused = evaluation.check_cases(cases, inventory)
     assert [(r.case_id, r.selected_paths, r.expected_verification_passed) for r in good.collect()] == [("ok", ["src/a b.py"], True)]
     assert [tuple(r) for r in refused.collect()] == [("lost", "EVALUATION_PATH_NOT_IN_INVENTORY", "src/none.py")]
+
+
+def test_a_reading_with_an_index_parses_changed_files_only(spark, files, tmp_path, monkeypatch):
+    from codecorpus.operators import parse as P
+    from codecorpus.sources.index import FileIndex
+
+    index, parsed = FileIndex(spark, str(tmp_path / "index")), []
+    real = P.parse_files
+    monkeypatch.setattr(P, "parse_files", lambda df, *a: parsed.append(sorted(r.path for r in df.select("path").collect())) or real(df, *a))
+    tree = {"a.py": "def a():\n    return 1\n", "b.py": "from a import a\ndef b():\n    return a()\n", "c.py": "def c():\n    pass\n"}
+    calls = lambda t: {(r.from_id, r.to_id) for r in workloads.architecture(files(t), index)["calls"].collect()}
+    assert calls(tree) == {("b.py#b:2", "a.py#a:1")}
+    assert calls(tree) == {("b.py#b:2", "a.py#a:1")}
+    tree = {"a.py": "\n" + tree["a.py"], "b.py": tree["b.py"], "d.py": "def d():\n    return d2()\ndef d2():\n    return 1\n"}
+    assert calls(tree) == {("b.py#b:2", "a.py#a:2"), ("d.py#d:1", "d.py#d2:3")}
+    assert parsed == [["a.py", "b.py", "c.py"], ["a.py", "d.py"]]
+    assert {r.path for r in index.rows().collect()} == {"a.py", "b.py", "d.py"}
