@@ -117,9 +117,19 @@ def _bits(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def _clashes(docs: DataFrame, again: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> bool:
-    """Whether a digest of ``again`` is that of different texts: the texts of the chunks in question meet and are compared."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(again))
+def _in_filter(rows: DataFrame, bits) -> DataFrame:
+    """The ``rows`` whose digest the filter has: all that repeat, and few others."""
+
+    def keep(batches):
+        for batch in batches:
+            slot = _slots(batch.column("digest").to_pylist())
+            yield batch.filter(pa.array((bits.value[slot >> 6] >> (slot & 63)) & 1 == 1))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def _clashes(docs: DataFrame, bits, id_col: str, text_col: str, digest_bytes: int) -> bool:
+    """Whether a digest that repeats is that of different texts: the texts of the chunks in question meet and are compared."""
 
     def bodies(texts):
         got = cut(texts, digest_bytes)
@@ -145,12 +155,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
         found = stored(_over_texts(docs, id_col, text_col, fields, lambda texts: cut(texts, width)), "chunks")
         real = found.filter("digest is not null").select("uid", "id", "start", "end", "digest")
         again = stored(real.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1").select("digest"), "chunk-repeats")
-        if not _clashes(docs, again, id_col, text_col, width):
+        bits = docs.sparkSession.sparkContext.broadcast(_bits(again))
+        if not _clashes(docs, bits, id_col, text_col, width):
             break
         if width >= 64:
             raise ValueError("different texts have one BLAKE2b digest of 64 bytes")
         digest_bytes = 2 * width
-    here = stored(real.join(again, "digest"), "chunk-places")
+    here = stored(_in_filter(real, bits).join(again, "digest"), "chunk-places")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "start")
     first = stored(here.groupBy("digest").agg(F.min(place).alias("first")), "chunk-firsts")  # so a very common chunk's places can be split in the join
     later = (F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start"))
