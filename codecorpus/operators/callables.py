@@ -95,6 +95,17 @@ def decorated_values(symbols: DataFrame, notes: DataFrame, returned: DataFrame,
     return value, passed.distinct()
 
 
+def calls_through_values(sites: DataFrame, symbols: DataFrame, bindings: DataFrame) -> bool:
+    """Whether callable_calls can find anything: something decorated or returned, or a parameter's name that is called in its file."""
+    ours = F.col("path").endswith(".py")
+    if not bindings.filter(ours & F.col("binding").isin("return", "return-call", "call-result")).isEmpty():
+        return True
+    if not symbols.filter(ours & (F.size(F.coalesce("decorators", F.array().cast("array<string>"))) > 0)).isEmpty():
+        return True
+    names = parameters(symbols).join(symbols.select(*KEYS, F.col("symbol_id").alias("owner_id"), "path"), [*KEYS, "owner_id"]).select(*KEYS, "path", F.col("name").alias("callee_text"))
+    return not sites.filter(ours).join(names, [*KEYS, "path", "callee_text"], "left_semi").isEmpty()
+
+
 def callable_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame, bindings: DataFrame, direct: DataFrame, decorated: DataFrame) -> DataFrame:
     """``call_candidates`` that go through values: calls of decorated functions 0.72, of returned callables 0.72 (``x = f(); x()``) or 0.70 (``f()()``), also where ``f`` returns what others return, through parameters 0.76, and of decorators by the callable around the decorated one 0.90.
 

@@ -224,13 +224,13 @@ def dossier_layers(seeds: DataFrame, nodes: DataFrame, relations: DataFrame, beh
 
 
 def context_paths(nodes: DataFrame, relations: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Paths behind a semantic node (keys, seed): of a system all, of a component its module's, else those within 3 steps over contains, executes and defines."""
+    """Paths behind a semantic node (keys, seed): of a system all, of a component its module's, else those of what it contains, executes and defines, 3 steps down."""
     s = seeds.join(nodes.select(*KEYS, F.col("node_id").alias("seed"), F.col("kind").alias("seed_kind"), F.col("label").alias("seed_label")), [*KEYS, "seed"])
     files = nodes.filter("path is not null").select(*KEYS, "path", F.col("module") if "module" in nodes.columns else F.lit(None).cast("string").alias("module"))
     every = s.filter("seed_kind = 'system'").join(files, KEYS).select(*KEYS, "seed", "path")
     part = s.filter("seed_kind = 'component'").join(files, (s["repo"] == files["repo"]) & (s["revision"] == files["revision"]) & (s["seed_label"] == files["module"])).select(s["repo"], s["revision"], "seed", "path")
     rest = s.filter("seed_kind not in ('system', 'component')")
-    near, _ = dossier(relations, rest.select(*KEYS, "seed"), 3, None, 1, ["contains", "executes", "defines"])
+    near, _ = reach(relations.filter(F.col("kind").isin("contains", "executes", "defines")), rest.select(*KEYS, F.col("seed").alias("start")), "down", 3)
     walked = near.join(nodes.select(*KEYS, F.col("node_id").alias("node"), "path").filter("path is not null"), [*KEYS, "node"]).select(*KEYS, F.col("start").alias("seed"), "path")
     return every.unionByName(part).unionByName(walked).distinct()
 

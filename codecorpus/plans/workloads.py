@@ -66,7 +66,12 @@ def architecture(files: DataFrame, index: FileIndex | None = None) -> dict[str,
         python = stored(resolve.with_targets(sites.filter("path like '%.py'"), symbols, resolve.known_heads(bindings, symbols)), "python-sites")
         direct = stored(resolve.resolve_calls(python, symbols, bound, "python"), "direct-calls")
         noted = stored(resolve.resolve_calls(python, symbols, bound, "python", decorated=True), "decorated-calls")
-        found += [direct, callables.callable_calls(sites, symbols, bound, bindings, direct, noted), resolve.inheritance_dispatch(sites, symbols, types)]
+        found.append(direct)
+        if callables.calls_through_values(sites, symbols, bindings):
+            found.append(callables.callable_calls(sites, symbols, bound, bindings, direct, noted))
+        inherited = python.filter("callee_text like 'super().%' or callee_text like 'self.%'")
+        if not inherited.isEmpty():
+            found.append(resolve.inheritance_dispatch(inherited.select(sites.columns), symbols, types))
     for lang, pattern in (("rust", r"\.rs$"), ("script", r"\.([mc]?ts|tsx|[mc]?js|jsx)$")):
         if not found or not sites.filter(F.col("path").rlike(pattern)).isEmpty():
             found.append(resolve.resolve_calls(sites, symbols, bound, lang))

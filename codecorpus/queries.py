@@ -188,6 +188,40 @@ def _(d):
     return extract_text.detect_frameworks(files).select("framework", "path", F.col("line").cast("int").alias("line"))
 
 
+#: A file for each part and framework; < and > stand for braces, ~ for quotes.
+_FW = {
+    "fastapi": ("py", "from fastapi import FastAPI|app = FastAPI()|@app.get(~/x~)|def home():|    return 1|app.add_api_route(~/y~, home)", [("decorator-route", 3, "/x", "#home:4"), ("add-api-route", 6, "/y", "#home:4")]),
+    "langgraph": ("py", "from langgraph.graph import StateGraph|g = StateGraph(dict)|def plan(s):|    return s|g.add_node(~plan~, plan)|g.add_edge(~plan~, ~end~)|g.add_conditional_edges(~plan~, plan)", [("add-node", 5, "plan", "#plan:3"), ("add-edge", 6, "plan", None), ("conditional-edge", 7, "plan", "#plan:3")]),
+    "celery": ("py", "from celery import Celery|app = Celery(~x~)|@app.task|def work(n):|    return n|def call():|    work.delay(1)|    app.send_task(~far~)", [("task-decorator", 3, "", "#work:4"), ("enqueue", 7, "", "#work:4"), ("named-task-publish", 8, "far", None)]),
+    "express": ("ts", "import express from ~express~|const app = express()|function home(req) <|  return 1|>|app.get(~/h~, home)", [("route-registration", 6, "/h", "#home:3")]),
+    "nestjs": ("ts", "import < Get > from ~@nestjs/common~|@Controller(~cats~)|class Cats <|  @Get(~all~)|  all() <|    return 1|  >|>", [("controller-route", 4, "cats/all", "#all:5")]),
+    "nextjs": ("ts", "import < NextResponse > from ~next/server~|export async function GET(req) <|  return 1|>", [("app-route-export", 2, "", "#GET:2")]),
+    "axum": ("rs", "use axum::Router;|async fn home() <|>|fn make() <|    r.route(~/a~, get(home));|>", [("router-route", 5, "/a", "#home:2")]),
+    "tokio": ("rs", "use tokio::task;|async fn job() <|>|fn start() <|    tokio::spawn(job());|>", [("spawn", 5, "", "#job:2")]),
+}
+_FW_PATH = "'src/' || p_partkey || '_%s.%s'"
+_FW_FOUND = " UNION ALL ".join(f"SELECT '{fw}' AS framework, '{rule}' AS rule_id, {_FW_PATH % (fw, ext)} AS path, {line} AS line, '{value}' AS value_label, " + (f"{_FW_PATH % (fw, ext)} || '{to}'" if to else f"'literal:{value}'") + " AS to_id FROM {part}" for fw, (ext, _, rows) in _FW.items() for rule, line, value, to in rows)
+
+
+def _frameworks(d):
+    parts = d.table("part").select(F.lit("corpus").alias("repo"), F.lit("r1").alias("revision"), "p_partkey")
+    kinds = F.explode(F.array(*[F.struct(F.lit(fw).alias("fw"), F.lit(ext).alias("ext"), F.lit(text).alias("text")) for fw, (ext, text, _) in _FW.items()]))
+    files = parts.withColumn("x", kinds).select(*KEYS, F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit("_"), "x.fw", F.lit("."), "x.ext").alias("path"), F.col("x.text").alias("text"))
+    return files.withColumn("content", F.translate("text", "<>~|", '{}"\n'))
+
+
+@query("ext7_every_framework", " UNION ALL ".join(f"SELECT '{fw}' AS framework, {_FW_PATH % (fw, ext)} AS path, 1 AS line FROM {{part}}" for fw, (ext, _, _) in _FW.items()))
+def _(d):
+    return extract_text.detect_frameworks(_frameworks(d)).select("framework", "path", F.col("line").cast("int").alias("line"))
+
+
+@query("ext8_rules_of_every_framework", _FW_FOUND)
+def _(d):
+    files = _frameworks(d)
+    found, _ = extract_text.framework_candidates(files, stored(parse.extract_symbols(files), "symbols"))
+    return found.select("framework", "rule_id", "path", F.col("line").cast("int").alias("line"), "value_label", "to_id")
+
+
 _APP = "from fastapi import FastAPI\napp = FastAPI()\n@app.get('/x')\n"
 
 
@@ -503,12 +537,37 @@ def _(d):
     return project.readable_backbone(e)[1].select("edge_id", "from_id", "to_id", "weight", "omitted_edges")
 
 
-@query("jn21_relations_behind_edge", f"SELECT from_id, to_id FROM ({_EDGES}) WHERE NOT starts_with(to_id, 'external:') AND {_PART('from_id')} = 'src/m2' AND {_PART('to_id')} = 'src/m1'")
+@query("jn21_relations_behind_edge", f"SELECT {_PART('from_id')} AS from_module, {_PART('to_id')} AS to_module, from_id, to_id FROM ({_EDGES}) WHERE NOT starts_with(to_id, 'external:') AND {_PART('from_id')} <> {_PART('to_id')}")
 def _(d):
     files = d.sql(B.FILES)
     nodes, edges, _ = resolve.build_edges(resolve.resolve_imports(extract_text.extract_imports(files), files), files)
-    pairs = files.select(*KEYS).distinct().withColumns({"from_module": F.lit("src/m2"), "to_module": F.lit("src/m1")})
-    return project.relations_behind(edges, nodes, pairs).select("from_id", "to_id")
+    pairs = project.module_edges(edges, nodes, None).select(*KEYS, "from_module", "to_module")
+    part = lambda c: S.module_of(F.col(c))
+    return project.relations_behind(edges, nodes, pairs).select(part("from_id").alias("from_module"), part("to_id").alias("to_module"), "from_id", "to_id")
+
+
+#: Order lines as relations of seven kinds, parts as symbols and suppliers as components.
+_LENS_KINDS = {1: "calls", 2: "extends", 3: "reads", 4: "writes", 5: "passes", 6: "registers", 7: "contains"}
+_LENS_LINES = "SELECT 'corpus' AS repo, 'r1' AS revision, concat('P', CAST(l_partkey AS STRING)) AS from_id, concat('S', CAST(l_suppkey AS STRING)) AS to_id, CASE l_linenumber " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in _LENS_KINDS.items()) + " END AS kind, CASE WHEN l_returnflag = 'A' THEN 'flask' END AS framework FROM {lineitem}"
+_LENS_SHOWN = {"calls": "kind = 'calls'", "types": "kind = 'extends'", "data": "kind IN ('reads', 'writes')", "behavior": "kind IN ('passes', 'registers')", "frameworks": "framework IS NOT NULL"}
+_LENS_ONE = f"SELECT '%s' AS lens, (SELECT count(*) FROM (SELECT from_id FROM ({_LENS_LINES}) WHERE %s UNION SELECT to_id FROM ({_LENS_LINES}) WHERE %s)) AS nodes, (SELECT count(*) FROM ({_LENS_LINES}) WHERE %s) AS relations"
+_LENS_SQL = " UNION ALL ".join(_LENS_ONE % (name, when, when, when) for name, when in _LENS_SHOWN.items())
+_LENS_SQL += f" UNION ALL SELECT 'components', (SELECT count(DISTINCT to_id) FROM ({_LENS_LINES})), 0 UNION ALL SELECT 'verified', (SELECT count(DISTINCT to_id) FROM ({_LENS_LINES})), 0 UNION ALL SELECT 'questions', (SELECT count(*) FROM (SELECT from_id FROM ({_LENS_LINES}) WHERE to_id IN ('S1', 'S2') UNION SELECT to_id FROM ({_LENS_LINES}) WHERE to_id IN ('S1', 'S2'))), (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_LENS_LINES}) WHERE to_id IN ('S1', 'S2')))"
+
+
+@query("flt8_every_lens", _LENS_SQL.replace("AS STRING", "AS VARCHAR"))
+def _(d):
+    e = d.sql(_LENS_LINES)
+    nodes = e.select(*KEYS, F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
+    supplier = F.col("node_id").startswith("S")
+    nodes = nodes.withColumns({"kind": F.when(supplier, "component").otherwise("symbol"), "trust": F.when(supplier, "verified").otherwise("inferred")})
+    asked = nodes.filter("node_id in ('S1', 'S2')").select(*KEYS, F.col("node_id").alias("subject_id"), F.lit("open").alias("status"))
+    out = None
+    for name in (*_LENS_SHOWN, "components", "verified", "questions"):
+        kept, shown = project.lens(nodes, e, name, asked, None)
+        one = kept.agg(F.count("*").alias("nodes")).join(shown.agg(F.count("*").alias("relations"))).select(F.lit(name).alias("lens"), "nodes", "relations")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("flt8_lens", f"SELECT kind, count(*) AS n FROM ({B.EDGES}) WHERE kind IN ('A', 'R') GROUP BY kind")
@@ -854,10 +913,11 @@ def _(d):
     return corpus.read_trace_log(d.spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("set6_union_facts", f"SELECT from_id, to_id, count(*) AS n FROM ({B.EDGES}) WHERE kind IN ('A', 'R') GROUP BY from_id, to_id")
+@query("set6_union_facts", f"SELECT from_id, to_id, count(*) AS n, count(*) FILTER (kind = 'A') AS tagged FROM ({B.EDGES}) GROUP BY from_id, to_id")
 def _(d):
     e = d.sql(B.EDGES)
-    return resolve.union_facts(e.filter("kind = 'A'").withColumn("resolver", F.lit("a")), e.filter("kind = 'R'")).groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
+    out = resolve.union_facts(e.filter("kind = 'A'").withColumn("resolver", F.lit("a")), e.filter("kind = 'R'"), e.filter("kind = 'N'"))
+    return out.groupBy("from_id", "to_id").agg(F.count("*").alias("n"), F.count("resolver").alias("tagged"))
 
 
 @query("fn13_masks", "SELECT p_partkey AS k, 'run_' || CAST(p_partkey AS VARCHAR) || '(' || repeat(' ', length(p_name) + 2) || ')  ' || repeat(' ', length(p_brand)) AS python, 'run(' || repeat(' ', length(p_name) + 2) || '); ' || repeat(' ', length(p_brand) + 4) || ' end' AS rust FROM {part}")
@@ -1051,10 +1111,10 @@ def _(d):
     return metrics.receipts("semantic", n, diag).select("repo", "n", "verified", "provisional", "valid")
 
 
-@query("agg15_behavior_workflows", f"WITH s AS (SELECT DISTINCT workflow_id, to_id FROM ({_SITES})), r AS (SELECT DISTINCT from_id, to_id, kind FROM ({B.EDGES}) WHERE l_quantity > 40), p AS (SELECT workflow_id, workflow_id AS node FROM s UNION SELECT workflow_id, to_id FROM s) SELECT workflow_id, count(DISTINCT rel) AS n FROM (SELECT workflow_id, r.from_id || r.to_id || r.kind AS rel FROM p JOIN r ON r.from_id = node UNION ALL SELECT workflow_id, r.from_id || r.to_id || r.kind FROM p JOIN r ON r.to_id = node) GROUP BY workflow_id")
+@query("agg15_behavior_workflows", f"WITH s AS (SELECT DISTINCT workflow_id, to_id FROM ({_SITES})), r AS (SELECT DISTINCT from_id, to_id, kind FROM ({B.EDGES})), p AS (SELECT workflow_id, workflow_id AS node FROM s UNION SELECT workflow_id, to_id FROM s) SELECT workflow_id, count(DISTINCT rel) AS n FROM (SELECT workflow_id, r.from_id || r.to_id || r.kind AS rel FROM p JOIN r ON r.from_id = node UNION ALL SELECT workflow_id, r.from_id || r.to_id || r.kind FROM p JOIN r ON r.to_id = node) GROUP BY workflow_id")
 def _(d):
     s = d.sql(_SITES)
-    r = d.sql(B.EDGES).filter("l_quantity > 40").select(*KEYS, "from_id", "to_id", "kind").distinct().withColumn("rel_id", F.concat("from_id", "to_id", "kind"))
+    r = d.sql(B.EDGES).select(*KEYS, "from_id", "to_id", "kind").distinct().withColumn("rel_id", F.concat("from_id", "to_id", "kind"))
     return behavior.behavior_workflows(s, r).select("workflow_id", F.size("relation_ids").cast("long").alias("n"))
 
 
@@ -1093,6 +1153,15 @@ def _(d):
     return graph.context_paths(nodes, rels, seeds).select("seed", "path")
 
 
+@query("gr4_paths_behind_steps", f"WITH RECURSIVE e AS (SELECT a, b FROM ({B.CHAIN})), r(k, n, depth) AS (SELECT a, a, 0 FROM e UNION SELECT r.k, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.n WHERE r.depth < 3 AND r.n % 5 <> 4) SELECT DISTINCT 'f' || k AS seed, 'src/' || n || '.py' AS path FROM r")
+def _(d):
+    e = d.sql(B.CHAIN)
+    nodes = e.select(*KEYS, F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().withColumns({"kind": F.lit("symbol"), "label": F.col("node_id"), "path": F.concat(F.lit("src/"), F.substr("node_id", F.lit(2)), F.lit(".py"))})
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("contains", "executes", "defines", "contains", "calls")]), (F.col("a") % 5 + 1).cast("int"))
+    back = e.select(*KEYS, F.col("from_id"), F.col("to_id"), kinds.alias("kind"))
+    return graph.context_paths(nodes, back, e.select(*KEYS, F.col("from_id").alias("seed"))).select("seed", "path")
+
+
 @query("gr5_propagate_callables", f"WITH RECURSIVE e AS (SELECT a, b FROM ({B.CHAIN})), r(k, c) AS (SELECT a, a % 7 FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.k) SELECT 'f' || CAST(k AS VARCHAR) AS from_id, 'cb' || CAST(c AS VARCHAR) AS to_id FROM r")
 def _(d):
     e = d.sql(B.CHAIN)
