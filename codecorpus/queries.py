@@ -430,6 +430,39 @@ def _(d):
     return runs.run_usage(t).select("run_id", "tool_requests", "max_processes")
 
 
+_USAGE_KIND = "CASE event_type WHEN 'view' THEN 'tool.requested' WHEN 'click' THEN 'tool.started' WHEN 'error' THEN 'tool.completed' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'checkpoint.created' ELSE 'file.changed' END ELSE CASE WHEN event_id % 2 = 0 THEN 'state.changed' ELSE 'repair.started' END END"
+
+
+@query(
+    "agg18_every_measure",
+    f"""WITH e AS (SELECT *, {_USAGE_KIND} AS type FROM {{events}}), o AS (SELECT *, sum(CASE type WHEN 'tool.started' THEN 1 WHEN 'tool.completed' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS open FROM e),
+    p AS (SELECT user_id, count(DISTINCT x) AS n FROM (SELECT user_id, unnest(CASE type WHEN 'file.changed' THEN ['p' || (event_id % 7), 'q'] ELSE ['c' || (event_id % 4)] END) AS x FROM e WHERE type IN ('file.changed', 'checkpoint.created')) GROUP BY user_id)
+    SELECT CAST(o.user_id AS VARCHAR) AS run_id, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS wall_time_ms, count(*) FILTER (type = 'state.changed' AND event_id % 4 = 0) AS provider_turns, coalesce(any_value(p.n), 0) AS changed_files,
+    coalesce(max(CASE WHEN type = 'checkpoint.created' THEN event_id END), 0) AS changed_bytes, count(*) FILTER (type = 'repair.started') AS repair_attempts, count(*) FILTER (type = 'tool.requested') AS tool_requests, CAST(greatest(max(open), 0) AS BIGINT) AS max_processes FROM o LEFT JOIN p ON p.user_id = o.user_id GROUP BY o.user_id""",
+)
+def _(d):
+    e = d.table("events").withColumn("type", F.expr(_USAGE_KIND))
+    text = lambda c: F.col(c).cast("string")
+    payload = F.when(F.col("type") == "file.changed", F.to_json(F.struct(F.array(F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")), F.lit("q")).alias("paths"))))
+    payload = payload.when(F.col("type") == "checkpoint.created", F.to_json(F.struct(F.array(F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string"))).alias("changedPaths"), F.col("event_id").alias("totalBytes"))))
+    payload = payload.when(F.col("type") == "state.changed", F.to_json(F.struct(F.when(F.col("event_id") % 4 == 0, "executing").otherwise("idle").alias("to")))).otherwise("{}")
+    events = e.select(text("user_id").alias("run_id"), F.struct("ts", "event_id").alias("sequence"), "ts", "type", payload.alias("payload"))
+    out = runs.run_usage(events)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("provider_turns", "changed_files", "repair_attempts", "tool_requests")})
+
+
+@query(
+    "agg9_scoped_score",
+    f"""WITH j AS (SELECT case_id, from_name, to_name, max(quality) AS gold, max(predicted) AS ours FROM ({B.EVAL}) WHERE quality IS NOT NULL GROUP BY ALL), s AS (SELECT * FROM j WHERE gold + ours > 0 AND NOT regexp_matches(from_name, '3$') AND NOT regexp_matches(to_name, '3$'))
+    SELECT c.case_id, CAST(coalesce(sum(gold * ours), 0) AS BIGINT) AS scoped_tp, CAST(coalesce(sum((1 - gold) * ours), 0) AS BIGINT) AS scoped_fp, CAST(coalesce(sum(gold * (1 - ours)), 0) AS BIGINT) AS scoped_fn FROM (SELECT DISTINCT case_id FROM j WHERE gold + ours > 0) c LEFT JOIN s ON s.case_id = c.case_id GROUP BY c.case_id
+    UNION ALL SELECT 'total', CAST(coalesce(sum(gold * ours), 0) AS BIGINT), CAST(coalesce(sum((1 - gold) * ours), 0) AS BIGINT), CAST(coalesce(sum(gold * (1 - ours)), 0) AS BIGINT) FROM s""",
+)
+def _(d):
+    e = d.sql(B.EVAL).filter("quality is not null")
+    names = e.select("case_id", F.explode(F.array("from_name", "to_name")).alias("name"))
+    return metrics.callgraph_score(e.filter("predicted = 1"), e.filter("quality = 1"), names, names.filter("name not like '%3'")).select("case_id", "scoped_tp", "scoped_fp", "scoped_fn")
+
+
 @query("agg19_corpus_totals", "SELECT coalesce(source, 'total') AS repo, count(*) FILTER (n_chars > 100) AS valid, count(*) FILTER (NOT n_chars > 100) AS invalid, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM {documents} GROUP BY ROLLUP (source)")
 def _(d):
     return metrics.corpus_totals(d.table("documents").select(F.col("source").alias("repo"), (F.col("n_chars") > 100).alias("valid"), "n_chars"), ["n_chars"])
