@@ -9,6 +9,8 @@ sets of one hub are derived from what each differs in from it, so a group of nea
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ STAR = 3
 SHOW, SEEN, FREQUENT = 16, 4, 1_000_000
 #: Size of the filter of ids that spares the second pass over texts.
 ID_BITS = 16_777_213
+#: Bytes of text whose words are hashed at once; short texts go together up to this, a longer one goes by pieces.
+PIECE = 1 << 18
 
 _R = np.random.default_rng(5)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,6 +41,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.frombuffer(LOWER_TABLE, dtype=np.uint8)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -45,30 +50,45 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of ``data``, which ends with white space; made by pieces, as this takes some 35 bytes for each of text."""
+    firsts, hashes, a = [], [], 0
+    while a < len(data):
+        b = _GAP.search(data, min(a + PIECE, len(data)) - 1).end()
+        raw = np.frombuffer(data, dtype=np.uint8, count=b - a, offset=a)
+        inside = ~_SPACE[raw]
+        edge = np.diff(inside.astype(np.int8), prepend=0)
+        first = np.flatnonzero(edge == 1)
+        if len(first):
+            lengths = np.flatnonzero(edge == -1) - first
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            place = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
+            power = np.multiply.accumulate(np.full(int(lengths.max()), _P))
+            words = np.add.reduceat(_BYTE[_LOWER[raw[inside]]] * power[place], starts)
+            firsts.append(first + a)
+            hashes.append(_scramble(words + lengths.astype(np.uint64)))
+        a = b
+    return (np.concatenate(firsts), np.concatenate(hashes)) if firsts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+
+
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text; a text of fewer words has one shingle, no words none."""
-    empty = np.zeros(0, dtype=np.int64)
+    group = np.cumsum([len(t or b"") for t in texts], dtype=np.int64) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)]
+    return [s for a, b in zip(cuts, cuts[1:]) for s in _sets(texts[a:b], size)]
+
+
+def _sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """shingle_sets of texts that are few or short enough to be held at once."""
+    out = [np.zeros(0, dtype=np.int64)] * len(texts)
     live = [i for i, t in enumerate(texts) if t]
-    out = [empty] * len(texts)
-    if not live:
+    first, words = _word_hashes(b"".join(texts[i] + b"\n" for i in live))
+    if not len(words):
         return out
-    raw = np.frombuffer(b"\n".join(texts[i] for i in live) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(texts[i]) + 1 for i in live])
-    inside = ~_SPACE[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    first = np.flatnonzero(edge == 1)
-    if not len(first):
-        return out
-    last = np.flatnonzero(edge == -1)
-    lengths = last - first
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
-    power = np.multiply.accumulate(np.full(int(lengths.max()), _P)) if len(lengths) else empty
-    words = np.add.reduceat(_BYTE[_LOWER[raw[inside]]] * power[place], starts)
-    words = _scramble(words + lengths.astype(np.uint64))
     bounds = np.searchsorted(first, ends, "left")  # words before the end of each text
     rolled = np.zeros(len(words), dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         rolled[: len(words) - k] = rolled[: len(words) - k] * _P + words[k:]
     rolled = _scramble(rolled).view(np.int64)
     a = 0
