@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codecorpus.operators.storage import Levels, stored
+from codecorpus.operators.storage import Levels, release, stored
 
 KEYS = ["repo", "revision"]
 #: Levels of a walk that are read as they were written, before they become one table.
@@ -34,6 +34,68 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, external:
     return ids.join(nodes, [*KEYS, "node_id"]), near.drop("other")
 
 
+#: Nodes whose hashes may be broadcast (24 MB).
+FEW = 1_000_000
+
+
+def likely(df: DataFrame, nodes: DataFrame, *ends: str) -> DataFrame:
+    """``df`` without rows whose ``ends`` can't be among ``nodes`` (keys, node): dropped where they lie, by hashes, so that they cross no shuffle.
+
+    A few rows too many may stay, all of them where there are more than FEW nodes: what follows looks nodes up itself.
+    """
+    of = lambda c: F.xxhash64(*KEYS, c)
+    known = stored(nodes.select(of("node").alias("_hash")).distinct(), "hashes")
+    if known.count() > FEW:
+        return df
+    for c in ends:
+        df = df.join(F.broadcast(known.withColumnRenamed("_hash", f"_{c}")), of(c) == F.col(f"_{c}"), "left_semi")
+    return df
+
+
+def within(links: DataFrame, ends: DataFrame, group: str = "start") -> DataFrame:
+    """``links`` with each ``group`` of ``ends`` (keys, group, node; no row twice) that has both their ends: one row for each link and group.
+
+    A link meets the groups of that end which is in fewer of them: a node of very many groups costs nothing where the other end is in few.
+    """
+    many = stored(ends.groupBy(*KEYS, "node").agg(F.count("*").alias("n")), "groups-of-nodes")
+    groups = lambda c: many.select(*KEYS, F.col("node").alias(c), F.col("n").alias(f"_{c}"))
+    known = likely(links, many, "from_id", "to_id").join(groups("from_id"), [*KEYS, "from_id"]).join(groups("to_id"), [*KEYS, "to_id"])
+    known = stored(known, "links-of-groups")
+    release(known.sparkSession)
+
+    def met(some, near, far):
+        at = some.join(ends.withColumnRenamed("node", near), [*KEYS, near])
+        return at.join(ends.withColumnRenamed("node", far), [*KEYS, group, far], "left_semi").select(*links.columns, group)
+
+    return met(known.filter("_from_id <= _to_id"), "from_id", "to_id").unionByName(met(known.filter("_from_id > _to_id"), "to_id", "from_id"))
+
+
+def nearest(edges: DataFrame, starts: DataFrame, levels: int, most: int) -> DataFrame:
+    """The first ``most`` nodes (start, node, depth) of each start by depth and node, its own first, at most ``levels`` steps down.
+
+    As reach, but a start that has enough nodes goes no further, and of a level no more than ``most`` of a start are kept.
+    """
+    order = W.partitionBy(*KEYS, "start").orderBy("node")
+    seen = stored(starts.select(*KEYS, "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "nearest")
+    front = seen
+    for depth in range(1, levels + 1):
+        step = likely(edges.select(*KEYS, F.col("from_id").alias("at"), F.col("to_id").alias("node")), front, "at")
+        nxt = front.select(*KEYS, "start", F.col("node").alias("at")).join(step, [*KEYS, "at"]).select(*KEYS, "start", "node")
+        # fewer than ``most`` of a start are known, so the first 2 * most have enough new ones; cut where they lie
+        nxt = nxt.withColumn("k", F.dense_rank().over(order)).filter(F.col("k") <= 2 * most).select(*KEYS, "start", "node").distinct()
+        new = nxt.join(seen.select(*KEYS, "start", "node"), [*KEYS, "start", "node"], "left_anti")
+        new = new.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
+        new = stored(new.withColumn("depth", F.lit(depth)), "nearest")
+        release(new.sparkSession)
+        seen = seen.unionByName(new)
+        hungry = seen.groupBy(*KEYS, "start").agg(F.count("*").alias("n")).filter(F.col("n") < most).select(*KEYS, "start")
+        front = stored(new.join(hungry, [*KEYS, "start"], "left_semi"), "front")
+        if front.isEmpty():
+            break
+    first = W.partitionBy(*KEYS, "start").orderBy("depth", "node")
+    return seen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).drop("k")
+
+
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) reached from each start: nodes (start, node, depth), and every edge that leaves (enters) a reached node.
 
@@ -173,10 +235,12 @@ def dossier(relations: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: in
     """(nodes, relations) within ``hops`` undirected steps of each seed, the nearest ``max_nodes`` (None: all) and the first ``max_relations`` between them."""
     used = relations if kinds is None else relations.filter(F.col("kind").isin(kinds))
     both = used.select(*KEYS, "from_id", "to_id").unionByName(used.select(*KEYS, F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
-    found, _ = reach(both, seeds.withColumnRenamed("seed", "start") if "seed" in seeds.columns else seeds, "down", hops)
-    near = found if max_nodes is None else found.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy("depth", "node"))).filter(F.col("k") <= max_nodes).drop("k")
-    ends = near.select(*KEYS, "start", "node")
-    inner = used.join(ends.withColumnRenamed("node", "from_id"), [*KEYS, "from_id"]).join(ends.withColumnRenamed("node", "to_id"), [*KEYS, "start", "to_id"])
+    seeds = seeds.withColumnRenamed("seed", "start") if "seed" in seeds.columns else seeds
+    near = reach(both, seeds, "down", hops)[0] if max_nodes is None else nearest(both, seeds, hops, max_nodes)
+    near = stored(near, "dossier-nodes")
+    if not max_relations:
+        return near, used.limit(0).withColumn("start", F.lit(None).cast("string"))
+    inner = within(used, near.select(*KEYS, "start", "node"))
     kept = inner.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy("from_id", "to_id", "kind"))).filter(F.col("k") <= max_relations).drop("k")
     return near, kept
 
@@ -195,31 +259,44 @@ def dossier_layers(seeds: DataFrame, nodes: DataFrame, relations: DataFrame, beh
     """
     seeds = seeds.withColumnRenamed("seed", "start") if "seed" in seeds.columns else seeds
     near, _ = dossier(relations, seeds, hops, most["nodes"][0], 0)
-    near = stored(near.select(*KEYS, "start", "node", "depth"), "dossier-nodes")
+    near = near.select(*KEYS, "start", "node", "depth")
     ends = near.select(*KEYS, "start", "node")
-    end = lambda c: ends.withColumnRenamed("node", c)
+    seen = stored(ends.select(*KEYS, "node").distinct(), "seen")
     none = F.lit(None).cast("string")
 
     def layer(df, name, *order):
-        n, pieces = most[name]
+        n = most[name][0]
         # the first rows of a partition are cut where they lie, before they are shuffled
         df = df.withColumn("place", F.row_number().over(W.partitionBy(*KEYS, "start").orderBy(*order))).filter(F.col("place") <= n)
-        return df.select(*KEYS, "start", F.lit(name).alias("layer"), "place", "item_id", "kind", *[F.col(c) if c in df.columns else none.alias(c) for c in ("from_id", "to_id")], F.slice("evidence", 1, pieces).alias("evidence"))
-
-    both = lambda df: df.join(end("from_id"), [*KEYS, "from_id"]).join(end("to_id"), [*KEYS, "start", "to_id"])
-    touched = candidates.join(end("from_id"), [*KEYS, "from_id"]).unionByName(candidates.join(end("to_id"), [*KEYS, "to_id"])).dropDuplicates([*KEYS, "start", "item_id"])
-    about = lambda df: df.withColumnRenamed("subject_id", "start").join(seeds.select(*KEYS, "start").distinct(), [*KEYS, "start"], "left_semi")
-    parts = [
-        layer(nodes.join(near.withColumnRenamed("node", "node_id"), [*KEYS, "node_id"]), "nodes", "depth", "node_id"),
-        layer(both(relations), "relations", "from_id", "to_id", "kind", "item_id"),
-        layer(both(behavior), "behavior", "from_id", "to_id", "kind", "item_id"),
-        layer(touched, "frameworks", "item_id"),
-        layer(about(claims), "claims", "item_id"),
-        layer(about(questions.filter("status = 'open'")), "questions", "item_id"),
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+        return df.select(*KEYS, "start", F.lit(name).alias("layer"), "place", "item_id", "kind", *[F.col(c) if c in df.columns else none.alias(c) for c in ("from_id", "to_id")], "evidence")
+
+    def short(df, name):
+        return df.withColumn("evidence", F.slice("evidence", 1, most[name][1]))
+
+    def about(df, name):
+        # the first of each subject, cut where they lie, before the seeds are looked up
+        first = layer(short(df, name).withColumnRenamed("subject_id", "start"), name, "item_id")
+        return first.join(seeds.select(*KEYS, "start").distinct(), [*KEYS, "start"], "left_semi")
+
+    def touched(df, name):
+        # ids alone are ranked, those shown get their rows
+        at = lambda c: likely(df.select(*KEYS, c, "item_id"), seen, c).join(ends.withColumnRenamed("node", c), [*KEYS, c]).select(*KEYS, "start", "item_id")
+        ids = at("from_id").unionByName(at("to_id")).withColumn("k", F.dense_rank().over(W.partitionBy(*KEYS, "start").orderBy("item_id"))).filter(F.col("k") <= most[name][0])
+        ids = stored(ids.select(*KEYS, "start", "item_id").distinct(), "touched")
+        release(ids.sparkSession)
+        return layer(ids.join(short(df, name).dropDuplicates([*KEYS, "item_id"]), [*KEYS, "item_id"]), name, "item_id")
+
+    def kept(df):
+        # one layer after the other, so that their shuffle files are not there at once
+        df = stored(df, "layer")
+        release(df.sparkSession)
+        return df
+
+    out = kept(layer(short(nodes, "nodes").join(near.withColumnRenamed("node", "node_id"), [*KEYS, "node_id"]), "nodes", "depth", "node_id"))
+    for df, name in ((relations, "relations"), (behavior, "behavior")):
+        out = out.unionByName(kept(layer(within(short(df, name), ends), name, "from_id", "to_id", "kind", "item_id")))
+    for more in (touched(candidates, "frameworks"), about(claims, "claims"), about(questions.filter("status = 'open'"), "questions")):
+        out = out.unionByName(kept(more))
     return out
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codecorpus.operators import behavior, extract_text, storage
+from codecorpus.operators import behavior, extract_text, graph, storage
 
 FILES = "repo string, revision string, path string, content string"
 
@@ -42,6 +42,35 @@ def random_links(seed, n, m, k):
     return sorted({(f"r{r.randrange(2)}", "1", f"n{r.randrange(n)}", f"n{r.randrange(n)}", f"k{r.randrange(k)}") for _ in range(m)})
 
 
+def test_nearest_is_the_head_of_reach_and_goes_no_further_than_it_must(spark):
+    links = random_links(1, 40, 90, 1)
+    edges = spark.createDataFrame(links, LINK)
+    starts = edges.select("repo", "revision", F.col("from_id").alias("start")).distinct()
+    for levels, most in ((1, 3), (2, 2), (2, 8), (3, 1), (3, 1000)):
+        whole = {}
+        for r in graph.reach(edges, starts, "down", levels)[0].collect():
+            whole.setdefault((r.repo, r.start), []).append((r.depth, r.node))
+        got = {}
+        for r in graph.nearest(edges, starts, levels, most).collect():
+            got.setdefault((r.repo, r.start), []).append((r.depth, r.node))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:most] for k, v in whole.items()}
+    # 300 starts of 300 nodes each: their second steps would be 27 million rows
+    wide = spark.range(90_000).select(F.lit("r").alias("repo"), F.lit("1").alias("revision"), F.concat(F.lit("s"), (F.col("id") % 300).cast("string")).alias("from_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 300).cast("string")).alias("to_id"), F.lit("k").alias("kind"))
+    both = wide.unionByName(wide.select("repo", "revision", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "kind"))
+    near = graph.nearest(both, wide.select("repo", "revision", F.col("from_id").alias("start")).distinct(), 2, 100)
+    assert {(r.depth, r["count"]) for r in near.groupBy("depth").count().collect()} == {(0, 300), (1, 300 * 99)}
+
+
+def test_links_within_groups(spark):
+    links = random_links(2, 30, 200, 3)
+    r = random.Random(3)
+    ends = {(f"r{r.randrange(2)}", "1", f"g{r.randrange(6)}", f"n{min(r.randrange(30), r.randrange(30))}") for _ in range(150)}
+    got = graph.within(spark.createDataFrame(links, LINK), spark.createDataFrame(sorted(ends), "repo string, revision string, start string, node string"))
+    groups = {g for _, _, g, _ in ends}
+    want = sorted((*x, g) for x in links for g in groups if (x[0], "1", g, x[2]) in ends and (x[0], "1", g, x[3]) in ends)
+    assert sorted(tuple(x) for x in got.select("repo", "revision", "from_id", "to_id", "kind", "start").collect()) == want and want
+
+
 def test_workflow_sizes_are_those_of_the_lists(spark):
     for seed, n in ((4, 8), (5, 25), (6, 60)):
         links = [(*x, "".join(x)) for x in random_links(seed, n, 120, 2)]
